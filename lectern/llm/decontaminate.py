@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_batches, ship, written
+from lectern.llm.common import map_batches, written
+from lectern.session import ship
 
 WINDOW = 10
 #: Item words in one broadcast automaton: about 400 bytes each, so some 400 MB at the most.

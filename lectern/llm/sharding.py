@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc32, ship
+from lectern.llm.common import crc32
+from lectern.session import ship
 
 #: Rows that one slot block is meant to hold; blocks are numbered in one window each.
 BLOCK_ROWS = 20_000
