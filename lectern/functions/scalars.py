@@ -17,9 +17,9 @@ def exact_mean(value: Column) -> Column:
 
 
 def histogram_bin(value: Column, bins: int = 5) -> Column:
-    """Bin of a score in 0..1; 1.0 falls in the last bin, negatives in the first, NaN and infinities in none."""
+    """Bin of a score in 0..1; 1.0 falls in the last bin, negatives in the first, NULL, NaN and infinities in none."""
     v = value.cast("double")
-    odd = F.isnan(v) | (v == float("inf")) | (v == float("-inf"))
+    odd = v.isNull() | F.isnan(v) | (v == float("inf")) | (v == float("-inf"))
     return F.when(odd, None).otherwise(F.least(F.lit(bins - 1), F.floor(F.greatest(F.lit(0.0), v) * bins).cast("int")))
 
 
