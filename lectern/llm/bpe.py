@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
@@ -26,7 +27,7 @@ OUT_BYTES = 4 << 20
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = OUT_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about ``limit`` bytes of text."""
-    sizes = np.cumsum([0, *(x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist())])
+    sizes = np.cumsum([0, *(x or 0 for x in pc.binary_length(batch.column(column)).to_pylist())])
     at = 0
     while at < batch.num_rows:
         to = max(at + 1, int(np.searchsorted(sizes, sizes[at] + limit, side="right")) - 1)
@@ -64,7 +65,7 @@ def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", path: str
         for batch in batches:
             col = batch.column("ids")
             flat = table[col.flatten().to_numpy(zero_copy_only=False)]
-            ends = np.cumsum([0, *pa.compute.list_value_length(col).fill_null(0).to_pylist()])
+            ends = np.cumsum([0, *pc.list_value_length(col).fill_null(0).to_pylist()])
             texts = [b"".join(flat[i:j]).decode(errors="replace") for i, j in zip(ends, ends[1:])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
