@@ -44,6 +44,27 @@ def token_bytes(path: str) -> list[bytes]:
     return [out.get(i, b"") for i in range(max(out) + 1)]
 
 
+def _added_and_ranks(path: str, bytes_of: list[bytes]):
+    """Added tokens, and the vocabulary as ranks where ids follow the order of the merges.
+
+    The ranks encode short fragments with less overhead than a call of the library per
+    fragment; without them, or with an added token inside, the library does it.
+    """
+    import public_tokenizers
+    import tiktoken
+
+    spec = json.loads(open(path, encoding="utf-8").read())
+    added = [x["content"].encode() for x in spec["added_tokens"]]
+    vocab = spec["model"]["vocab"]
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["model"]["merges"]]
+    split = spec.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not spec.get("normalizer")
+    if not plain or made != sorted(made):
+        return added, None
+    ranks = {b: i for i, b in enumerate(bytes_of) if b and b not in added}
+    return added, tiktoken.Encoding("fragments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
 class ForcedBoundaries:
     """Encoder and decoder of one byte-level BPE vocabulary file of the tokenizers library."""
 
@@ -54,6 +75,7 @@ class ForcedBoundaries:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.bytes_of = token_bytes(path)
+        self.added, self.ranks = _added_and_ranks(path, self.bytes_of)
         inside = np.zeros(1 << 16, dtype=bool)
         for t in self.bytes_of:
             a = np.frombuffer(t, np.uint8).astype(np.uint16)
@@ -85,6 +107,8 @@ class ForcedBoundaries:
         return [data[i:j] for i, j in zip([0, *ends], ends)]
 
     def encode_fragment(self, fragment: bytes) -> list[int]:
+        if self.ranks is not None and len(fragment) <= CACHE_BYTES and not any(t in fragment for t in self.added):
+            return self.ranks.encode_ordinary(fragment.decode())
         return self.lib.encode(fragment.decode(), add_special_tokens=False).ids
 
     def encode(self, text: str) -> np.ndarray:
