@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.catalog import register
 from lectern.functions import scalars
-from lectern.operators import datasets, integrity
+from lectern.operators import datasets, integrity, lookups
 from lectern.operators import relational as rel
 from lectern.session import ship
 from lectern.sources.tables import read_table as t
@@ -373,3 +373,85 @@ def canonical_json(spark, sf_dir):
 
     ship(spark)
     return t(spark, sf_dir, "events").select("event_id", jsonb_sha256(F.col("props")).alias("jsonb_sha256"), sorted_canonical(F.col("props")).alias("sorted"))
+
+
+# -- lookups --------------------------------------------------------------------------------
+
+
+@register("SELECT l.l_orderkey AS question_id, l.l_linenumber AS revision, count(*) AS n FROM lineitem l JOIN (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'A') r USING (l_orderkey, l_linenumber) GROUP BY ALL")
+def pinned_revisions(spark, sf_dir):
+    li = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("question_id"), F.col("l_linenumber").alias("revision"), "l_returnflag")
+    r = li.where("l_returnflag = 'A'").select("question_id", "revision").distinct()
+    return lookups.pinned_revisions(li.drop("l_returnflag"), r).groupBy("question_id", "revision").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT event_id, n_name FROM events LEFT JOIN nation ON CAST(n_nationkey AS VARCHAR) = props->>'k'")
+def join_by_json_key(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    return lookups.join_by_json_key(t(spark, sf_dir, "events"), n, "props", "$.k", "n_nationkey").select("event_id", "n_name")
+
+
+@register("""SELECT event_id, CASE event_type WHEN 'click' THEN c_name WHEN 'view' THEN s_name END AS target_name FROM events
+LEFT JOIN customer ON event_type = 'click' AND c_custkey = user_id LEFT JOIN supplier ON event_type = 'view' AND s_suppkey = user_id""")
+def polymorphic_targets(spark, sf_dir):
+    e = t(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("resolved_type"), F.col("user_id").alias("resolved_id"))
+    targets = {"click": (t(spark, sf_dir, "customer"), "c_custkey", "c_name"), "view": (t(spark, sf_dir, "supplier"), "s_suppkey", "s_name")}
+    return lookups.resolve_polymorphic(e, targets).select("event_id", "target_name")
+
+
+@register("""SELECT DISTINCT o_custkey AS run_id, o_orderpriority AS provider_key FROM orders UNION SELECT o_custkey, 'gemini' FROM orders WHERE o_custkey % 3 = 0 UNION SELECT o_custkey, 'judge' FROM orders WHERE o_custkey % 2 = 0""")
+def needed_providers(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run_id"), F.col("o_orderpriority").alias("provider_key"))
+    k = F.col("run_id")
+    modes = F.when(k % 3 == 0, F.array(F.lit("NONE"), F.lit("VECTOR"))).otherwise(F.array(F.lit("NONE")))
+    runs = o.select("run_id").distinct().select("run_id", modes.alias("retrieval_modes"), F.when(k % 2 == 0, "judge").alias("judge_provider"))
+    return lookups.needed_providers(o, runs)
+
+
+@register("SELECT o_orderkey FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderkey % 2 <> 0")
+def not_blocked(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("provider_key"), F.when(F.col("o_orderkey") % 2 == 0, "VECTOR").otherwise("NONE").alias("mode"))
+    blocked = spark.range(2).select(F.when(F.col("id") == 0, "gemini").otherwise("1-URGENT").alias("provider_key"))
+    return lookups.not_blocked(o, blocked).select("o_orderkey")
+
+
+@register("SELECT a.p_partkey AS id, a.p_brand AS version, b.p_brand AS parent_version FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey - 3")
+def parent_versions(spark, sf_dir):
+    v = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") - 3).alias("parent_id"), F.col("p_brand").alias("version"))
+    return lookups.with_parent(v).select("id", "version", "parent_version")
+
+
+@register("""SELECT user_id, max(value) FILTER (event_type = 'click') AS click, max(value) FILTER (event_type = 'view') AS "view" FROM events GROUP BY 1""")
+def conditional_max(spark, sf_dir):
+    return lookups.conditional_max(t(spark, sf_dir, "events"), ["user_id"], "event_type", "value", ["click", "view"])
+
+
+@register("SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1")
+def state_counts(spark, sf_dir):
+    return lookups.state_counts(t(spark, sf_dir, "events"), ["user_id"], ["click", "purchase"], "event_type")
+
+
+@register("SELECT o_custkey AS run_id, count(*) AS recovered, count(*) FILTER (o_orderkey % 6 >= 4) AS terminal FROM orders WHERE o_orderstatus = 'O' AND o_orderdate < TIMESTAMP '1996-01-01' GROUP BY 1")
+def lease_recovery(spark, sf_dir):
+    o = t(spark, sf_dir, "orders")
+    i = o.select(F.col("o_custkey").alias("run_id"), F.when(F.col("o_orderstatus") == "O", "LEASED").otherwise("DONE").alias("state"), F.col("o_orderdate").alias("lease_until"), (F.col("o_orderkey") % 6).alias("attempts"))
+    return lookups.lease_recovery(i, "1996-01-01 00:00:00", 4)
+
+
+@register("SELECT CAST(sum(turn) AS BIGINT) AS turn, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations WHERE role IN ('user', 'system')")
+def selected_totals(spark, sf_dir):
+    c = t(spark, sf_dir, "conversations").select(F.col("role").alias("mode"), "turn", F.length("text").alias("chars"))
+    return lookups.selected_totals(c, ["user", "system"], ["turn", "chars"])
+
+
+@register("""SELECT event_id, '{"a":"2","k":"' || (props->>'k') || '"}' AS merged, event_id % 2 = 0 AS covered FROM events""")
+def json_merged(spark, sf_dir):
+    base = F.concat(F.lit('{"a":1,"gone":true,"k":'), F.get_json_object("props", "$.k"), F.lit("}"))
+    need = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("VECTOR"))).otherwise(F.array(F.lit("X")))
+    covered = lookups.is_subset(need, F.array(F.lit("NONE"), F.lit("VECTOR")))
+    return t(spark, sf_dir, "events").select("event_id", lookups.json_merged(base, F.lit('{"a":2}'), ["gone"]).alias("merged"), covered.alias("covered"))
+
+
+@register()
+def collated_names(spark, sf_dir):
+    return lookups.collated(t(spark, sf_dir, "nation").select("n_name"), "n_name")
