@@ -33,8 +33,8 @@ from lectern.session import ship
 WINDOW = 10
 #: Item words in one broadcast automaton: about 400 bytes each, so some 400 MB at the most.
 MAX_BLOCK_WORDS = 1_000_000
-#: A span this long, in words, is removed; a document is dropped beyond this share of hit words.
-MAX_SPAN_WORDS, MAX_COVERAGE = 9, 0.5
+#: Spans of more words are removed; a document is dropped beyond this share of hit words.
+MAX_SPAN_WORDS, MAX_COVERAGE = 0, 0.5
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -152,17 +152,15 @@ class SuffixAutomaton:
         return spans, found
 
 
-def _blocks(benchmark: DataFrame, max_words: int) -> list[list[tuple[object, list[bytes]]]]:
-    """Items in blocks of bounded words, read block by block."""
+def _blocks(benchmark: DataFrame, max_words: int) -> Iterator[tuple[list[tuple[object, list[bytes]]], bool]]:
+    """(items, whether it is the last) in blocks of bounded size, read one at a time."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
     total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // (6 * max_words)))
-    out = []
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         items = sorted((r.item_id, words_of(r.text.encode())) for r in part.toLocalIterator())
-        out.append([x for x in items if x[1]])
-    return out
+        yield [x for x in items if x[1]], k + 1 == n
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_BLOCK_WORDS) -> DataFrame:
@@ -175,11 +173,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_w
             "hit_items": F.array().cast("array<string>"),
         }
     )
-    blocks = _blocks(benchmark, max_words)
-    for k, items in enumerate(blocks):
+    for items, last in _blocks(benchmark, max_words):
         shared = spark.sparkContext.broadcast((items, window))
         out = map_batches(out, _matcher(shared), out.schema)
-        if k + 1 < len(blocks):
+        if not last:
             out = written(out, "decontaminate")
     return out
 
@@ -266,9 +263,9 @@ def decontaminate(
 ) -> DataFrame:
     """Documents with too long spans cut out, without those whose coverage is too large.
 
-    A hit span longer than ``max_span_words`` words goes (a shorter one is a whole short
-    item and goes too); a document of whose words more than ``max_coverage`` are hit goes
-    as a whole. Columns stay those of ``docs``; n_chars follows the text where it exists.
+    A hit span of more than ``max_span_words`` words goes; a document of whose words more
+    than ``max_coverage`` are hit goes as a whole. Columns stay those of ``docs``; n_chars
+    follows the text where it exists.
     """
 
     ship(docs.sparkSession)
@@ -284,6 +281,7 @@ def decontaminate(
     hits = find_hits(docs, benchmark, window)
     covered = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda acc, s: acc + s.end - s.start)
     kept = hits.where((F.size("hit_spans") == 0) | (covered <= F.lit(max_coverage) * F.col("n_words")))
+    kept = kept.withColumn("hit_spans", F.filter("hit_spans", lambda s: s.end - s.start > max_span_words))
     dirty = F.size("hit_spans") > 0
     kept = kept.withColumn("__cut", F.when(dirty, cut(F.when(dirty, F.col("text")), "hit_spans")).otherwise(F.col("text")))
     out = {"text": F.col("__cut")}
