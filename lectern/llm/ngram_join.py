@@ -12,7 +12,8 @@ whole corpus), and each orders the others by a hash of its own:
    Candidate pairs must also share a prefix token under the second and the third order;
    then whole texts are compared. Links so far give components.
 4. Lists that still hold several components give the pairs across components, except those
-   that sizes or the triangle inequality of the Jaccard distance (with the pivot) rule out.
+   that sizes, the spread of the tokens' hashes, or the triangle inequality of the Jaccard
+   distance (with the pivot) rule out.
    These are verified in the same way, and their links added.
 
 A pair inside one component needs no comparison, as it can't change the result, so a group
@@ -40,7 +41,9 @@ from lectern.llm.components import connected_components
 
 WORDS, PERCENT = 4, 85
 #: Counters of the frequency sketch: 2**bits, by the number of documents.
-SKETCH_BITS = (12, 22)
+SKETCH_BITS = (12, 24)
+#: Hash ranges of a set's spread: 2**bits.
+SPREAD_BITS = 5
 CACHE_WORDS = 250_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -102,12 +105,16 @@ def frequency_sketch(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.int64)
         for batch in batches:
+            held, size = [], 0
             for t in batch.column("text"):
                 if t.is_valid:
-                    h = shingle_hashes(t.as_py().encode(), words)
-                    counts += np.bincount((h >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) if len(h) > 1 << bits else 0
-                    if len(h) <= 1 << bits:
-                        np.add.at(counts, (h >> np.uint64(64 - bits)).astype(np.int64), 1)
+                    held.append(shingle_hashes(t.as_py().encode(), words) >> np.uint64(64 - bits))
+                    size += len(held[-1])
+                if size > 1 << 20:
+                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
+                    held, size = [], 0
+            if held:
+                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
         used = np.flatnonzero(counts)
         for at in range(0, len(used), 1 << 16):
             part = used[at : at + (1 << 16)]
@@ -120,8 +127,12 @@ def frequency_sketch(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarr
 
 
 def levels_of(sketch: np.ndarray) -> np.ndarray:
-    """0 for buckets of usual counts, else growing with the count (up to 63)."""
-    usual = 4 * sketch.mean() + 8
+    """0 for buckets of usual counts, else growing with the count (up to 63).
+
+    Rare tokens fill buckets evenly, with a spread of the root of the mean; what stands out
+    by six times that holds a frequent token.
+    """
+    usual = sketch.mean() + 6 * np.sqrt(sketch.mean()) + 8
     return np.where(sketch > usual, np.minimum(63, 1 + (4 * np.log2(np.maximum(sketch, 1) / usual)).astype(np.int64)), 0).astype(np.uint64)
 
 
@@ -136,7 +147,10 @@ def prefixes(h: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> list[n
 
 
 def signatures(docs: DataFrame, sketch: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, s1, s2 (fingerprint of the set), first (tokens), second, third (token hashes)."""
+    """doc_id, n, s1, s2 (fingerprint of the set), first (tokens), second, third (token hashes), spread.
+
+    spread counts the tokens in ``SPREAD`` ranges of their hash.
+    """
     bits = int(len(sketch)).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(levels_of(sketch))
 
@@ -149,19 +163,33 @@ def signatures(docs: DataFrame, sketch: np.ndarray, words: int = WORDS, percent:
                 for doc_id, t in zip(ids[at : at + 512], batch.column("text")[at : at + 512]):
                     h = shingle_hashes(t.as_py().encode() if t.is_valid else None, words)
                     if not len(h):
-                        rows.append((doc_id, 0, None, None, [], [], []))
+                        rows.append((doc_id, 0, None, None, [], [], [], []))
                         continue
                     f = xxhash.xxh3_128_digest(h.tobytes())
                     s1, s2 = np.frombuffer(f, "<i8").tolist()
                     a, b, c = prefixes(h, levels[(h >> np.uint64(64 - bits)).astype(np.int64)], percent)
-                    rows.append((doc_id, len(h), s1, s2, a.view(np.int64), _low(b), _low(c)))
+                    rows.append((doc_id, len(h), s1, s2, a.view(np.int64), _low(b), _low(c), spread(h)))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    names = ["doc_id", "n", "s1", "s2", "first", "second", "third"]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    names = ["doc_id", "n", "s1", "s2", "first", "second", "third", "spread"]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(slim, run, "doc_id long, n long, s1 long, s2 long, first array<long>, second array<int>, third array<int>")
+    return map_batches(slim, run, "doc_id long, n long, s1 long, s2 long, first array<long>, second array<int>, third array<int>, spread array<int>")
+
+
+def spread(h: np.ndarray) -> np.ndarray:
+    return np.bincount((h >> np.uint64(64 - SPREAD_BITS)).astype(np.int64), minlength=1 << SPREAD_BITS).astype(np.int32)
+
+
+def _close(n1, n2, spread1, spread2, percent: int):
+    """Whether sizes and spreads allow a link.
+
+    The spreads differ by no more than the sets do; linked sets differ in at most
+    (100 - t) / (100 + t) of their summed sizes.
+    """
+    apart = F.aggregate(F.zip_with(spread1, spread2, lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * apart.cast("long") <= (100 - percent) * (n1 + n2))
 
 
 def _low(h: np.ndarray) -> np.ndarray:
@@ -221,7 +249,7 @@ def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PER
     """(signature table with rep, links a-b between representatives that keep components exact)."""
     spark = docs.sparkSession
     rows = docs.count()
-    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], rows.bit_length()))
+    bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], rows.bit_length() + 1))
     sig = written(signatures(docs, frequency_sketch(docs, bits, words), words, percent), "signatures")
     reps = sig.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
     member = written(
@@ -232,13 +260,12 @@ def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PER
     own = sig.where("n > 0 and doc_id is not null").join(small(copies, 1_000_000), "doc_id", "left_anti")
     lists = written(token_lists(own), "tokenlists")
     release(spark)
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
     head = Window.partitionBy("token").orderBy(F.desc("weight"), "d")
-    led = lists.withColumns({"pivot": F.first("d").over(head), "pivot_n": F.first("n").over(head)})
-    stars = written(led.select("token", "d", "n", "pivot", "pivot_n"), "stars")
-    first = stars.where((F.col("d") != F.col("pivot")) & fits(F.col("n"), F.col("pivot_n"))).select(F.col("pivot").alias("a"), F.col("d").alias("b"))
-    first = written(_share_prefixes(first.distinct(), own), "pairs")
+    stars = written(lists.withColumn("pivot", F.first("d").over(head)).select("token", "d", "n", "pivot"), "stars")
+    side = lambda c: own.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("spread").alias(f"spread_{c}"))
+    first = stars.where(F.col("d") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct()
+    first = first.join(side("b"), "b").join(side("a"), "a").where(_close(F.col("n_a"), F.col("n_b"), F.col("spread_a"), F.col("spread_b"), percent)).select("a", "b")
+    first = written(_share_prefixes(first, own), "pairs")
     release(spark)
     known = written(verify(first, docs, words, percent), "verified")
     release(spark)
@@ -254,14 +281,14 @@ def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PER
         .withColumns({"root": F.coalesce("root", "d"), "main": F.coalesce("main", "pivot")})
     )
     open_ = placed.where("root <> main").select("token").distinct()
-    left = placed.join(open_, "token", "left_semi").join(apart, ["pivot", "d"], "left")
+    left = placed.join(open_, "token", "left_semi").join(apart, ["pivot", "d"], "left").join(own.select(F.col("doc_id").alias("d"), "spread"), "d")
     left = written(left.withColumn("apart", F.when(F.col("d") == F.col("pivot"), 0.0).otherwise(F.col("apart"))), "open")
-    x = left.where("root <> main").select("token", F.col("d").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("apart").alias("xa"), "pivot")
-    y = left.select("token", F.col("d").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), F.col("apart").alias("ya"), (F.col("root") == F.col("main")).alias("inner"))
+    x = left.where("root <> main").select("token", F.col("d").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("apart").alias("xa"), F.col("spread").alias("xs"))
+    y = left.select("token", F.col("d").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), F.col("apart").alias("ya"), F.col("spread").alias("ys"), "pivot", (F.col("root") == F.col("main")).alias("inner"))
     far = F.coalesce(F.abs(F.col("xa") - F.col("ya")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     pairs = (
         x.join(y, "token")
-        .where((F.col("xr") != F.col("yr")) & (F.col("inner") | (F.col("x") < F.col("y"))) & fits(F.col("xn"), F.col("yn")) & far & (F.col("y") != F.col("pivot")))
+        .where((F.col("xr") != F.col("yr")) & (F.col("inner") | (F.col("x") < F.col("y"))) & (F.col("y") != F.col("pivot")) & far & _close(F.col("xn"), F.col("yn"), F.col("xs"), F.col("ys"), percent))
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
