@@ -60,8 +60,15 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Texts are long: batches of this size keep both sides of the exchange with Python small.
+BATCH_BYTES = "8m"
+
+
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    ship(df.sparkSession)
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # still the default
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
 

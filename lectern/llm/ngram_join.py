@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +45,10 @@ WORDS, PERCENT = 4, 85
 SKETCH_BITS = (12, 24)
 #: Hash ranges of a set's spread: 2**bits.
 SPREAD_BITS = 5
+#: Counters of the sketch that travel in one row, and groups in which rows are added first.
+SKETCH_BLOCK, SKETCH_WAYS = 1 << 11, 256
+#: Finer hash ranges, for pairs that are left: 2**bits, counts up to 127.
+FINE_BITS = 8
 CACHE_WORDS = 250_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
@@ -115,17 +120,33 @@ def frequency_sketch(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarr
                     held, size = [], 0
             if held:
                 counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
-        used = np.flatnonzero(counts)
-        for at in range(0, len(used), 1 << 16):
-            part = used[at : at + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[part])], names=["bucket", "n"])
-
-    got = map_batches(docs.select("text"), run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+        if counts.any():
+            part = TaskContext.get().partitionId() % SKETCH_WAYS
+            for block in np.flatnonzero(counts.reshape(-1, SKETCH_BLOCK).any(axis=1)).tolist():
+                yield _block_row(block, part, counts[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK])
+
+    def add(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        total = np.zeros(SKETCH_BLOCK, np.int64)
+        for x in rows.column("counts"):
+            total += np.frombuffer(x.as_py(), "<i8")
+        return pa.Table.from_batches([_block_row(key[0].as_py(), 0, total)])
+
+    # a task's counters travel in blocks, and are added up in two steps so that no group grows with the tasks
+    kind = "block int, part int, counts binary"
+    sums = map_batches(docs.select("text"), run, kind).groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
+    got = sums.toArrow()
     out = np.zeros(1 << bits, np.int64)
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    for block, counts in zip(got.column("block").to_pylist(), got.column("counts").to_pylist()):
+        out[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(counts, "<i8")
     return out
 
 
+def _block_row(block: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["block", "part", "counts"]
+    )
+
+
 def levels_of(sketch: np.ndarray) -> np.ndarray:
     """0 for buckets of usual counts, else growing with the count (up to 63).
 
@@ -147,9 +168,9 @@ def prefixes(h: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> list[n
 
 
 def signatures(docs: DataFrame, sketch: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, s1, s2 (fingerprint of the set), first (tokens), second, third (token hashes), spread.
+    """doc_id, n, s1, s2 (fingerprint of the set), first (tokens), second, third (token hashes), spread, fine.
 
-    spread counts the tokens in ``SPREAD`` ranges of their hash.
+    spread and fine count the tokens in ranges of their hash.
     """
     bits = int(len(sketch)).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(levels_of(sketch))
@@ -163,32 +184,37 @@ def signatures(docs: DataFrame, sketch: np.ndarray, words: int = WORDS, percent:
                 for doc_id, t in zip(ids[at : at + 512], batch.column("text")[at : at + 512]):
                     h = shingle_hashes(t.as_py().encode() if t.is_valid else None, words)
                     if not len(h):
-                        rows.append((doc_id, 0, None, None, [], [], [], []))
+                        rows.append((doc_id, 0, None, None, [], [], [], [], []))
                         continue
                     f = xxhash.xxh3_128_digest(h.tobytes())
                     s1, s2 = np.frombuffer(f, "<i8").tolist()
                     a, b, c = prefixes(h, levels[(h >> np.uint64(64 - bits)).astype(np.int64)], percent)
-                    rows.append((doc_id, len(h), s1, s2, a.view(np.int64), _low(b), _low(c), spread(h)))
+                    rows.append((doc_id, len(h), s1, s2, a.view(np.int64), _low(b), _low(c), spread(h), fine(h)))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-    names = ["doc_id", "n", "s1", "s2", "first", "second", "third", "spread"]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int8())]
+    names = ["doc_id", "n", "s1", "s2", "first", "second", "third", "spread", "fine"]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(slim, run, "doc_id long, n long, s1 long, s2 long, first array<long>, second array<int>, third array<int>, spread array<int>")
+    return map_batches(slim, run, "doc_id long, n long, s1 long, s2 long, first array<long>, second array<int>, third array<int>, spread array<int>, fine array<tinyint>")
 
 
 def spread(h: np.ndarray) -> np.ndarray:
     return np.bincount((h >> np.uint64(64 - SPREAD_BITS)).astype(np.int64), minlength=1 << SPREAD_BITS).astype(np.int32)
 
 
+def fine(h: np.ndarray) -> np.ndarray:
+    """Counts cut at 127, which brings two sets no farther apart."""
+    return np.minimum(127, np.bincount((h >> np.uint64(64 - FINE_BITS)).astype(np.int64), minlength=1 << FINE_BITS)).astype(np.int8)
+
+
 def _close(n1, n2, spread1, spread2, percent: int):
     """Whether sizes and spreads allow a link.
 
     The spreads differ by no more than the sets do; linked sets differ in at most
     (100 - t) / (100 + t) of their summed sizes.
     """
-    apart = F.aggregate(F.zip_with(spread1, spread2, lambda a, b: F.abs(a - b)), F.lit(0), lambda s, x: s + x)
+    apart = F.aggregate(F.zip_with(spread1, spread2, lambda a, b: F.abs(a.cast("int") - b.cast("int"))), F.lit(0), lambda s, x: s + x)
     return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & ((100 + percent) * apart.cast("long") <= (100 - percent) * (n1 + n2))
 
 
@@ -238,11 +264,15 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int =
     return map_batches(two.select("a", "b", "text_a", "text_b"), run, "a long, b long, both long, any long")
 
 
-def _share_prefixes(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """Pairs that also share a prefix token under the second and the third order."""
-    side = lambda c: sig.select(F.col("doc_id").alias(c), F.col("second").alias(f"second_{c}"), F.col("third").alias(f"third_{c}"))
+def _share_prefixes(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+    """Pairs that also share a prefix token under the second and the third order, and are close."""
+    pairs = written(pairs, "candidates")
+    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    near = sig.join(small(ids, 1_000_000), "doc_id", "left_semi")
+    side = lambda c: near.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "second", "third", "fine")])
     both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    close = _close(F.col("n_a"), F.col("n_b"), F.col("fine_a"), F.col("fine_b"), percent)
+    return both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b") & close).select("a", "b")
 
 
 def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -252,6 +282,7 @@ def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PER
     bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], rows.bit_length() + 1))
     sig = written(signatures(docs, frequency_sketch(docs, bits, words), words, percent), "signatures")
     reps = sig.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
+    reps = written(reps, "reps")  # so that the join deals both sides anew and can split a hot set
     member = written(
         sig.select("doc_id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")),
         "members",
@@ -262,10 +293,8 @@ def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PER
     release(spark)
     head = Window.partitionBy("token").orderBy(F.desc("weight"), "d")
     stars = written(lists.withColumn("pivot", F.first("d").over(head)).select("token", "d", "n", "pivot"), "stars")
-    side = lambda c: own.select(F.col("doc_id").alias(c), F.col("n").alias(f"n_{c}"), F.col("spread").alias(f"spread_{c}"))
     first = stars.where(F.col("d") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct()
-    first = first.join(side("b"), "b").join(side("a"), "a").where(_close(F.col("n_a"), F.col("n_b"), F.col("spread_a"), F.col("spread_b"), percent)).select("a", "b")
-    first = written(_share_prefixes(first, own), "pairs")
+    first = written(_share_prefixes(first, own, percent), "pairs")
     release(spark)
     known = written(verify(first, docs, words, percent), "verified")
     release(spark)
@@ -292,7 +321,7 @@ def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PER
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
-    second = written(_share_prefixes(pairs, own), "pairs")
+    second = written(_share_prefixes(pairs, own, percent), "pairs")
     more = verify(second, docs, words, percent).where(linked).select("a", "b")
     return member, written(links.union(more), "links")
 
