@@ -53,10 +53,13 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def written(df: DataFrame, kind: str) -> DataFrame:
-    """Cut the lineage: df as a Parquet table in the shared folder, read again."""
+    """Cut the lineage: df as a Parquet table in the shared folder, read again.
+
+    zstd works in heap buffers; snappy's direct buffers pile up over many small files.
+    """
     spark = df.sparkSession
     path = new_path(spark, kind)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
