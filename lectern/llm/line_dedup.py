@@ -111,6 +111,8 @@ def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = written(chunk_table(docs, True, min_words).join(small(hashes), ["h1", "h2"]), "chunks")
     release(docs.sparkSession)
     groups = found.groupBy("h1", "h2", "body").agg(F.min("doc_id").alias("first_doc"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    # written, so that the join deals both sides anew and can split the rows of a hot chunk
+    groups = written(groups, "chunkgroups")
     first = F.when(F.col("nulls") > 0, F.lit(None)).otherwise(F.col("first_doc"))
     judged = found.join(groups, ["h1", "h2", "body"]).where(F.col("again") | ~F.col("doc_id").eqNullSafe(first))
     return judged.select("doc_id", "text_hash", "chunk").distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("chunk").alias("drop"))
