@@ -265,14 +265,22 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int =
 
 
 def _share_prefixes(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
-    """Pairs that also share a prefix token under the second and the third order, and are close."""
+    """Pairs that are close and also share a prefix token under the second and the third order.
+
+    The short counts are compared first, so that prefixes travel for few pairs only.
+    """
     pairs = written(pairs, "candidates")
+    close = written(_beside(pairs, sig, ["n", "fine"]).where(_close(F.col("n_a"), F.col("n_b"), F.col("fine_a"), F.col("fine_b"), percent)).select("a", "b"), "close")
+    both = _beside(close, sig, ["second", "third"])
+    return both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+
+
+def _beside(pairs: DataFrame, sig: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs with columns of both documents, of which only those in a pair are shuffled."""
     ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
     near = sig.join(small(ids, 1_000_000), "doc_id", "left_semi")
-    side = lambda c: near.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "second", "third", "fine")])
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    close = _close(F.col("n_a"), F.col("n_b"), F.col("fine_a"), F.col("fine_b"), percent)
-    return both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b") & close).select("a", "b")
+    side = lambda c: near.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
+    return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
 def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -310,14 +318,15 @@ def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PER
         .withColumns({"root": F.coalesce("root", "d"), "main": F.coalesce("main", "pivot")})
     )
     open_ = placed.where("root <> main").select("token").distinct()
-    left = placed.join(open_, "token", "left_semi").join(apart, ["pivot", "d"], "left").join(own.select(F.col("doc_id").alias("d"), "spread"), "d")
+    left = placed.join(open_, "token", "left_semi").join(apart, ["pivot", "d"], "left").join(own.select(F.col("doc_id").alias("d"), "spread", "fine"), "d")
     left = written(left.withColumn("apart", F.when(F.col("d") == F.col("pivot"), 0.0).otherwise(F.col("apart"))), "open")
-    x = left.where("root <> main").select("token", F.col("d").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("apart").alias("xa"), F.col("spread").alias("xs"))
-    y = left.select("token", F.col("d").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), F.col("apart").alias("ya"), F.col("spread").alias("ys"), "pivot", (F.col("root") == F.col("main")).alias("inner"))
+    x = left.where("root <> main").select("token", F.col("d").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("apart").alias("xa"), F.col("spread").alias("xs"), F.col("fine").alias("xf"))
+    y = left.select("token", F.col("d").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), F.col("apart").alias("ya"), F.col("spread").alias("ys"), F.col("fine").alias("yf"), "pivot", (F.col("root") == F.col("main")).alias("inner"))
     far = F.coalesce(F.abs(F.col("xa") - F.col("ya")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    near = _close(F.col("xn"), F.col("yn"), F.col("xs"), F.col("ys"), percent) & _close(F.col("xn"), F.col("yn"), F.col("xf"), F.col("yf"), percent)
     pairs = (
         x.join(y, "token")
-        .where((F.col("xr") != F.col("yr")) & (F.col("inner") | (F.col("x") < F.col("y"))) & (F.col("y") != F.col("pivot")) & far & _close(F.col("xn"), F.col("yn"), F.col("xs"), F.col("ys"), percent))
+        .where((F.col("xr") != F.col("yr")) & (F.col("inner") | (F.col("x") < F.col("y"))) & (F.col("y") != F.col("pivot")) & far & near)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
