@@ -338,9 +338,9 @@ HITS = """hits AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label AS
   FROM embeddings q, embeddings c WHERE q.vec_id < 8), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, file, ordinal) AS INT) AS semantic_rank FROM hits QUALIFY semantic_rank <= 12)"""
 
 
-@register(f"WITH {HITS} SELECT query_id, chunk_id, file, ordinal, semantic_rank, round(distance, 6) AS distance FROM top")
+@register(f"WITH {HITS} SELECT query_id, chunk_id, file, ordinal, semantic_rank, abs(round(distance, 6)) AS distance FROM top")
 def vector_top_k(spark, sf_dir):
-    return retrieval.vector_top_k(*_vectors(spark, sf_dir)).select("query_id", "chunk_id", "file", "ordinal", "semantic_rank", F.round("distance", 6).alias("distance"))
+    return retrieval.vector_top_k(*_vectors(spark, sf_dir)).select("query_id", "chunk_id", "file", "ordinal", "semantic_rank", F.abs(F.round("distance", 6)).alias("distance"))
 
 
 @register(f"""WITH {HITS}, allc AS (SELECT query_id, file, ordinal, chunk_id, semantic_rank * 1000.0 AS o, false AS near, semantic_rank FROM top
