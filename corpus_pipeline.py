@@ -27,7 +27,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut repeated chunks of lines out of the texts; drop documents of which nothing is left."""
     out = line_dedup.line_dedup(docs)
-    emptied = (F.col("n_removed_chunks") > 0) & (F.length(F.trim("kept_text")) == 0)
+    emptied = (F.col("n_removed_chunks") > 0) & ~F.col("kept_text").rlike(r"\S")
     out = out.where(~F.coalesce(emptied, F.lit(False)))
     changed = F.col("n_removed_chunks") > 0
     return out.withColumns(

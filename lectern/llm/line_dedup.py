@@ -1,25 +1,31 @@
-"""Line dedup by content-defined chunks of lines.
-
-A document's lines are hashed, and a rolling hash over ``ROLL`` line hashes decides after
-which lines a chunk ends, so boundaries move with the text when lines are put in or taken
-out before them. A chunk has two lines or more (a document of one line is one chunk that
-is never removed). Chunks whose 128-bit hash occurs more than once in the corpus are
-gathered with their bytes, grouped by the bytes themselves, and of every group all but the
-first occurrence are removed: the one of the smallest doc_id, and in it the earliest.
+"""Line dedup by overlapping content-defined chunks of lines.
+
+At every line with words a chunk begins that ends with the first line at which it has two
+lines and ``MIN_WORDS`` words, and another one ends that reaches back as far; each line of
+``LONE_WORDS`` words is a chunk as well. So a chunk depends on its own lines only, and
+whatever stands before and after a repeated passage, its first chunk begins with its first
+line and its last one ends with its last line: every passage of two lines and ``MIN_WORDS``
+words is covered from its first to its last line with words. Chunks whose 128-bit hash
+occurs more than once in the corpus are gathered with their bytes, grouped by the bytes
+themselves, and of every group all but the first occurrence are repeated: the one of the
+smallest doc_id, and in it the earliest. Lines of repeated chunks are removed. A line's
+first occurrence in the corpus is in no repeated chunk, so one copy of every line stays.
 
 Passes over the text: hashes only; bytes of candidate chunks; rebuilding. Only hashes and
 candidates are shuffled; decisions reach the documents by a broadcast of proven size, or by
 a join when there are too many.
 
-Edge cases: null text has no lines and stays null; chunks of fewer than ``MIN_WORDS`` words
-are left alone (blank lines, short refrains); rows with the same doc_id and text share
-their decisions; rows with a null doc_id come first; an empty table gives an empty result;
-extra columns pass through.
+Edge cases: null text has no lines and stays null; passages of fewer than ``MIN_WORDS`` words
+are left alone (blank lines, short refrains), and so are blank lines at the ends of a
+passage and single lines of fewer than ``LONE_WORDS`` words; rows with the same doc_id and
+text share their decisions; rows with a null doc_id come first; an empty table gives an
+empty result; extra columns pass through.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import xxhash
@@ -29,14 +35,19 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lectern.llm.common import map_batches, release, small, written
 
-#: Line hashes under the rolling hash, and one boundary in so many lines on average.
+#: Line hashes under the rolling hash, and one boundary in so many lines on average (chunk_ends only).
 ROLL, EVERY = 2, 3
 MIN_WORDS = 8
+#: A line of so many words is a chunk by itself.
+LONE_WORDS = 50
 _MASK = (1 << 64) - 1
 
 
 def chunk_ends(hashes: list[int], roll: int = ROLL, every: int = EVERY) -> list[int]:
-    """Ends (exclusive) of the chunks of a document with these line hashes."""
+    """Ends (exclusive) of the sparse chunks of a document with these line hashes.
+
+    line_dedup compares the denser chunks of spans_of; only tests call this one and is_candidate.
+    """
     n, ends, last, rolling = len(hashes), [], 0, 0
     power = pow(0x9E3779B97F4A7C15, roll, 1 << 64)
     for i, h in enumerate(hashes):
@@ -50,17 +61,41 @@ def chunk_ends(hashes: list[int], roll: int = ROLL, every: int = EVERY) -> list[
 
 
 def chunks_of(data: bytes) -> list[tuple[int, int, bytes]]:
-    """(first line, end line, bytes with inner line feeds) of each chunk."""
-    lines = data.split(b"\n")
-    out, at = [], 0
-    for end in chunk_ends([xxhash.xxh3_64_intdigest(x) for x in lines]):
-        out.append((at, end, b"\n".join(lines[at:end])))
-        at = end
-    return out
+    """(line, line + 1, bytes) of each line: the smallest pieces, of which texts are rebuilt."""
+    return [(k, k + 1, line) for k, line in enumerate(data.split(b"\n"))]
 
 
 def is_candidate(first: int, end: int, body: bytes, min_words: int) -> bool:
-    return end - first >= 2 and len(body.split(None, min_words)) >= min_words
+    return end > first and len(body.split(None, min_words)) >= min_words
+
+
+def spans_of(lines: list[bytes], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
+    """(first line, end line) of each chunk that is compared, in order; chunks overlap.
+
+    Blank lines begin and end no chunk, so no line is in more than 2 * max(min_words, 2) + 1 chunks.
+    """
+    enough = max(min_words, LONE_WORDS)
+    worded = [(k, n) for k, line in enumerate(lines) if (n := len(line.split(None, enough)))]
+    out = {(k, k + 1) for k, n in worded if n >= LONE_WORDS}
+    for way in (worded, worded[::-1]):
+        size = last = 0
+        for at, (k, n) in enumerate(way):
+            while last < len(way) and (size < min_words or last - at < 2):
+                size += way[last][1]
+                last += 1
+            if size < min_words or last - at < 2:
+                break
+            out.add((min(k, way[last - 1][0]), max(k, way[last - 1][0]) + 1))
+            size -= n
+    return sorted(out)
+
+
+def compared(data: bytes, min_words: int = MIN_WORDS) -> Iterator[tuple[int, bytes]]:
+    """(number, bytes with inner line feeds) of each chunk that is compared."""
+    lines = data.split(b"\n")
+    starts = [0, *accumulate(len(line) + 1 for line in lines)]
+    for k, (first, end) in enumerate(spans_of(lines, min_words)):
+        yield k, data[starts[first] : starts[end] - 1]
 
 
 def _signed(x: int) -> int:
@@ -78,14 +113,13 @@ def chunk_table(docs: DataFrame, with_body: bool, min_words: int = MIN_WORDS) ->
                 if not t.is_valid:
                     continue
                 seen: set[bytes] = set()
-                for k, (first, end, body) in enumerate(chunks_of(t.as_py().encode())):
-                    if not is_candidate(first, end, body, min_words):
-                        continue
+                for k, body in compared(t.as_py().encode(), min_words):
                     h = xxhash.xxh3_128_intdigest(body)
                     row = (doc_id, th, k, body in seen, _signed(h >> 64), _signed(h & _MASK))
                     rows.append((*row, body) if with_body else row)
-                    seen.add(body)
-                    size += len(body)
+                    if with_body:
+                        seen.add(body)
+                        size += len(body)
                 if size > 4 << 20:
                     yield _batch(rows, kinds)
                     rows, size = [], 0
@@ -137,10 +171,10 @@ def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             for t, drop in zip(batch.column("text"), batch.column("__drop").to_pylist()):
                 data = t.as_py().encode() if t.is_valid else None
                 parts = chunks_of(data) if data is not None else []
-                gone = set(drop or ())
-                kept.append(b"\n".join([b for k, (_, _, b) in enumerate(parts) if k not in gone]).decode() if data is not None else None)
-                lost = sum(e - a for k, (a, e, _) in enumerate(parts) if k in gone)
-                for col, x in zip(stats, (parts[-1][1] if parts else 0, len(parts), len(gone), lost)):
+                spans = spans_of([b for _, _, b in parts], min_words)
+                gone = {line for k in drop or () for line in range(*spans[k])}
+                kept.append(b"\n".join([b for k, _, b in parts if k not in gone]).decode() if data is not None else None)
+                for col, x in zip(stats, (len(parts), len(spans), len(drop or ()), len(gone))):
                     col.append(x)
             cols = [batch.column(n) for n in batch.schema.names if n != "__drop"]
             names = [n for n in batch.schema.names if n != "__drop"]

@@ -165,6 +165,58 @@ def test_boundaries_resist_shifts():
     assert len(a & b) >= len(a) - 8
 
 
+def repeated_lines(docs, min_words=line_dedup.MIN_WORDS):
+    """Lines to remove by brute force: of every line run of any length, all but its first occurrence."""
+    first, gone = {}, {d: set() for d, _ in docs}
+    for d, t in docs:
+        lines = t.split("\n")
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = lines[a:b]
+                if not run[0].split() or not run[-1].split():
+                    continue
+                if len(" ".join(run).split()) < (line_dedup.LONE_WORDS if b == a + 1 else min_words):
+                    continue
+                if first.setdefault(tuple(run), (d, a)) != (d, a):
+                    gone[d].update(range(a, b))
+    return gone
+
+
+def test_line_dedup_removes_short_passages_whole(spark):
+    rng, docs, shared = random.Random(3), [], {}
+    own = lambda d: [f"own {d} {rng.random()} " + "w " * rng.choice([0, 1, 9, 60]) for _ in range(rng.randrange(1, 6))]
+    passages = [[f"passage {p} line {k} " + "word " * max(rng.choice([0, 2, 20]), 60 // n) for k in range(n)] for p, n in enumerate([2, 3, 4, 5] * 4)]
+    passages += [[f"p{p} {k}" for k in range(5)] for p in range(4)] + [["a heading", "and a longer line of many words after it", "", "end"]]
+    for d in range(80):
+        p = passages[d % len(passages)]
+        head, tail = own(d), own(d)
+        docs.append((d, "\n".join([*head, *p, *tail])))
+        shared[d] = set(range(len(head), len(head) + len(p))) if d >= len(passages) else set()
+    lone = "alone " + "word " * 60
+    docs += [(80, f"before it\n{lone}\nafter it"), (81, f"other\n{lone}\nmore"), (82, "x\nshort line\ny"), (83, "z\nshort line\nv"), (84, "a b c d\ne f g h\n" * 4)]
+    want = repeated_lines(docs)
+    assert all(want[d] == lines for d, lines in shared.items())
+    assert (want[81], want[83], want[84]) == ({1}, set(), set(range(2, 8)))
+    got = {r.doc_id: r for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, t in docs:
+        assert got[d].kept_text == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[d])
+        assert got[d].n_removed_lines == len(want[d])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["", "a", "b c d", "e f g h i", "j k l m n o p q r"]), min_size=1, max_size=9), max_size=5))
+def test_chunks_cover_every_repeated_run(texts):
+    docs, seen, got = [(d, "\n".join(x)) for d, x in enumerate(texts)], set(), {}
+    for d, t in docs:
+        got[d] = set()
+        spans = line_dedup.spans_of([x.encode() for x in t.split("\n")])
+        for k, body in line_dedup.compared(t.encode()):
+            if body in seen:
+                got[d].update(range(*spans[k]))
+            seen.add(body)
+    assert got == repeated_lines(docs)
+
+
 # -- quality --------------------------------------------------------------------------------
 
 
