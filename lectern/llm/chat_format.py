@@ -13,9 +13,13 @@ backslashes at that place are kept by adding one more, so removing one restores
 A role's line feeds are written as a control string of their own.
 
 Edge cases: a null text or role is an empty string; a node whose parent is missing is a
-root; nodes on a cycle reach no root and belong to no path; a null score counts as 0; ties
-in score are broken by leaf id; an empty table gives an empty result; extra columns are
-ignored. A formatted conversation is one row, so one conversation must fit into a row.
+root; nodes on a cycle, or below one, reach no root and belong to no path; rows with a null
+tree form a tree of their own; node ids must be given and unique in their tree. A linear
+conversation gets such ids from chain_parents: its rows are ordered by turn, null turns
+last, then by role and text, and a repeated turn is one more message. A null score counts
+as 0; ties in score are broken by leaf id; an empty table gives an empty result; extra
+columns are ignored. A formatted conversation is one row, so one conversation must fit into
+a row.
 """
 
 from __future__ import annotations
@@ -39,16 +43,28 @@ def unescape(c: Column) -> Column:
     return F.regexp_replace(c, GUARDED, "$1$2")
 
 
-def chain_parents(messages: DataFrame, tree: str, order: str) -> DataFrame:
-    """Linear conversations as trees: each message answers the one before it."""
-    w = Window.partitionBy(tree).orderBy(order)
-    return messages.withColumn("parent", F.lag(order).over(w))
+def chain_parents(messages: DataFrame, tree: str, order: str, ties: tuple[str, ...] = ("role", "text")) -> DataFrame:
+    """Linear conversations as trees: adds node, a message's place, and parent, the place before it."""
+    w = Window.partitionBy(tree).orderBy(F.asc_nulls_last(order), *ties)
+    placed = messages.withColumn("node", F.row_number().over(w).cast("long"))
+    return placed.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1))
+
+
+def _tree_key(tree: str) -> Column:
+    """Joins match a struct that holds a null, unlike a null."""
+    return F.struct(F.col(tree).alias("id")).alias("tree")
 
 
 def root_to_leaf_paths(messages: DataFrame, tree: str = "tree", node: str = "node", parent: str = "parent") -> DataFrame:
     """(tree, leaf, node, up): every node of every root-to-leaf path, up = steps above the leaf."""
+    paths = _paths(messages.select(_tree_key(tree), F.col(node).alias("node"), F.col(parent).alias("parent")))
+    return paths.withColumn("tree", F.col("tree.id"))
+
+
+def _paths(messages: DataFrame) -> DataFrame:
+    """root_to_leaf_paths of (tree key, node, parent), with the tree's key."""
     shared_dir(messages.sparkSession)
-    ids = messages.select(F.col(tree).alias("tree"), F.col(node).alias("node"), F.col(parent).alias("parent")).distinct()
+    ids = messages.distinct()
     known = ids.select("tree", F.col("node").alias("parent")).distinct().withColumn("there", F.lit(True))
     jump = ids.join(known, ["tree", "parent"], "left").select(
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("to")
@@ -56,12 +72,11 @@ def root_to_leaf_paths(messages: DataFrame, tree: str = "tree", node: str = "nod
     inner = jump.where("to is not null").select("tree", F.col("to").alias("node")).distinct()
     leaves = jump.join(inner, ["tree", "node"], "left_anti")
     paths = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("up")).checkpoint()
-    reach, limit, done = 1, max(2, jump.count()), False
-    while not done and reach <= 2 * limit:
-        step = jump.where("to is not null")
-        done = step.isEmpty()
-        if done:
-            break
+    # no path is longer than the largest tree
+    reach, limit = 1, jump.groupBy("tree").count().agg(F.max("count")).first()[0] or 0
+    while not (step := jump.where("to is not null")).isEmpty():
+        if reach > limit:  # what still leads on leads into a cycle
+            return paths.join(step.select("tree", F.col("node").alias("leaf")), ["tree", "leaf"], "left_anti")
         more = paths.join(step, ["tree", "node"]).select("tree", "leaf", F.col("to").alias("node"), (F.col("up") + reach).alias("up"))
         paths = paths.unionByName(more).checkpoint()
         far = step.select("tree", F.col("node").alias("to"), F.col("to").alias("farther"))
@@ -88,13 +103,13 @@ def format_conversations(
     """
     value = F.coalesce(F.col(score).cast("double"), F.lit(0.0)) if score else F.lit(0.0)
     own = messages.select(
-        F.col(tree).alias("tree"),
+        _tree_key(tree),
         F.col(node).alias("node"),
         F.coalesce(F.col(role), F.lit("")).alias("role"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
         value.alias("score"),
     )
-    paths = root_to_leaf_paths(messages, tree, node, parent)
+    paths = _paths(messages.select(_tree_key(tree), F.col(node).alias("node"), F.col(parent).alias("parent")))
     chosen = paths
     if branches is not None:
         scored = paths.join(own, ["tree", "node"]).groupBy("tree", "leaf").agg(F.avg("score").alias("branch_score"))
@@ -138,7 +153,7 @@ def format_conversations(
     )
     rank = Window.partitionBy("tree").orderBy(F.desc("branch_score"), "leaf")
     return joined.select(
-        "tree", "leaf", F.row_number().over(rank).alias("branch_rank"), "branch_score", "formatted", begun.spans.alias("loss_spans")
+        F.col("tree.id").alias("tree"), "leaf", F.row_number().over(rank).alias("branch_rank"), "branch_score", "formatted", begun.spans.alias("loss_spans")
     )
 
 
@@ -166,7 +181,7 @@ def conversation_digest(conversations: DataFrame) -> DataFrame:
         F.lit("</s>[INST] ok [/INST]").alias("text"),
     )
     rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").unionByName(extra)
-    out = format_conversations(chain_parents(rows, "conv_id", "turn"), "conv_id", "turn")
+    out = format_conversations(chain_parents(rows, "conv_id", "turn"), "conv_id")
     back = out.select("tree", "formatted", "loss_spans", read_back(F.col("formatted")).alias("turns"))
     spelled = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     learned = F.array_join(

@@ -117,6 +117,27 @@ def test_conversations_read_back(spark):
     assert chat_format.conversation_digest(d.limit(0)).count() == 1
 
 
+def test_repeated_and_null_turns(spark):
+    turns = {1: [0, 1, 1], 2: [0, 1, 1, 2, 3], 3: [0, 0], 4: [0, None, 1, None], 5: [None], None: [0, 1, None, 1], 6: [2, 2, 2]}
+    rows = [(c, t, ["user", "assistant"][k % 2], f"text {c} {k}") for c, ts in turns.items() for k, t in enumerate(ts)] + [(7, 0, "user", "same")] * 2
+    d = spark.createDataFrame(random.Random(1).sample(rows, len(rows)), "conv_id long, turn long, role string, text string")
+    found = chat_format.conversation_digest(d).collect()
+    got = {r.conv_id: r for r in found}
+    assert len(found) == len(got) and set(got) == {-7, 7, *turns}
+    for c in (*turns, 7):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is None, r[1] or 0, r[2], r[3]))
+        loss = "".join(r[3] for r in own if r[2] == "assistant")
+        assert got[c].n_turns == len(own)
+        assert got[c].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in own).encode()).hexdigest()
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
+def test_leaves_below_a_cycle_have_no_path(spark):
+    tree = [("t", 1, 1), ("t", 2, 1), ("t", 3, 2), (None, 1, None), (None, 2, 1), ("u", 1, 2), ("u", 2, 1), ("u", 3, 2), ("u", 4, None)]
+    d = spark.createDataFrame(tree, "tree string, node long, parent long")
+    assert {tuple(r) for r in chat_format.root_to_leaf_paths(d).collect()} == {(None, 2, 2, 0), (None, 2, 1, 1), ("u", 4, 4, 0)}
+
+
 def test_branches_of_a_tree(spark):
     tree = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "good", 9.0), ("t", 3, 1, "assistant", "bad", 1.0), ("t", 4, 3, "user", "why", 1.0), ("t", 8, 9, "user", "loop", 0.0), ("t", 9, 8, "user", "loop", 0.0), ("u", 1, 77, "user", "orphan", None)]
     d = spark.createDataFrame(tree, "tree string, node long, parent long, role string, text string, score double")
