@@ -180,7 +180,18 @@ def run_progress(spark, sf_dir):
 count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'COMPLETED') AS completed,
 coalesce(string_agg(message, ',' ORDER BY id) FILTER (state = 'FAILED'), '') AS errors, false AS all_completed FROM items WHERE id % 40 = 1 GROUP BY ALL""")
 def item_summary(spark, sf_dir):
-    i = _items(spark, sf_dir).where("id % 40 = 1").withColumnsRenamed({"id": "ordinal", "message": "error"})
+    return _item_summary(_items(spark, sf_dir).where("id % 40 = 1"))
+
+
+@register(f"""WITH {ITEMS} SELECT blind_id, count(*) FILTER (state = 'RUNNING') AS running, count(*) FILTER (state = 'FAILED') AS failed,
+count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'COMPLETED') AS completed,
+coalesce(string_agg(message, ',' ORDER BY id) FILTER (state = 'FAILED'), '') AS errors, false AS all_completed FROM items GROUP BY ALL""")
+def item_summary_all(spark, sf_dir):
+    return _item_summary(_items(spark, sf_dir))
+
+
+def _item_summary(items):
+    i = items.withColumnsRenamed({"id": "ordinal", "message": "error"})
     return details.item_summary(i, "blind_id").withColumn("errors", F.array_join("errors", ","))
 
 
@@ -262,7 +273,7 @@ def mcnemar(spark, sf_dir):
 def paired_bootstrap(spark, sf_dir):
     ship(spark)
     p = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return statistics.paired_bootstrap(p.select("lang", F.col("quality").alias("a"), F.col("toxic").alias("b")), "lang", samples=2000)
+    return statistics.paired_bootstrap(p.select("lang", F.col("quality").alias("a"), F.col("toxic").alias("b")), "lang")
 
 
 @register("""SELECT o_custkey % 50 AS grp, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS "n_F", count(*) FILTER (o_orderstatus = 'O') AS "n_O", count(*) FILTER (o_orderstatus = 'P') AS "n_P",

@@ -81,7 +81,16 @@ def once_only(spark, sf_dir):
 
 @register(f"WITH {EVENTS}, l AS (SELECT DISTINCT o_orderpriority AS provider_key, o_custkey % 30 AS run_id FROM orders) SELECT event_id, run_id FROM ev JOIN l ON l.provider_key = CASE WHEN event_id % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END WHERE event_type = 'PROVIDER_COOLDOWN' AND event_id % 10 < 3")
 def fan_out(spark, sf_dir):
-    e = events(spark, sf_dir).where("event_type = 'PROVIDER_COOLDOWN' and event_id % 10 < 3").withColumn("provider_key", F.when(F.col("event_id") % 2 == 0, "1-URGENT").otherwise("5-LOW"))
+    return _fan_out(spark, sf_dir, "event_id % 10 < 3")
+
+
+@register(f"WITH {EVENTS}, l AS (SELECT DISTINCT o_orderpriority AS provider_key, o_custkey % 30 AS run_id FROM orders) SELECT event_id, run_id FROM ev JOIN l ON l.provider_key = CASE WHEN event_id % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END WHERE event_type = 'PROVIDER_COOLDOWN'")
+def fan_out_all(spark, sf_dir):
+    return _fan_out(spark, sf_dir, "true")
+
+
+def _fan_out(spark, sf_dir, chosen):
+    e = events(spark, sf_dir).where("event_type = 'PROVIDER_COOLDOWN'").where(chosen).withColumn("provider_key", F.when(F.col("event_id") % 2 == 0, "1-URGENT").otherwise("5-LOW"))
     lanes = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("provider_key"), (F.col("o_custkey") % 30).alias("run_id"))
     return ev.fan_out(e, lanes).select("event_id", "run_id")
 

@@ -78,8 +78,17 @@ def approved_only(spark, sf_dir):
 
 @register("""SELECT h.vec_id AS anchor, CAST(e.vec_id AS INT) AS ordinal, e.label AS grp FROM embeddings h JOIN embeddings e ON e.label = h.label AND e.vec_id BETWEEN greatest(1, h.vec_id - 15) AND h.vec_id - 1 WHERE h.vec_id % 10 = 3""")
 def preceding_rows(spark, sf_dir):
+    return _preceding_rows(spark, sf_dir, "ordinal % 10 = 3")
+
+
+@register("SELECT h.vec_id AS anchor, CAST(e.vec_id AS INT) AS ordinal, e.label AS grp FROM embeddings h JOIN embeddings e ON e.label = h.label AND e.vec_id BETWEEN greatest(1, h.vec_id - 15) AND h.vec_id - 1")
+def preceding_rows_all(spark, sf_dir):
+    return _preceding_rows(spark, sf_dir, "true")
+
+
+def _preceding_rows(spark, sf_dir, anchors):
     e = t(spark, sf_dir, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").cast("int").alias("ordinal"))
-    hits = e.where("ordinal % 10 = 3").withColumn("anchor", F.col("ordinal").cast("long"))
+    hits = e.where(anchors).withColumn("anchor", F.col("ordinal").cast("long"))
     return rel.preceding_neighbours(hits, e, "grp", "ordinal", 15).select("anchor", "ordinal", "grp")
 
 
@@ -108,8 +117,17 @@ w AS (SELECT k, k AS here, 0 AS hops FROM p UNION ALL SELECT w.k, p.p, w.hops +
 SELECT k AS c_custkey, CASE WHEN here < 10000000 THEN here END AS root, CAST(hops AS BIGINT) AS hops, CASE WHEN here = 10000000 OR here NOT IN (SELECT k FROM p) THEN 'DANGLING' WHEN hops = 0 THEN 'ROOT' ELSE 'RESOLVED' END AS state
 FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY hops DESC) = 1""")
 def pointer_chains(spark, sf_dir):
+    return _pointer_chains(t(spark, sf_dir, "customer").where("c_custkey <= 1000"))
+
+
+@register()
+def pointer_chains_all(spark, sf_dir):
+    """Too slow in SQL; a test holds it against brute force."""
+    return _pointer_chains(t(spark, sf_dir, "customer"))
+
+
+def _pointer_chains(c):
     k = F.col("c_custkey")
-    c = t(spark, sf_dir, "customer").where("c_custkey <= 1000")
     rows = c.select("c_custkey", F.when(k % 50 == 1, None).when(k % 50 == 0, F.lit(10_000_000)).otherwise(k - 1).alias("p"))
     return rel.follow_pointers(rows, "c_custkey", "p")
 

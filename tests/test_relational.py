@@ -95,3 +95,34 @@ def test_stream_resumes_from_checkpoint(spark, tmp_path):
         q.processAllAvailable()
         q.stop()
     assert seen == [[1, 2], [3]]
+
+
+def test_pointer_chains_of_the_whole_table(spark, tmp_path):
+    from lectern import catalog
+
+    n = 2600
+    spark.range(1, n + 1).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    want = {}
+    for k in range(1, n + 1):
+        here, hops = k, 0
+        while here <= n and here % 50 != 1:
+            here, hops = here - 1 if here % 50 else 10_000_000, hops + 1
+        want[k] = (None, "DANGLING") if here > n else (here, "RESOLVED" if hops else "ROOT"), hops
+    got = {r.c_custkey: ((r.root, r.state), r.hops) for r in catalog.queries()["pointer_chains_all"](spark, str(tmp_path)).collect()}
+    assert got == want
+
+
+def test_registered_bootstrap_uses_the_default_samples(spark, monkeypatch):
+    from lectern import catalog
+    from lectern.operators import statistics
+
+    seen = []
+    monkeypatch.setattr(statistics, "paired_bootstrap", lambda *a, **k: seen.append(k))
+    catalog.queries()["paired_bootstrap"](spark, "/root/testdata/sf0.001")
+    assert seen == [{}]
+
+
+def test_whole_table_queries_are_registered_with_sql():
+    from lectern import catalog
+
+    assert {"item_summary_all", "preceding_rows_all", "fan_out_all"} <= set(catalog.oracle_sql())
