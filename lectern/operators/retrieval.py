@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from lectern.operators.relational import preceding_neighbours
 
 #: Retrieval modes in canonical order.
 MODES = ["NONE", "VECTOR", "PIKE"]
-#: Query vectors are few; beyond this many the ranking is refused rather than broadcast.
+#: About so many query vectors are broadcast at once; more are ranked in blocks.
 MAX_QUERIES = 10_000
 
 
@@ -18,13 +20,19 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = 12, digits: int
     """The k nearest chunks of every query by cosine, exactly.
 
     queries: query_id, vector; chunks: chunk_id, file, ordinal, embedding. Distances rank
-    ascending with NULL (zero vectors) last, then by file and ordinal. The checked number of
-    queries is broadcast; chunks stream past it. Each task keeps its own k best before the
-    shuffle, so what is shuffled is queries x k x partitions.
+    ascending with NULL (zero vectors) last, then by file and ordinal. The queries are
+    counted and broadcast, above MAX_QUERIES in blocks of a hash of query_id; chunks stream
+    past each block. Each task keeps its own k best before the shuffle, so what is shuffled
+    is queries x k x partitions.
     """
-    n = queries.limit(MAX_QUERIES + 1).count()
-    if n > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; rank them in blocks")
+    blocks = -(-queries.count() // MAX_QUERIES)
+    if blocks <= 1:
+        return _top_k_of_block(queries, chunks, k, digits)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [_top_k_of_block(queries.where(block == b), chunks, k, digits) for b in range(blocks)])
+
+
+def _top_k_of_block(queries: DataFrame, chunks: DataFrame, k: int, digits: int) -> DataFrame:
     scored = chunks.crossJoin(F.broadcast(queries.select("query_id", "vector"))).select(
         "query_id", "chunk_id", "file", "ordinal", F.round(1 - cosine_similarity(F.col("embedding"), F.col("vector")), digits).alias("distance")
     )

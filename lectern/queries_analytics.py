@@ -338,10 +338,10 @@ def score_completeness(spark, sf_dir):
     return scoring.incomplete_runs(p, "run_id")
 
 
-def _vectors(spark, sf_dir):
+def _vectors(spark, sf_dir, chosen="vec_id < 8"):
     e = t(spark, sf_dir, "embeddings")
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("file"), F.col("vec_id").cast("int").alias("ordinal"), "embedding")
-    return e.where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), chunks
+    return e.where(chosen).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), chunks
 
 
 HITS = """hits AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label AS file, CAST(c.vec_id AS INT) AS ordinal,
@@ -351,18 +351,40 @@ HITS = """hits AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label AS
 
 @register(f"WITH {HITS} SELECT query_id, chunk_id, file, ordinal, semantic_rank, abs(round(distance, 6)) AS distance FROM top")
 def vector_top_k(spark, sf_dir):
-    return retrieval.vector_top_k(*_vectors(spark, sf_dir)).select("query_id", "chunk_id", "file", "ordinal", "semantic_rank", F.abs(F.round("distance", 6)).alias("distance"))
+    return _top_k(*_vectors(spark, sf_dir))
+
+
+def _top_k(q, c):
+    return retrieval.vector_top_k(q, c).select("query_id", "chunk_id", "file", "ordinal", "semantic_rank", F.abs(F.round("distance", 6)).alias("distance"))
 
 
 @register(f"""WITH {HITS}, allc AS (SELECT query_id, file, ordinal, chunk_id, semantic_rank * 1000.0 AS o, false AS near, semantic_rank FROM top
   UNION ALL SELECT t.query_id, t.file, CAST(e.vec_id AS INT), e.vec_id, t.semantic_rank * 1000.0 - (t.ordinal - e.vec_id), true, t.semantic_rank FROM top t JOIN embeddings e ON e.label = t.file AND e.vec_id BETWEEN greatest(1, t.ordinal - 20) AND t.ordinal - 1)
 SELECT query_id, chunk_id, file, ordinal, near AS is_neighbour, CAST(o AS DOUBLE) AS selection_order FROM allc QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY near, o, semantic_rank) = 1""")
 def vector_neighbours(spark, sf_dir):
-    q, c = _vectors(spark, sf_dir)
+    return _neighbours(*_vectors(spark, sf_dir))
+
+
+def _neighbours(q, c):
     out = retrieval.with_neighbours(retrieval.vector_top_k(q, c), c, window=20)
     return out.select("query_id", "chunk_id", "file", "ordinal", "is_neighbour", F.col("selection_order").cast("double").alias("selection_order"))
 
 
+HITS_100 = HITS.replace("q.vec_id < 8", "q.vec_id % 100 = 0")
+
+
+@register(f"WITH {HITS_100} SELECT query_id, chunk_id, file, ordinal, semantic_rank, abs(round(distance, 6)) AS distance FROM top")
+def vector_top_k_100(spark, sf_dir):
+    return _top_k(*_vectors(spark, sf_dir, "vec_id % 100 = 0"))
+
+
+@register(f"""WITH {HITS_100}, allc AS (SELECT query_id, file, ordinal, chunk_id, semantic_rank * 1000.0 AS o, false AS near, semantic_rank FROM top
+  UNION ALL SELECT t.query_id, t.file, CAST(e.vec_id AS INT), e.vec_id, t.semantic_rank * 1000.0 - (t.ordinal - e.vec_id), true, t.semantic_rank FROM top t JOIN embeddings e ON e.label = t.file AND e.vec_id BETWEEN greatest(1, t.ordinal - 20) AND t.ordinal - 1)
+SELECT query_id, chunk_id, file, ordinal, near AS is_neighbour, CAST(o AS DOUBLE) AS selection_order FROM allc QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY near, o, semantic_rank) = 1""")
+def vector_neighbours_100(spark, sf_dir):
+    return _neighbours(*_vectors(spark, sf_dir, "vec_id % 100 = 0"))
+
+
 @register("SELECT label, count(*) FILTER (CASE WHEN vec_id % 9 = 0 THEN NULL WHEN vec_id % 4 = 0 THEN 'old' ELSE 'new' END IS DISTINCT FROM 'new') AS mismatches, count(*) AS chunks FROM embeddings GROUP BY 1")
 def space_mismatches(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings").withColumn("space", F.when(F.col("vec_id") % 9 == 0, None).when(F.col("vec_id") % 4 == 0, "old").otherwise("new"))

@@ -125,3 +125,20 @@ def test_run_matrix_and_blind_ids(spark):
     m = spark.createDataFrame([("x", 2), ("y", 1)], "model_id string, position int")
     out = datasets.run_matrix(spark.range(2), m, spark.createDataFrame([("NONE",), ("PIKE",)], "mode string"))
     assert out.count() == 8 and {(r.model_id, r.blind_id) for r in out.collect()} == {("y", "M01"), ("x", "M02")}
+
+
+def test_more_queries_than_a_block_are_ranked_in_blocks(spark, monkeypatch):
+    rows = [(k, f"f{k % 3}", k, [float(k % 7), float(k % 5), 1.0]) for k in range(40)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, file string, ordinal int, embedding array<double>")
+    q = chunks.select(F.col("chunk_id").alias("query_id"), F.col("embedding").alias("vector"))
+    want = sorted(map(tuple, retrieval.vector_top_k(q, chunks, 4).collect()))
+    monkeypatch.setattr(retrieval, "MAX_QUERIES", 15)
+    assert sorted(map(tuple, retrieval.vector_top_k(q, chunks, 4).collect())) == want
+    assert len(want) == 160
+
+
+def test_registered_vector_queries_take_every_hundredth_id():
+    from lectern import catalog
+
+    for name in ("vector_top_k_100", "vector_neighbours_100"):
+        assert "q.vec_id % 100 = 0" in catalog.oracle_sql()[name]
