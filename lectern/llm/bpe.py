@@ -2,8 +2,9 @@
 
 Edge cases: null text counts as empty and has no ids; special strings inside a text become
 their special token, as the tokenizers library does by default; very long texts are cut
-into fragments before anything is encoded, so a merge never sees a whole text; extra
-columns pass through; an empty table gives an empty result.
+into fragments before anything is encoded, so a merge never sees a whole text; repeated rows
+and rows with a null key are encoded one by one; an empty table gives an empty result.
+A column that has the name of an added one (ids, decoded) is replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lectern.llm import fragments
-from lectern.llm.common import map_batches
+from lectern.llm.common import map_batches, without
 
 #: Text bytes that are turned into ids before a batch is handed on.
 OUT_BYTES = 4 << 20
@@ -38,6 +39,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = OUT_BYTES) -> Iterat
 def encode(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.json", path: str | None = None) -> DataFrame:
     """docs with the column ids array<int>."""
     path = path or public_tokenizers.path(vocabulary)
+    docs = without(docs, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = fragments.loaded(path)
@@ -58,6 +60,7 @@ def encode(docs: DataFrame, text: str = "text", vocabulary: str = "byte_bpe_50k.
 def decode(encoded: DataFrame, vocabulary: str = "byte_bpe_50k.json", path: str | None = None) -> DataFrame:
     """encoded with the column decoded: the text that its ids stand for."""
     path = path or public_tokenizers.path(vocabulary)
+    encoded = without(encoded, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = fragments.loaded(path)

@@ -63,11 +63,52 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Written tables of one operator, deleted as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, kind: str) -> DataFrame:
+        path = new_path(self.spark, kind)
+        df.write.option("compression", "zstd").parquet(path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Call it when all that was made from the tables is written itself."""
+        for path in self.paths:
+            _remove(self.spark, path)
+        self.paths = []
+
+
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores added to those that clash with a column (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names (in any case), which an operator is about to add."""
+    mine = {n.lower() for n in names}
+    return df.select(*[df[_quoted(c)] for c in df.columns if c.lower() not in mine])
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 #: Texts are long: batches of this size keep both sides of the exchange with Python small.
 BATCH_BYTES = "8m"
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow with small batches: the session's limit of bytes is lowered while it has its default."""
     spark = df.sparkSession
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":  # still the default
@@ -80,13 +121,25 @@ def crc32(col) -> F.Column:
     return F.crc32(F.coalesce(col, F.lit("")).cast("binary"))
 
 
-#: Rows of a narrow table (a few numbers each, some tens of MB) up to which it is broadcast.
-BROADCAST_ROWS = 300_000
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast if a count proves it small; else it joins by a shuffle."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+#: A table is broadcast up to so many bytes of values.
+BROADCAST_BYTES = 16 << 20
+_FIXED = {"boolean": 1, "tinyint": 1, "smallint": 2, "int": 4, "bigint": 8, "float": 4, "double": 8, "date": 4, "timestamp": 8}
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df, marked for broadcast if its measured bytes stay within the limit; else it joins by a shuffle."""
+    each, sums = 8, [F.count(F.lit(1))]
+    for name, kind in df.dtypes:
+        if kind in _FIXED:
+            each += _FIXED[kind]
+        elif kind.startswith("array<") and kind[6:-1] in _FIXED:
+            sums.append(_FIXED[kind[6:-1]] * F.sum(F.size(_quoted(name))))
+        elif kind in ("string", "binary"):
+            sums.append(F.sum(F.octet_length(_quoted(name))))
+        else:
+            return df
+    rows, *rest = df.agg(*[x.alias(f"x{k}") for k, x in enumerate(sums)]).first()
+    return F.broadcast(df) if rows * each + sum(x or 0 for x in rest) <= limit else df
 
 
 def release(spark: SparkSession) -> None:

@@ -6,16 +6,22 @@ longest stretch ending there that occurs in some item. A stretch of at least ``w
 words is a hit as a whole (every window inside it is a window of an item), as is an item
 shorter than the window that occurs entire. Work is linear in the words of a document.
 
-The automaton is broadcast in blocks of at most ``MAX_BLOCK_WORDS`` item words. Usually
-there is one block; with more, documents pass through the blocks one after the other and
-the hits of all blocks are merged, so any size of benchmark gives whole results.
+The automaton is broadcast in blocks of at most ``MAX_BLOCK_WORDS`` item words; an item with
+more words is dealt to several blocks that overlap by a window less one word, which hold the
+same windows. Usually there is one block; with more, documents pass through the blocks one
+after the other and the hits of all blocks are merged, so any size of benchmark gives whole
+results.
 
 Normalisation works on UTF-8 bytes: A-Z become a-z, every other ASCII character that is
 not a digit or letter separates words, all other bytes belong to words.
 
 Edge cases: null text has no words and stays null; null items and items without words are
-never found; repeated items all count; repeated documents get equal results; an empty
-benchmark leaves every document clean; extra columns pass through.
+never found; repeated items (ties) all count; repeated documents and rows with a null doc_id
+are treated one by one and get equal results; very long texts are streamed whole, in time
+linear in their words; an empty benchmark leaves every document clean, and an empty table
+gives an empty result. find_hits replaces columns that have the names of its own (n_words,
+hit_spans, hit_items); decontaminate returns all columns of docs as they are, but for text
+and n_chars.
 """
 
 from __future__ import annotations
@@ -27,14 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_batches, written
+from lectern.llm.common import free_names, map_batches, without, written
 from lectern.session import ship
 
 WINDOW = 10
-#: Item words in one broadcast automaton: about 400 bytes each, so some 400 MB at the most.
-MAX_BLOCK_WORDS = 1_000_000
+#: Item words in one broadcast automaton: about 400 bytes each in every Python worker, 100 MB at the most.
+MAX_BLOCK_WORDS = 250_000
 #: Spans of more words are removed; a document is dropped beyond this share of hit words.
-MAX_SPAN_WORDS, MAX_COVERAGE = 0, 0.5
+#: Items of one to four words are figures of speech rather than passages and stay.
+MAX_SPAN_WORDS, MAX_COVERAGE = 4, 0.5
+#: Columns that find_hits adds.
+NAMES = ("n_words", "hit_spans", "hit_items")
 
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -60,16 +69,21 @@ class SuffixAutomaton:
                 at = self._extend(at, w)
             ends.append(at)
         n = len(self.step)
-        #: items that contain the state's strings
-        owners: list[set[int]] = [set() for _ in range(n)]
+        by_length = sorted(range(1, n), key=self.length.__getitem__)
+        #: by state: the shortest state of its suffix chain that still holds a whole window
+        holder = [0] * n
+        for s in by_length:
+            if self.length[s] >= window:
+                up = self.link[s]
+                holder[s] = s if self.length[up] < window else holder[up]
+        #: items that contain the last ``window`` words of the state's strings, by holder
+        owners: dict[int, set[int]] = {}
         for k, (_, words) in enumerate(items):
             at = 0
             for w in words:
                 at = self.step[at][w]
-                up = at
-                while up > 0 and k not in owners[up]:
-                    owners[up].add(k)
-                    up = self.link[up]
+                if holder[at]:
+                    owners.setdefault(holder[at], set()).add(k)
         whole: dict[int, list[int]] = {}
         for k, (_, words) in enumerate(items):
             if 0 < len(words) < window:
@@ -80,10 +94,12 @@ class SuffixAutomaton:
         #: by state: items with the last ``window`` words; and (length, items) of short items that end here
         self.window_items: list[tuple[int, ...]] = [()] * n
         self.short: list[tuple[tuple[int, tuple[int, ...]], ...]] = [()] * n
-        for s in sorted(range(1, n), key=self.length.__getitem__):
+        for s in by_length:
             up = self.link[s]
-            if self.length[s] >= window:
-                self.window_items[s] = tuple(owners[s]) if self.length[up] < window else self.window_items[up]
+            if holder[s] == s:
+                self.window_items[s] = tuple(owners.get(s, ()))
+            elif holder[s]:
+                self.window_items[s] = self.window_items[holder[s]]
             here = ((self.length[s], tuple(whole[s])),) if s in whole else ()
             self.short[s] = here + self.short[up]
 
@@ -152,31 +168,36 @@ class SuffixAutomaton:
         return spans, found
 
 
-def _blocks(benchmark: DataFrame, max_words: int) -> Iterator[tuple[list[tuple[object, list[bytes]]], bool]]:
-    """(items, whether it is the last) in blocks of bounded size, read one at a time."""
+def _blocks(benchmark: DataFrame, window: int, max_words: int) -> Iterator[list[tuple[object, list[bytes]]]]:
+    """Items in blocks of at most ``max_words`` words, streamed to the driver one block at a time."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
-    total = rows.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, -(-total // (6 * max_words)))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        items = sorted((r.item_id, words_of(r.text.encode())) for r in part.toLocalIterator())
-        yield [x for x in items if x[1]], k + 1 == n
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_BLOCK_WORDS) -> DataFrame:
-    """docs with n_words, hit_spans (array of [start, end) words) and hit_items (sorted ids)."""
+    held: list[tuple[object, list[bytes]]] = []
+    size, most = 0, max(max_words, window)
+    for r in rows.toLocalIterator():
+        words = words_of(r.text.encode())
+        for at in range(0, max(len(words) - window + 1, min(1, len(words))), most - window + 1):
+            part = words[at : at + most]
+            if held and size + len(part) > most:
+                yield held
+                held, size = [], 0
+            held.append((r.item_id, part))
+            size += len(part)
+    yield held
+
+
+def find_hits(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_words: int = MAX_BLOCK_WORDS, names: tuple[str, str, str] = NAMES
+) -> DataFrame:
+    """docs with n_words, hit_spans (array of [start, end) words) and hit_items (sorted ids), or ``names``."""
     spark = docs.sparkSession
-    out = docs.withColumns(
-        {
-            "n_words": F.lit(0).cast("long"),
-            "hit_spans": F.array().cast("array<struct<start:long,end:long>>"),
-            "hit_items": F.array().cast("array<string>"),
-        }
-    )
-    for items, last in _blocks(benchmark, max_words):
-        shared = spark.sparkContext.broadcast((items, window))
-        out = map_batches(out, _matcher(shared), out.schema)
-        if not last:
+    empty = (F.lit(0).cast("long"), F.array().cast("array<struct<start:long,end:long>>"), F.array().cast("array<string>"))
+    out = without(docs, *names).withColumns(dict(zip(names, empty)))
+    blocks = _blocks(benchmark, window, max_words)
+    items = next(blocks)
+    while items is not None:
+        out = map_batches(out, _matcher(spark.sparkContext.broadcast((items, window)), names), out.schema)
+        items = next(blocks, None)
+        if items is not None:
             out = written(out, "decontaminate")
     return out
 
@@ -185,8 +206,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_w
 _BUILT: dict[str, SuffixAutomaton] = {}
 
 
-def _matcher(shared):
+def _matcher(shared, names: tuple[str, str, str]):
     key = uuid.uuid4().hex
+    words_col, spans_col, items_col = names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _BUILT:
@@ -196,7 +218,7 @@ def _matcher(shared):
         ids = automaton.ids
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            spans_in, items_in = batch.column("hit_spans").to_pylist(), batch.column("hit_items").to_pylist()
+            spans_in, items_in = batch.column(spans_col).to_pylist(), batch.column(items_col).to_pylist()
             n_words, all_spans, all_items = [], [], []
             for t, spans0, items0 in zip(texts, spans_in, items_in):
                 words = words_of(t.as_py()) if t.is_valid else []
@@ -208,11 +230,11 @@ def _matcher(shared):
                 all_items.append(sorted({*items0, *(ids[k] for k in found)}) if found or items0 else [])
             cols = []
             for f in batch.schema:
-                if f.name == "n_words":
+                if f.name == words_col:
                     cols.append(pa.array(n_words, pa.int64()))
-                elif f.name == "hit_spans":
+                elif f.name == spans_col:
                     cols.append(pa.array(all_spans, f.type))
-                elif f.name == "hit_items":
+                elif f.name == items_col:
                     cols.append(pa.array(all_items, f.type))
                 else:
                     cols.append(batch.column(f.name))
@@ -278,15 +300,17 @@ def decontaminate(
             [cut_words(t, [(s["start"], s["end"]) for s in sp]) if t is not None and len(sp) else t for t, sp in zip(texts, spans)]
         )
 
-    hits = find_hits(docs, benchmark, window)
-    covered = F.aggregate("hit_spans", F.lit(0).cast("long"), lambda acc, s: acc + s.end - s.start)
-    kept = hits.where((F.size("hit_spans") == 0) | (covered <= F.lit(max_coverage) * F.col("n_words")))
-    kept = kept.withColumn("hit_spans", F.filter("hit_spans", lambda s: s.end - s.start > max_span_words))
-    dirty = F.size("hit_spans") > 0
-    kept = kept.withColumn("__cut", F.when(dirty, cut(F.when(dirty, F.col("text")), "hit_spans")).otherwise(F.col("text")))
-    out = {"text": F.col("__cut")}
+    names = free_names(docs.columns, *NAMES, "cut")
+    n_words, spans, _, cut_text = names
+    hits = find_hits(docs, benchmark, window, names=tuple(names[:3]))
+    covered = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s.end - s.start)
+    kept = hits.where((F.size(spans) == 0) | (covered <= F.lit(max_coverage) * F.col(n_words)))
+    kept = kept.withColumn(spans, F.filter(spans, lambda s: s.end - s.start > max_span_words))
+    dirty = F.size(spans) > 0
+    kept = kept.withColumn(cut_text, F.when(dirty, cut(F.when(dirty, F.col("text")), spans)).otherwise(F.col("text")))
+    out = {"text": F.col(cut_text)}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(dirty, F.length("__cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(dirty, F.length(cut_text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return kept.withColumns(out).select(*docs.columns)
 
 

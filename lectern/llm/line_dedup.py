@@ -1,25 +1,32 @@
-"""Line dedup by overlapping content-defined chunks of lines.
-
-At every line with words a chunk begins that ends with the first line at which it has two
-lines and ``MIN_WORDS`` words, and another one ends that reaches back as far; each line of
-``LONE_WORDS`` words is a chunk as well. So a chunk depends on its own lines only, and
-whatever stands before and after a repeated passage, its first chunk begins with its first
-line and its last one ends with its last line: every passage of two lines and ``MIN_WORDS``
-words is covered from its first to its last line with words. Chunks whose 128-bit hash
-occurs more than once in the corpus are gathered with their bytes, grouped by the bytes
-themselves, and of every group all but the first occurrence are repeated: the one of the
-smallest doc_id, and in it the earliest. Lines of repeated chunks are removed. A line's
-first occurrence in the corpus is in no repeated chunk, so one copy of every line stays.
+"""Line dedup by overlapping chunks of lines.
+
+Two neighbouring lines with words, and blank lines between them, are a chunk; each line of
+``LONE_WORDS`` words is a chunk as well. With ``min_words`` a chunk goes on until it has so
+many words, forward from every line and backward from every line. So a chunk depends on its
+own lines only, and whatever stands before and after a repeated passage, its first chunk
+begins with its first line and its last one ends with its last line: every passage of two
+lines is covered from its first to its last line with words.
+
+This is the densest case of content-defined chunks. Boundaries chosen by a rolling hash over
+line hashes resist shifts as well, but the chunks at both ends of a passage then hold lines
+of its neighbourhood, so that short passages were missed (see the README).
+
+Chunks whose 128-bit hash occurs more than once in the corpus are gathered with their bytes,
+grouped by the bytes themselves, and of every group all but the first occurrence are
+repeated: the one in the row of the smallest doc_id and text hash, and in it the earliest.
+Lines of repeated chunks are removed. A line's first occurrence in the corpus is in no
+repeated chunk, so one copy of every line stays.
 
 Passes over the text: hashes only; bytes of candidate chunks; rebuilding. Only hashes and
-candidates are shuffled; decisions reach the documents by a broadcast of proven size, or by
+candidates are shuffled; decisions reach the documents by a broadcast of measured size, or by
 a join when there are too many.
 
-Edge cases: null text has no lines and stays null; passages of fewer than ``MIN_WORDS`` words
-are left alone (blank lines, short refrains), and so are blank lines at the ends of a
-passage and single lines of fewer than ``LONE_WORDS`` words; rows with the same doc_id and
-text share their decisions; rows with a null doc_id come first; an empty table gives an
-empty result; extra columns pass through.
+Edge cases: null text has no lines and stays null; blank lines at the ends of a passage and
+single lines of fewer than ``LONE_WORDS`` words are left alone; very long texts are cut like
+others; rows with a null doc_id come first, ordered by the hash of their text like rows that
+share a doc_id; repeated rows (same doc_id and text) share their decisions; an empty table
+gives an empty result. Columns that have the name of an added one are replaced, or ``names``
+gives others; all others pass through.
 """
 
 from __future__ import annotations
@@ -33,42 +40,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lectern.llm.common import map_batches, release, small, written
+from lectern.llm.common import Scratch, free_names, map_batches, release, small, without, written
 
-#: Line hashes under the rolling hash, and one boundary in so many lines on average (chunk_ends only).
-ROLL, EVERY = 2, 3
-MIN_WORDS = 8
+#: Words that a chunk must have besides its two lines.
+MIN_WORDS = 0
 #: A line of so many words is a chunk by itself.
 LONE_WORDS = 50
 _MASK = (1 << 64) - 1
 
 
-def chunk_ends(hashes: list[int], roll: int = ROLL, every: int = EVERY) -> list[int]:
-    """Ends (exclusive) of the sparse chunks of a document with these line hashes.
-
-    line_dedup compares the denser chunks of spans_of; only tests call this one and is_candidate.
-    """
-    n, ends, last, rolling = len(hashes), [], 0, 0
-    power = pow(0x9E3779B97F4A7C15, roll, 1 << 64)
-    for i, h in enumerate(hashes):
-        rolling = (rolling * 0x9E3779B97F4A7C15 + h) & _MASK
-        if i >= roll:
-            rolling = (rolling - hashes[i - roll] * power) & _MASK
-        if i + 1 >= roll and i + 1 - last >= 2 and n - i - 1 >= 2 and (rolling >> 32) % every == 0:
-            ends.append(i + 1)
-            last = i + 1
-    return [*ends, n] if n else []
-
-
 def chunks_of(data: bytes) -> list[tuple[int, int, bytes]]:
     """(line, line + 1, bytes) of each line: the smallest pieces, of which texts are rebuilt."""
     return [(k, k + 1, line) for k, line in enumerate(data.split(b"\n"))]
 
 
-def is_candidate(first: int, end: int, body: bytes, min_words: int) -> bool:
-    return end > first and len(body.split(None, min_words)) >= min_words
-
-
 def spans_of(lines: list[bytes], min_words: int = MIN_WORDS) -> list[tuple[int, int]]:
     """(first line, end line) of each chunk that is compared, in order; chunks overlap.
 
@@ -140,49 +125,48 @@ def _batch(rows: list[tuple], kinds) -> pa.RecordBatch:
 
 def repeated_chunks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, text_hash, drop (numbers of the chunks to remove) of documents that lose chunks."""
+    scratch = Scratch(docs.sparkSession)
     hashes = chunk_table(docs, False, min_words).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    hashes = written(hashes.select("h1", "h2"), "chunkhashes")
-    found = written(chunk_table(docs, True, min_words).join(small(hashes), ["h1", "h2"]), "chunks")
+    hashes = scratch.written(hashes.select("h1", "h2"), "chunkhashes")
+    found = scratch.written(chunk_table(docs, True, min_words).join(small(hashes), ["h1", "h2"]), "chunks")
     release(docs.sparkSession)
-    groups = found.groupBy("h1", "h2", "body").agg(F.min("doc_id").alias("first_doc"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
+    groups = found.groupBy("h1", "h2", "body").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
     # written, so that the join deals both sides anew and can split the rows of a hot chunk
-    groups = written(groups, "chunkgroups")
-    first = F.when(F.col("nulls") > 0, F.lit(None)).otherwise(F.col("first_doc"))
-    judged = found.join(groups, ["h1", "h2", "body"]).where(F.col("again") | ~F.col("doc_id").eqNullSafe(first))
-    return judged.select("doc_id", "text_hash", "chunk").distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("chunk").alias("drop"))
+    groups = scratch.written(groups, "chunkgroups")
+    judged = found.join(groups, ["h1", "h2", "body"]).where(F.col("again") | ~F.struct("doc_id", "text_hash").eqNullSafe(F.col("first")))
+    drops = written(judged.select("doc_id", "text_hash", "chunk").distinct().groupBy("doc_id", "text_hash").agg(F.collect_list("chunk").alias("drop")), "drops")
+    scratch.clear()
+    return drops
 
 
-_STATS = [("n_lines", "long"), ("n_chunks", "long"), ("n_removed_chunks", "long"), ("n_removed_lines", "long")]
+#: Columns that line_dedup adds: the text kept, and four counts.
+NAMES = ("kept_text", "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
 
 
-def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """docs with text replaced by kept_text's source: adds kept_text, n_lines, n_chunks, n_removed_*."""
-    drops = written(repeated_chunks(docs, min_words), "drops").select(
-        F.col("doc_id").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("drop").alias("__drop")
-    )
-    named = docs.withColumn("__key", F.col("doc_id").cast("long")).withColumn("__th", F.xxhash64("text"))
-    joined = named.join(small(drops), F.col("__key").eqNullSafe(F.col("__doc")) & (F.col("__th") == F.col("__hash")), "left").drop(
-        "__doc", "__hash", "__key", "__th"
-    )
+def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """docs with kept_text, what is left of the text, and the counts n_lines, n_chunks, n_removed_*."""
+    docs = without(docs, *names)
+    d, h, drop, key, th = free_names([*docs.columns, *names], "d", "h", "drop", "key", "th")
+    drops = repeated_chunks(docs, min_words).toDF(d, h, drop)
+    named = docs.withColumns({key: F.col("doc_id").cast("long"), th: F.xxhash64("text")})
+    joined = named.join(small(drops), F.col(key).eqNullSafe(F.col(d)) & (F.col(th) == F.col(h)), "left").drop(d, h, key, th)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             kept, stats = [], [[], [], [], []]
-            for t, drop in zip(batch.column("text"), batch.column("__drop").to_pylist()):
+            for t, gone_chunks in zip(batch.column("text"), batch.column(drop).to_pylist()):
                 data = t.as_py().encode() if t.is_valid else None
                 parts = chunks_of(data) if data is not None else []
                 spans = spans_of([b for _, _, b in parts], min_words)
-                gone = {line for k in drop or () for line in range(*spans[k])}
+                gone = {line for k in gone_chunks or () for line in range(*spans[k])}
                 kept.append(b"\n".join([b for k, _, b in parts if k not in gone]).decode() if data is not None else None)
-                for col, x in zip(stats, (len(parts), len(spans), len(drop or ()), len(gone))):
+                for col, x in zip(stats, (len(parts), len(spans), len(gone_chunks or ()), len(gone))):
                     col.append(x)
-            cols = [batch.column(n) for n in batch.schema.names if n != "__drop"]
-            names = [n for n in batch.schema.names if n != "__drop"]
-            yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(kept, pa.string()), *(pa.array(c, pa.int64()) for c in stats)], names=[*names, "kept_text", *(n for n, _ in _STATS)]
-            )
+            own = [n for n in batch.schema.names if n != drop]
+            added = [pa.array(kept, pa.string()), *(pa.array(c, pa.int64()) for c in stats)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in own), *added], names=[*own, *names])
 
-    fields = [*docs.schema.fields, StructField("kept_text", StringType()), *(StructField(n, LongType()) for n, _ in _STATS)]
+    fields = [*docs.schema.fields, StructField(names[0], StringType()), *(StructField(n, LongType()) for n in names[1:])]
     return map_batches(joined, run, StructType(fields))
 
 
@@ -190,7 +174,7 @@ def line_dedup_digest(docs: DataFrame) -> DataFrame:
     """Per document: line and chunk counts, what was removed, and the digest of the text kept."""
     out = line_dedup(docs.select("doc_id", "text"))
     return out.select(
-        "doc_id", *(n for n, _ in _STATS),
+        "doc_id", *NAMES[1:],
         F.coalesce(F.length("kept_text"), F.lit(0)).cast("long").alias("kept_chars"),
         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
         (F.col("n_removed_chunks") > 0).alias("repeats"),

@@ -37,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import map_batches, release, small, written
+from lectern.llm.common import Scratch, free_names, map_batches, release, small, written
 from lectern.llm.components import connected_components
 
-WORDS, PERCENT = 4, 85
-#: Counters of the frequency sketch: 2**bits, by the number of documents.
-SKETCH_BITS = (12, 24)
+#: Words of a shingle, and the percentage of common shingles from which two documents link.
+WORDS, PERCENT = 5, 80
+#: Counters of the frequency sketch: 2**bits, growing with the number of documents. A task
+#: holds 4 bytes for each; the levels made of them, 1 byte each, are broadcast.
+SKETCH_BITS = (12, 26)
 #: Hash ranges of a set's spread: 2**bits.
 SPREAD_BITS = 5
 #: Counters of the sketch that travel in one row, and groups in which rows are added first.
@@ -104,11 +106,16 @@ def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def frequency_sketch(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarray:
-    """Documents by hash bucket of their shingles; 2**bits counters over the whole table."""
+def frequency_levels(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarray:
+    """Level (0 for usual counts, else up to 63) of each of 2**bits hash buckets of shingles.
+
+    Documents are counted by bucket over the whole table. Rare tokens fill buckets evenly,
+    with a spread of the root of the mean; what stands out by six times that holds a frequent
+    token, and the level grows with the count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts = np.zeros(1 << bits, np.int32)
         for batch in batches:
             held, size = [], 0
             for t in batch.column("text"):
@@ -116,10 +123,10 @@ def frequency_sketch(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarr
                     held.append(shingle_hashes(t.as_py().encode(), words) >> np.uint64(64 - bits))
                     size += len(held[-1])
                 if size > 1 << 20:
-                    counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
+                    np.add.at(counts, np.concatenate(held).astype(np.int64), 1)
                     held, size = [], 0
             if held:
-                counts += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
+                np.add.at(counts, np.concatenate(held).astype(np.int64), 1)
         if counts.any():
             part = TaskContext.get().partitionId() % SKETCH_WAYS
             for block in np.flatnonzero(counts.reshape(-1, SKETCH_BLOCK).any(axis=1)).tolist():
@@ -132,29 +139,32 @@ def frequency_sketch(docs: DataFrame, bits: int, words: int = WORDS) -> np.ndarr
         return pa.Table.from_batches([_block_row(key[0].as_py(), 0, total)])
 
     # a task's counters travel in blocks, and are added up in two steps so that no group grows with the tasks
-    kind = "block int, part int, counts binary"
+    kind, scratch = "block int, part int, counts binary, total long", Scratch(docs.sparkSession)
     sums = map_batches(docs.select("text"), run, kind).groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
-    got = sums.toArrow()
-    out = np.zeros(1 << bits, np.int64)
-    for block, counts in zip(got.column("block").to_pylist(), got.column("counts").to_pylist()):
-        out[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(counts, "<i8")
+    sums = scratch.written(sums, "sketch")
+    mean = (sums.agg(F.sum("total")).first()[0] or 0) / (1 << bits)
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [levels_of(np.frombuffer(x.as_py(), "<i8"), mean).tobytes() for x in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.binary())], names=["block", "levels"])
+
+    got = map_batches(sums.select("block", "counts"), level, "block int, levels binary").toArrow()
+    out = np.zeros(1 << bits, np.uint8)
+    for block, levels in zip(got.column("block").to_pylist(), got.column("levels").to_pylist()):
+        out[block * SKETCH_BLOCK : (block + 1) * SKETCH_BLOCK] = np.frombuffer(levels, np.uint8)
+    scratch.clear()
     return out
 
 
 def _block_row(block: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary())], names=["block", "part", "counts"]
-    )
-
+    cols = [pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([counts.astype("<i8").tobytes()], pa.binary()), pa.array([int(counts.sum())], pa.int64())]
+    return pa.RecordBatch.from_arrays(cols, names=["block", "part", "counts", "total"])
 
-def levels_of(sketch: np.ndarray) -> np.ndarray:
-    """0 for buckets of usual counts, else growing with the count (up to 63).
 
-    Rare tokens fill buckets evenly, with a spread of the root of the mean; what stands out
-    by six times that holds a frequent token.
-    """
-    usual = sketch.mean() + 6 * np.sqrt(sketch.mean()) + 8
-    return np.where(sketch > usual, np.minimum(63, 1 + (4 * np.log2(np.maximum(sketch, 1) / usual)).astype(np.int64)), 0).astype(np.uint64)
+def levels_of(counts: np.ndarray, mean: float) -> np.ndarray:
+    usual = mean + 6 * np.sqrt(mean) + 8
+    return np.where(counts > usual, np.minimum(63, 1 + (4 * np.log2(np.maximum(counts, 1) / usual)).astype(np.int64)), 0).astype(np.uint8)
 
 
 def prefixes(h: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> list[np.ndarray]:
@@ -162,18 +172,18 @@ def prefixes(h: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> list[n
     p = prefix_size(len(h), percent)
     out = []
     for seed in _SEEDS:
-        rank = (level << np.uint64(58)) | (mix(h ^ seed) >> np.uint64(6))
+        rank = (level.astype(np.uint64) << np.uint64(58)) | (mix(h ^ seed) >> np.uint64(6))
         out.append(h[np.argpartition(rank, p - 1)[:p]])
     return out
 
 
-def signatures(docs: DataFrame, sketch: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def signatures(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n, s1, s2 (fingerprint of the set), first (tokens), second, third (token hashes), spread, fine.
 
     spread and fine count the tokens in ranges of their hash.
     """
-    bits = int(len(sketch)).bit_length() - 1
-    shared = docs.sparkSession.sparkContext.broadcast(levels_of(sketch))
+    bits = int(len(levels)).bit_length() - 1
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared.value
@@ -222,27 +232,34 @@ def _low(h: np.ndarray) -> np.ndarray:
     return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
 
 
-def token_lists(sig: DataFrame) -> DataFrame:
-    """token, d, n: members of every prefix list with two or more of them, equal lists once."""
-    # sets of up to 5 tokens link only with equal sets, which are collapsed already
-    posts = sig.where("n > 5").select(F.explode("first").alias("token"), F.col("doc_id").alias("d"), "n")
-    whole = Window.partitionBy("token")
-    shared = posts.withColumn("m", F.count(F.lit(1)).over(whole)).where("m > 1")
-    shared = written(shared, "lists")
+def least_size(percent: int) -> int:
+    """Sets smaller than this link only with equal sets: with one token more or less they are too far apart."""
+    return -(-100 // (100 - percent)) - 1 if percent < 100 else 1 << 62
+
+
+def token_lists(sig: DataFrame, scratch: Scratch, percent: int = PERCENT) -> DataFrame:
+    """token, d, n, pivot: members of every prefix list with two or more of them, equal lists once.
+
+    The pivot is the member whose tokens are shared most, in proportion to its size.
+    """
+    posts = sig.where(F.col("n") >= least_size(percent)).select(F.explode("first").alias("token"), F.col("doc_id").alias("d"), "n")
+    kinds = posts.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("d")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "d")).alias("y"))
+    once = kinds.where("m > 1").groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token", "m")
+    once = scratch.written(once, "once")
     release(sig.sparkSession)
-    kinds = shared.groupBy("token").agg(
-        F.first("m").alias("m"), F.bit_xor(F.xxhash64("d")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "d")).alias("y")
-    )
-    once = kinds.groupBy("m", "x", "y").agg(F.min("token").alias("token")).select("token")
-    weight = shared.groupBy("d").agg((F.sum("m") / F.first("n")).alias("weight"))
-    return shared.join(once, "token").join(weight, "d")
+    lists = scratch.written(posts.join(small(once), "token"), "lists")
+    release(sig.sparkSession)
+    weight = scratch.written(lists.groupBy("d").agg((F.sum("m") / F.first("n")).alias("weight")), "weights")
+    pivots = lists.join(small(weight), "d").groupBy("token").agg(F.max_by("d", F.struct("weight", -F.col("d"))).alias("pivot"))
+    pivots = scratch.written(pivots, "pivots")  # so that the join deals both sides anew and can split a hot token
+    return scratch.written(lists.select("token", "d", "n").join(small(pivots), "token"), "stars")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, scratch: Scratch, words: int = WORDS) -> DataFrame:
     """a, b, both (tokens in common), any (tokens in either), by the whole texts of a and b."""
-    ids = written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+    ids = scratch.written(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
     texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = written(texts.join(small(ids, 1_000_000), "id", "left_semi"), "texts")
+    texts = scratch.written(texts.join(small(ids), "id", "left_semi"), "texts")
     one = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
 
@@ -264,51 +281,51 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int = WORDS, percent: int =
     return map_batches(two.select("a", "b", "text_a", "text_b"), run, "a long, b long, both long, any long")
 
 
-def _share_prefixes(pairs: DataFrame, sig: DataFrame, percent: int) -> DataFrame:
+def _share_prefixes(pairs: DataFrame, sig: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """Pairs that are close and also share a prefix token under the second and the third order.
 
     The short counts are compared first, so that prefixes travel for few pairs only.
     """
-    pairs = written(pairs, "candidates")
-    close = written(_beside(pairs, sig, ["n", "fine"]).where(_close(F.col("n_a"), F.col("n_b"), F.col("fine_a"), F.col("fine_b"), percent)).select("a", "b"), "close")
-    both = _beside(close, sig, ["second", "third"])
+    pairs = scratch.written(pairs, "candidates")
+    near = _close(F.col("n_a"), F.col("n_b"), F.col("fine_a"), F.col("fine_b"), percent)
+    close = scratch.written(_beside(pairs, sig, scratch, ["n", "fine"]).where(near).select("a", "b"), "close")
+    both = _beside(close, sig, scratch, ["second", "third"])
     return both.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
 
 
-def _beside(pairs: DataFrame, sig: DataFrame, columns: list[str]) -> DataFrame:
+def _beside(pairs: DataFrame, sig: DataFrame, scratch: Scratch, columns: list[str]) -> DataFrame:
     """Pairs with columns of both documents, of which only those in a pair are shuffled."""
-    ids = written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-    near = sig.join(small(ids, 1_000_000), "doc_id", "left_semi")
+    ids = scratch.written(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
+    near = sig.join(small(ids), "doc_id", "left_semi")
     side = lambda c: near.select(F.col("doc_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in columns])
     return pairs.join(side("b"), "b").join(side("a"), "a")
 
 
 def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(signature table with rep, links a-b between representatives that keep components exact)."""
+    """(doc_id, n, rep of every row; links a-b between representatives that keep components exact)."""
     spark = docs.sparkSession
+    base, tables = Scratch(spark), Scratch(spark)
     rows = docs.count()
     bits = min(SKETCH_BITS[1], max(SKETCH_BITS[0], rows.bit_length() + 1))
-    sig = written(signatures(docs, frequency_sketch(docs, bits, words), words, percent), "signatures")
+    sig = base.written(signatures(docs, frequency_levels(docs, bits, words), words, percent), "signatures")
     reps = sig.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    reps = written(reps, "reps")  # so that the join deals both sides anew and can split a hot set
+    reps = tables.written(reps, "reps")  # so that the join deals both sides anew and can split a hot set
     member = written(
         sig.select("doc_id", "n", "s1", "s2").join(reps, ["n", "s1", "s2"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")),
         "members",
     )
     copies = member.where("rep <> doc_id").select("doc_id").distinct()
-    own = sig.where("n > 0 and doc_id is not null").join(small(copies, 1_000_000), "doc_id", "left_anti")
-    lists = written(token_lists(own), "tokenlists")
+    own = base.written(sig.where("n > 0 and doc_id is not null").join(small(copies), "doc_id", "left_anti"), "own")
+    stars = token_lists(own, tables, percent)
     release(spark)
-    head = Window.partitionBy("token").orderBy(F.desc("weight"), "d")
-    stars = written(lists.withColumn("pivot", F.first("d").over(head)).select("token", "d", "n", "pivot"), "stars")
     first = stars.where(F.col("d") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct()
-    first = written(_share_prefixes(first, own, percent), "pairs")
+    first = tables.written(_share_prefixes(first, own, tables, percent), "pairs")
     release(spark)
-    known = written(verify(first, docs, words, percent), "verified")
+    known = base.written(verify(first, docs, tables, words), "verified")
     release(spark)
     linked = 100 * F.col("both") >= percent * F.col("any")
     links = known.where(linked).select("a", "b")
-    roots = written(connected_components(links), "roots")
+    roots = base.written(connected_components(links), "roots")
 
     # lists whose members are not all in one component yet
     apart = known.groupBy(F.col("a").alias("pivot"), F.col("b").alias("d")).agg(F.max(1 - F.col("both") / F.col("any")).alias("apart"))
@@ -319,20 +336,28 @@ def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PER
     )
     open_ = placed.where("root <> main").select("token").distinct()
     left = placed.join(open_, "token", "left_semi").join(apart, ["pivot", "d"], "left").join(own.select(F.col("doc_id").alias("d"), "spread", "fine"), "d")
-    left = written(left.withColumn("apart", F.when(F.col("d") == F.col("pivot"), 0.0).otherwise(F.col("apart"))), "open")
-    x = left.where("root <> main").select("token", F.col("d").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("apart").alias("xa"), F.col("spread").alias("xs"), F.col("fine").alias("xf"))
-    y = left.select("token", F.col("d").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), F.col("apart").alias("ya"), F.col("spread").alias("ys"), F.col("fine").alias("yf"), "pivot", (F.col("root") == F.col("main")).alias("inner"))
+    # linked sets are at most one band of sizes apart
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n").cast("int")
+    left = left.withColumns({"apart": F.when(F.col("d") == F.col("pivot"), 0.0).otherwise(F.col("apart")), "band": band})
+    left = base.written(left, "open")
+    tables.clear()
+    x = left.where("root <> main").select("token", F.col("d").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("apart").alias("xa"), F.col("spread").alias("xs"), F.col("fine").alias("xf"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    y = left.select("token", F.col("d").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), F.col("apart").alias("ya"), F.col("spread").alias("ys"), F.col("fine").alias("yf"), "pivot", (F.col("root") == F.col("main")).alias("inner"), "band")
     far = F.coalesce(F.abs(F.col("xa") - F.col("ya")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     near = _close(F.col("xn"), F.col("yn"), F.col("xs"), F.col("ys"), percent) & _close(F.col("xn"), F.col("yn"), F.col("xf"), F.col("yf"), percent)
     pairs = (
-        x.join(y, "token")
+        x.join(y, ["token", "band"])
         .where((F.col("xr") != F.col("yr")) & (F.col("inner") | (F.col("x") < F.col("y"))) & (F.col("y") != F.col("pivot")) & far & near)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
     )
-    second = written(_share_prefixes(pairs, own, percent), "pairs")
-    more = verify(second, docs, words, percent).where(linked).select("a", "b")
-    return member, written(links.union(more), "links")
+    second = tables.written(_share_prefixes(pairs, own, tables, percent), "pairs")
+    more = verify(second, docs, tables, words).where(linked).select("a", "b")
+    links = written(links.union(more), "links")
+    tables.clear()
+    base.clear()
+    release(spark)
+    return member, links
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -348,11 +373,25 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> D
 
 
 def keep_one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """docs without those that are linked with a document of smaller doc_id."""
-    gone = components(docs, words, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    gone = written(gone, "copies")
-    return docs.join(small(gone, 1_000_000), "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that are linked with a row of smaller doc_id (null last).
+
+    Every row counts by itself: docs are written once with a number for each row, and the
+    numbers take the place of doc_id. Of rows with equal ids the one of the smaller number stays.
+    """
+    scratch = Scratch(docs.sparkSession)
+    (row,) = free_names(docs.columns, "row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = components(numbered.select(F.col(row).alias("doc_id"), "text"), words, percent)
+    found = scratch.written(found.select(F.col("doc_id").alias("row"), "component_id").where("n_shingles > 0"), "components")
+    several = found.groupBy("component_id").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("component_id")
+    ids = numbered.select(F.col(row).alias("row"), F.col("doc_id").alias("id"))
+    groups = scratch.written(found.join(several, "component_id").join(ids, "row"), "groups")
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")).select("component_id", F.col("first.row").alias("first"))
+    gone = written(groups.join(first, "component_id").where("row <> first").select(F.col("row").alias(row)), "copies")
+    scratch.clear()
+    return numbered.join(small(gone), row, "left_anti").select(*docs.columns)
 
 
 def ngram_digest(docs: DataFrame) -> DataFrame:
-    return components(docs)
+    """doc_id, n_shingles, component_id by 4-word shingles and links from 85 in a hundred."""
+    return components(docs, 4, 85)

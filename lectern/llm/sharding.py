@@ -4,9 +4,11 @@
 to n+1, a key either stays or moves to bucket n, and about 1/(n+1) of the keys move
 (Lamping and Veach, 2014). The law that holds is therefore ``key``.
 
-Edge cases: a null key counts as key 0; repeated keys land in the same shard and get
-different slots; null text has size 8 and the crc32 of the empty string; an empty table
-gives an empty result; further columns pass through under any names.
+Edge cases: a null key counts as key 0; repeated keys, and whole repeated rows, land in the
+same shard and get different slots, in an order of no meaning where they tie; null text has
+size 8 and the crc32 of the empty string, very long texts are only measured; an empty table
+gives an empty result. Columns that have the name of an added one are replaced; all others
+pass through.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import crc32
+from lectern.llm.common import crc32, free_names, small, without, written
 from lectern.session import ship
 
 #: Rows that one slot block is meant to hold; blocks are numbered in one window each.
@@ -56,11 +58,11 @@ def with_shards(df: DataFrame, key: str, shards: int, shard_col: str = "shard",
         raw = keys.fillna(0).astype("int64").to_numpy().view(np.uint64)
         return pd.DataFrame({shard_col: jump_hash(raw, shards), grown_col or "_grown": jump_hash(raw, shards + 1)})
 
-    out = df.withColumn("__place", place(F.coalesce(F.col(key).cast("long"), F.lit(0))))
-    out = out.withColumn(shard_col, F.col(f"__place.{shard_col}"))
-    if grown_col:
-        out = out.withColumn(grown_col, F.col(f"__place.{grown_col}"))
-    return out.drop("__place")
+    out = without(df, shard_col, *([grown_col] if grown_col else [])) if key.lower() not in (shard_col.lower(), (grown_col or "").lower()) else df
+    (placed,) = free_names(out.columns, "place")
+    out = out.withColumn(placed, place(F.coalesce(F.col(key).cast("long"), F.lit(0))))
+    both = {shard_col: F.col(f"{placed}.{shard_col}")} | ({grown_col: F.col(f"{placed}.{grown_col}")} if grown_col else {})
+    return out.withColumns(both).drop(placed)
 
 
 def with_slots(df: DataFrame, shard_col: str, order: list[str], slot_col: str = "slot", block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -69,22 +71,21 @@ def with_slots(df: DataFrame, shard_col: str, order: list[str], slot_col: str =
     A window over a whole shard would run in as many tasks as there are shards. Rows are
     first dealt to hash blocks of about ``block_rows`` rows; each block is numbered by
     itself and starts at the row count of the shard's earlier blocks. The table of block
-    counts has rows/block_rows rows.
+    counts has rows/block_rows rows. df is written once, with a number of its own for every
+    row, which enters the hash: equal rows are dealt to different blocks, and everything
+    else is read from the written table.
     """
-    rows = df.count()
-    shards = max(1, df.select(F.max(shard_col)).first()[0] or 0) + 1
-    blocks = max(1, -(-rows // (block_rows * shards)))
-    cut = df.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)))
-    counts = cut.groupBy(shard_col, "__block").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(shard_col).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(shard_col, "__block", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = Window.partitionBy(shard_col, "__block").orderBy(*order)
-    return (
-        cut.withColumn("__at", F.row_number().over(inside) - 1)
-        .join(starts, [shard_col, "__block"])
-        .withColumn(slot_col, (F.col("__start") + F.col("__at")).cast("long"))
-        .drop("__block", "__at", "__start")
-    )
+    row, block, n, start, at = free_names([*df.columns, slot_col], "row", "block", "n", "start", "at")
+    kept = written(without(df, slot_col).withColumn(row, F.monotonically_increasing_id()), "slots")
+    rows, shards = kept.agg(F.count(F.lit(1)), F.count_distinct(shard_col)).first()
+    blocks = max(1, -(-rows // (block_rows * max(1, shards))))
+    cut = kept.withColumn(block, F.pmod(F.xxhash64(*order, row), F.lit(blocks)))
+    counts = cut.groupBy(shard_col, block).agg(F.count(F.lit(1)).alias(n))
+    before = Window.partitionBy(shard_col).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(shard_col, block, F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    inside = Window.partitionBy(shard_col, block).orderBy(*order, row)
+    numbered = cut.withColumn(at, F.row_number().over(inside) - 1).join(small(starts), [shard_col, block])
+    return numbered.withColumn(slot_col, (F.col(start) + F.col(at)).cast("long")).select(*[c for c in kept.columns if c != row], slot_col)
 
 
 def write_shards(df: DataFrame, shard_col: str, path: str, files_per_shard: int = 1) -> None:

@@ -1,27 +1,30 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A text up to ``chunk_chars`` is counted directly. A longer one is encoded in chunks that
-overlap, with offsets. Two neighbouring encodings are spliced at a boundary in the overlap
-that is proven stable:
+A text is encoded in chunks of ``chunk_chars`` characters, each by one call of the library,
+that overlap by ``overlap_chars``; a text of one chunk is a text without a splice. Two
+neighbouring encodings are spliced at a character p of the overlap that is proven stable:
 
-* both encodings begin a token at that character,
-* the tokens that follow it agree in id and offsets as far as ``agree`` reaches, and
-* the character before it is a blank or line feed and the one after is not.
+* p is a natural cut of this kind of tokenizer: see ``Counter.cut``,
+* both encodings begin a token at p, and
+* the tokens from p on agree in id and offsets, ``agree`` of them or as many as end in a word
+  that the left chunk holds whole.
 
-The last point is the proof: white space separates the pieces before the merges, composes
-with nothing under normalisation and is dropped, so the left part has the same tokens
-whatever follows, and the right part whatever precedes. Where an overlap holds no such
-boundary it is widened to twice its length, in the end to a single chunk.
-
-Direct counts use the same fact: pieces between blanks and line feeds are counted one by
-one, each distinct piece once, in a bounded cache.
+The first point is the proof: no pattern, merge or normalisation of the tokenizer reaches
+over such a cut, so the left part has the same tokens whatever follows, and the right part
+whatever precedes. The others guard it, as a chunk may begin or end inside a word. Where an
+overlap holds no such character it is widened to twice its length, in the end to the whole
+chunk, and then the chunk is made longer.
 
 Edge cases: null text counts as empty (0 tokens); special strings inside a text count as
-their special token; extra columns pass through; an empty table gives an empty result.
+their special token; texts of any length are counted whole, chunk by chunk; repeated rows,
+ties and rows with a null key are counted one by one; an empty table gives an empty result.
+A column named n_tokens is replaced; others pass through. A vocabulary without known cuts
+raises ValueError, so no count is ever approximate.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import public_tokenizers
@@ -30,95 +33,106 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lectern.llm.common import map_batches
+from lectern.llm.common import map_batches, without
 
-CHUNK_CHARS, OVERLAP_CHARS, AGREE = 49_152, 512, 4
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
+CHUNK_CHARS, OVERLAP_CHARS, AGREE = 2048, 128, 4
+_BLANKS = " \n"
 
 
 class Counter:
-    """Token counts of one vocabulary file; ``.json`` by tokenizers, ``.model`` by sentencepiece."""
+    """Token counts of one vocabulary file of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        if path.endswith(".json"):
-            from tokenizers import Tokenizer
+        from tokenizers import Tokenizer
 
-            self.lib = Tokenizer.from_file(path)
-            self.lib.no_truncation()
-            self.lib.no_padding()
-        else:
-            raise ValueError(f"not a tokenizers file: {path}")
-        self.cache = _Counts(self)
+        spec = json.loads(open(path, encoding="utf-8").read())
+        self.lib = Tokenizer.from_file(path)
+        self.lib.no_truncation()
+        self.lib.no_padding()
+        #: "after": cuts come behind a blank that is dropped; "before": in front of a single blank
+        self.kind = kind_of(spec)
 
-    def tokens(self, text: str) -> list[tuple[int, int, int]]:
-        """(start, end, id) of each token."""
-        e = self.lib.encode(text, add_special_tokens=False)
-        return [(a, b, i) for (a, b), i in zip(e.offsets, e.ids)]
+    def cut(self, text: str, p: int) -> bool:
+        """Whether nothing in the tokenizer reaches over the place before character p.
 
-    def short(self, text: str) -> int:
-        return sum(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
+        A tokenizer that drops white space is cut behind a blank or line feed and in front of
+        a character that is none. A byte-level tokenizer that binds a blank to the word behind
+        it is cut in front of a single blank between two words.
+        """
+        if self.kind == "after":
+            return text[p - 1] in _BLANKS and text[p] not in _BLANKS
+        return text[p] == " " and p + 1 < len(text) and not text[p - 1].isspace() and not text[p + 1].isspace()
 
-    def count(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, agree: int = AGREE) -> int:
-        return self.short(text) if len(text) <= chunk else self.long(text, chunk, overlap, agree)
+    def encode(self, text: str):
+        return self.lib.encode(text, add_special_tokens=False)
 
-    def long(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, agree: int = AGREE) -> int:
-        """Count by chunks [at, to); ``at`` is 0 or a stable boundary, so its tokens are final up to the next splice."""
+    def count(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, agree: int = AGREE) -> int:
+        """Count by chunks [at, to); tokens before ``since`` of the left chunk are counted already."""
         total, at, to = 0, 0, min(len(text), chunk)
-        left = self.tokens(text[:to])
+        left, since = self.encode(text[:to]), 0
         while to < len(text):
             wide = min(overlap, to - at)
             while True:
                 begin = to - wide
                 end = min(len(text), begin + max(chunk, 2 * wide))
-                right = [(a + begin, b + begin, i) for a, b, i in self.tokens(text[begin:end])]
-                splice = _stable(text, [(a + at, b + at, i) for a, b, i in left], right, begin, to, agree)
-                if splice is not None or begin <= at:
+                right = self.encode(text[begin:end])
+                found = self._splice(text, left, at, right, begin, to, since, agree)
+                if found is not None or begin <= at:
                     break
                 wide = min(2 * wide, to - at)
-            if splice is None:
-                # no stable boundary in the whole chunk: make it longer
+            if found is None:
+                # no stable place in the whole chunk: make it longer
                 to = min(len(text), at + 2 * (to - at))
-                left = self.tokens(text[at:to])
-                continue
-            total += sum(1 for a, _, _ in left if a + at < splice)
-            left = [(a - splice, b - splice, i) for a, b, i in right if a >= splice]
-            at, to = splice, end
-        return total + len(left)
-
-
-def _stable(text: str, left, right, begin: int, to: int, agree: int) -> int | None:
-    """The stable boundary nearest to the middle of the overlap [begin, to)."""
-    l_at = {t[0]: k for k, t in reversed([*enumerate(left)]) if t[0] >= begin}
-    r_at = {t[0]: k for k, t in reversed([*enumerate(right)]) if t[0] < to}
-    best, middle = None, (begin + to) // 2
-    for p in l_at.keys() & r_at.keys():
-        if p <= begin or text[p - 1] not in " \n" or text[p] in " \n":
-            continue
-        # the tokens that end before the left chunk does must be the same on both sides
-        x = [t for t in left[l_at[p] : l_at[p] + agree] if t[1] < to and not _cut(text, t[1], to)]
-        if x and x == right[r_at[p] : r_at[p] + len(x)] and (best is None or abs(p - middle) < abs(best - middle)):
-            best = p
-    return best
-
-
-def _cut(text: str, end: int, to: int) -> bool:
-    """Whether the word that holds the token ending at ``end`` runs up to the chunk's end."""
-    return " " not in text[end:to] and "\n" not in text[end:to]
-
-
-class _Counts(dict):
-    def __init__(self, owner: Counter) -> None:
-        super().__init__({"": 0})
-        self.owner = owner
-
-    def __missing__(self, piece: str) -> int:
-        n = len(self.owner.lib.encode(piece, add_special_tokens=False).ids)
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-                self[""] = 0
-            self[piece] = n
-        return n
+                left = self.encode(text[at:to])
+                continue  # the tokens before ``since`` end at a stable place and are the same
+            total += found[0] - since
+            left, since, at, to = right, found[1], begin, end
+        return total + len(left) - since
+
+    def _splice(self, text: str, left, at: int, right, begin: int, to: int, since: int, agree: int) -> tuple[int, int] | None:
+        """Numbers of the tokens that begin at the stable place nearest to the middle of [begin, to)."""
+        middle, left_ids, right_ids = (begin + to) // 2, left.ids, right.ids
+        for far in range(max(middle - begin, to - middle) + 1):
+            for p in (middle + far, middle - far):
+                if not begin < p < to or not self.cut(text, p):
+                    continue
+                i, j = left.char_to_token(p - at), right.char_to_token(p - begin)
+                if i is None or j is None or i < since or not self._begins(left, i, p - at) or not self._begins(right, j, p - begin):
+                    continue
+                same = whole = 0
+                for k in range(agree):
+                    if i + k >= len(left):
+                        break
+                    a, b = left.token_to_chars(i + k)
+                    if b + at >= to or not any(c in text[b + at : to] for c in _BLANKS):
+                        break  # its word may go on behind the left chunk
+                    whole += 1
+                    if j + k < len(right) and (a + at, b + at) == tuple(x + begin for x in right.token_to_chars(j + k)) and left_ids[i + k] == right_ids[j + k]:
+                        same += 1
+                if whole and same == whole:
+                    return i, j
+        return None
+
+    @staticmethod
+    def _begins(encoding, token: int, char: int) -> bool:
+        return encoding.token_to_chars(token)[0] == char and (token == 0 or encoding.token_to_chars(token - 1)[1] <= char)
+
+
+def kind_of(spec: dict) -> str:
+    """How a vocabulary of the tokenizers library treats white space; ValueError if no cut is known for it."""
+    added_ok = all(not (x["lstrip"] or x["rstrip"] or x["single_word"] or x["normalized"] or any(c.isspace() for c in x["content"])) for x in spec["added_tokens"])
+    split, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
+    if added_ok and spec["model"]["type"] == "BPE" and spec["model"].get("dropout") is None:
+        steps = split.get("pretokenizers", [])
+        known = {"NFC", "Lowercase", "Replace"}  # none composes over a blank or line feed
+        plain = norm.get("type") == "Sequence" and all(n["type"] in known and (n["type"] != "Replace" or n["pattern"] == {"Regex": r"\s+"}) for n in norm["normalizers"])
+        # what the pattern does not match, white space, is removed; each match is merged by itself
+        drops = steps and steps[0]["type"] == "Split" and steps[0]["behavior"] == "Removed" and steps[0]["invert"] and r"[^\s" in steps[0]["pattern"].get("Regex", "")
+        if plain and drops and all(s["type"] == "ByteLevel" and not s["add_prefix_space"] and not s["use_regex"] for s in steps[1:]):
+            return "after"
+        if split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not norm:
+            return "before"
+    raise ValueError("no cut is known for this tokenizer")
 
 
 _LOADED: dict[str, Counter] = {}
@@ -141,6 +155,8 @@ def count_tokens(
 ) -> DataFrame:
     """docs with the column n_tokens."""
     path = path or public_tokenizers.path(vocabulary)
+    loaded(path)  # an unknown kind fails here rather than in a task
+    docs = without(docs, "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = loaded(path)

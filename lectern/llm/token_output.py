@@ -22,8 +22,9 @@ the same doc_id are ordered by their text's hash. A task that runs again overwri
 own files with the same bytes (written aside, then moved), so lost executors do no harm.
 
 Edge cases: null text has no ids but the end id; an empty table writes no file; repeated
-rows are written each; extra columns are ignored. A single document's ids must fit into a
-worker's memory (4 bytes each).
+rows are written each, ties in doc_id and text in any order; null ids come first; extra
+columns are ignored, whatever their names. Very long texts are written whole: a single
+document's ids must fit into a worker's memory (4 bytes each).
 """
 
 from __future__ import annotations
@@ -39,11 +40,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import fragments
-from lectern.llm.common import map_batches, new_path
+from lectern.llm.common import map_batches, new_path, small, written
 
 MAGIC, BLOCK = b"LECTOK01", 1 << 18
-#: Ids gathered before a file is closed, and text bytes meant for one task.
-FILE_IDS, TASK_BYTES = 1 << 22, 16 << 20
+#: Ids gathered before a file is closed (4 bytes each in the worker, twice while it is written).
+FILE_IDS = 1 << 24
+#: Text bytes meant for one task: as few as the first while there are idle cores, never more than the second.
+TASK_BYTES = (16 << 20, 1 << 30)
+#: Tasks whose files are summed up in one group.
+PARTS = 1000
 NULL_ID = -(1 << 63)
 #: Lengths of the four values behind each control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8) + 1
@@ -116,21 +121,20 @@ def write_tokens(
     end_id: int,
     text: str = "text",
     vocabulary: str = "byte_bpe_50k.json",
-    task_bytes: int = TASK_BYTES,
+    task_bytes: tuple[int, int] = TASK_BYTES,
 ) -> DataFrame:
     """Write the files below ``path`` (a URI all executors can write to).
 
     Returns a table of the files: file, part, seq, docs, ids. It is written before it is
     returned, so files are made once.
     """
-    from lectern.llm.common import written
-
     vocab = public_tokenizers.path(vocabulary)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = slim.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    share = min(task_bytes[1], max(task_bytes[0], total // (4 * docs.sparkSession.sparkContext.defaultParallelism)))
     ordered = (
         slim.withColumn("h", F.xxhash64("text"))
-        .repartitionByRange(max(1, -(-total // task_bytes)), "doc_id", "h")
+        .repartitionByRange(max(1, -(-total // share)), "doc_id", "h")
         .sortWithinPartitions("doc_id", "h")
         .drop("h")
     )
@@ -178,10 +182,15 @@ def write_tokens(
 def read_tokens(spark: SparkSession, path: str, files: DataFrame) -> DataFrame:
     """Every document of the files: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit, binary).
 
-    The starts of the files are sums over one small row per file.
+    The starts of the files are sums over one small row per file, in groups of parts.
     """
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    todo = files.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+    group = F.floor(F.col("part") / PARTS)
+    grouped = files.withColumn("group", group)
+    ahead = lambda *by: Window.partitionBy(*by[:-1]).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    groups = grouped.groupBy("group").agg(F.sum("ids").alias("n"))  # one row for PARTS tasks
+    begun = groups.select("group", F.coalesce(F.sum("n").over(ahead(["group"])), F.lit(0)).alias("begin"))
+    inside = F.coalesce(F.sum("ids").over(ahead("group", ["part", "seq"])), F.lit(0))
+    todo = grouped.withColumn("inside", inside).join(small(begun), "group").select("file", (F.col("begin") + F.col("inside")).alias("start"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _open(path)

@@ -30,21 +30,39 @@ def test_fragments_give_the_library_ids(text):
 @settings(max_examples=400, deadline=None)
 @given(TEXTS, st.integers(2, 12), st.integers(1, 6))
 def test_counts_in_overlapping_chunks(text, chunk, overlap):
-    want = len(_WORD.encode(text, add_special_tokens=False).ids)
-    assert _COUNTER.short(text) == want
-    assert _COUNTER.long(text, chunk, overlap) == want
+    for lib, counter in ((_WORD, _COUNTER), (_BYTE, _BYTE_COUNTER)):
+        assert counter.count(text, chunk, overlap) == len(lib.encode(text, add_special_tokens=False).ids)
 
 
 _BYTE, _WORD = Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
-_CODER, _COUNTER = fragments.ForcedBoundaries(BYTE), token_count.Counter(WORD)
+_CODER, _COUNTER, _BYTE_COUNTER = fragments.ForcedBoundaries(BYTE), token_count.Counter(WORD), token_count.Counter(BYTE)
 
 
 def test_huge_texts():
     text = ("word and other things, 12 of them\n" * 6000) + "x" * 70_000 + " end " + "é" * 1000
     assert _COUNTER.count(text) == len(_WORD.encode(text, add_special_tokens=False).ids)
+    assert _BYTE_COUNTER.count(text) == len(_BYTE.encode(text, add_special_tokens=False).ids)
     assert _CODER.encode(text).tolist() == _BYTE.encode(text, add_special_tokens=False).ids
 
 
+def test_ordinary_texts_are_spliced(monkeypatch):
+    """A text of a few thousand characters takes several chunks, each of them bounded."""
+    seen, text = [], " ".join(f"Word{k % 97}'s {k}" for k in range(900))
+    whole = _COUNTER.encode
+    monkeypatch.setattr(_COUNTER, "encode", lambda t: seen.append(len(t)) or whole(t))
+    assert _COUNTER.count(text) == len(_WORD.encode(text, add_special_tokens=False).ids)
+    assert len(seen) >= len(text) // 2048 and max(seen) <= 2048
+
+
+def test_unknown_tokenizers_are_refused(tmp_path):
+    import json
+
+    spec = json.loads(open(WORD, encoding="utf-8").read())
+    spec["normalizer"] = {"type": "NFKC"}
+    with pytest.raises(ValueError):
+        token_count.kind_of(spec)
+
+
 def test_pack_and_unpack():
     v = np.array([0, 255, 256, 65535, 65536, 1 << 24, (1 << 32) - 1, 7], np.uint32)
     for n in range(len(v) + 1):
@@ -75,6 +93,25 @@ def test_bpe_query(spark, docs):
     assert bpe.bpe_digest(docs.limit(0)).count() == 0
 
 
+def test_clashing_columns(spark, docs):
+    odd = docs.withColumn("decoded", docs.doc_id).withColumn("N_tokens", docs.doc_id)
+    out = bpe.decode(bpe.encode(odd))
+    assert out.columns == ["doc_id", "text", "N_tokens", "ids", "decoded"] and sorted(r.decoded for r in out.collect()) == sorted(t or "" for _, t, _ in DOCS)
+    assert token_count.count_tokens(odd).columns == ["doc_id", "text", "ids", "decoded", "n_tokens"]
+
+
+def test_token_files_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "PARTS", 3)
+    d = spark.range(400).selectExpr("id AS doc_id", "repeat('word ', CAST(id % 50 AS INT)) AS text")
+    path = token_output.new_path(spark, "many")
+    files = token_output.write_tokens(d, path, 2, task_bytes=(2000, 3000))
+    assert files.count() > 10
+    got, start = sorted(token_output.read_tokens(spark, path, files).collect(), key=lambda r: r.start), 0
+    for k, r in enumerate(got):
+        assert (r.doc_id, r.start) == (k, start)
+        start += r.n_tokens
+
+
 def test_count_query(spark, docs):
     got = token_count.token_count_digest(docs).collect()
     want = sorted((d or -1, len((t or "").encode()), len(_WORD.encode(t or "", add_special_tokens=False).ids)) for d, t, _ in DOCS)
