@@ -15,13 +15,13 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
-def register(sql: str | None = None):
-    """Register a query under its function's name."""
+def register(sql: str | None = None, name: str | None = None):
+    """Register a query under its function's name, or another."""
 
     def keep(f):
-        _QUERIES[f.__name__] = f
+        _QUERIES[name or f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            _SQL[name or f.__name__] = sql
         return f
 
     return keep

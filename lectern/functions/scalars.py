@@ -31,15 +31,13 @@ def metric_weight(weights: Column, metric: Column) -> Column:
     """
     given = F.from_json(weights, "map<string,string>")
     present = F.coalesce(F.map_contains_key(given, metric), F.lit(False))
-    return (
-        F.when(present, F.expr(f"try_cast(element_at(from_json({_name(weights)}, 'map<string,string>'), {_name(metric)}) AS DOUBLE)"))
-        .when(metric == "response_present", 0.0)
-        .otherwise(1.0)
-    )
+    return F.when(present, F.try_element_at(given, metric).try_cast("double")).when(metric == "response_present", 0.0).otherwise(1.0)
 
 
-def _name(c: Column) -> str:
-    return c._jc.toString()
+def json_text(json: Column, key: str) -> Column:
+    """Value of a key of a JSON object if it is a text, else NULL."""
+    v = F.try_variant_get(F.try_parse_json(json), f"$.{key}", "variant")
+    return F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
 
 
 def token_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
@@ -71,10 +69,10 @@ def is_sha256(c: Column) -> Column:
     return c.rlike("^[0-9a-f]{64}$")
 
 
-def natural_key(c: Column, width: int = 12) -> Column:
-    """Sort key under which Q-2 comes before Q-10: the last run of digits padded."""
-    digits = F.regexp_extract(c, r"(\d+)\D*$", 1)
-    return F.concat(F.regexp_replace(c, r"\d+\D*$", ""), F.lpad(digits, width, "0"))
+def natural_key(c: Column) -> Column:
+    """Sort key under which Q-2 comes before Q-10: the last run of digits by its length, then by itself."""
+    digits = F.regexp_replace(F.regexp_extract(c, r"(\d+)\D*$", 1), "^0+(?=.)", "")
+    return F.struct(F.regexp_replace(c, r"\d+\D*$", ""), F.length(digits), digits)
 
 
 def mime_of(content: Column) -> Column:
@@ -93,11 +91,18 @@ def backoff_ms(attempt: Column, base: int = 2000, most: int = 30_000) -> Column:
     return F.least(F.lit(float(most)), F.lit(float(base)) * F.pow(F.lit(2.0), attempt - 1)).cast("long")
 
 
-def redacted(text: Column) -> Column:
-    """Error text without keys and bearer tokens."""
-    t = F.regexp_replace(text, r"(?i)bearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    t = F.regexp_replace(t, r"(?i)((?:api[_-]?key|token|secret)[\"']?\s*[=:]\s*[\"']?)[^\s\"'&,}]+", "$1[REDACTED]")
-    return F.regexp_replace(t, r"\bsk-[A-Za-z0-9_-]{8,}", "[REDACTED]")
+#: What is blotted out of error texts besides the key itself, and how long they may be.
+SECRETS = [r"""(?i)(authorization)["':= ]+(?:bearer\s+)?[^\s,"}]+""", r"""(?i)(api[-_ ]?key)["':= ]+[^\s,"}]+"""]
+ERROR_CHARS = 500
+
+
+def redacted(text: Column, secret: Column | None = None) -> Column:
+    """Error text without the secret and what stands behind names of keys, cut to its first 500 characters."""
+    if secret is not None:
+        text = F.when(F.coalesce(secret, F.lit("")) == "", text).otherwise(F.replace(text, secret, F.lit("[REDACTED]")))
+    for pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, "$1 [REDACTED]")
+    return F.substring(text, 1, ERROR_CHARS)
 
 
 def shared_snapshot_key(run: Column, question: Column, revision: Column, mode: Column) -> Column:

@@ -5,38 +5,61 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stages in display order.
-STAGES = ["document", "embedding", "question", "review", "dataset", "run", "response", "score", "result"]
+from lectern.functions.scalars import json_text
+
+#: Stage by the beginning of an event type; the first that fits decides.
+STAGES = [
+    ("^(RUN_SCORING|SCORE_|JUDGE_)", "SCORING"),
+    ("^(DOCUMENT_|PIPELINE_)", "PARSING"),
+    ("^(CHUNKING_|TABLE_OF_CONTENTS_)", "CHUNKING"),
+    ("^(GEMINI_EMBEDDING_|EMBEDDING_)", "EMBEDDING"),
+    ("^QUESTION_DIRECTION_", "DIRECTION"),
+    ("^(QUESTION_RETRIEVAL_|RETRIEVAL_)", "RETRIEVAL"),
+    ("^(QUESTION_GENERATION_|GENERATION_)", "QUESTION_GENERATION"),
+    ("^RUN_", "BENCHMARK"),
+    ("^JOB_", "QUEUE"),
+]
+#: State by the end of an event type; the first that fits decides.
+STATES = [
+    ("^JOB_RELEASED_ON_SHUTDOWN$", "RETRY_WAIT"),
+    ("(FAILED|FAILURE|TERMINAL_FAILED|ERROR)$", "FAILED"),
+    ("(CANCELLED|STOPPED)$", "CANCELLED"),
+    ("PAUSED$", "PAUSED"),
+    ("(RETRY|RETRIED|RETRY_SCHEDULED)$", "RETRY_WAIT"),
+    ("(COMPLETED|SUCCEEDED|PERSISTED|VERIFIED|ALIGNED|EXTRACTED|RENDERED)$", "SUCCEEDED"),
+    ("(STARTED|CLAIMED|REQUESTED|RECEIVED)$", "RUNNING"),
+    ("(ENQUEUED|QUEUED|CREATED)$", "PENDING"),
+]
+
+
+def _first_match(c: Column, rules: list[tuple[str, str]]) -> Column:
+    out = F.when(c.rlike(rules[0][0]), rules[0][1])
+    for pattern, value in rules[1:]:
+        out = out.when(c.rlike(pattern), value)
+    return out
 
 
 def event_stage(kind: Column) -> Column:
-    """Stage of an event type; the first rule that fits decides."""
-    rules = [
-        (r"^(DOCUMENT|SOURCE|PAGE|PARSE)", "document"), (r"^(EMBED|CHUNK|TOC)", "embedding"), (r"^(GENERATION|QUESTION)", "question"),
-        (r"^REVIEW", "review"), (r"^(DATASET|SET)", "dataset"), (r"^(SCOR|JUDGE)", "score"), (r"^(RUN_ITEM|RESPONSE|RETRIEVAL)", "response"),
-        (r"^(RUN|PROVIDER)", "run"), (r"^(RESULT|EXPORT)", "result"),
-    ]
-    out = F.when(kind.isNull(), F.lit(None).cast("string"))
-    for pattern, stage in rules:
-        out = out.when(F.upper(kind).rlike(pattern), stage)
-    return out.otherwise("run")
-
-
-def event_state(kind: Column) -> Column:
-    k = F.upper(kind)
-    return (
-        F.when(k.rlike(r"(FAILED|ERROR|REJECTED)$"), "failed")
-        .when(k.rlike(r"(CANCELLED|CANCELED|STOPPED)$"), "cancelled")
-        .when(k.rlike(r"(COMPLETED|SUCCEEDED|READY|PUBLISHED|DONE)$"), "completed")
-        .when(k.rlike(r"(QUEUED|PENDING|CREATED|SCHEDULED)$"), "queued")
-        .otherwise("active")
-    )
+    return _first_match(kind, STAGES).otherwise(F.when(kind.isNotNull(), "SYSTEM"))
+
+
+def event_state(kind: Column, payload: Column | None = None) -> Column:
+    """State by the type's name; else the payload's own state, if it is a text; else INFO."""
+    own = json_text(payload, "state") if payload is not None else F.lit(None).cast("string")
+    return _first_match(kind, STATES).otherwise(F.when(kind.isNotNull(), F.coalesce(own, F.lit("INFO"))))
 
 
 def event_label(kind: Column) -> Column:
     return F.initcap(F.lower(F.replace(kind, F.lit("_"), F.lit(" "))))
 
 
+def event_summary(kind: Column, payload: Column, label: Column) -> Column:
+    """The payload's message, else the type in words, behind the aggregate's label if there is one."""
+    message = F.trim(json_text(payload, "message"))
+    detail = F.coalesce(F.nullif(message, F.lit("")), event_label(kind))
+    return F.when(F.coalesce(label, F.lit("")) == "", detail).otherwise(F.concat(label, F.lit(" · "), detail))
+
+
 def after_cursor(events: DataFrame, cursor: int, limit: int = 200, own: DataFrame | None = None) -> DataFrame:
     """Events after a cursor in cursor order; ``own`` (aggregate ids) narrows them."""
     out = events.where(F.col("event_id") > cursor)
@@ -102,34 +125,89 @@ def fan_out(provider_events: DataFrame, lanes: DataFrame) -> DataFrame:
     return provider_events.join(lanes.select("provider_key", "run_id").distinct(), "provider_key")
 
 
-def cooldown_seconds(explicit: Column, dimension: Column, day: int = 900, minute: int = 120, most: int = 7 * 86_400) -> Column:
+#: Waits in ms after daily and other limits, the longest that is believed, and the
+#: rank of limits.
+DAY_WAIT, WAIT, LONGEST_WAIT = 900_000, 120_000, 604_800_000
+DIMENSIONS = ["UNKNOWN", "RPM", "TPM", "RPD"]
+
+
+def cooldown_ms(explicit: Column, dimension: Column) -> Column:
     """Given wait, else one by the exhausted dimension; never beyond the cap."""
-    return F.least(F.coalesce(explicit, F.when(dimension == "RPD", day).otherwise(minute)), F.lit(most))
+    own = F.when((explicit > 0) & ~F.isnan(explicit.cast("double")), F.least(explicit.cast("long"), F.lit(LONGEST_WAIT)))
+    return F.coalesce(own, F.when(dimension == "RPD", DAY_WAIT).otherwise(WAIT)).cast("long")
 
 
-def rate_dimension(message: Column) -> Column:
-    m = F.lower(message)
-    return F.when(m.rlike(r"per[ _-]?day|daily|rpd"), "RPD").when(m.rlike(r"token|tpm"), "TPM").when(m.rlike(r"per[ _-]?minute|rpm|rate"), "RPM")
+def rate_dimension(text: Column) -> Column:
+    """The exhausted limit that a provider's text speaks of."""
+    minute = text.rlike(r"(?i)per[\s._/-]*minute|\bminutely\b")
+    return (
+        F.when(text.rlike(r"(?i)\brpd\b|per[\s._/-]*day|\bdaily\b"), "RPD")
+        .when(minute & text.rlike(r"(?i)\btpm\b|tokens?"), "TPM")
+        .when(text.rlike(r"(?i)\brpm\b") | (minute & text.rlike("(?i)requests?")), "RPM")
+        .otherwise("UNKNOWN")
+    )
 
 
-def retry_after_seconds(message: Column) -> Column:
-    """The longest wait a provider's message asks for."""
-    found = F.expr(r"regexp_extract_all({0}, '(?i)(?:retry|try again)[^0-9]{{0,20}}(\\d+(?:\\.\\d+)?)\\s*s', 1)".format(_sql(message)))
-    return F.array_max(F.transform(found, lambda x: x.cast("double")))
+def header_wait_ms(header: Column, now: Column) -> Column:
+    """Wait of a retry-after header, in seconds or as a date."""
+    date = F.coalesce(F.try_to_timestamp(F.regexp_replace(header, "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss z")), F.try_to_timestamp(header))
+    wait = F.when(header.rlike(r"^\d+$"), F.coalesce(header.try_cast("decimal(20,0)").cast("double") * 1000, F.lit(float(LONGEST_WAIT)))).otherwise(
+        F.when(date.isNotNull(), F.greatest(F.lit(0.0), (F.unix_millis(date) - F.unix_millis(now)).cast("double")))
+    )
+    return F.when(wait.isNotNull(), F.least(wait, F.lit(float(LONGEST_WAIT)))).cast("long")
 
 
-def _sql(c: Column) -> str:
-    return c._jc.toString()
+_ERROR = "struct<error:struct<details:array<struct<`@type`:string,retryDelay:string,violations:array<struct<quotaId:string,quotaMetric:string,description:string>>>>>>"
 
 
-def redacted_chunks(chunks: Column) -> Column:
-    """Chunk structs with only what may be shown."""
-    return F.transform(chunks, lambda c: F.struct(c.chunkId.alias("chunkId"), c.rank.alias("rank"), c.page.alias("page"), c.similarity.alias("similarity")))
+def quota_error(body: Column) -> Column:
+    """struct<wait_ms, dimension, scope> of a provider's JSON error: its longest retry delay, and
+    the first of the quota violations with the highest rank."""
+    details = F.coalesce(F.from_json(body, _ERROR)["error"]["details"], F.array().cast("array<struct<`@type`:string,retryDelay:string,violations:array<struct<quotaId:string,quotaMetric:string,description:string>>>>"))
+    delays = F.transform(
+        F.filter(details, lambda d: d["@type"].endswith("google.rpc.RetryInfo") & d["retryDelay"].rlike(r"^\d+(\.\d{1,9})?s$")),
+        lambda d: F.least(F.ceil(F.regexp_replace(d["retryDelay"], "s$", "").cast("double") * 1000), F.lit(LONGEST_WAIT)).cast("long"),
+    )
+    quotas = F.flatten(F.transform(F.filter(details, lambda d: d["@type"].endswith("google.rpc.QuotaFailure") & d["violations"].isNotNull()), lambda d: d["violations"]))
+    texts = F.transform(quotas, lambda v: F.filter(F.array(v["quotaId"], v["quotaMetric"], v["description"]), lambda x: F.coalesce(F.trim(x) != "", F.lit(False))))
+    said = F.transform(F.filter(texts, lambda x: F.size(x) > 0), lambda x: F.struct(rate_dimension(F.array_join(x, " ")).alias("dimension"), x[0].alias("scope")))
+    rank = lambda d: F.array_position(F.array(*map(F.lit, DIMENSIONS)), d)
+    best = F.array_max(F.transform(said, lambda x: rank(x["dimension"])))
+    first = F.get(F.filter(said, lambda x: rank(x["dimension"]) == best), F.lit(0))
+    return F.struct(F.array_max(delays).alias("wait_ms"), F.coalesce(first["dimension"], F.lit("UNKNOWN")).alias("dimension"), first["scope"].alias("scope"))
+
+
+#: What of a retrieved chunk may be shown.
+CHUNK_KEYS = ["chunkId", "rank", "page", "unit", "source", "similarity", "semanticRank", "anchorChunkId"]
+
+
+def shown_payload(aggregate: Column, kind: Column, payload: Column) -> Column:
+    """Payload (JSON) that may leave the engine: of a generation's finished retrieval only what is listed here."""
+    names = ("ordinal", "attempt", "queryText", "chunkCount", "queryVector", "retrievalConfig", "chunks", "selectedChunks", "selectedChunkIds")
+    p = F.from_json(payload, ", ".join(f"{k} variant" for k in names))
+    array_of = lambda c: F.when(F.schema_of_variant(c).startswith("ARRAY"), F.try_variant_get(c, "$", "array<variant>"))
+    text_of = lambda v: F.when(F.schema_of_variant(v) == "STRING", v.cast("string"))
+    none = F.array().cast("array<variant>")
+    raw = F.coalesce(array_of(p["chunks"]), array_of(p["selectedChunks"]), none)
+    own = F.filter(raw, lambda c: F.coalesce(F.schema_of_variant(c).startswith("OBJECT") & text_of(F.try_variant_get(c, "$.chunkId", "variant")).isNotNull(), F.lit(False)))
+    chunks = F.transform(own, lambda c: F.struct(*[F.try_variant_get(c, f"$.{k}", "variant").alias(k) for k in CHUNK_KEYS]))
+    given = F.transform(F.filter(F.coalesce(array_of(p["selectedChunkIds"]), none), lambda v: text_of(v).isNotNull()), lambda v: v.cast("string"))
+    ids = F.array_distinct(F.concat(given, F.transform(own, lambda c: F.try_variant_get(c, "$.chunkId", "string"))))
+    number = F.schema_of_variant(p["chunkCount"]).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    count = F.when(number, p["chunkCount"].cast("string").try_cast("double")).otherwise(F.size(ids).cast("double"))
+    whole = F.when(count == F.floor(count), F.to_json(F.struct(count.cast("long").alias("n")))).otherwise(F.to_json(F.struct(count.alias("n"))))
+    shown = F.to_json(
+        F.struct(
+            p["ordinal"].alias("ordinal"), p["attempt"].alias("attempt"), p["queryText"].alias("queryText"), F.try_parse_json(F.regexp_extract(whole, r":(.*)\}", 1)).alias("chunkCount"),
+            ids.alias("selectedChunkIds"), chunks.alias("chunks"), p["queryVector"].alias("queryVector"), p["retrievalConfig"].alias("retrievalConfig"),
+        )
+    )
+    return F.when((aggregate == "generation") & (kind == "QUESTION_RETRIEVAL_COMPLETED"), shown).otherwise(payload)
 
 
 def classified_failures(failures: DataFrame, dimension: DataFrame, code: str = "code") -> DataFrame:
     """Failures with class, whether to retry, and advice; codes not listed are UNKNOWN."""
-    out = failures.join(F.broadcast(dimension), code, "left")
+    out = failures.join(dimension, code, "left")
     return out.withColumns({"failure_class": F.coalesce("failure_class", F.lit("UNKNOWN")), "retryable": F.coalesce("retryable", F.lit(False))})
 
 

@@ -7,11 +7,43 @@ from pyspark.sql import functions as F
 
 from lectern.functions.scalars import is_sha256
 
-#: Legal changes of state.
-RUN_TRANSITIONS = [
-    ("DRAFT", "READY"), ("DRAFT", "CANCELLED"), ("READY", "RUNNING"), ("READY", "CANCELLED"), ("RUNNING", "PAUSED"), ("RUNNING", "SCORING"),
-    ("RUNNING", "FAILED"), ("RUNNING", "CANCELLED"), ("PAUSED", "RUNNING"), ("PAUSED", "CANCELLED"), ("SCORING", "COMPLETED"), ("SCORING", "FAILED"),
+#: Fixed values: (state, command, next state) of runs, documents and questions.
+RUN_COMMANDS = [
+    ("DRAFT", "QUEUE", "QUEUED"), ("QUEUED", "START", "RUNNING"), ("RUNNING", "PAUSE", "PAUSING"), ("PAUSING", "FINISH_PAUSE", "PAUSED"),
+    ("PAUSED", "RESUME", "RUNNING"), ("RUNNING", "STOP", "STOPPING"), ("PAUSING", "STOP", "STOPPING"), ("PAUSED", "STOP", "STOPPED"),
+    ("STOPPING", "FINISH_STOP", "STOPPED"), ("STOPPED", "RESUME", "RUNNING"), ("RUNNING", "BEGIN_SCORING", "SCORING"), ("SCORING", "PAUSE", "PAUSING"),
+    ("SCORING", "STOP", "STOPPING"), ("SCORING", "CANCEL", "CANCELLING"), ("SCORING", "COMPLETE", "COMPLETED"), ("QUEUED", "CANCEL", "CANCELLING"),
+    ("RUNNING", "CANCEL", "CANCELLING"), ("PAUSED", "CANCEL", "CANCELLING"), ("PAUSING", "CANCEL", "CANCELLING"), ("STOPPING", "CANCEL", "CANCELLING"),
+    ("STOPPED", "CANCEL", "CANCELLING"), ("CANCELLING", "FINISH_CANCEL", "CANCELLED"), ("QUEUED", "FAIL", "FAILED"), ("RUNNING", "FAIL", "FAILED"), ("SCORING", "FAIL", "FAILED"),
 ]
+DOCUMENT_COMMANDS = [
+    ("UPLOADED", "PARSE", "PARSING"), ("PARSING", "PARSE_COMPLETE", "PARSED"), ("PARSED", "APPROVE_HTML", "HTML_REVIEWED"), ("HTML_REVIEWED", "CHUNK", "CHUNKING"),
+    ("CHUNKING", "CHUNK_COMPLETE", "CHUNKED"), ("CHUNKED", "EMBED", "EMBEDDING"), ("EMBEDDING", "EMBED_COMPLETE", "READY"),
+    ("PARSING", "FAIL", "FAILED"), ("CHUNKING", "FAIL", "FAILED"), ("EMBEDDING", "FAIL", "FAILED"),
+]
+QUESTION_COMMANDS = [
+    ("DRAFT", "SUBMIT", "IN_REVIEW"), ("DRAFT", "APPROVE", "APPROVED"), ("DRAFT", "EDIT_AND_APPROVE", "APPROVED"), ("DRAFT", "HOLD", "HELD"),
+    ("IN_REVIEW", "APPROVE", "APPROVED"), ("IN_REVIEW", "EDIT_AND_APPROVE", "APPROVED"), ("IN_REVIEW", "HOLD", "HELD"), ("HELD", "REOPEN", "IN_REVIEW"),
+    ("DRAFT", "DELETE", "DELETED"), ("IN_REVIEW", "DELETE", "DELETED"), ("HELD", "DELETE", "DELETED"),
+]
+#: Legal changes of a judge's call.
+JUDGE_TRANSITIONS = [("REQUESTED", "RESPONSE_RECEIVED"), ("REQUESTED", "FAILED"), ("RESPONSE_RECEIVED", "PARSED"), ("RESPONSE_RECEIVED", "FAILED"), ("PARSED", "PERSISTED"), ("PARSED", "FAILED")]
+#: A document that failed may go back to the stage it failed in.
+RUN_TRANSITIONS = sorted({(a, b) for a, _, b in RUN_COMMANDS})
+QUESTION_TRANSITIONS = sorted({(a, b) for a, _, b in QUESTION_COMMANDS})
+DOCUMENT_TRANSITIONS = sorted({(a, b) for a, _, b in DOCUMENT_COMMANDS} | {("FAILED", a) for a, _, b in DOCUMENT_COMMANDS if b == "FAILED"})
+
+
+def next_states(df: DataFrame, commands: list[tuple[str, str, str]], state: str = "state", command: str = "command", failed_stage: str | None = None) -> DataFrame:
+    """df with next_state: where the command leads, NULL if it is not allowed.
+
+    With ``failed_stage`` a RETRY leads from FAILED back to the stage in that column.
+    """
+    table = F.create_map(*[F.lit(x) for a, c, b in commands for x in (f"{a}:{c}", b)])
+    to = F.try_element_at(table, F.concat_ws(":", F.col(state), F.col(command)))
+    if failed_stage:
+        to = F.when((F.col(state) == "FAILED") & (F.col(command) == "RETRY") & F.col(failed_stage).isNotNull(), F.col(failed_stage)).otherwise(to)
+    return df.withColumn("next_state", to)
 
 
 def nonempty_unique(a: Column) -> Column:
@@ -26,11 +58,31 @@ def weights_valid(weights: Column) -> Column:
     return F.coalesce(F.trim(weights).startswith("{") & F.forall(F.map_values(m), number), F.lit(False))
 
 
-def profile_usable(metrics: Column, weights: Column, known: list[str], rubric_hash: Column) -> Column:
-    """Score profile that may be used: known unique metrics, valid weights for them, a hash."""
-    unknown = F.exists(metrics, lambda m: ~m.isin(*known))
-    keys = F.map_keys(F.from_json(weights, "map<string,string>"))
-    return nonempty_unique(metrics) & ~unknown & weights_valid(weights) & (F.size(F.array_except(keys, metrics)) == 0) & F.coalesce(is_sha256(rubric_hash), F.lit(False))
+#: Metrics without a judge, marks of unknown judges, and the provenance that counts.
+ALGORITHMIC = ["exact_match", "response_present"]
+UNRECORDED = ["legacy-environment-default-unrecorded", "legacy-provider-unrecorded"]
+VERIFIED = "AT_CREATION_VERIFIED"
+
+
+def judge_resolved(provider: Column, model: Column) -> Column:
+    """Both names absent, or both given, not blank and not one of the marks for unknown."""
+    named = F.coalesce((F.trim(provider) != "") & (F.trim(model) != "") & ~provider.isin(*UNRECORDED) & ~model.isin(*UNRECORDED), F.lit(False))
+    return (provider.isNull() & model.isNull()) | named
+
+
+def profile_usable(metrics: Column, provider: Column, model: Column) -> Column:
+    """Score profile that may be used: metrics as a JSON array, with a known judge if one of them needs it."""
+    v = F.try_parse_json(metrics)
+    names = F.from_json(metrics, "array<string>")
+    judged = F.exists(names, lambda m: ~F.coalesce(m.isin(*ALGORITHMIC), F.lit(True)))
+    is_array = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    return judge_resolved(provider, model) & is_array & (~F.coalesce(judged, F.lit(False)) | provider.isNotNull())
+
+
+def run_profile_usable(snapshot: Column, provenance: Column) -> Column:
+    """A run's profile snapshot (JSON) may be scored by."""
+    part = lambda k: F.get_json_object(snapshot, f"$.{k}")
+    return F.coalesce(provenance == VERIFIED, F.lit(False)) & profile_usable(part("metrics"), part("judgeProvider"), part("judgeModel"))
 
 
 def config_valid(config: Column, fields: dict[str, tuple[float, float]]) -> Column:
@@ -74,25 +126,50 @@ def ordinal_gaps(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     return g.where("low <> 1 or high <> n or k <> n")
 
 
+_EVIDENCE = "evidenceChunkIds:array<string>"
 _QUESTION = (
-    "struct<question:string,answer:string,explanation:string,type:string,options:array<string>,"
-    "concepts:array<struct<id:string,name:string>>,relations:array<struct<from:string,to:string,relation:string>>,target:string>"
+    f"struct<questionText:string,answerText:string,acceptedAnswers:array<string>,answerOptions:array<string>,designSummary:string,evidenceSummary:string,{_EVIDENCE},"
+    "benchmarkDesign:struct<benchmarkType:string,taskType:string,targetConcept:string,"
+    f"prerequisiteConcepts:array<struct<concept:string,role:string,{_EVIDENCE}>>,"
+    f"prerequisiteRelations:array<struct<fromConcept:string,toConcept:string,relationType:string,explanation:string,{_EVIDENCE}>>,"
+    "requiredReasoningSteps:array<string>,failureSignals:array<string>>>"
 )
-
-
-def question_problems(raw: Column, least: int = 10, relations: tuple[str, ...] = ("REQUIRES", "SUPPORTS", "PART_OF")) -> Column:
-    """Names of the rules that a generated question's JSON breaks; empty if it is valid."""
-    q = F.from_json(raw, _QUESTION)
-    choice = q["type"] == "MULTIPLE_CHOICE"
+#: Kinds of relations and tasks, the only type of benchmark, the type with options and their number.
+RELATIONS = ["REQUIRES", "BUILDS_ON", "APPLIES", "DISTINGUISHES"]
+TASKS = ["dependency_application", "missing_prerequisite_diagnosis", "cross_unit_transfer", "relation_direction_discrimination", "prerequisite_chain_completion"]
+BENCHMARK_TYPE, WITH_OPTIONS, OPTIONS = "PREREQUISITE_RELATIONSHIP", "객관식", 5
+_UUID = "(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}|0{8}-0{4}-0{4}-0{4}-0{12}|f{8}-f{4}-f{4}-f{4}-f{12})$"
+
+
+def question_problems(raw: Column, question_type: Column | None = None) -> Column:
+    """Paths of the fields of a generated question's JSON that break a rule; empty if it is valid.
+
+    With ``question_type`` the number of options is checked too (answerOptions).
+    """
+    q = F.from_json(F.trim(raw), _QUESTION, {"mode": "PERMISSIVE"})
+    d = q["benchmarkDesign"]
+    ids = lambda c: (F.size(c) >= 1) & F.forall(c, lambda x: F.coalesce(x.rlike(_UUID), F.lit(False)))
+    long = lambda c, n: F.length(c) >= n
+    several = lambda c, n, fits: (F.size(c) >= n) & F.forall(c, lambda x: F.coalesce(fits(x), F.lit(False)))
     rules = {
-        "NOT_JSON": q.isNull() | q["question"].isNull(),
-        "SHORT_QUESTION": F.length(F.trim(q["question"])) < least,
-        "NO_ANSWER": F.coalesce(F.length(F.trim(q["answer"])), F.lit(0)) == 0,
-        "OPTIONS": F.when(choice, F.coalesce(F.size(q["options"]), F.lit(0)) != 5).otherwise(F.coalesce(F.size(q["options"]), F.lit(0)) != 0),
-        "RELATION_KIND": F.coalesce(F.exists(q["relations"], lambda r: ~F.coalesce(r.relation.isin(*relations), F.lit(False))), F.lit(False)),
-        "TARGET_NOT_REACHED": ~F.coalesce(F.exists(q["relations"], lambda r: r.to == q["target"]), F.lit(False)),
-    }
-    return F.filter(F.array(*[F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+        "questionText": long(q["questionText"], 5),
+        "answerText": long(q["answerText"], 1),
+        "evidenceChunkIds": ids(q["evidenceChunkIds"]),
+        "benchmarkDesign.benchmarkType": d["benchmarkType"] == BENCHMARK_TYPE,
+        "benchmarkDesign.taskType": d["taskType"].isin(*TASKS),
+        "benchmarkDesign.targetConcept": long(d["targetConcept"], 1),
+        "benchmarkDesign.prerequisiteConcepts": several(d["prerequisiteConcepts"], 1, lambda x: long(x.concept, 1) & long(x.role, 5) & ids(x.evidenceChunkIds)),
+        "benchmarkDesign.prerequisiteRelations": several(
+            d["prerequisiteRelations"], 1,
+            lambda x: long(x.fromConcept, 1) & long(x.toConcept, 1) & x.relationType.isin(*RELATIONS) & long(x.explanation, 5) & ids(x.evidenceChunkIds),
+        ) & F.exists(d["prerequisiteRelations"], lambda x: x.toConcept == d["targetConcept"]),
+        "benchmarkDesign.requiredReasoningSteps": several(d["requiredReasoningSteps"], 2, lambda x: long(x, 3)),
+        "benchmarkDesign.failureSignals": several(d["failureSignals"], 1, lambda x: long(x, 3)),
+    }
+    if question_type is not None:
+        n = F.coalesce(F.size(q["answerOptions"]), F.lit(0))
+        rules["answerOptions"] = F.when(question_type == WITH_OPTIONS, n == OPTIONS).otherwise(n <= 0)
+    return F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
 
 
 def design_normalised(design: Column) -> Column:
@@ -107,5 +184,11 @@ def soft_deleted(states: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return states.unionByName(changes).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
 
 
-def unusable_runs(runs: DataFrame, profiles: DataFrame, usable: Column) -> DataFrame:
-    return runs.join(profiles.where(~usable).select(F.col("id").alias("score_profile_id")), "score_profile_id", "left_semi")
+def unusable_runs(runs: DataFrame) -> DataFrame:
+    """Runs (id, state, snapshot, provenance) that can't be scored by their profile: new state and why."""
+    part = lambda k: F.get_json_object("snapshot", f"$.{k}")
+    provider, model = part("judgeProvider"), part("judgeModel")
+    return runs.where(~run_profile_usable(F.col("snapshot"), F.col("provenance"))).select(
+        "id", F.col("state").alias("previous_state"), F.when(F.col("state") == "SCORING", "FAILED").otherwise(F.col("state")).alias("state"),
+        F.col("provenance").alias("snapshot_provenance"), judge_resolved(provider, model).alias("judge_resolved"), profile_usable(part("metrics"), provider, model).alias("definition_usable"),
+    )

@@ -116,10 +116,12 @@ def span_join(spans: DataFrame, points: DataFrame, group: str, start: str, end:
     return spans.join(p, (F.col(group) == F.col("__g")) & inside).drop("__g")
 
 
-def price_by_pattern(usage: DataFrame, prices: DataFrame, key: list[str], model: str = "model_id") -> DataFrame:
+def price_by_pattern(usage: DataFrame, prices: DataFrame, model: str = "model_id") -> DataFrame:
     """Each usage row with the newest price whose LIKE pattern fits its model, if any."""
-    joined = usage.join(F.broadcast(prices), F.expr(f"{model} LIKE model_pattern"), "left")
-    return latest_per_key(joined, key, [F.desc_nulls_last("valid_from"), F.desc_nulls_last("price_id")])
+    # patterns meet the distinct models only; usage then joins by equality
+    fits = usage.select(model).distinct().join(prices, F.expr(f"{model} LIKE model_pattern"))
+    best = latest_per_key(fits, [model], [F.desc_nulls_last("valid_from"), F.desc_nulls_last("price_id")])
+    return usage.join(best, model, "left")
 
 
 # -- pointers -------------------------------------------------------------------------------
@@ -132,20 +134,23 @@ def resolve_receipts(rows: DataFrame, key: str, root: str, fields: list[str]) ->
     return out.withColumns({f: F.coalesce(F.col(f), F.col(f"__{f}")) for f in fields}).drop("__root", *[f"__{f}" for f in fields])
 
 
-def follow_pointers(rows: DataFrame, key: str, pointer: str, most: int = 16) -> DataFrame:
-    """key, root, hops, state (ROOT, RESOLVED, DANGLING or CYCLE) of every row, by pointer jumping.
+def follow_pointers(rows: DataFrame, key: str, pointer: str, payload: list[str] | None = None) -> DataFrame:
+    """key, root, hops, state of every row, by pointer jumping: ROOT, RESOLVED, DANGLING, CYCLE, or
+    INCOMPLETE where the chain ends at a row that lacks one of the ``payload`` columns.
 
-    Each round doubles the distance covered, so ``most`` rounds cover 2**most hops.
+    Each round doubles the distance covered; after as many rounds as a chain of all rows would
+    need, what is not resolved is on a cycle or leads into one.
     """
-    ids = rows.select(F.col(key).alias("k"), F.col(pointer).alias("p"))
+    whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in payload]) if payload else F.lit(True)
+    ids = rows.select(F.col(key).alias("k"), F.col(pointer).alias("p"), whole.alias("whole"))
     known = ids.select(F.col("k").alias("p"), F.lit(True).alias("there"))
     at = ids.join(known, "p", "left").select(
         "k",
         F.coalesce("p", "k").alias("to"),
         F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("hops"),
-        F.when(F.col("p").isNull(), "ROOT").when(F.col("there").isNull(), "DANGLING").alias("state"),
+        F.when(F.col("p").isNull(), F.when(F.col("whole"), "ROOT").otherwise("INCOMPLETE")).when(F.col("there").isNull(), "DANGLING").alias("state"),
     )
-    for _ in range(most):
+    for _ in range(rows.count().bit_length() + 1):
         if at.where("state is null").isEmpty():
             break
         nxt = at.select(F.col("k").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("state").alias("state2"))
@@ -153,10 +158,7 @@ def follow_pointers(rows: DataFrame, key: str, pointer: str, most: int = 16) ->
             "k",
             F.when(F.col("state").isNull(), F.col("to2")).otherwise(F.col("to")).alias("to"),
             F.when(F.col("state").isNull(), F.col("hops") + F.col("hops2")).otherwise(F.col("hops")).alias("hops"),
-            F.when(F.col("state").isNotNull(), F.col("state"))
-            .when(F.col("state2").isin("ROOT", "RESOLVED"), F.lit("RESOLVED"))
-            .when(F.col("state2") == "DANGLING", F.lit("DANGLING"))
-            .alias("state"),
+            F.coalesce("state", F.when(F.col("state2") == "ROOT", "RESOLVED").otherwise(F.col("state2"))).alias("state"),
         )
         at = at.checkpoint() if at.sparkSession.sparkContext.getCheckpointDir() else at
     return at.select(
@@ -167,24 +169,30 @@ def follow_pointers(rows: DataFrame, key: str, pointer: str, most: int = 16) ->
     )
 
 
-def ancestors(nodes: DataFrame, key: str, parent: str, depth: int = 8) -> DataFrame:
-    """(key, ancestor, distance) for all ancestors up to ``depth`` levels; trees here are shallow."""
+def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
+    """(key, ancestor, distance) for all ancestors, one join per level until no node has a farther one.
+
+    A node that meets itself is on a cycle, which has no closure: ValueError.
+    """
     step = nodes.where(F.col(parent).isNotNull()).select(F.col(key), F.col(parent).alias("ancestor"), F.lit(1).alias("distance"))
-    up = nodes.select(F.col(key).alias("ancestor"), F.col(parent).alias("__up"))
-    levels = [step]
-    for d in range(2, depth + 1):
-        nxt = levels[-1].join(up, "ancestor").where("__up is not null").select(key, F.col("__up").alias("ancestor"), F.lit(d).alias("distance"))
-        levels.append(nxt)
-    return reduce(DataFrame.unionByName, levels)
+    up = nodes.where(F.col(parent).isNotNull()).select(F.col(key).alias("ancestor"), F.col(parent).alias("__up"))
+    levels, at = [], step
+    while not at.isEmpty():
+        levels.append(at)
+        at = at.join(up, "ancestor").select(key, F.col("__up").alias("ancestor"), F.lit(len(levels) + 1).alias("distance"))
+        at = at.checkpoint() if at.sparkSession.sparkContext.getCheckpointDir() else at
+        if not at.where(F.col(key) == F.col("ancestor")).isEmpty():
+            raise ValueError("the parents form a cycle")
+    return reduce(DataFrame.unionByName, levels) if levels else step
 
 
-def parent_by_level(entries: DataFrame, group: str, ordinal: str = "ordinal", level: str = "level", deepest: int = 6) -> DataFrame:
-    """The nearest earlier entry of a smaller level, by one window per level instead of a stack."""
+def parent_by_level(entries: DataFrame, group: str, ordinal: str = "ordinal", level: str = "level") -> DataFrame:
+    """The nearest earlier entry of a smaller level, by one window per level that occurs."""
     w = Window.partitionBy(group).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
-    last = {n: F.last(F.when(F.col(level) == n, F.col(ordinal)), ignorenulls=True).over(w) for n in range(1, deepest)}
-    out = entries.withColumns({f"__l{n}": c for n, c in last.items()})
-    best = F.greatest(*[F.when(F.col(level) > n, F.col(f"__l{n}")) for n in last])
-    return out.withColumn("parent_ordinal", best).drop(*[f"__l{n}" for n in last])
+    levels = sorted(r[0] for r in entries.select(level).where(F.col(level).isNotNull()).distinct().collect())[:-1]
+    above = [F.when(F.col(level) > n, F.last(F.when(F.col(level) == n, F.col(ordinal)), ignorenulls=True).over(w)) for n in levels]
+    best = F.greatest(*above) if len(above) > 1 else above[0] if above else F.lit(None).cast(entries.schema[ordinal].dataType)
+    return entries.withColumn("parent_ordinal", best)
 
 
 def carry_forward(chunks: DataFrame, group: str, ordinal: str = "ordinal") -> DataFrame:
@@ -239,11 +247,10 @@ def canonical_blobs(df: DataFrame, content: str, order: list[Column]) -> DataFra
 
 
 def hash_collisions(df: DataFrame, content: str) -> DataFrame:
-    return (
-        df.groupBy(F.sha2(F.col(content).cast("binary"), 256).alias("sha256"))
-        .agg(F.count_distinct(content).alias("contents"))
-        .where("contents > 1")
-    )
+    """Hashes of several contents, told apart by two further hashes, so that contents are not shuffled."""
+    raw = F.col(content).cast("binary")
+    told = df.select(F.sha2(raw, 256).alias("sha256"), F.xxhash64(raw).alias("a"), F.sha1(raw).alias("b"), F.octet_length(raw).alias("n"))
+    return told.distinct().where("sha256 is not null").groupBy("sha256").agg(F.count(F.lit(1)).alias("contents")).where("contents > 1")
 
 
 def claim_order(items: DataFrame, lanes: DataFrame, blocked: DataFrame, lane: str, order: list[Column]) -> DataFrame:

@@ -77,12 +77,21 @@ def cited_first(chunks: Column, concepts: Column, relations: Column) -> Column:
     return F.concat(cited, F.array_except(F.array_distinct(chunks), cited))
 
 
+#: Instructions of the prompts and titles of the evidence, by mode.
+NO_SEARCH = "교과서 검색 근거는 제공되지 않습니다. 모델 자체 지식만 사용해 답하십시오."
+TITLES = {"VECTOR": "단순 벡터 검색으로 찾은 교과서 근거", "PIKE": "Pike-inspired 생성 그래프 스냅샷에서 재사용·재정렬한 교과서 근거", "*": "문항에 연결된 기존 교과서 근거"}
+ONLY_THIS, NOTHING_FOUND = "만 사용하십시오.\n\n", "를 찾지 못했습니다. 근거 부족을 명시하십시오."
+
+
+def _numbered(options: Column) -> Column:
+    return F.array_join(F.transform(options, lambda o, i: F.concat((i + 1).cast("string"), F.lit(". "), o)), "\n")
+
+
 def public_query(question: Column, options: Column) -> Column:
-    """Retrieval query of a question: its text and numbered options, never its answer."""
-    numbered = F.transform(options, lambda o, i: F.concat((i + 1).cast("string"), F.lit(". "), F.trim(o)))
-    return F.when(F.size(options) > 0, F.concat(F.lit("질문: "), F.trim(question), F.lit("\n선택지:\n"), F.array_join(numbered, "\n"))).otherwise(
-        F.concat(F.lit("질문: "), F.trim(question))
-    )
+    """Retrieval query of a question: its text and numbered options, blank ones left out, never its answer."""
+    given = F.filter(F.transform(F.coalesce(options, F.array().cast("array<string>")), lambda o: F.trim(o)), lambda o: o != "")
+    more = F.when(F.size(given) > 0, F.concat(F.lit("\n선택지:\n"), _numbered(given))).otherwise("")
+    return F.concat(F.lit("질문: "), F.trim(question), more)
 
 
 def rendered_evidence(evidence: Column) -> Column:
@@ -91,13 +100,12 @@ def rendered_evidence(evidence: Column) -> Column:
     return F.array_join(F.transform(evidence, one), "\n\n")
 
 
-def answer_prompt(mode: Column, query: Column, evidence: Column, graph: Column) -> Column:
-    """Prompt by mode: the bare question, with evidence, or with concept graph and evidence."""
-    return (
-        F.when(mode == "NONE", query)
-        .when(mode == "VECTOR", F.concat_ws("\n\n", evidence, query))
-        .when(mode == "PIKE", F.concat_ws("\n\n", graph, evidence, query))
-    )
+def answer_prompt(mode: Column, question: Column, options: Column, evidence: Column) -> Column:
+    """What a model is asked: an instruction by mode, with the evidence texts, then the question and its options."""
+    title = F.when(mode == "VECTOR", TITLES["VECTOR"]).when(mode == "PIKE", TITLES["PIKE"]).otherwise(TITLES["*"])
+    found = F.when(F.size(F.coalesce(evidence, F.array().cast("array<string>"))) > 0, F.concat(title, F.lit(ONLY_THIS), F.array_join(evidence, "\n\n"))).otherwise(F.concat(title, F.lit(NOTHING_FOUND)))
+    asked = F.when(F.size(F.coalesce(options, F.array().cast("array<string>"))) > 0, F.concat(F.lit("\n\n선택지:\n"), _numbered(options))).otherwise("")
+    return F.concat(F.when(mode == "NONE", NO_SEARCH).otherwise(found), F.lit("\n\n[질문]\n"), question, asked)
 
 
 def vector_audit(vector: Column) -> Column:

@@ -31,39 +31,53 @@ def response_present(text: Column) -> Column:
     return (F.length(F.trim(F.coalesce(text, F.lit("")))) > 0).cast("int")
 
 
-_ANSWER = "struct<scores:array<struct<metric:string,value:string,label:string,rationale:string,evidence:array<string>>>>"
+#: What stands for a label and a rationale that are missing.
+NO_LABEL, NO_RATIONALE = "SCORED", "채점 모델이 설명을 생략했습니다."
 
 
 def parse_judge(answers: DataFrame, raw: str = "raw") -> DataFrame:
     """Scores parsed from judge answers, with ``reject`` saying why an answer does not count.
 
-    The JSON is what stands between the first { and the last }. Numeric strings are numbers,
-    blank strings are not; values must lie in 0..1; a metric may occur once.
+    The JSON is what stands between the first { and the last }. Numeric texts are numbers,
+    blank ones are not; values must lie in 0..1; a metric may occur once. Evidence is a list
+    of claims, quotes and chunk ids; a bare text is a claim, anything else is left out.
     """
-    body = F.regexp_extract(F.col(raw), r"(?s)(\{.*\})", 1)
-    out = answers.withColumn("__p", F.from_json(body, _ANSWER))
+    v = F.try_parse_json(F.regexp_extract(F.col(raw), r"(?s)(\{.*\})", 1))
+    array_of = lambda c, path: F.when(F.schema_of_variant(F.try_variant_get(c, path, "variant")).startswith("ARRAY"), F.try_variant_get(c, path, "array<variant>"))
+    text_at = lambda c, path: F.when(F.schema_of_variant(F.try_variant_get(c, path, "variant")) == "STRING", F.try_variant_get(c, path, "string"))
+    told = lambda c, path: F.nullif(F.trim(text_at(c, path)), F.lit(""))
+    is_text = lambda c: F.schema_of_variant(c) == "STRING"
+    evidence = lambda s: F.filter(
+        F.transform(
+            F.coalesce(array_of(s, "$.evidence"), F.array().cast("array<variant>")),
+            lambda e: F.struct(F.when(is_text(e), F.nullif(F.trim(e.cast("string")), F.lit(""))).otherwise(told(e, "$.claim")).alias("claim"), told(e, "$.quote").alias("quote"), told(e, "$.chunkId").alias("chunkId")),
+        ),
+        lambda e: e.claim.isNotNull() | e.quote.isNotNull() | e.chunkId.isNotNull(),
+    )
+    out = answers.withColumn("__v", v).withColumn("__s", array_of(F.col("__v"), "$.scores"))
     scores = F.transform(
-        F.col("__p.scores"),
+        "__s",
         lambda s: F.struct(
-            s.metric.alias("metric_key"),
-            _number(s.value).alias("value"),
-            F.coalesce(F.nullif(F.trim(s.label), F.lit("")), s.metric).alias("label"),
-            F.coalesce(F.trim(s.rationale), F.lit("")).alias("rationale"),
-        ),
+            text_at(s, "$.metricKey").alias("metric_key"), _number(F.try_variant_get(s, "$.value", "variant")).alias("value"),
+            F.coalesce(told(s, "$.label"), F.lit(NO_LABEL)).alias("label"), F.coalesce(told(s, "$.rationale"), F.lit(NO_RATIONALE)).alias("rationale"), evidence(s).alias("evidence"),
+        ),
     )
     out = out.withColumn("scores", scores)
     keys = F.transform("scores", lambda s: s.metric_key)
     reject = (
-        F.when(F.col("__p").isNull() | F.col("__p.scores").isNull(), "NOT_JSON")
-        .when(F.exists("scores", lambda s: s.metric_key.isNull() | (F.trim(s.metric_key) == "")), "NO_METRIC")
-        .when(F.size(F.array_distinct(keys)) < F.size(keys), "DUPLICATE_METRIC")
+        F.when(F.col("__v").isNull() | F.col("__s").isNull(), "NOT_JSON")
+        .when(F.exists("scores", lambda s: s.metric_key.isNull()), "NO_METRIC")
         .when(F.exists("scores", lambda s: s.value.isNull() | (s.value < 0) | (s.value > 1)), "VALUE_OUT_OF_RANGE")
+        .when(F.size(F.array_distinct(keys)) < F.size(keys), "DUPLICATE_METRIC")
     )
-    return out.withColumn("reject", reject).drop("__p")
+    return out.withColumn("reject", reject).drop("__v", "__s")
 
 
-def _number(text: Column) -> Column:
-    return F.when(F.trim(text).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(text).cast("double"))
+def _number(value: Column) -> Column:
+    """A JSON number, or a text that spells one."""
+    kind, text = F.schema_of_variant(value), F.trim(value.cast("string"))
+    spelled = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    return F.when(kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)") | ((kind == "STRING") & spelled), text.try_cast("double"))
 
 
 def metric_matches(asked: Column, answered: Column) -> tuple[Column, Column]:
@@ -87,9 +101,9 @@ def terminal_metrics(calls: DataFrame, chargeable: int = 3) -> DataFrame:
     return done.select("response_id", F.explode("metrics").alias("metric_key")).distinct()
 
 
-def response_costs(responses: DataFrame, prices: DataFrame, key: str = "response_id") -> DataFrame:
+def response_costs(responses: DataFrame, prices: DataFrame) -> DataFrame:
     """Native and converted cost of each response by the newest fitting price."""
-    priced = price_by_pattern(responses, prices, [key])
+    priced = price_by_pattern(responses, prices)
     native = token_cost(F.col("input_tokens"), F.col("output_tokens"), F.col("price_in"), F.col("price_out"))
     return priced.withColumn("cost_native", native).withColumn("cost_krw", converted(native, F.col("rate")))
 
@@ -104,5 +118,5 @@ def incomplete_runs(pairs: DataFrame, key: str) -> DataFrame:
 
 def with_metric_names(scores: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Label, category and method of each metric; unknown keys name themselves."""
-    out = scores.join(F.broadcast(dictionary), "metric_key", "left")
+    out = scores.join(dictionary, "metric_key", "left")
     return out.withColumns({"label": F.coalesce("label", "metric_key"), "category": F.coalesce("category", F.lit("custom"))})

@@ -176,23 +176,24 @@ def run_progress(spark, sf_dir):
     return p.withColumn("percent", percent_done(F.col("finished"), F.col("total")))
 
 
-@register(f"""WITH {ITEMS} SELECT blind_id, count(*) FILTER (state = 'RUNNING') AS running, count(*) FILTER (state = 'FAILED') AS failed,
+ITEM_SUMMARY = f"""WITH {ITEMS} SELECT {{key}}, count(*) FILTER (state = 'RUNNING') AS running, count(*) FILTER (state = 'FAILED') AS failed,
 count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'COMPLETED') AS completed,
-coalesce(string_agg(message, ',' ORDER BY id) FILTER (state = 'FAILED'), '') AS errors, false AS all_completed FROM items WHERE id % 40 = 1 GROUP BY ALL""")
+coalesce(string_agg(message, ',' ORDER BY id) FILTER (state = 'FAILED'), '') AS errors, false AS all_completed FROM items GROUP BY ALL"""
+
+
+@register(ITEM_SUMMARY.format(key="mode"))
 def item_summary(spark, sf_dir):
-    return _item_summary(_items(spark, sf_dir).where("id % 40 = 1"))
+    return _item_summary(_items(spark, sf_dir), "mode")
 
 
-@register(f"""WITH {ITEMS} SELECT blind_id, count(*) FILTER (state = 'RUNNING') AS running, count(*) FILTER (state = 'FAILED') AS failed,
-count(*) FILTER (state = 'PENDING') AS pending, count(*) FILTER (state = 'COMPLETED') AS completed,
-coalesce(string_agg(message, ',' ORDER BY id) FILTER (state = 'FAILED'), '') AS errors, false AS all_completed FROM items GROUP BY ALL""")
+@register(ITEM_SUMMARY.format(key="blind_id"))
 def item_summary_all(spark, sf_dir):
-    return _item_summary(_items(spark, sf_dir))
+    return _item_summary(_items(spark, sf_dir), "blind_id")
 
 
-def _item_summary(items):
+def _item_summary(items, key):
     i = items.withColumnsRenamed({"id": "ordinal", "message": "error"})
-    return details.item_summary(i, "blind_id").withColumn("errors", F.array_join("errors", ","))
+    return details.item_summary(i, key).withColumn("errors", F.array_join("errors", ","))
 
 
 def _responses(spark, sf_dir):
@@ -284,20 +285,23 @@ def answer_imbalance(spark, sf_dir):
     return statistics.answer_imbalance(o, "grp", "o_orderstatus", ["F", "O", "P"])
 
 
-JUDGED = """'Here: {"scores":[{"metric":"' || event_type || '","value":"' || CASE WHEN event_id % 11 = 0 THEN ' ' ELSE CAST((event_id % 13) / 10.0 AS VARCHAR) END || '"}' ||
-CASE WHEN event_id % 7 = 0 THEN ',{"metric":"' || event_type || '","value":"0.5"}' ELSE '' END || CASE WHEN event_id % 17 = 0 THEN '' ELSE ']} done' END"""
-
-
-@register("""SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'NOT_JSON' WHEN event_id % 7 = 0 THEN 'DUPLICATE_METRIC' WHEN event_id % 11 = 0 OR event_id % 13 > 10 THEN 'VALUE_OUT_OF_RANGE' END AS reject,
-CASE WHEN event_id % 17 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END END AS n FROM events""")
+@register("""SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'NOT_JSON' WHEN event_id % 19 = 0 THEN 'NO_METRIC' WHEN event_id % 11 = 0 OR event_id % 13 > 10 THEN 'VALUE_OUT_OF_RANGE' WHEN event_id % 7 = 0 THEN 'DUPLICATE_METRIC' END AS reject,
+CASE WHEN event_id % 17 <> 0 THEN CASE WHEN event_id % 7 = 0 THEN 2 ELSE 1 END END AS n, CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 4 = 0 THEN 'CORRECT' ELSE 'SCORED' END AS label,
+CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 4 = 1 THEN 'why' ELSE '채점 모델이 설명을 생략했습니다.' END AS rationale,
+CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 4 = 2 THEN 'claim=c1;quote=q,chunkId=k1' WHEN event_id % 4 = 3 THEN 'claim=c2' ELSE '' END AS evidence FROM events""")
 def judge_answers(spark, sf_dir):
-    e = t(spark, sf_dir, "events")
-    value = F.when(F.col("event_id") % 11 == 0, " ").otherwise((F.col("event_id") % 13 / 10).cast("string"))
-    one = lambda v: F.concat(F.lit('{"metric":"'), F.col("event_type"), F.lit('","value":"'), v, F.lit('"}'))
-    more = F.when(F.col("event_id") % 7 == 0, F.concat(F.lit(","), one(F.lit("0.5")))).otherwise("")
-    raw = F.concat(F.lit('Here: {"scores":['), one(value), more, F.when(F.col("event_id") % 17 == 0, "").otherwise("]} done"))
-    p = scoring.parse_judge(e.select("event_id", raw.alias("raw")))
-    return p.select("event_id", "reject", F.when(F.coalesce(F.col("reject"), F.lit("")) != "NOT_JSON", F.size("scores")).alias("n"))
+    k = F.col("event_id")
+    value = F.when(k % 11 == 0, '" "').when(k % 2 == 0, F.concat(F.lit('"'), (k % 13 / 10).cast("string"), F.lit('"'))).otherwise((k % 13 / 10).cast("string"))
+    more = F.when(k % 4 == 0, ',"label":" CORRECT "').when(k % 4 == 1, ',"label":5,"rationale":"why "').when(k % 4 == 2, ',"rationale":" ","evidence":[" c1 ",{"quote":"q","chunkId":"k1","claim":7},{},3,""]').otherwise(',"evidence":[{"claim":"c2","other":1},["x"]]')
+    one = lambda v: F.concat(F.lit('{"metricKey":'), F.when(k % 19 == 0, F.lit("1")).otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"'))), F.lit(',"value":'), v, more, F.lit("}"))
+    twice = F.when(k % 7 == 0, F.concat(F.lit(","), one(F.lit("0.5")))).otherwise("")
+    raw = F.concat(F.lit('Here: {"scores":['), one(value), twice, F.when(k % 17 == 0, "").otherwise("]} done"))
+    p = scoring.parse_judge(t(spark, sf_dir, "events").select("event_id", raw.alias("raw")))
+    told = lambda e: F.concat_ws(",", *[F.concat(F.lit(f"{x}="), e[x]) for x in ("claim", "quote", "chunkId")])
+    first = F.get("scores", F.lit(0))
+    return p.select(
+        "event_id", "reject", F.when(F.coalesce(F.col("reject"), F.lit("")) != "NOT_JSON", F.size("scores")).alias("n"), first["label"].alias("label"), first["rationale"].alias("rationale"), F.array_join(F.transform(first["evidence"], told), ";").alias("evidence")
+    )
 
 
 @register("""WITH c AS (SELECT user_id % 200 AS response_id, event_type AS logical_key, event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'COMPLETED' ELSE 'FAILED' END AS state,
@@ -338,51 +342,38 @@ def score_completeness(spark, sf_dir):
     return scoring.incomplete_runs(p, "run_id")
 
 
-def _vectors(spark, sf_dir, chosen="vec_id < 8"):
+def _vectors(spark, sf_dir):
+    """Every hundredth vector as a query, against all of them."""
     e = t(spark, sf_dir, "embeddings")
     chunks = e.select(F.col("vec_id").alias("chunk_id"), F.col("label").alias("file"), F.col("vec_id").cast("int").alias("ordinal"), "embedding")
-    return e.where(chosen).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), chunks
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")), chunks
 
 
 HITS = """hits AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_id, c.label AS file, CAST(c.vec_id AS INT) AS ordinal,
   round(1 - list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / (sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))) * sqrt(list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))), 9) AS distance
-  FROM embeddings q, embeddings c WHERE q.vec_id < 8), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, file, ordinal) AS INT) AS semantic_rank FROM hits QUALIFY semantic_rank <= 12)"""
+  FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance NULLS LAST, file, ordinal) AS INT) AS semantic_rank FROM hits QUALIFY semantic_rank <= 12)"""
+TOP_K = f"WITH {HITS} SELECT query_id, chunk_id, file, ordinal, semantic_rank, abs(round(distance, 6)) AS distance FROM top"
+NEIGHBOURS = f"""WITH {HITS}, allc AS (SELECT query_id, file, ordinal, chunk_id, semantic_rank * 1000.0 AS o, false AS near, semantic_rank FROM top
+  UNION ALL SELECT t.query_id, t.file, CAST(e.vec_id AS INT), e.vec_id, t.semantic_rank * 1000.0 - (t.ordinal - e.vec_id), true, t.semantic_rank FROM top t JOIN embeddings e ON e.label = t.file AND e.vec_id BETWEEN greatest(1, t.ordinal - 20) AND t.ordinal - 1)
+SELECT query_id, chunk_id, file, ordinal, near AS is_neighbour, CAST(o AS DOUBLE) AS selection_order FROM allc QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY near, o, semantic_rank) = 1"""
 
 
-@register(f"WITH {HITS} SELECT query_id, chunk_id, file, ordinal, semantic_rank, abs(round(distance, 6)) AS distance FROM top")
+@register(TOP_K)
 def vector_top_k(spark, sf_dir):
-    return _top_k(*_vectors(spark, sf_dir))
-
-
-def _top_k(q, c):
-    return retrieval.vector_top_k(q, c).select("query_id", "chunk_id", "file", "ordinal", "semantic_rank", F.abs(F.round("distance", 6)).alias("distance"))
+    out = retrieval.vector_top_k(*_vectors(spark, sf_dir))
+    return out.select("query_id", "chunk_id", "file", "ordinal", "semantic_rank", F.abs(F.round("distance", 6)).alias("distance"))
 
 
-@register(f"""WITH {HITS}, allc AS (SELECT query_id, file, ordinal, chunk_id, semantic_rank * 1000.0 AS o, false AS near, semantic_rank FROM top
-  UNION ALL SELECT t.query_id, t.file, CAST(e.vec_id AS INT), e.vec_id, t.semantic_rank * 1000.0 - (t.ordinal - e.vec_id), true, t.semantic_rank FROM top t JOIN embeddings e ON e.label = t.file AND e.vec_id BETWEEN greatest(1, t.ordinal - 20) AND t.ordinal - 1)
-SELECT query_id, chunk_id, file, ordinal, near AS is_neighbour, CAST(o AS DOUBLE) AS selection_order FROM allc QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY near, o, semantic_rank) = 1""")
+@register(NEIGHBOURS)
 def vector_neighbours(spark, sf_dir):
-    return _neighbours(*_vectors(spark, sf_dir))
-
-
-def _neighbours(q, c):
+    q, c = _vectors(spark, sf_dir)
     out = retrieval.with_neighbours(retrieval.vector_top_k(q, c), c, window=20)
     return out.select("query_id", "chunk_id", "file", "ordinal", "is_neighbour", F.col("selection_order").cast("double").alias("selection_order"))
 
 
-HITS_100 = HITS.replace("q.vec_id < 8", "q.vec_id % 100 = 0")
-
-
-@register(f"WITH {HITS_100} SELECT query_id, chunk_id, file, ordinal, semantic_rank, abs(round(distance, 6)) AS distance FROM top")
-def vector_top_k_100(spark, sf_dir):
-    return _top_k(*_vectors(spark, sf_dir, "vec_id % 100 = 0"))
-
-
-@register(f"""WITH {HITS_100}, allc AS (SELECT query_id, file, ordinal, chunk_id, semantic_rank * 1000.0 AS o, false AS near, semantic_rank FROM top
-  UNION ALL SELECT t.query_id, t.file, CAST(e.vec_id AS INT), e.vec_id, t.semantic_rank * 1000.0 - (t.ordinal - e.vec_id), true, t.semantic_rank FROM top t JOIN embeddings e ON e.label = t.file AND e.vec_id BETWEEN greatest(1, t.ordinal - 20) AND t.ordinal - 1)
-SELECT query_id, chunk_id, file, ordinal, near AS is_neighbour, CAST(o AS DOUBLE) AS selection_order FROM allc QUALIFY row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY near, o, semantic_rank) = 1""")
-def vector_neighbours_100(spark, sf_dir):
-    return _neighbours(*_vectors(spark, sf_dir, "vec_id % 100 = 0"))
+# the names of these queries while they took the first eight vectors
+register(TOP_K, name="vector_top_k_100")(vector_top_k)
+register(NEIGHBOURS, name="vector_neighbours_100")(vector_neighbours)
 
 
 @register("SELECT label, count(*) FILTER (CASE WHEN vec_id % 9 = 0 THEN NULL WHEN vec_id % 4 = 0 THEN 'old' ELSE 'new' END IS DISTINCT FROM 'new') AS mismatches, count(*) AS chunks FROM embeddings GROUP BY 1")
@@ -399,13 +390,20 @@ def vector_audit(spark, sf_dir):
 
 @register("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'NONE,PIKE' WHEN 1 THEN 'VECTOR' WHEN 2 THEN NULL ELSE 'NONE,VECTOR,PIKE' END AS modes,
 CASE event_id % 3 WHEN 0 THEN '3,2,1' WHEN 1 THEN '2,1,3' ELSE '1,2,3' END AS cited_order,
-'질문: ' || event_type || chr(10) || '선택지:' || chr(10) || '1. 빛' || chr(10) || '2. 산소' AS query FROM events""")
+'질문: ' || event_type || CASE WHEN event_id % 5 = 0 THEN '' ELSE chr(10) || '선택지:' || chr(10) || '1. 빛' || chr(10) || '2. 산소' END AS query,
+CASE event_id % 4 WHEN 0 THEN '교과서 검색 근거는 제공되지 않습니다. 모델 자체 지식만 사용해 답하십시오.' ELSE CASE event_id % 4 WHEN 1 THEN '단순 벡터 검색으로 찾은 교과서 근거' WHEN 2 THEN 'Pike-inspired 생성 그래프 스냅샷에서 재사용·재정렬한 교과서 근거' ELSE '문항에 연결된 기존 교과서 근거' END
+  || CASE WHEN event_id % 3 = 0 THEN '를 찾지 못했습니다. 근거 부족을 명시하십시오.' ELSE '만 사용하십시오.' || chr(10) || chr(10) || '[근거 1 · p.7]' || chr(10) || 'A' || chr(10) || chr(10) || '[근거 2]' || chr(10) || 'B' END END
+  || chr(10) || chr(10) || '[질문]' || chr(10) || event_type || CASE WHEN event_id % 5 = 0 THEN '' ELSE chr(10) || chr(10) || '선택지:' || chr(10) || '1.  빛 ' || chr(10) || '2.  ' || chr(10) || '3. 산소' END AS prompt FROM events""")
 def retrieval_prompts(spark, sf_dir):
-    k, lit = F.col("event_id"), lambda *x: F.array(*map(F.lit, x))
+    k, lit, none = F.col("event_id"), lambda *x: F.array(*map(F.lit, x)), F.array().cast("array<string>")
     modes = F.when(k % 4 == 0, lit("PIKE", "NONE", "PIKE")).when(k % 4 == 1, lit("VECTOR")).when(k % 4 == 2, lit("LEGACY")).otherwise(lit("PIKE", "VECTOR", "NONE"))
-    concepts = F.when(k % 3 == 0, lit("3", "3", "9")).when(k % 3 == 1, lit("2")).otherwise(F.array().cast("array<string>"))
-    relations = F.when(k % 3 == 0, lit("2")).otherwise(F.array().cast("array<string>"))
+    concepts = F.when(k % 3 == 0, lit("3", "3", "9")).when(k % 3 == 1, lit("2")).otherwise(none)
+    relations = F.when(k % 3 == 0, lit("2")).otherwise(none)
+    options = F.when(k % 5 != 0, lit(" 빛 ", " ", "산소"))
+    chunks = F.array(F.struct(F.lit(7).alias("page"), F.lit("A").alias("text")), F.struct(F.lit(None).cast("int").alias("page"), F.lit("B").alias("text")))
+    evidence = F.when(k % 3 != 0, F.array(retrieval.rendered_evidence(chunks)))
+    mode = F.when(k % 4 == 0, "NONE").when(k % 4 == 1, "VECTOR").when(k % 4 == 2, "PIKE").otherwise("LEGACY")
     return t(spark, sf_dir, "events").select(
         "event_id", F.array_join(retrieval.parse_modes(modes), ",").alias("modes"), F.array_join(retrieval.cited_first(lit("1", "2", "3"), concepts, relations), ",").alias("cited_order"),
-        retrieval.public_query(F.col("event_type"), lit(" 빛 ", "산소")).alias("query"),
+        retrieval.public_query(F.col("event_type"), options).alias("query"), retrieval.answer_prompt(mode, F.col("event_type"), options, evidence).alias("prompt"),
     )

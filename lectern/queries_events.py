@@ -23,11 +23,36 @@ EVENTS = """ev AS (SELECT event_id, ts, user_id AS aggregate_id, user_id % 100 A
   WHEN 'signup' THEN 'QUESTION_CREATED' ELSE 'PROVIDER_COOLDOWN' END AS event_type, value, props FROM events)"""
 
 
-@register(f"""WITH {EVENTS} SELECT event_id, CASE event_type WHEN 'RUN_ITEM_COMPLETED' THEN 'response' WHEN 'DOCUMENT_PARSE_FAILED' THEN 'document' WHEN 'QUESTION_CREATED' THEN 'question' ELSE 'run' END AS stage,
-CASE event_type WHEN 'RUN_ITEM_COMPLETED' THEN 'completed' WHEN 'DOCUMENT_PARSE_FAILED' THEN 'failed' WHEN 'QUESTION_CREATED' THEN 'queued' ELSE 'active' END AS state,
-CASE event_type WHEN 'RUN_ITEM_COMPLETED' THEN 'Run Item Completed' WHEN 'DOCUMENT_PARSE_FAILED' THEN 'Document Parse Failed' WHEN 'QUESTION_CREATED' THEN 'Question Created' WHEN 'JOB_HEARTBEAT' THEN 'Job Heartbeat' ELSE 'Provider Cooldown' END AS label FROM ev""")
+#: Types as the engine writes them, dealt to the events in turn.
+KINDS = [
+    "RUN_SCORING_STARTED", "SCORE_PERSISTED", "JUDGE_CALL_FAILED", "DOCUMENT_PAGE_PARSE_STARTED", "PIPELINE_RETRY_SCHEDULED", "CHUNKING_COMPLETED",
+    "TABLE_OF_CONTENTS_EXTRACTED", "TABLE_OF_CONTENTS_ALIGNED", "GEMINI_EMBEDDING_REQUESTED", "EMBEDDING_COMPLETED", "QUESTION_DIRECTION_RECEIVED", "QUESTION_RETRIEVAL_COMPLETED",
+    "RETRIEVAL_ERROR", "QUESTION_GENERATION_CREATED", "GENERATION_STOPPED", "RUN_PAUSED", "RUN_ITEM_RETRIED", "RUN_CANCELLED", "JOB_RELEASED_ON_SHUTDOWN", "JOB_CLAIMED", "JOB_ENQUEUED",
+    "JOB_HEARTBEAT", "PROVIDER_COOLDOWN_EXTENDED", "RUN_TERMINAL_FAILED", "SOURCE_VERIFIED", "RUN_SCORING_FAILURE", "DOCUMENT_RENDERED", "MODEL_CREATED",
+]
+_KINDS_SQL = ", ".join(f"'{k}'" for k in KINDS)
+
+
+@register(rf"""WITH k AS (SELECT event_id, ([{_KINDS_SQL}])[event_id % {len(KINDS)} + 1] AS kind, CASE event_id % 5 WHEN 0 THEN 'DRAINING' END AS own, CASE event_id % 5 WHEN 2 THEN 'page done' END AS message,
+  CASE event_id % 3 WHEN 0 THEN 'Book 1' WHEN 1 THEN '' END AS name FROM events),
+w AS (SELECT *, array_to_string(list_transform(string_split(lower(kind), '_'), lambda x: upper(left(x, 1)) || substr(x, 2)), ' ') AS label FROM k)
+SELECT event_id, CASE WHEN starts_with(kind, 'RUN_SCORING') OR starts_with(kind, 'SCORE_') OR starts_with(kind, 'JUDGE_') THEN 'SCORING'
+  WHEN starts_with(kind, 'DOCUMENT_') OR starts_with(kind, 'PIPELINE_') THEN 'PARSING' WHEN starts_with(kind, 'CHUNKING_') OR starts_with(kind, 'TABLE_OF_CONTENTS_') THEN 'CHUNKING'
+  WHEN starts_with(kind, 'GEMINI_EMBEDDING_') OR starts_with(kind, 'EMBEDDING_') THEN 'EMBEDDING' WHEN starts_with(kind, 'QUESTION_DIRECTION_') THEN 'DIRECTION'
+  WHEN starts_with(kind, 'QUESTION_RETRIEVAL_') OR starts_with(kind, 'RETRIEVAL_') THEN 'RETRIEVAL' WHEN starts_with(kind, 'QUESTION_GENERATION_') OR starts_with(kind, 'GENERATION_') THEN 'QUESTION_GENERATION'
+  WHEN starts_with(kind, 'RUN_') THEN 'BENCHMARK' WHEN starts_with(kind, 'JOB_') THEN 'QUEUE' ELSE 'SYSTEM' END AS stage,
+CASE WHEN kind = 'JOB_RELEASED_ON_SHUTDOWN' THEN 'RETRY_WAIT' WHEN regexp_matches(kind, '(FAILED|FAILURE|ERROR)$') THEN 'FAILED' WHEN regexp_matches(kind, '(CANCELLED|STOPPED)$') THEN 'CANCELLED'
+  WHEN suffix(kind, 'PAUSED') THEN 'PAUSED' WHEN regexp_matches(kind, '(RETRY|RETRIED|RETRY_SCHEDULED)$') THEN 'RETRY_WAIT'
+  WHEN regexp_matches(kind, '(COMPLETED|SUCCEEDED|PERSISTED|VERIFIED|ALIGNED|EXTRACTED|RENDERED)$') THEN 'SUCCEEDED' WHEN regexp_matches(kind, '(STARTED|CLAIMED|REQUESTED|RECEIVED)$') THEN 'RUNNING'
+  WHEN regexp_matches(kind, '(ENQUEUED|QUEUED|CREATED)$') THEN 'PENDING' ELSE coalesce(own, 'INFO') END AS state,
+label, CASE WHEN coalesce(name, '') = '' THEN coalesce(message, label) ELSE name || ' · ' || coalesce(message, label) END AS summary FROM w""")
 def described_events(spark, sf_dir):
-    return feed.described(events(spark, sf_dir)).select("event_id", "stage", "state", "label")
+    k = F.col("event_id")
+    payload = F.when(k % 5 == 0, '{"state":"DRAINING"}').when(k % 5 == 1, '{"state":7}').when(k % 5 == 2, '{"message":"  page done "}').when(k % 5 == 3, '{"message":" "}').otherwise("{}")
+    e = t(spark, sf_dir, "events").select(
+        "event_id", F.get(F.array(*map(F.lit, KINDS)), (k % len(KINDS)).cast("int")).alias("event_type"), payload.alias("payload"), F.when(k % 3 == 0, "Book 1").when(k % 3 == 1, "").alias("aggregate_label")
+    )
+    return feed.described(e).select("event_id", "stage", "state", "label", "summary")
 
 
 @register(f"WITH {EVENTS} SELECT job_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(ts, event_id) AS ts FROM ev WHERE event_type NOT LIKE 'JOB\\_%' ESCAPE '\\' GROUP BY 1")
@@ -79,29 +104,68 @@ def once_only(spark, sf_dir):
     return ev.once_only(e.where("event_id <= 500"), e.where("event_id > 500"), ["aggregate_id", "event_type"]).select("aggregate_id", "event_type", "event_id")
 
 
-@register(f"WITH {EVENTS}, l AS (SELECT DISTINCT o_orderpriority AS provider_key, o_custkey % 30 AS run_id FROM orders) SELECT event_id, run_id FROM ev JOIN l ON l.provider_key = CASE WHEN event_id % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END WHERE event_type = 'PROVIDER_COOLDOWN' AND event_id % 10 < 3")
+FAN_OUT = """WITH {events}, l AS (SELECT DISTINCT o_orderpriority AS provider_key, o_custkey % 30 AS run_id FROM orders)
+SELECT event_id, run_id FROM ev JOIN l ON l.provider_key = CASE WHEN event_id % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END WHERE event_type = '{kind}'"""
+
+
+@register(FAN_OUT.format(events=EVENTS, kind="QUESTION_CREATED"))
 def fan_out(spark, sf_dir):
-    return _fan_out(spark, sf_dir, "event_id % 10 < 3")
+    return _fan_out(spark, sf_dir, "QUESTION_CREATED")
 
 
-@register(f"WITH {EVENTS}, l AS (SELECT DISTINCT o_orderpriority AS provider_key, o_custkey % 30 AS run_id FROM orders) SELECT event_id, run_id FROM ev JOIN l ON l.provider_key = CASE WHEN event_id % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END WHERE event_type = 'PROVIDER_COOLDOWN'")
+@register(FAN_OUT.format(events=EVENTS, kind="PROVIDER_COOLDOWN"))
 def fan_out_all(spark, sf_dir):
-    return _fan_out(spark, sf_dir, "true")
+    return _fan_out(spark, sf_dir, "PROVIDER_COOLDOWN")
 
 
-def _fan_out(spark, sf_dir, chosen):
-    e = events(spark, sf_dir).where("event_type = 'PROVIDER_COOLDOWN'").where(chosen).withColumn("provider_key", F.when(F.col("event_id") % 2 == 0, "1-URGENT").otherwise("5-LOW"))
+def _fan_out(spark, sf_dir, kind):
+    e = events(spark, sf_dir).where(F.col("event_type") == kind).withColumn("provider_key", F.when(F.col("event_id") % 2 == 0, "1-URGENT").otherwise("5-LOW"))
     lanes = t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("provider_key"), (F.col("o_custkey") % 30).alias("run_id"))
     return ev.fan_out(e, lanes).select("event_id", "run_id")
 
 
-@register("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'RPD' WHEN 1 THEN 'TPM' ELSE 'RPM' END AS dimension, CAST(least(604800, CASE event_id % 3 WHEN 0 THEN 900 WHEN 1 THEN event_id ELSE 120 END) AS DOUBLE) AS seconds FROM events""")
+@register("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'RPD' WHEN 1 THEN 'TPM' WHEN 2 THEN 'RPM' WHEN 3 THEN 'UNKNOWN' WHEN 4 THEN 'RPD' ELSE 'UNKNOWN' END AS dimension,
+CASE event_id % 6 WHEN 1 THEN 'q' || CAST(event_id AS VARCHAR) WHEN 4 THEN 'requests per day' WHEN 3 THEN 'tokens' WHEN 0 THEN 'daily' WHEN 2 THEN 'requests per minute' END AS scope,
+CAST(CASE event_id % 6 WHEN 0 THEN 900000 WHEN 1 THEN least(604800000, 1000 * greatest(event_id, 7)) WHEN 2 THEN 1500 WHEN 3 THEN 120000 WHEN 4 THEN 604800000 ELSE CASE WHEN event_id % 4 = 1 THEN 30000 ELSE 120000 END END AS BIGINT) AS wait_ms FROM events""")
 def cooldowns(spark, sf_dir):
     k = F.col("event_id")
-    message = F.when(k % 3 == 0, "Quota per day exceeded").when(k % 3 == 1, F.concat(F.lit("token limit; retry in "), k.cast("string"), F.lit("s"))).otherwise("too many requests per minute")
-    e = t(spark, sf_dir, "events").select("event_id", message.alias("message"))
-    dim = ev.rate_dimension(F.col("message"))
-    return e.select("event_id", dim.alias("dimension"), ev.cooldown_seconds(ev.retry_after_seconds(F.col("message")), dim).cast("double").alias("seconds"))
+    violation = lambda *x: F.concat(F.lit('{"@type":"type.googleapis.com/google.rpc.QuotaFailure","violations":['), *x, F.lit("]}"))
+    retry = lambda x: F.concat(F.lit('{"@type":"type.googleapis.com/google.rpc.RetryInfo","retryDelay":"'), x, F.lit('"}'))
+    details = (
+        F.when(k % 6 == 0, violation(F.lit('{"description":"daily"}')))
+        .when(k % 6 == 1, F.concat(retry(F.lit("7s")), F.lit(","), violation(F.lit('{"quotaId":"x","description":"requests"},{"quotaId":"q'), k.cast("string"), F.lit('","quotaMetric":"tokens per minute"}'))))
+        .when(k % 6 == 2, F.concat(retry(F.lit("1.4999s")), F.lit(","), retry(F.lit("0.2s")), F.lit(","), violation(F.lit('{"quotaId":" ","description":"requests per minute"}'))))
+        .when(k % 6 == 3, violation(F.lit('{"description":"tokens"},{"quotaId":""}')))
+        .when(k % 6 == 4, F.concat(violation(F.lit('{"description":"requests per minute"}')), F.lit(","), violation(F.lit('{"description":"requests per day"}')), F.lit(","), retry(F.lit("99999999s"))))
+        .otherwise('{"@type":"other","retryDelay":"5s"}')
+    )
+    header = F.when(k % 6 == 1, k.cast("string")).when((k % 6 == 5) & (k % 4 == 1), "Thu, 01 Jan 2026 00:00:30 GMT")
+    body = F.when((k % 6 == 5) & (k % 4 == 3), "overloaded").otherwise(F.concat(F.lit('{"error":{"details":['), details, F.lit("]}}")))
+    e = t(spark, sf_dir, "events").select("event_id", header.alias("header"), ev.quota_error(body).alias("quota"))
+    wait = F.greatest(ev.header_wait_ms(F.col("header"), F.to_timestamp(F.lit("2026-01-01 00:00:00+00:00"))), F.col("quota.wait_ms"))
+    return e.select("event_id", F.col("quota.dimension").alias("dimension"), F.col("quota.scope").alias("scope"), ev.cooldown_ms(wait, F.col("quota.dimension")).alias("wait_ms"))
+
+
+@register(r"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '[REDACTED] failed' WHEN 1 THEN 'Authorization [REDACTED], code 4' WHEN 2 THEN 'API-Key [REDACTED] next' ELSE left(repeat('long ', 200), 500) END AS text FROM events""")
+def redacted_errors(spark, sf_dir):
+    from lectern.functions.scalars import redacted
+
+    k = F.col("event_id")
+    raw = F.when(k % 4 == 0, "sk-1234 failed").when(k % 4 == 1, 'Authorization": Bearer abc.def, code 4').when(k % 4 == 2, "API-Key=abc next").otherwise("long " * 200)
+    return t(spark, sf_dir, "events").select("event_id", redacted(raw, F.lit("sk-1234")).alias("text"))
+
+
+@register("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '{"chunks":[],"secret":1}' WHEN event_id % 3 = 1 THEN '{"queryText":"q","chunkCount":2,"selectedChunkIds":["b","a"],"chunks":[{"chunkId":"a","rank":1,"page":null,"similarity":0.5}]}'
+ELSE '{"ordinal":' || CAST(event_id AS VARCHAR) || ',"chunkCount":9,"selectedChunkIds":["c"],"chunks":[{"chunkId":"c","anchorChunkId":"d"}],"retrievalConfig":{"k":1}}' END AS payload FROM events""")
+def shown_payloads(spark, sf_dir):
+    k = F.col("event_id")
+    raw = (
+        F.when(k % 3 == 0, '{"chunks":[],"secret":1}')
+        .when(k % 3 == 1, '{"secret":1,"queryText":"q","selectedChunkIds":["b",5,"b"],"chunks":[{"chunkId":"a","rank":1,"page":null,"similarity":0.5,"content":"text"},{"chunkId":7},"x"]}')
+        .otherwise(F.concat(F.lit('{"ordinal":'), k.cast("string"), F.lit(',"chunkCount":9,"selectedChunks":[{"chunkId":"c","anchorChunkId":"d","html":"<p>"}],"retrievalConfig":{"k":1}}')))
+    )
+    shown = ev.shown_payload(F.lit("generation"), F.when(k % 3 == 0, "QUESTION_CREATED").otherwise("QUESTION_RETRIEVAL_COMPLETED"), raw)
+    return t(spark, sf_dir, "events").select("event_id", shown.alias("payload"))
 
 
 @register("""SELECT event_id, coalesce(d.failure_class, 'UNKNOWN') AS failure_class, coalesce(d.retryable, false) AS retryable FROM events LEFT JOIN (VALUES ('click', 'TRANSIENT', true), ('view', 'INPUT', false)) d(code, failure_class, retryable) ON d.code = event_type""")

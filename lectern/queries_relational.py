@@ -76,20 +76,23 @@ def approved_only(spark, sf_dir):
     return rel.real_approved(q, r).select("id")
 
 
-@register("""SELECT h.vec_id AS anchor, CAST(e.vec_id AS INT) AS ordinal, e.label AS grp FROM embeddings h JOIN embeddings e ON e.label = h.label AND e.vec_id BETWEEN greatest(1, h.vec_id - 15) AND h.vec_id - 1 WHERE h.vec_id % 10 = 3""")
+PRECEDING = "SELECT h.vec_id AS anchor, CAST(e.vec_id AS INT) AS ordinal, e.label AS grp FROM embeddings h JOIN embeddings e ON e.label = h.label AND e.vec_id BETWEEN greatest(1, h.vec_id - {n}) AND h.vec_id - 1"
+
+
+@register(PRECEDING.format(n=1))
 def preceding_rows(spark, sf_dir):
-    return _preceding_rows(spark, sf_dir, "ordinal % 10 = 3")
+    """With the default window of one row."""
+    return _preceding_rows(spark, sf_dir, 1)
 
 
-@register("SELECT h.vec_id AS anchor, CAST(e.vec_id AS INT) AS ordinal, e.label AS grp FROM embeddings h JOIN embeddings e ON e.label = h.label AND e.vec_id BETWEEN greatest(1, h.vec_id - 15) AND h.vec_id - 1")
+@register(PRECEDING.format(n=15))
 def preceding_rows_all(spark, sf_dir):
-    return _preceding_rows(spark, sf_dir, "true")
+    return _preceding_rows(spark, sf_dir, 15)
 
 
-def _preceding_rows(spark, sf_dir, anchors):
+def _preceding_rows(spark, sf_dir, window):
     e = t(spark, sf_dir, "embeddings").select(F.col("label").alias("grp"), F.col("vec_id").cast("int").alias("ordinal"))
-    hits = e.where(anchors).withColumn("anchor", F.col("ordinal").cast("long"))
-    return rel.preceding_neighbours(hits, e, "grp", "ordinal", 15).select("anchor", "ordinal", "grp")
+    return rel.preceding_neighbours(e.withColumn("anchor", F.col("ordinal").cast("long")), e, "grp", "ordinal", window).select("anchor", "ordinal", "grp")
 
 
 SPANS = "spans AS (SELECT label AS grp, vec_id AS start, lead(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS stop FROM embeddings WHERE vec_id % 7 = 0)"
@@ -112,23 +115,19 @@ def resolved_receipts(spark, sf_dir):
     return rel.resolve_receipts(c, "c_custkey", "root", ["name"]).select("c_custkey", "name")
 
 
-@register("""WITH RECURSIVE p AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 = 1 THEN NULL WHEN c_custkey % 50 = 0 THEN 10000000 ELSE c_custkey - 1 END AS p FROM customer WHERE c_custkey <= 1000),
-w AS (SELECT k, k AS here, 0 AS hops FROM p UNION ALL SELECT w.k, p.p, w.hops + 1 FROM w JOIN p ON p.k = w.here WHERE p.p IS NOT NULL)
-SELECT k AS c_custkey, CASE WHEN here < 10000000 THEN here END AS root, CAST(hops AS BIGINT) AS hops, CASE WHEN here = 10000000 OR here NOT IN (SELECT k FROM p) THEN 'DANGLING' WHEN hops = 0 THEN 'ROOT' ELSE 'RESOLVED' END AS state
-FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY hops DESC) = 1""")
+@register()
 def pointer_chains(spark, sf_dir):
-    return _pointer_chains(t(spark, sf_dir, "customer").where("c_custkey <= 1000"))
+    """Too slow in SQL over whole tables; a test holds it against brute force."""
+    k = F.col("c_custkey")
+    rows = t(spark, sf_dir, "customer").select("c_custkey", F.when(k % 50 == 1, None).when(k % 50 == 0, F.lit(10_000_000)).otherwise(k - 1).alias("p"), F.when(k % 200 != 1, F.col("c_custkey")).alias("payload"))
+    return rel.follow_pointers(rows, "c_custkey", "p", payload=["payload"])
 
 
 @register()
 def pointer_chains_all(spark, sf_dir):
-    """Too slow in SQL; a test holds it against brute force."""
-    return _pointer_chains(t(spark, sf_dir, "customer"))
-
-
-def _pointer_chains(c):
+    """The same, whatever the roots hold."""
     k = F.col("c_custkey")
-    rows = c.select("c_custkey", F.when(k % 50 == 1, None).when(k % 50 == 0, F.lit(10_000_000)).otherwise(k - 1).alias("p"))
+    rows = t(spark, sf_dir, "customer").select("c_custkey", F.when(k % 50 == 1, None).when(k % 50 == 0, F.lit(10_000_000)).otherwise(k - 1).alias("p"))
     return rel.follow_pointers(rows, "c_custkey", "p")
 
 
@@ -246,11 +245,36 @@ def profile_checks(spark, sf_dir):
     )
 
 
-@register("""WITH s AS (SELECT user_id, event_id, event_type AS state, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)
-SELECT user_id, event_id, state, before FROM s WHERE before IS NOT NULL AND NOT ((before = 'view' AND state = 'click') OR (before = 'click' AND state = 'purchase'))""")
+RUN_STATES = ["DRAFT", "QUEUED", "RUNNING", "PAUSING", "PAUSED", "STOPPING", "STOPPED", "SCORING", "CANCELLING", "CANCELLED", "COMPLETED", "FAILED"]
+_STATES_SQL = "[" + ", ".join(f"'{x}'" for x in RUN_STATES) + "]"
+_LEGAL_SQL = """('DRAFT','QUEUED'),('QUEUED','RUNNING'),('RUNNING','PAUSING'),('PAUSING','PAUSED'),('PAUSED','RUNNING'),('RUNNING','STOPPING'),('PAUSING','STOPPING'),('PAUSED','STOPPED'),('STOPPING','STOPPED'),('STOPPED','RUNNING'),('RUNNING','SCORING'),('SCORING','PAUSING'),('SCORING','STOPPING'),('SCORING','CANCELLING'),('SCORING','COMPLETED'),('QUEUED','CANCELLING'),('RUNNING','CANCELLING'),('PAUSED','CANCELLING'),('PAUSING','CANCELLING'),('STOPPING','CANCELLING'),('STOPPED','CANCELLING'),('CANCELLING','CANCELLED'),('QUEUED','FAILED'),('RUNNING','FAILED'),('SCORING','FAILED')"""
+
+
+@register(f"""WITH s AS (SELECT user_id, event_id, ({_STATES_SQL})[event_id % 12 + 1] AS state FROM events), w AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM s)
+SELECT user_id, event_id, state, before FROM w WHERE before IS NOT NULL AND (before, state) NOT IN (SELECT (a, b) FROM (VALUES {_LEGAL_SQL}) v(a, b))""")
 def illegal_transitions(spark, sf_dir):
-    e = t(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("state"))
-    return integrity.illegal_transitions(e, "user_id", "state", ["event_id"], [("view", "click"), ("click", "purchase")])
+    e = t(spark, sf_dir, "events").select("user_id", "event_id", F.get(F.array(*map(F.lit, RUN_STATES)), (F.col("event_id") % 12).cast("int")).alias("state"))
+    return integrity.illegal_transitions(e, "user_id", "state", ["event_id"])
+
+
+MACHINES_SQL = """VALUES ('run','DRAFT','QUEUE','QUEUED'),('run','QUEUED','START','RUNNING'),('run','RUNNING','PAUSE','PAUSING'),('run','PAUSING','FINISH_PAUSE','PAUSED'),('run','PAUSED','RESUME','RUNNING'),('run','RUNNING','STOP','STOPPING'),('run','PAUSING','STOP','STOPPING'),('run','PAUSED','STOP','STOPPED'),('run','STOPPING','FINISH_STOP','STOPPED'),('run','STOPPED','RESUME','RUNNING'),('run','RUNNING','BEGIN_SCORING','SCORING'),('run','SCORING','PAUSE','PAUSING'),('run','SCORING','STOP','STOPPING'),('run','SCORING','CANCEL','CANCELLING'),('run','SCORING','COMPLETE','COMPLETED'),('run','QUEUED','CANCEL','CANCELLING'),('run','RUNNING','CANCEL','CANCELLING'),('run','PAUSED','CANCEL','CANCELLING'),('run','PAUSING','CANCEL','CANCELLING'),('run','STOPPING','CANCEL','CANCELLING'),('run','STOPPED','CANCEL','CANCELLING'),('run','CANCELLING','FINISH_CANCEL','CANCELLED'),('run','QUEUED','FAIL','FAILED'),('run','RUNNING','FAIL','FAILED'),('run','SCORING','FAIL','FAILED'),
+('document','UPLOADED','PARSE','PARSING'),('document','PARSING','PARSE_COMPLETE','PARSED'),('document','PARSED','APPROVE_HTML','HTML_REVIEWED'),('document','HTML_REVIEWED','CHUNK','CHUNKING'),('document','CHUNKING','CHUNK_COMPLETE','CHUNKED'),('document','CHUNKED','EMBED','EMBEDDING'),('document','EMBEDDING','EMBED_COMPLETE','READY'),('document','PARSING','FAIL','FAILED'),('document','CHUNKING','FAIL','FAILED'),('document','EMBEDDING','FAIL','FAILED'),
+('question','DRAFT','SUBMIT','IN_REVIEW'),('question','DRAFT','APPROVE','APPROVED'),('question','DRAFT','EDIT_AND_APPROVE','APPROVED'),('question','DRAFT','HOLD','HELD'),('question','IN_REVIEW','APPROVE','APPROVED'),('question','IN_REVIEW','EDIT_AND_APPROVE','APPROVED'),('question','IN_REVIEW','HOLD','HELD'),('question','HELD','REOPEN','IN_REVIEW'),('question','DRAFT','DELETE','DELETED'),('question','IN_REVIEW','DELETE','DELETED'),('question','HELD','DELETE','DELETED')"""
+MACHINES = {"run": integrity.RUN_COMMANDS, "document": integrity.DOCUMENT_COMMANDS, "question": integrity.QUESTION_COMMANDS}
+
+
+@register(f"""WITH v AS (SELECT * FROM ({MACHINES_SQL}) v(machine, state, command, next_state)), s AS (SELECT machine, state FROM v UNION SELECT machine, next_state FROM v), c AS (SELECT DISTINCT machine, command FROM v UNION SELECT 'document', 'RETRY')
+SELECT n_nationkey, s.machine, s.state, c.command, CASE WHEN s.machine = 'document' AND s.state = 'FAILED' AND c.command = 'RETRY' AND n_nationkey % 2 = 0 THEN 'CHUNKING' ELSE v.next_state END AS next_state
+FROM nation CROSS JOIN s JOIN c ON c.machine = s.machine LEFT JOIN v ON v.machine = s.machine AND v.state = s.state AND v.command = c.command""")
+def state_machines(spark, sf_dir):
+    """Every state with every command of its machine, once for every nation."""
+    n = t(spark, sf_dir, "nation").select("n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "CHUNKING").alias("stage"))
+    parts = []
+    for name, rows in MACHINES.items():
+        states, commands = sorted({x for a, _, b in rows for x in (a, b)}), sorted({c for _, c, _ in rows} | ({"RETRY"} if name == "document" else set()))
+        each = n.select("n_nationkey", "stage", F.lit(name).alias("machine"), F.explode(F.array(*map(F.lit, states))).alias("state")).select("*", F.explode(F.array(*map(F.lit, commands))).alias("command"))
+        parts.append(integrity.next_states(each, rows, failed_stage="stage" if name == "document" else None).drop("stage"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @register("""WITH r AS (SELECT DISTINCT l_orderkey AS call_id, l_returnflag AS metric_key FROM lineitem WHERE l_linestatus = 'O'), s AS (SELECT DISTINCT l_orderkey AS call_id, l_returnflag AS metric_key FROM lineitem WHERE l_quantity > 20)
@@ -276,14 +300,50 @@ def ordinal_gaps(spark, sf_dir):
     return integrity.ordinal_gaps(c, "conv_id", "ordinal")
 
 
-@register("""SELECT item_id, CASE item_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'OPTIONS' WHEN 2 THEN 'TARGET_NOT_REACHED' ELSE 'SHORT_QUESTION' END AS problems FROM benchmark""")
+@register("""SELECT item_id, CASE item_id % 8 WHEN 0 THEN '' WHEN 1 THEN 'answerOptions' WHEN 2 THEN 'benchmarkDesign.prerequisiteRelations' WHEN 3 THEN 'questionText' WHEN 4 THEN 'evidenceChunkIds' WHEN 5 THEN 'benchmarkDesign.prerequisiteRelations'
+WHEN 6 THEN 'benchmarkDesign.taskType,benchmarkDesign.requiredReasoningSteps' ELSE 'questionText,answerText,evidenceChunkIds,benchmarkDesign.benchmarkType,benchmarkDesign.taskType,benchmarkDesign.targetConcept,benchmarkDesign.prerequisiteConcepts,benchmarkDesign.prerequisiteRelations,benchmarkDesign.requiredReasoningSteps,benchmarkDesign.failureSignals' END AS problems FROM benchmark""")
 def question_checks(spark, sf_dir):
     k = F.col("item_id")
-    none = F.array().cast("array<string>")
-    options = F.when(k % 4 == 1, F.array(F.lit("x"), F.lit("y"))).otherwise(none)
-    relation = F.array(F.struct(F.lit("a").alias("from"), F.when(k % 4 == 2, "c").otherwise("b").alias("to"), F.lit("REQUIRES").alias("relation")))
-    raw = F.to_json(F.struct(F.when(k % 4 == 3, "short").otherwise(F.col("text")).alias("question"), F.lit("yes").alias("answer"), F.lit("SHORT_ANSWER").alias("type"), options.alias("options"), relation.alias("relations"), F.lit("b").alias("target")))
-    return t(spark, sf_dir, "benchmark").select("item_id", F.array_join(integrity.question_problems(raw), ",").alias("problems"))
+    texts = lambda *x: F.array(*map(F.lit, x))
+    ids = texts("aaaaaaaa-aaaa-4aaa-8aaa-aaaaaaaaaaaa")
+    relation = F.struct(
+        F.lit("force").alias("fromConcept"), F.when(k % 8 == 2, "other").otherwise("motion").alias("toConcept"), F.when(k % 8 == 5, "SUPPORTS").otherwise("BUILDS_ON").alias("relationType"), F.lit("because").alias("explanation"), ids.alias("evidenceChunkIds")
+    )
+    design = F.struct(
+        F.lit("PREREQUISITE_RELATIONSHIP").alias("benchmarkType"), F.when(k % 8 == 6, "other").otherwise("cross_unit_transfer").alias("taskType"), F.lit("motion").alias("targetConcept"),
+        F.array(F.struct(F.lit("force").alias("concept"), F.lit("cause of it").alias("role"), ids.alias("evidenceChunkIds"))).alias("prerequisiteConcepts"), F.array(relation).alias("prerequisiteRelations"),
+        F.when(k % 8 == 6, texts("one step")).otherwise(texts("one step", "another")).alias("requiredReasoningSteps"), texts("guessing").alias("failureSignals"),
+    )
+    raw = F.to_json(F.struct(
+        F.when(k % 8 == 3, "abcd").otherwise(F.col("text")).alias("questionText"), F.lit("y").alias("answerText"), F.when(k % 8 == 1, texts("x", "y")).otherwise(texts()).alias("answerOptions"),
+        F.when(k % 8 == 4, texts("chunk-1")).otherwise(ids).alias("evidenceChunkIds"), design.alias("benchmarkDesign"),
+    ))
+    whole = F.when(k % 8 == 7, "no JSON").otherwise(F.concat(F.lit(" "), raw, F.lit("\n")))
+    return t(spark, sf_dir, "benchmark").select("item_id", F.array_join(integrity.question_problems(whole, F.when(k % 8 == 1, "객관식").otherwise("서술형")), ",").alias("problems"))
+
+
+@register("""SELECT p_partkey, p_size % 7 NOT IN (2, 3, 4, 5, 6) AS definition_ok, p_size % 7 NOT IN (2, 3, 4, 5, 6) AND p_size % 2 = 0 AS run_ok FROM part""")
+def usable_profiles(spark, sf_dir):
+    s = F.col("p_size")
+    metrics = F.when(s % 7 == 0, '["exact_match","response_present"]').when(s % 7 == 6, '{"a":1}').otherwise('["accuracy"]')
+    provider = F.when(s % 7 == 1, "gemini").when(s % 7 == 3, "  ").when(s % 7 == 4, "legacy-provider-unrecorded").when(s % 7 == 5, "gemini").when(s % 7 == 6, "gemini")
+    model = F.when(s % 7 == 1, "pro").when(s % 7 == 3, "pro").when(s % 7 == 4, "pro").when(s % 7 == 6, "pro")
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), c, F.lit('"')), F.lit("null"))
+    snapshot = F.concat(F.lit('{"metrics":'), metrics, F.lit(',"judgeProvider":'), quoted(provider), F.lit(',"judgeModel":'), quoted(model), F.lit("}"))
+    provenance = F.when(s % 2 == 0, integrity.VERIFIED).otherwise("LEGACY_BACKFILL_UNVERIFIED")
+    return t(spark, sf_dir, "part").select("p_partkey", integrity.profile_usable(metrics, provider, model).alias("definition_ok"), integrity.run_profile_usable(snapshot, provenance).alias("run_ok"))
+
+
+@register("""SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'SCORING' ELSE 'RUNNING' END AS previous_state, CASE o_orderstatus WHEN 'O' THEN 'FAILED' ELSE 'RUNNING' END AS state,
+CASE WHEN o_orderkey % 3 = 0 THEN 'AT_CREATION_VERIFIED' ELSE 'LEGACY_BACKFILL_UNVERIFIED' END AS snapshot_provenance, o_orderkey % 2 = 0 AS judge_resolved, o_orderkey % 2 = 0 AS definition_usable
+FROM orders WHERE NOT (o_orderkey % 3 = 0 AND o_orderkey % 2 = 0)""")
+def unusable_runs(spark, sf_dir):
+    k = F.col("o_orderkey")
+    snapshot = F.when(k % 2 == 0, '{"metrics":["accuracy"],"judgeProvider":"gemini","judgeModel":"pro"}').otherwise('{"metrics":["accuracy"],"judgeProvider":"gemini"}')
+    runs = t(spark, sf_dir, "orders").select(
+        k.alias("id"), F.when(F.col("o_orderstatus") == "O", "SCORING").otherwise("RUNNING").alias("state"), snapshot.alias("snapshot"), F.when(k % 3 == 0, integrity.VERIFIED).otherwise("LEGACY_BACKFILL_UNVERIFIED").alias("provenance")
+    )
+    return integrity.unusable_runs(runs)
 
 
 @register("SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'DELETED' ELSE 'READY' END AS status FROM (SELECT DISTINCT user_id FROM events)")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from lectern.operators.events import event_label, event_stage, event_state
+from lectern.operators.events import event_label, event_stage, event_state, event_summary
 
 
 def event_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 8) -> DataFrame:
@@ -20,9 +20,12 @@ def event_stream(spark: SparkSession, path: str, schema: StructType, files_per_t
 
 
 def described(events: DataFrame) -> DataFrame:
-    """Events with stage, state and label."""
+    """Events with stage, state, label and summary; payload (JSON) and aggregate_label are used where they exist."""
     kind = F.col("event_type")
-    return events.withColumns({"stage": event_stage(kind), "state": event_state(kind), "label": event_label(kind)})
+    payload, name = (F.col(c) if c in events.columns else F.lit(None).cast("string") for c in ("payload", "aggregate_label"))
+    return events.withColumns(
+        {"stage": event_stage(kind), "state": event_state(kind, payload), "label": event_label(kind), "summary": event_summary(kind, payload, name)}
+    )
 
 
 def resolved(events: DataFrame, aggregates: DataFrame) -> DataFrame:

@@ -82,10 +82,16 @@ def test_cost_and_conversion(spark):
 
 
 def test_judge_answers(spark):
-    raw = ['x {"scores":[{"metric":"a","value":"0.5"}]} y', "nothing", '{"scores":[{"metric":"a","value":" "}]}', '{"scores":[{"metric":"a","value":0.1},{"metric":"a","value":1}]}']
-    got = scoring.parse_judge(spark.createDataFrame([(x,) for x in raw], "raw string"))
-    assert [r.reject for r in got.collect()] == [None, "NOT_JSON", "VALUE_OUT_OF_RANGE", "DUPLICATE_METRIC"]
-    assert got.first().scores[0].value == 0.5
+    raw = [
+        'x {"scores":[{"metricKey":"a","value":"0.5","label":" ","rationale":" why ","evidence":[" c ",{"quote":" q "},{"claim":5},null,[]]}]} y', "nothing", '{"scores":[{"metricKey":"a","value":" "}]}', '{"scores":[{"metricKey":"a","value":0.1},{"metricKey":"a","value":1}]}',
+        '{"scores":[{"metricKey":"a","value":true}]}', '{"scores":[{"metricKey":7,"value":1}]}', '{"scores":{}}', '{"scores":[{"metricKey":"a","value":1.2},{"metricKey":"a","value":1}]}', '{"scores":[]}', "} {", '{"scores":[{"metricKey":"","value":1e0}]}',
+    ]
+    got = scoring.parse_judge(spark.createDataFrame([(x,) for x in raw], "raw string")).collect()
+    assert [r.reject for r in got] == [None, "NOT_JSON", "VALUE_OUT_OF_RANGE", "DUPLICATE_METRIC", "VALUE_OUT_OF_RANGE", "NO_METRIC", "NOT_JSON", "VALUE_OUT_OF_RANGE", None, "NOT_JSON", None]
+    first = got[0].scores[0]
+    assert (first.value, first.label, first.rationale) == (0.5, "SCORED", "why")
+    assert [tuple(e) for e in first.evidence] == [("c", None, None), (None, "q", None)]
+    assert got[8].scores == [] and got[10].scores[0].metric_key == ""
 
 
 def test_item_summary(spark):
@@ -103,6 +109,14 @@ def test_modes_and_citation_order(spark):
     ).first()
     assert (r.m, r.e, r.u, r.o) == (["NONE", "VECTOR", "PIKE"], None, None, ["3", "2", "1"])
     assert r.q == "질문: 무엇?\n선택지:\n1. 빛\n2. 산소"
+    p = spark.range(1).select(
+        retrieval.public_query(F.lit("무엇?"), a(" ", "빛")).alias("blank"), retrieval.public_query(F.lit("무엇?"), none).alias("bare"), retrieval.answer_prompt(F.lit("NONE"), F.lit("무엇?"), none, a("x")).alias("none"),
+        retrieval.answer_prompt(F.lit("VECTOR"), F.lit("무엇?"), a("가", " "), a("x", "y")).alias("vector"), retrieval.answer_prompt(F.lit("PIKE"), F.lit("무엇?"), none, none).alias("empty"),
+    ).first()
+    assert (p.blank, p.bare) == ("질문: 무엇?\n선택지:\n1. 빛", "질문: 무엇?")
+    assert p.none == retrieval.NO_SEARCH + "\n\n[질문]\n무엇?"
+    assert p.vector == retrieval.TITLES["VECTOR"] + "만 사용하십시오.\n\nx\n\ny\n\n[질문]\n무엇?\n\n선택지:\n1. 가\n2.  "
+    assert p.empty == retrieval.TITLES["PIKE"] + "를 찾지 못했습니다. 근거 부족을 명시하십시오.\n\n[질문]\n무엇?"
 
 
 def test_zero_vectors_rank_last_and_neighbours_precede(spark):

@@ -1,7 +1,12 @@
 """Relational helpers, integrity checks, events, sinks and streams on literal inputs."""
 
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import scalars
+
 from lectern.operators import datasets, events, integrity
 from lectern.operators import relational as rel
 from lectern.sources import sinks, tables
@@ -24,13 +29,40 @@ def test_paging(spark, rows):
 
 def test_pointers(spark, rows):
     d = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 5), (5, 4), (6, 99)], "k int, p int")
-    got = {r.k: (r.root, r.state) for r in rel.follow_pointers(d, "k", "p", 4).collect()}
+    got = {r.k: (r.root, r.state) for r in rel.follow_pointers(d, "k", "p").collect()}
     assert got == {1: (1, "ROOT"), 2: (1, "RESOLVED"), 3: (1, "RESOLVED"), 4: (None, "CYCLE"), 5: (None, "CYCLE"), 6: (None, "DANGLING")}
 
 
+def test_pointers_of_long_chains_and_incomplete_roots(spark):
+    n = 70_000  # more hops than 2**16
+    chain = spark.range(n).select(F.col("id").alias("k"), F.when(F.col("id") > 0, F.col("id") - 1).alias("p"))
+    last = rel.follow_pointers(chain, "k", "p").where(F.col("k") == n - 1).first()
+    assert (last.root, last.hops, last.state) == (0, n - 1, "RESOLVED")
+    d = spark.createDataFrame([(1, None, "x", "h"), (2, 1, None, None), (3, None, "x", None), (4, 3, None, None), (5, 4, None, None), (6, 6, "x", "h"), (7, 6, "x", "h")], "k int, p int, body string, digest string")
+    got = {r.k: (r.root, r.state) for r in rel.follow_pointers(d, "k", "p", payload=["body", "digest"]).collect()}
+    assert got == {1: (1, "ROOT"), 2: (1, "RESOLVED"), 3: (None, "INCOMPLETE"), 4: (None, "INCOMPLETE"), 5: (None, "INCOMPLETE"), 6: (None, "CYCLE"), 7: (None, "CYCLE")}
+
+
+def test_ancestors_of_deep_trees(spark):
+    d = spark.createDataFrame([(k, k - 1 if k else None) for k in range(12)], "k int, p int")
+    got = {tuple(r) for r in rel.ancestors(d, "k", "p").collect()}
+    assert got == {(k, a, k - a) for k in range(12) for a in range(k)}
+    with pytest.raises(ValueError):
+        rel.ancestors(spark.createDataFrame([(1, 2), (2, 1)], "k int, p int"), "k", "p").count()
+
+
 def test_parent_by_level(spark, rows):
     d = spark.createDataFrame([("g", 1, 1), ("g", 2, 2), ("g", 3, 3), ("g", 4, 2), ("g", 5, 1)], "g string, ordinal int, level int")
     assert rows(rel.parent_by_level(d, "g").select("ordinal", "parent_ordinal"), "ordinal") == [(1, None), (2, 1), (3, 2), (4, 1), (5, None)]
+    deep = spark.createDataFrame([("g", k, k) for k in range(1, 10)] + [("g", 10, 3)], "g string, ordinal int, level int")
+    assert rows(rel.parent_by_level(deep, "g").select("ordinal", "parent_ordinal"), "ordinal") == [(k, k - 1 or None) for k in range(1, 10)] + [(10, 2)]
+    assert rel.parent_by_level(deep.where("ordinal = 1"), "g").first().parent_ordinal is None
+
+
+def test_natural_key_of_long_numbers(spark):
+    names = ["Q-10", "Q-2", "Q-9999999999999", "Q-10000000000000", "Q-002", "R"]
+    d = spark.createDataFrame([(x,) for x in names], "n string")
+    assert [r.n for r in d.orderBy(scalars.natural_key(F.col("n")), F.desc("n")).collect()] == ["Q-2", "Q-002", "Q-10", "Q-9999999999999", "Q-10000000000000", "R"]
 
 
 def test_later_deadline_wins(spark, rows):
@@ -51,15 +83,54 @@ def test_weights_and_configs(spark):
 
 
 def test_event_names(spark):
-    d = spark.createDataFrame([("RUN_ITEM_COMPLETED",), ("DOCUMENT_PARSE_FAILED",), ("JOB_STARTED",)], "event_type string")
-    got = [(r.stage, r.state, r.label) for r in feed.described(d).collect()]
-    assert got == [("response", "completed", "Run Item Completed"), ("document", "failed", "Document Parse Failed"), ("run", "active", "Job Started")]
-
-
-def test_provider_messages(spark):
-    d = spark.createDataFrame([("Rate limit; retry in 30s or try again in 2.5 s",), ("quota per day",)], "m string")
-    got = [(r[0], r[1], r[2]) for r in d.select(events.rate_dimension(F.col("m")), events.retry_after_seconds(F.col("m")), events.cooldown_seconds(events.retry_after_seconds(F.col("m")), events.rate_dimension(F.col("m")))).collect()]
-    assert got == [("RPM", 30.0, 30.0), ("RPD", None, 900.0)]
+    d = spark.createDataFrame(
+        [("DOCUMENT_PAGE_PARSE_STARTED", '{"pageNumber":7}', "book.pdf"), ("RUN_SCORING_FAILURE", "{}", None), ("JOB_RELEASED_ON_SHUTDOWN", '{"state":"PENDING"}', ""), ("PROVIDER_NOTE", '{"state":"BLOCKED","message":" wait "}', "run 1"), ("PROVIDER_NOTE", '{"state":1,"message":" "}', None), ("RUN_ITEM_TERMINAL_FAILED", None, None), (None, None, None)],
+        "event_type string, payload string, aggregate_label string",
+    )
+    got = [(r.stage, r.state, r.label, r.summary) for r in feed.described(d).collect()]
+    assert got == [
+        ("PARSING", "RUNNING", "Document Page Parse Started", "book.pdf · Document Page Parse Started"), ("SCORING", "FAILED", "Run Scoring Failure", "Run Scoring Failure"),
+        ("QUEUE", "RETRY_WAIT", "Job Released On Shutdown", "Job Released On Shutdown"), ("SYSTEM", "BLOCKED", "Provider Note", "run 1 · wait"), ("SYSTEM", "INFO", "Provider Note", "Provider Note"),
+        ("BENCHMARK", "FAILED", "Run Item Terminal Failed", "Run Item Terminal Failed"), (None, None, None, None),
+    ]
+    assert feed.described(d.select("event_type")).where("state = 'INFO'").count() == 2
+
+
+def test_provider_limits(spark):
+    texts = {"Requests per day": "RPD", "daily": "RPD", "GenerateTokensPerMinute": "TPM", "tpm per-minute": "TPM", "tokens": "UNKNOWN", "rpm": "RPM", "requests per_minute": "RPM", "rate limit": "UNKNOWN", "a token": "UNKNOWN"}
+    d = spark.createDataFrame([(x,) for x in texts], "m string")
+    assert {r.m: r.d for r in d.select("m", events.rate_dimension(F.col("m")).alias("d")).collect()} == texts
+    body = '{"error":{"details":[{"@type":"x/google.rpc.RetryInfo","retryDelay":"12.0001s"},{"@type":"x/google.rpc.RetryInfo","retryDelay":"soon"},{"@type":"x/google.rpc.QuotaFailure","violations":[{"quotaId":"m","description":"requests per minute"},{"quotaMetric":"d","description":"per day"},{"quotaId":"e","description":"daily"}]}]}}'
+    now = F.to_timestamp(F.lit("2026-01-01 00:00:00+00:00"))
+    rows = [(body, "30", 30_000), ("oops", "Thu, 01 Jan 2026 00:02:00 GMT", 120_000), ("{}", "Wed, 31 Dec 2025 00:00:00 GMT", 0), ('{"error":{"details":5}}', "99999999999999999999999999", 604_800_000), (None, "later", None), (None, None, None)]
+    d = spark.createDataFrame(rows, "body string, header string, wait long")
+    got = d.select(events.quota_error(F.col("body")).alias("q"), events.header_wait_ms(F.col("header"), now).alias("w"), "wait").collect()
+    assert tuple(got[0].q) == (12_001, "RPD", "d") and all(tuple(r.q) == (None, "UNKNOWN", None) for r in got[1:])
+    assert [r.w for r in got] == [r.wait for r in got]
+    waits = spark.createDataFrame([(5_000, "RPD"), (None, "RPD"), (None, "TPM"), (0, "RPM"), (10**12, "RPM")], "w long, d string")
+    assert [r[0] for r in waits.select(events.cooldown_ms(F.col("w"), F.col("d"))).collect()] == [5_000, 900_000, 120_000, 120_000, 604_800_000]
+
+
+def test_secrets_are_blotted_out(spark):
+    raw = ['{"authorization": "Bearer abc", "x": 1}', "api_key=k1 and API-KEY: k2", "key S3CRET here S3CRET", "x" * 900]
+    d = spark.createDataFrame([(x,) for x in raw], "t string")
+    got = [r[0] for r in d.select(scalars.redacted(F.col("t"), F.lit("S3CRET"))).collect()]
+    assert got == ['{"authorization [REDACTED]", "x": 1}', "api_key [REDACTED] and API-KEY [REDACTED]", "key [REDACTED] here [REDACTED]", "x" * 500]
+    assert d.select(scalars.redacted(F.col("t"), F.lit(""))).collect()[2][0] == raw[2]
+
+
+def test_shown_payload(spark):
+    raw = '{"chunks":[{"chunkId":"a","rank":1,"page":2,"unit":"u","source":"s","similarity":0.5,"semanticRank":1,"anchorChunkId":"b","content":"no"},{"rank":1}],"selectedChunkIds":["z","a",1],"prompt":"no","attempt":2}'
+    d = spark.createDataFrame([("generation", "QUESTION_RETRIEVAL_COMPLETED", raw), ("source", "QUESTION_RETRIEVAL_COMPLETED", raw), ("generation", "QUESTION_CREATED", raw), ("generation", "QUESTION_RETRIEVAL_COMPLETED", '{"chunkCount":1.5,"chunks":"x"}')], "a string, k string, p string")
+    got = [json.loads(r[0]) for r in d.select(events.shown_payload(F.col("a"), F.col("k"), F.col("p"))).collect()]
+    assert got[0] == {"attempt": 2, "chunkCount": 2, "selectedChunkIds": ["z", "a"], "chunks": [{"chunkId": "a", "rank": 1, "page": 2, "unit": "u", "source": "s", "similarity": 0.5, "semanticRank": 1, "anchorChunkId": "b"}]}
+    assert got[1] == got[2] == json.loads(raw) and got[3] == {"chunkCount": 1.5, "selectedChunkIds": [], "chunks": []}
+
+
+def test_judge_calls_and_failed_documents(spark, rows):
+    log = spark.createDataFrame([("c", 1, "REQUESTED"), ("c", 2, "RESPONSE_RECEIVED"), ("c", 3, "PERSISTED"), ("c", 4, "FAILED")], "call string, at int, state string")
+    assert rows(integrity.illegal_transitions(log, "call", "state", ["at"], integrity.JUDGE_TRANSITIONS).select("before", "state"), "before") == [("PERSISTED", "FAILED"), ("RESPONSE_RECEIVED", "PERSISTED")]
+    assert ("FAILED", "CHUNKING") in integrity.DOCUMENT_TRANSITIONS and ("FAILED", "READY") not in integrity.DOCUMENT_TRANSITIONS
 
 
 def test_hash_depends_on_order_and_fields(spark):
@@ -110,6 +181,9 @@ def test_pointer_chains_of_the_whole_table(spark, tmp_path):
         want[k] = (None, "DANGLING") if here > n else (here, "RESOLVED" if hops else "ROOT"), hops
     got = {r.c_custkey: ((r.root, r.state), r.hops) for r in catalog.queries()["pointer_chains_all"](spark, str(tmp_path)).collect()}
     assert got == want
+    bare = {k: ((None, "INCOMPLETE"), hops) if v[0] and v[0] % 200 == 1 else (v, hops) for k, (v, hops) in want.items()}
+    got = {r.c_custkey: ((r.root, r.state), r.hops) for r in catalog.queries()["pointer_chains"](spark, str(tmp_path)).collect()}
+    assert got == bare
 
 
 def test_registered_bootstrap_uses_the_default_samples(spark, monkeypatch):
