@@ -45,11 +45,9 @@ WORDS, PERCENT = 5, 80
 #: Counters of the frequency sketch: 2**bits, growing with the number of documents. A task
 #: holds 4 bytes for each; the levels made of them, 1 byte each, are broadcast.
 SKETCH_BITS = (12, 26)
-#: Hash ranges of a set's spread: 2**bits.
-SPREAD_BITS = 5
 #: Counters of the sketch that travel in one row, and groups in which rows are added first.
 SKETCH_BLOCK, SKETCH_WAYS = 1 << 11, 256
-#: Finer hash ranges, for pairs that are left: 2**bits, counts up to 127.
+#: Hash ranges in which a set's tokens are counted, to rule out pairs: 2**bits, counts up to 127.
 FINE_BITS = 8
 CACHE_WORDS = 250_000
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -178,9 +176,9 @@ def prefixes(h: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> list[n
 
 
 def signatures(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, s1, s2 (fingerprint of the set), first (tokens), second, third (token hashes), spread, fine.
+    """doc_id, n, s1, s2 (fingerprint of the set), first (tokens), second, third (token hashes), fine.
 
-    spread and fine count the tokens in ranges of their hash.
+    fine counts the tokens in ranges of their hash.
     """
     bits = int(len(levels)).bit_length() - 1
     shared = docs.sparkSession.sparkContext.broadcast(levels)
@@ -194,23 +192,19 @@ def signatures(docs: DataFrame, levels: np.ndarray, words: int = WORDS, percent:
                 for doc_id, t in zip(ids[at : at + 512], batch.column("text")[at : at + 512]):
                     h = shingle_hashes(t.as_py().encode() if t.is_valid else None, words)
                     if not len(h):
-                        rows.append((doc_id, 0, None, None, [], [], [], [], []))
+                        rows.append((doc_id, 0, None, None, [], [], [], []))
                         continue
                     f = xxhash.xxh3_128_digest(h.tobytes())
                     s1, s2 = np.frombuffer(f, "<i8").tolist()
                     a, b, c = prefixes(h, levels[(h >> np.uint64(64 - bits)).astype(np.int64)], percent)
-                    rows.append((doc_id, len(h), s1, s2, a.view(np.int64), _low(b), _low(c), spread(h), fine(h)))
+                    rows.append((doc_id, len(h), s1, s2, a.view(np.int64), _low(b), _low(c), fine(h)))
                 cols = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
 
-    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int8())]
-    names = ["doc_id", "n", "s1", "s2", "first", "second", "third", "spread", "fine"]
+    kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int8())]
+    names = ["doc_id", "n", "s1", "s2", "first", "second", "third", "fine"]
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return map_batches(slim, run, "doc_id long, n long, s1 long, s2 long, first array<long>, second array<int>, third array<int>, spread array<int>, fine array<tinyint>")
-
-
-def spread(h: np.ndarray) -> np.ndarray:
-    return np.bincount((h >> np.uint64(64 - SPREAD_BITS)).astype(np.int64), minlength=1 << SPREAD_BITS).astype(np.int32)
+    return map_batches(slim, run, "doc_id long, n long, s1 long, s2 long, first array<long>, second array<int>, third array<int>, fine array<tinyint>")
 
 
 def fine(h: np.ndarray) -> np.ndarray:
@@ -315,7 +309,7 @@ def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PER
         "members",
     )
     copies = member.where("rep <> doc_id").select("doc_id").distinct()
-    own = base.written(sig.where("n > 0 and doc_id is not null").join(small(copies), "doc_id", "left_anti"), "own")
+    own = sig.where("n > 0 and doc_id is not null").join(small(copies), "doc_id", "left_anti")
     stars = token_lists(own, tables, percent)
     release(spark)
     first = stars.where(F.col("d") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("d").alias("b")).distinct()
@@ -335,18 +329,16 @@ def near_duplicate_links(docs: DataFrame, words: int = WORDS, percent: int = PER
         .withColumns({"root": F.coalesce("root", "d"), "main": F.coalesce("main", "pivot")})
     )
     open_ = placed.where("root <> main").select("token").distinct()
-    left = placed.join(open_, "token", "left_semi").join(apart, ["pivot", "d"], "left").join(own.select(F.col("doc_id").alias("d"), "spread", "fine"), "d")
-    # linked sets are at most one band of sizes apart
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent) * (1 + 1e-9))).cast("int") if percent < 100 else F.col("n").cast("int")
-    left = left.withColumns({"apart": F.when(F.col("d") == F.col("pivot"), 0.0).otherwise(F.col("apart")), "band": band})
-    left = base.written(left, "open")
+    left = placed.join(open_, "token", "left_semi").join(apart, ["pivot", "d"], "left").join(own.select(F.col("doc_id").alias("d"), "fine"), "d")
+    left = base.written(left.withColumn("apart", F.when(F.col("d") == F.col("pivot"), 0.0).otherwise(F.col("apart"))), "open")
     tables.clear()
-    x = left.where("root <> main").select("token", F.col("d").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("apart").alias("xa"), F.col("spread").alias("xs"), F.col("fine").alias("xf"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
-    y = left.select("token", F.col("d").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), F.col("apart").alias("ya"), F.col("spread").alias("ys"), F.col("fine").alias("yf"), "pivot", (F.col("root") == F.col("main")).alias("inner"), "band")
+    release(spark)
+    x = left.where("root <> main").select("token", F.col("d").alias("x"), F.col("n").alias("xn"), F.col("root").alias("xr"), F.col("apart").alias("xa"), F.col("fine").alias("xf"))
+    y = left.select("token", F.col("d").alias("y"), F.col("n").alias("yn"), F.col("root").alias("yr"), F.col("apart").alias("ya"), F.col("fine").alias("yf"), "pivot", (F.col("root") == F.col("main")).alias("inner"))
     far = F.coalesce(F.abs(F.col("xa") - F.col("ya")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    near = _close(F.col("xn"), F.col("yn"), F.col("xs"), F.col("ys"), percent) & _close(F.col("xn"), F.col("yn"), F.col("xf"), F.col("yf"), percent)
+    near = _close(F.col("xn"), F.col("yn"), F.col("xf"), F.col("yf"), percent)
     pairs = (
-        x.join(y, ["token", "band"])
+        x.join(y, "token")
         .where((F.col("xr") != F.col("yr")) & (F.col("inner") | (F.col("x") < F.col("y"))) & (F.col("y") != F.col("pivot")) & far & near)
         .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
         .distinct()
