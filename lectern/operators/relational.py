@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df with its lineage cut: checkpointed in the shared folder, or kept in the executors where no folder is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.persist()
+
+
 # -- latest rows and first rows -------------------------------------------------------------
 
 
@@ -160,7 +165,7 @@ def follow_pointers(rows: DataFrame, key: str, pointer: str, payload: list[str]
             F.when(F.col("state").isNull(), F.col("hops") + F.col("hops2")).otherwise(F.col("hops")).alias("hops"),
             F.coalesce("state", F.when(F.col("state2") == "ROOT", "RESOLVED").otherwise(F.col("state2"))).alias("state"),
         )
-        at = at.checkpoint() if at.sparkSession.sparkContext.getCheckpointDir() else at
+        at = settled(at)
     return at.select(
         F.col("k").alias(key),
         F.when(F.col("state").isin("ROOT", "RESOLVED"), F.col("to")).alias("root"),
@@ -180,7 +185,7 @@ def ancestors(nodes: DataFrame, key: str, parent: str) -> DataFrame:
     while not at.isEmpty():
         levels.append(at)
         at = at.join(up, "ancestor").select(key, F.col("__up").alias("ancestor"), F.lit(len(levels) + 1).alias("distance"))
-        at = at.checkpoint() if at.sparkSession.sparkContext.getCheckpointDir() else at
+        at = settled(at)
         if not at.where(F.col(key) == F.col("ancestor")).isEmpty():
             raise ValueError("the parents form a cycle")
     return reduce(DataFrame.unionByName, levels) if levels else step
