@@ -7,9 +7,13 @@ from collections.abc import Iterator
 from html import escape
 from html.parser import HTMLParser
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from lectern.operators.relational import carry_forward
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 #: An open element that the start of another one ends.
@@ -50,11 +54,18 @@ class Node:
         return "".join(out)
 
     def html(self) -> str:
-        attrs = "".join(f' {k}="{escape(v)}"' for k, v in self.attrs.items())
-        if self.tag in VOID:
-            return f"<{self.tag}{attrs}>"
-        inner = "".join(escape(c, quote=False) if isinstance(c, str) else c.html() for c in self.children)
-        return f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        """Markup of the element; a stack instead of recursion, as pages may be nested deeply."""
+        out, stack = [], [self]
+        while stack:
+            n = stack.pop()
+            if isinstance(n, str):
+                out.append(n)
+                continue
+            out.append("<" + n.tag + "".join(f' {k}="{escape(v)}"' for k, v in n.attrs.items()) + ">")
+            if n.tag not in VOID:
+                stack.append(f"</{n.tag}>")
+                stack += [escape(c, quote=False) if isinstance(c, str) else c for c in reversed(n.children)]
+        return "".join(out)
 
 
 class _Tree(HTMLParser):
@@ -102,133 +113,144 @@ def flat(s: str) -> str:
     return " ".join(s.split())
 
 
-_SENTENCE_END = re.compile(r"(?:(?<=[.!?。])|(?<=다\.))\s+")
-
-
-def split_sentences(text: str, limit: int) -> list[str]:
-    """Greedy packs of sentences up to ``limit`` characters; longer sentences are cut hard."""
-    if len(text) <= limit:
-        return [text]
-    out, pack = [], ""
-    for s in filter(None, _SENTENCE_END.split(text)):
-        if len(s) > limit:
-            if pack:
-                out.append(pack)
-            out += [s[i : i + limit].strip() for i in range(0, len(s), limit)]
-            pack = ""
-        elif pack and len(pack) + 1 + len(s) > limit:
-            out.append(pack)
-            pack = s
-        else:
-            pack = f"{pack} {s}" if pack else s
-    return [p for p in (*out, pack) if p]
-
-
 def _int(s: str | None) -> int | None:
     m = re.match(r"\s*([+-]?\d+)", s or "")
     return int(m[1]) if m else None
 
 
-def chunk_html(html: str, max_tokens: int) -> list[dict]:
-    """Chunks of a document whose pages are top-level elements with data-page."""
-    if max_tokens < 10:
-        raise ValueError("max_tokens must be at least 10")
-    chunks: list[dict] = []
-    chapter = unit = None
-    pages = [n for n in parse_html(html).walk() if "data-page" in n.attrs and not any("data-page" in a.attrs for a in n.above())]
-    for page in pages:
+def page_elements(html: str) -> Iterator[Node]:
+    """Outermost elements with data-page."""
+    for n in parse_html(html).walk():
+        if "data-page" in n.attrs and not any("data-page" in a.attrs for a in n.above()):
+            yield n
+
+
+def page_blocks(html: str) -> Iterator[dict]:
+    """One row per page: its numbers, headings, and its blocks (kind, html, content) in order."""
+    for at, page in enumerate(page_elements(html)):
         inside = list(page.walk())
-        head = lambda tag: flat(next((n.text() for n in inside if n.tag == tag), ""))  # noqa: B023, E731
-        new_chapter = flat(page.attrs.get("data-chapter", "")) or head("h1")
-        new_unit = flat(page.attrs.get("data-unit", "")) or head("h2")
-        if new_chapter and new_chapter != chapter:
-            chapter, unit = new_chapter, None
-        unit = new_unit or unit
-        first = _int(page.attrs.get("data-page"))
-        last = _int(page.attrs.get("data-page-end"))
+        named = lambda attr, tag: flat(page.attrs.get(attr, "")) or flat(next((n.text() for n in inside if n.tag == tag), ""))  # noqa: B023, E731
+        blocks = []
         for n in inside:
-            kind = n.attrs.get("data-kind")
-            if not kind and (n.tag not in ("p", "li", "table") or any(a.attrs.get("data-kind") is not None for a in n.above())):
-                continue
-            content = flat(n.text())
-            if not content:
-                continue
-            if kind is None or kind == "":
-                kind = {"table": "table", "li": "list-item"}.get(n.tag, "paragraph") if "data-kind" not in n.attrs else ""
-            for part in split_sentences(content, max_tokens * 3):
-                chunks.append(
-                    dict(ordinal=len(chunks) + 1, page_start=first, page_end=first if last is None else last, chapter=chapter, unit=unit,
-                         kind=kind, html=n.html(), content=part, estimated_tokens=-(-len(part) // 3))
-                )
-    return chunks
+            given = n.attrs.get("data-kind")
+            if given or (n.tag in ("p", "li", "table") and not any("data-kind" in a.attrs for a in n.above())):
+                content = flat(n.text())
+                kind = given if given is not None else {"table": "table", "li": "list-item"}.get(n.tag, "paragraph")
+                if content:
+                    blocks.append({"kind": kind, "html": n.html(), "content": content})
+        first, last = _int(page.attrs.get("data-page")), _int(page.attrs.get("data-page-end"))
+        yield {"at": at, "page_start": first, "page_end": first if last is None else last, "chapter": named("data-chapter", "h1") or None, "unit": named("data-unit", "h2") or None, "blocks": blocks}
+
+
+def index_blocks(html: str, max_pages: int) -> Iterator[dict]:
+    """One row per index block of the first pages: place, the page's heading, and the text with its line breaks."""
+    at = 0
+    for page in parse_html(re.sub(r"(?i)<br\s*/?\s*>", "\n", html)).walk():
+        number = page.attrs.get("data-page", "x").strip()
+        if re.fullmatch(r"\d+(\.\d+)?", number) and float(number) <= max_pages:
+            inside = list(page.walk())
+            heading = next((n.text() for n in inside if n.tag in ("h1", "h2")), None)
+            for n in inside:
+                if n.attrs.get("data-category") == "index" or {"toc", "table-of-contents"} & set(n.attrs.get("class", "").split()):
+                    yield {"page_at": at, "heading": heading, "text": n.text()}
+            at += 1
 
 
-CHUNK_SCHEMA = "ordinal int, page_start int, page_end int, chapter string, unit string, kind string, html string, content string, estimated_tokens int"
+def _parsed(df: DataFrame, key: str, html: str, rows_of, schema: str) -> DataFrame:
+    """The rows that ``rows_of(html)`` gives, with the document's key and their place, an Arrow batch at a time."""
+    out = StructType.fromDDL(schema)
+    fields = [df.schema[key], StructField("seq", IntegerType()), *out.fields]
+    arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in fields])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [{key: k, "seq": n, **r} for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for n, r in enumerate(rows_of(h or ""))]
+            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-def _exploded(df: DataFrame, key: str, html: str, rows_of, schema: str) -> DataFrame:
-    """One output row per dict that ``rows_of(html)`` gives, with the document's key."""
-    kind = df.schema[key].dataType.simpleString()
-    names = [key, *(c.split()[0] for c in schema.split(", "))]
+    return df.select(key, html).mapInArrow(run, StructType(fields))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k, h in zip(pdf[key], pdf[html]):
-                rows = rows_of(h or "")
-                if rows:
-                    yield pd.DataFrame([{key: k, **r} for r in rows], columns=names).astype({n: "Int32" for n, t in (c.split() for c in schema.split(", ")) if t == "int"})
 
-    return df.select(key, html).mapInPandas(run, f"{key} {kind}, {schema}")
+#: Fixed value: where a sentence ends (also after Korean "da.").
+SENTENCE_END = r"(?<=[.!?。])\s+|(?<=다\.)\s+"
 
 
-def chunk_documents(docs: DataFrame, key: str, html: str = "html", max_tokens: int = 400) -> DataFrame:
-    return _exploded(docs, key, html, lambda h: chunk_html(h, max_tokens), CHUNK_SCHEMA)
+def sentence_packs(content: Column, limit: int) -> Column:
+    """Packs of whole sentences up to ``limit`` characters; a longer sentence is cut into pieces of its own.
 
+    A fold over the pieces: each joins the last pack if that is open and stays within the limit.
+    """
+    sentences = F.filter(F.split(content, SENTENCE_END, -1), lambda x: x != "")
+    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.length(x) - 1) / limit).cast("int")), lambda k: F.struct(F.trim(F.substr(x, k * limit + 1, F.lit(limit))).alias("text"), F.lit(False).alias("open")))
+    pieces = F.flatten(F.transform(sentences, lambda x: F.when(F.length(x) > limit, cut(x)).otherwise(F.array(F.struct(x.alias("text"), F.lit(True).alias("open"))))))
 
-def clean_title(s: str) -> str:
-    return re.sub(r"[.…·]{2,}", " ", re.sub(r"\s+", " ", s)).strip()
+    def add(packs: Column, piece: Column) -> Column:
+        last = F.element_at(packs, -1)
+        joins = (F.size(packs) > 0) & piece["open"] & F.when(F.size(packs) > 0, last["open"] & (F.length(last["text"]) + 1 + F.length(piece["text"]) <= limit))
+        longer = F.struct(F.concat(last["text"], F.lit(" "), piece["text"]).alias("text"), F.lit(True).alias("open"))
+        return F.when(joins, F.concat(F.slice(packs, 1, F.size(packs) - 1), F.array(longer))).otherwise(F.concat(packs, F.array(piece)))
 
+    packed = F.aggregate(pieces, F.array().cast("array<struct<text:string,open:boolean>>"), add)
+    texts = F.filter(F.transform(packed, lambda p: p.text), lambda x: x != "")
+    return F.when(F.length(content) <= limit, F.array(content)).otherwise(texts)
 
-def toc_lines(lines: list[str]) -> list[tuple[str, int]]:
-    """(title, printed page) of index lines; a line without a page continues on the next."""
-    out, open_ = [], ""
-    for line in lines:
-        whole = clean_title(f"{open_} {line}" if open_ else line)
-        m = re.fullmatch(r"(.*?\D)\s+(\d{1,3})", whole, re.S)
-        open_ = "" if m else whole
-        if m and 2 <= len(clean_title(m[1])) <= 180:
-            out.append((clean_title(m[1]), int(m[2])))
-    return out
 
+_PAGE = "at int, page_start int, page_end int, chapter string, unit string, blocks array<struct<kind:string,html:string,content:string>>"
 
-def toc_of(html: str, max_pages: int = 10) -> list[dict]:
-    """Table of contents from index blocks of the first pages; titles once, whatever their case."""
-    out: list[dict] = []
-    seen: set[str] = set()
 
-    def add(title: str, level: int, page: int | None) -> None:
-        title = clean_title(title)
-        if title and title.lower() not in seen:
-            seen.add(title.lower())
-            out.append(dict(ordinal=len(out) + 1, title=title, level=level, printed_page=page))
+def chunk_documents(docs: DataFrame, key: str, html: str = "html", max_tokens: int = 400) -> DataFrame:
+    """Chunks of documents whose pages are elements with data-page: key, ordinal, page_start, page_end,
+    chapter, unit, kind, html, content, estimated_tokens.
 
-    for page in parse_html(re.sub(r"(?i)<br\s*/?\s*>", "\n", html)).walk():
-        number = page.attrs.get("data-page", "x").strip()
-        if not re.fullmatch(r"\d+(\.\d+)?", number) or float(number) > max_pages:
-            continue
-        inside = list(page.walk())
-        blocks = [n for n in inside if n.attrs.get("data-category") == "index" or {"toc", "table-of-contents"} & set(n.attrs.get("class", "").split())]
-        lines = [x for n in blocks for x in toc_lines([c for c in map(clean_title, n.text().split("\n")) if c])]
-        chapter = clean_title(next((n.text() for n in inside if n.tag in ("h1", "h2")), ""))
-        if chapter and lines:
-            add(chapter, 1, lines[0][1])
-        for title, printed in lines:
-            add(title, 2, printed)
-    return out
+    Only the parsing is Python; chapters and units are carried by windows, blocks are cut into
+    packs of sentences of three characters a token.
+    """
+    if max_tokens < 10:
+        raise ValueError("max_tokens must be at least 10")
+    pages = carry_forward(_parsed(docs, key, html, page_blocks, _PAGE), key, "at")
+    blocks = pages.select(key, "at", "page_start", "page_end", "chapter", "unit", F.posexplode("blocks").alias("block", "b"))
+    parts = blocks.select("*", F.posexplode(sentence_packs(F.col("b.content"), 3 * max_tokens)).alias("part", "content"))
+    place = Window.partitionBy(key).orderBy("at", "block", "part")
+    return parts.select(
+        key, F.row_number().over(place).alias("ordinal"), "page_start", "page_end", "chapter", "unit", "b.kind", "b.html", "content", F.ceil(F.length("content") / 3).cast("int").alias("estimated_tokens")
+    )
+
+
+def clean_title(c: Column) -> Column:
+    """White space and dotted leaders as one blank."""
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"(?U)\s+", " "), r"[.…·]{2,}", " "))
+
+
+#: A title, which may run over several lines, and the page number that ends its last line;
+#: the shortest and longest title.
+INDEX_LINE = r"(?s)\s*(.*?\D)\s+(\d{1,3})(?:\n|$)"
+TITLE_CHARS = (2, 180)
+
+
+def index_lines(text: Column) -> Column:
+    """array<struct<title, page>> of an index block; a line without a page number goes on in the next."""
+    # twice, as leaders leave blanks of their own
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: clean_title(clean_title(x))), lambda x: x != "")
+    joined = F.array_join(lines, "\n")
+    titles, pages = (F.regexp_extract_all(joined, F.lit(INDEX_LINE), F.lit(k)) for k in (1, 2))
+    found = F.zip_with(titles, pages, lambda t, p: F.struct(clean_title(t).alias("title"), p.cast("int").alias("page")))
+    return F.filter(found, lambda x: F.length(x.title).between(*TITLE_CHARS))
 
 
 def extract_toc(docs: DataFrame, key: str, html: str = "html", max_pages: int = 10) -> DataFrame:
-    return _exploded(docs, key, html, lambda h: toc_of(h, max_pages), "ordinal int, title string, level int, printed_page int")
+    """key, ordinal, title, level, printed_page: contents from index blocks of the first pages.
+
+    A page's heading is an entry of level 1 with the page of its first line, its lines are of
+    level 2; of titles that differ in case only the first counts.
+    """
+    blocks = _parsed(docs, key, html, lambda h: index_blocks(h, max_pages), "page_at int, heading string, text string")
+    lines = blocks.select(key, "seq", "page_at", clean_title(F.col("heading")).alias("heading"), F.posexplode(index_lines(F.col("text"))).alias("line", "x"))
+    lines = lines.select(key, "page_at", "heading", "seq", "line", "x.*")
+    first = lines.groupBy(key, "page_at", "heading").agg(F.min(F.struct("seq", "line", "page")).alias("f")).where(F.coalesce(F.col("heading"), F.lit("")) != "")
+    heads = first.select(key, "page_at", F.lit(-1).alias("seq"), F.lit(0).alias("line"), F.col("heading").alias("title"), F.lit(1).alias("level"), F.col("f.page").alias("printed_page"))
+    rows = heads.unionByName(lines.select(key, "page_at", "seq", "line", "title", F.lit(2).alias("level"), F.col("page").alias("printed_page")))
+    order = ("page_at", "seq", "line")
+    once = rows.withColumn("again", F.row_number().over(Window.partitionBy(key, F.lower("title")).orderBy(*order))).where("again = 1")
+    return once.select(key, F.row_number().over(Window.partitionBy(key).orderBy(*order)).alias("ordinal"), "title", "level", "printed_page")
 
 
 def markdown_as_html(markdown: Column) -> Column:
