@@ -6,8 +6,6 @@ are rounded to 6 places, and composites are made from the rounded means, then ro
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +20,7 @@ def score_base(items: DataFrame, models: DataFrame, questions: DataFrame, respon
     last = latest_attempt(responses).select("run_item_id", F.col("id").alias("response_id"))
     return (
         items.join(last, items["id"] == last["run_item_id"])
-        .join(F.broadcast(models.select(F.col("id").alias("run_model_id"), "blind_id")), "run_model_id")
+        .join(models.select(F.col("id").alias("run_model_id"), "blind_id"), "run_model_id")
         .join(questions.select(F.col("id").alias("question_id"), "purpose"), "question_id")
         .join(scores.select("response_id", "metric_key", "value"), "response_id")
         .select("blind_id", "mode", "purpose", "question_id", "metric_key", "value")
@@ -74,18 +72,38 @@ def distribution(base: DataFrame, metric: str, bins: int = 5) -> DataFrame:
     )
 
 
-def tagged_rows(base: DataFrame, weight: Column, metric: str) -> DataFrame:
-    """All parts as one long result: kind, scope, series, key, value, n."""
-    means = metric_means(base)
-    rows = [
-        means.select(F.lit("METRIC").alias("kind"), "scope", *SERIES, F.col("metric_key").alias("key"), F.col("mean").alias("value"), "n"),
-        composites(means, weight).select(F.lit("MODEL").alias("kind"), "scope", *SERIES, F.lit("composite").alias("key"), F.col("composite").alias("value"), "n"),
-        purpose_means(base, metric).select(F.lit("PURPOSE").alias("kind"), F.col("purpose").alias("scope"), *SERIES, F.lit(metric).alias("key"), F.col("mean").alias("value"), "n"),
-        distribution(base, metric)
-        .unpivot(["scope", *SERIES], [f"bin{k}" for k in range(5)], "key", "n")
-        .select(F.lit("DISTRIBUTION").alias("kind"), "scope", *SERIES, "key", F.lit(None).cast("decimal(12,6)").alias("value"), "n"),
-    ]
-    return reduce(DataFrame.unionByName, rows)
+def tagged_rows(base: DataFrame, weight: Column, metric: str, bins: int = 5) -> DataFrame:
+    """All parts as one long result: kind, scope, series, key, value, n.
+
+    The scores are read and grouped once: sums, counts and histogram counts by metric, series
+    and scope. A second, small grouping makes the composites, and each group gives its rows.
+    """
+    hit = histogram_bin(F.col("value"), bins)
+    groups = (
+        base.groupingSets([["blind_id", "mode", "metric_key", "purpose"], ["blind_id", "mode", "metric_key"]], "blind_id", "mode", "metric_key", "purpose")
+        .agg(F.sum("value").alias("total"), F.count("value").alias("n"), F.grouping("purpose").alias("overall"), *[F.count_if(hit == k).alias(f"bin{k}") for k in range(bins)])
+        .withColumn("scope", F.when(F.col("overall") == 0, F.col("purpose")))
+    )
+    mean = half_up6(F.col("total").cast("double") / F.when(F.col("n") > 0, F.col("n")))
+    w = weight.cast("decimal(12,6)")
+    each = groups.select("scope", "overall", *SERIES, "metric_key", "n", mean.alias("mean"), w.alias("w"), F.array(*[F.col(f"bin{k}") for k in range(bins)]).alias("bins"))
+    by = Window.partitionBy("scope", "overall", *SERIES)
+    counts = (F.col("metric_key") != "exact_match") & (F.col("w") > 0) & F.col("mean").isNotNull()
+    composite = half_up6(F.try_divide(F.sum(F.when(counts, F.col("mean") * F.col("w"))).over(by).cast("double"), F.sum(F.when(counts, F.col("w"))).over(by).cast("double")))
+    told = each.withColumns({
+        "composite": composite, "n_composite": F.coalesce(F.sum(F.when(counts, F.col("n"))).over(by), F.lit(0)),
+        "first": F.row_number().over(by.orderBy("metric_key")) == 1,
+    })
+    nothing = F.lit(None).cast("decimal(12,6)")
+    row = lambda kind, key, value, n: F.struct(F.lit(kind).alias("kind"), key.alias("key"), value.alias("value"), n.alias("n"))
+    own = F.col("metric_key") == metric
+    rows = F.concat(
+        F.array(row("METRIC", F.col("metric_key"), F.col("mean"), F.col("n"))),
+        F.when(F.col("first"), F.array(row("MODEL", F.lit("composite"), F.col("composite"), F.col("n_composite")))).otherwise(F.array()),
+        F.when(own & (F.col("overall") == 0), F.array(row("PURPOSE", F.lit(metric), F.col("mean"), F.col("n")))).otherwise(F.array()),
+        F.when(own, F.array(*[row("DISTRIBUTION", F.lit(f"bin{k}"), nothing, F.col("bins")[k]) for k in range(bins)])).otherwise(F.array()),
+    )
+    return told.select("scope", *SERIES, F.explode(rows).alias("r")).select("r.kind", "scope", *SERIES, "r.key", "r.value", "r.n")
 
 
 def in_display_order(rows: DataFrame) -> DataFrame:

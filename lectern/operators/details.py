@@ -66,12 +66,12 @@ def scoreboard(scores: DataFrame, eligible: DataFrame, run: str = "run_id", limi
 
 def required_pairs(responses: DataFrame, scores: DataFrame, required: Column) -> DataFrame:
     """Per response: metrics it needs, and how many of them have a score."""
-    need = responses.select("response_id", F.explode(required).alias("metric_key"))
+    need = responses.select("response_id", F.explode(F.array_distinct(required)).alias("metric_key"))
     have = scores.where("value is not null").select("response_id", "metric_key").distinct().withColumn("scored", F.lit(True))
     return (
         need.join(have, ["response_id", "metric_key"], "left")
         .groupBy("response_id")
-        .agg(F.count_distinct("metric_key").alias("required"), F.count_distinct(F.when(F.col("scored"), F.col("metric_key"))).alias("scored"))
+        .agg(F.count("metric_key").alias("required"), F.count("scored").alias("scored"))
     )
 
 

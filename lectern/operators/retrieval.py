@@ -37,10 +37,9 @@ def _top_k_of_block(queries: DataFrame, chunks: DataFrame, k: int, digits: int)
         "query_id", "chunk_id", "file", "ordinal", F.round(1 - cosine_similarity(F.col("embedding"), F.col("vector")), digits).alias("distance")
     )
     order = [F.asc_nulls_last("distance"), F.asc("file"), F.asc("ordinal")]
-    local = Window.partitionBy("query_id", "__part").orderBy(*order)
-    pruned = scored.withColumn("__part", F.spark_partition_id()).withColumn("__rn", F.row_number().over(local)).where(F.col("__rn") <= k)
+    # Spark keeps the k best of each task before the shuffle, as the rank is limited
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    out = pruned.drop("__part", "__rn").withColumn("semantic_rank", rank).where(F.col("semantic_rank") <= k)
+    out = scored.withColumn("semantic_rank", rank).where(F.col("semantic_rank") <= k)
     return out.withColumn("similarity", 1 - F.col("distance"))
 
 

@@ -22,17 +22,24 @@ def mcnemar_counts(pairs: DataFrame, keys: list[str], a: str = "a", b: str = "b"
 
 
 def mcnemar_p(k: Column, n: Column) -> Column:
-    """min(1, 2 * sum of C(n,i) / 2^n for i up to k), in logarithms so that large n don't overflow."""
+    """min(1, 2 * sum of C(n,i) / 2^n for i up to k): the lower tail of a binomial with p = 1/2.
+
+    The terms come one from the other, from the largest down, in units of the largest, whose
+    logarithm is taken by itself, so that large n neither overflow nor vanish.
+    """
 
     @F.pandas_udf("double")
     def tail(ks: pd.Series, ns: pd.Series) -> pd.Series:
-        def one(k, n):
+        def one(k: int, n: int) -> float:
             if n == 0:
                 return 1.0
-            logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(int(k) + 1)]
-            return min(1.0, 2.0 * math.fsum(map(math.exp, logs)))
+            # terms below the k-th shrink by i / (n - i + 1) each
+            i = np.arange(k, 0, -1, dtype=np.float64)
+            share = 1.0 + np.cumprod(i / (n - i + 1)).sum()
+            largest = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) - n * math.log(2)
+            return min(1.0, 2.0 * share * math.exp(largest))
 
-        return pd.Series([one(k, n) for k, n in zip(ks, ns)])
+        return pd.Series([one(int(k), int(n)) for k, n in zip(ks, ns)])
 
     return tail(k, n)
 

@@ -263,11 +263,13 @@ def evidence_report(spark, sf_dir):
     return details.evidence_report(base(spark, sf_dir), top=3, small=600).select("metric_key", "blind_id", "mode", "n", "rank", "small_sample")
 
 
-@register("""SELECT 'all' AS grp, count(*) FILTER (quality = 1 AND toxic = 0) AS a_only, count(*) FILTER (quality = 0 AND toxic = 1) AS b_only,
-count(*) FILTER ((quality = 1 AND toxic = 0) OR (quality = 0 AND toxic = 1)) AS n FROM labels""")
+@register("""WITH c AS (SELECT doc_id % 9 AS grp, count(*) FILTER (quality = 1 AND toxic = 0) AS a_only, count(*) FILTER (quality = 0 AND toxic = 1) AS b_only FROM labels GROUP BY 1),
+d AS (SELECT *, a_only + b_only AS n, least(a_only, b_only) AS k FROM c)
+SELECT grp, a_only, b_only, n, round(CASE WHEN n = 0 THEN 1 ELSE least(1, 2 * list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2))))) END, 9) AS p_value FROM d""")
 def mcnemar(spark, sf_dir):
-    p = t(spark, sf_dir, "labels").select(F.lit("all").alias("grp"), F.col("quality").alias("a"), F.col("toxic").alias("b"))
-    return statistics.mcnemar_counts(p, ["grp"]).drop("p_value")
+    ship(spark)
+    p = t(spark, sf_dir, "labels").select((F.col("doc_id") % 9).alias("grp"), F.col("quality").alias("a"), F.col("toxic").alias("b"))
+    return statistics.mcnemar_counts(p, ["grp"]).withColumn("p_value", F.round("p_value", 9))
 
 
 @register()
