@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from lectern import queries_analytics, queries_documents, queries_events, queries_relational  # noqa: F401
+    from lectern import queries_analytics, queries_composites, queries_documents, queries_events, queries_relational  # noqa: F401

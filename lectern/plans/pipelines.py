@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.text_udfs import bigram_embedding
-from lectern.operators import alignment, analytics, datasets, details, documents, integrity, relational, retrieval, scoring
+from lectern.functions.scalars import lines_normalised
+from lectern.functions.text_udfs import bigram_embedding, jsonb_sha256, nfc
+from lectern.operators import alignment, analytics, datasets, details, documents, integrity, lookups, relational, retrieval, scoring
+from lectern.streaming.feed import described
 
 
 def process_documents(pages: DataFrame, doc: str, page: str, max_tokens: int = 400, dims: int = 64) -> dict[str, DataFrame]:
     """Pages to documents, chunks with vectors, contents, and the alignment of both."""
     whole = documents.assemble_pages(pages, doc, page)
-    chunks = documents.chunk_documents(whole, doc, "html", max_tokens)
+    chunks = relational.settled(documents.chunk_documents(whole, doc, "html", max_tokens))
     embedded = chunks.withColumn("embedding", bigram_embedding(dims)(F.col("content")))
-    toc = documents.extract_toc(whole, doc)
+    toc = relational.settled(documents.extract_toc(whole, doc))
     none = toc.select(doc, F.col("printed_page"), F.lit(0).alias("document_page")).limit(0)
     mappings = alignment.align_revisions(toc, chunks, none, doc)
     return {"documents": whole, "chunks": embedded, "toc": alignment.mapping_summary(toc, mappings, doc), "mappings": mappings}
@@ -31,7 +33,8 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int = 12, window: int = 1
 
 def generated_questions(answers: DataFrame, retrieved: DataFrame, raw: str = "raw") -> DataFrame:
     """Generated questions with their problems: broken rules, and citations outside the evidence."""
-    q = answers.withColumn("problems", integrity.question_problems(F.col(raw))).join(retrieved, "query_id", "left")
+    kind = F.col("question_type") if "question_type" in answers.columns else None
+    q = answers.withColumn("problems", integrity.question_problems(F.col(raw), kind)).join(retrieved, "query_id", "left")
     foreign = F.array_except("cited", F.coalesce("chunk_ids", F.array().cast("array<string>")))
     return q.withColumn("problems", F.concat("problems", F.when(F.size(foreign) > 0, F.array(F.lit("CITES_OUTSIDE"))).otherwise(F.array().cast("array<string>"))))
 
@@ -45,16 +48,17 @@ def create_run(questions: DataFrame, models: DataFrame, modes: DataFrame, retrie
 
 
 def execute_items(items: DataFrame, snapshots: DataFrame, answers: DataFrame) -> DataFrame:
-    """Items with prompt and answer; evidence is made once per question and mode and joined back."""
+    """Items (item_id, question_id, mode, question, options) with prompt and answer; evidence (an
+    array of texts) is made once per question and mode and joined back."""
     ready = retrieval.computed_once(items, ["question_id", "mode"], snapshots)
-    prompt = retrieval.answer_prompt(F.col("mode"), F.col("query"), F.col("evidence"), F.col("graph"))
-    return ready.withColumn("prompt", prompt).join(answers, "item_id", "left")
+    prompt = retrieval.answer_prompt(F.col("mode"), F.col("question"), F.col("options"), F.col("evidence"))
+    return ready.withColumn("prompt", prompt).join(answers, "item_id", "left").withColumn("normalized_text", lines_normalised(nfc(F.col("answer"))))
 
 
 def score_run(responses: DataFrame, judged: DataFrame, prices: DataFrame) -> dict[str, DataFrame]:
     """Scores of all required metrics, completeness, and costs."""
     need = responses.withColumn("required", scoring.required_metrics(F.col("profile_metrics"), F.col("question_type")))
-    parsed = scoring.parse_judge(judged).where("reject is null").select("response_id", F.explode("scores").alias("s")).select("response_id", "s.*")
+    parsed = scoring.parse_judge(judged).where("reject is null").select("response_id", F.explode("scores").alias("s")).select("response_id", "s.metric_key", "s.value")
     present = responses.select("response_id", F.lit("response_present").alias("metric_key"), scoring.response_present(F.col("text")).cast("double").alias("value"))
     scores = parsed.select("response_id", "metric_key", "value").unionByName(present)
     return {
@@ -77,18 +81,90 @@ def result_details(items: DataFrame, responses: DataFrame, keys: list[str]) -> D
     return stats.join(sums, keys, "left").join(worst, keys, "left")
 
 
-def publish(rows: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
-    """Frozen versions: content hash, size, and the version number after those that exist."""
-    return datasets.content_hash(rows, key, fields, order)
+def publish(rows: DataFrame, versions: DataFrame, key: str, fields: list[str], order: str) -> DataFrame:
+    """Frozen versions: content hash, size, and the number after those that exist in ``versions`` (key, version)."""
+    last = versions.groupBy(key).agg(F.max("version").alias("__last"))
+    out = datasets.content_hash(rows, key, fields, order).join(last, key, "left")
+    return out.withColumn("version", F.coalesce("__last", F.lit(0)) + 1).drop("__last")
+
+
+def audited_page(questions: DataFrame, revisions: DataFrame, evidence: DataFrame, query: str | None, facets: dict[str, str | None], page: int = 1, size: int = 20) -> DataFrame:
+    """A page of real approved questions that fit the search, with their evidence and the total."""
+    live = relational.real_approved(questions, revisions)
+    found = datasets.audit_list(live, query, [F.col("text"), F.col("purpose")], facets)
+    return datasets.with_evidence(relational.page_with_total(found, [F.asc("question_id")], page, size), evidence)
+
+
+#: Stages of the overview, in order, and the stages of operations that count to each.
+OVERVIEW = {
+    "UPLOAD": ["UPLOAD"], "PARSE": ["PARSING"], "CHUNK": ["CHUNKING"], "EMBED": ["EMBEDDING"], "GENERATE": ["DIRECTION", "RETRIEVAL", "QUESTION_GENERATION"],
+    "REVIEW": ["REVIEW"], "FREEZE": ["FREEZE"], "EXECUTE": ["BENCHMARK"], "SCORE": ["SCORING"],
+}
+
+
+def control_room_snapshot(jobs: DataFrame, items: DataFrame, log: DataFrame, operations: DataFrame, failures: DataFrame, ready: DataFrame, as_of: str, recent: int = 100) -> dict[str, DataFrame]:
+    """The control room at one moment.
+
+    jobs, items: state, lease_expires_at; log: event_id, event_type, payload; operations: stage,
+    state; failures: stage; ready: stage, n (stages of the overview). Gives the system's row,
+    the overview by stage, and the latest events, described, oldest first.
+    """
+    now = F.lit(as_of).cast("timestamp")
+    leased = F.col("state") == "LEASED"
+    alive = F.coalesce(F.col("lease_expires_at") > now, F.lit(False))
+    queue = jobs.agg(
+        F.count_if(F.col("state") == "PENDING").alias("pending"), F.count_if(F.col("state") == "RETRY_WAIT").alias("retry_wait"), F.count_if(leased).alias("leased"),
+        F.count_if(leased & alive).alias("a"), F.count_if(leased & ~alive).alias("s"),
+    )
+    lanes = items.agg(F.count_if(leased & alive).alias("a2"), F.count_if(leased & ~alive).alias("s2"))
+    cursor = log.agg(F.coalesce(F.max("event_id"), F.lit(0)).alias("event_cursor"))
+    worker = F.when(F.col("stale_leases") > 0, "STALE").when(F.col("active_leases") > 0, "HEALTHY").otherwise("IDLE")
+    system = queue.crossJoin(lanes).crossJoin(cursor).select(  # one row each
+        "event_cursor", "pending", "retry_wait", "leased", (F.col("a") + F.col("a2")).alias("active_leases"), (F.col("s") + F.col("s2")).alias("stale_leases")
+    ).withColumn("worker", worker)
+    top = F.create_map(*[F.lit(x) for k, vs in OVERVIEW.items() for v in vs for x in (v, k)])
+    counted = lambda df, name: df.withColumn("key", F.try_element_at(top, "stage")).where("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias(name))
+    stages = log.sparkSession.createDataFrame(list(enumerate(OVERVIEW)), "position int, key string")
+    overview = (
+        stages.join(counted(operations.where("state <> 'STALE'"), "active"), "key", "left")
+        .join(counted(failures, "failed"), "key", "left")
+        .join(ready.select(F.col("stage").alias("key"), F.col("n").alias("ready")), "key", "left")
+        .fillna(0, ["active", "failed", "ready"])
+    )
+    return {"system": system, "stages": overview, "events": described(relational.last_then_ascending(log, "event_id", recent))}
+
+
+def run_details(items: DataFrame, responses: DataFrame, scores: DataFrame, receipts: DataFrame, keys: list[str]) -> dict[str, DataFrame]:
+    """Progress by ``keys``, the required and scored metrics of every response, and retrievals with what their roots hold."""
+    return {
+        "progress": details.run_progress(items, keys),
+        "pairs": details.required_pairs(responses, scores, F.col("required")),
+        "retrievals": relational.resolve_receipts(receipts, "id", "shared_from", ["context", "config_hash"]),
+    }
 
 
-def compatible_sources(sources: DataFrame, sha: str = "sha256") -> DataFrame:
-    """For every content the newest source that is ready under the active profiles."""
-    ready = sources.where((F.col("status") == "READY") & F.col("deleted_at").isNull() & (F.col("parse_hash") == F.col("active_parse_hash")))
-    return relational.latest_per_key(ready, [sha], [F.desc("created_at"), F.desc("id")])
+def generation_activity(items: DataFrame, attempts: DataFrame, key: str) -> dict[str, DataFrame]:
+    """Summary of a generation's items, the state counts of their calls, and what a resume would take up: items not completed, with their last attempt."""
+    last = relational.latest_per_key(attempts, ["item_id"], [F.desc("attempt"), F.desc("id")]).select("item_id", "attempt", F.col("state").alias("last_state"))
+    return {
+        "summary": details.item_summary(items, key),
+        "calls": lookups.state_counts(attempts, ["item_id"], ["REQUESTED", "FAILED", "PERSISTED"]),
+        "resumable": items.where("state <> 'COMPLETED'").join(last, "item_id", "left"),
+    }
+
+
+def compatible_sources(sources: DataFrame, active: DataFrame, sha: str = "sha256") -> DataFrame:
+    """For every content the source to take up again: made under verified snapshots of the active
+    profiles (kind, content_hash), not deleted ones first, then the newest."""
+    hashes = active.groupBy().pivot("kind", ["document_parse", "embedding_rag"]).agg(F.first("content_hash"))
+    fits = sources.where((F.col("parse_provenance") == integrity.VERIFIED) & (F.col("embed_provenance") == integrity.VERIFIED)).join(
+        hashes, (F.col("parse_hash") == F.col("document_parse")) & (F.col("embed_hash") == F.col("embedding_rag"))  # one row
+    )
+    return relational.latest_per_key(fits, [sha], [F.desc(F.col("deleted_at").isNull()), F.desc("created_at"), F.desc("id")]).drop("document_parse", "embedding_rag")
 
 
 def activated_profiles(profiles: DataFrame, activations: DataFrame) -> DataFrame:
-    """Profiles with their canonical hash and whether they are the active one of their kind."""
+    """Profiles (id, kind, config JSON) with their canonical hash and whether they are the active one of their kind."""
     last = relational.latest_per_key(activations, ["kind"], [F.desc("activated_at"), F.desc("profile_id")]).select("kind", F.col("profile_id").alias("active_id"))
-    return profiles.join(last, "kind", "left").withColumn("active", F.coalesce(F.col("id") == F.col("active_id"), F.lit(False))).drop("active_id")
+    out = profiles.withColumn("content_hash", jsonb_sha256(F.col("config"))).join(last, "kind", "left")
+    return out.withColumn("active", F.coalesce(F.col("id") == F.col("active_id"), F.lit(False))).drop("active_id")
