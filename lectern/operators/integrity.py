@@ -172,10 +172,26 @@ def question_problems(raw: Column, question_type: Column | None = None) -> Colum
     return F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
 
 
-def design_normalised(design: Column) -> Column:
-    """Design struct with missing texts as a dash and only texts in its lists."""
-    text = lambda c: F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("—"))
-    return F.struct(text(design["target"]).alias("target"), text(design["rationale"]).alias("rationale"), F.filter(F.coalesce(design["concepts"], F.array().cast("array<string>")), lambda x: x.isNotNull() & (F.trim(x) != "")).alias("concepts"))
+def design_normalised(scores: Column) -> Column:
+    """The benchmark design inside a question's quality scores (JSON), made fit to show; NULL if there is none.
+
+    A missing text is NULL at the top and a dash inside lists; lists keep only texts, and what
+    is no object counts as an empty one.
+    """
+    d = F.try_variant_get(F.try_parse_json(scores), "$.benchmarkDesign", "variant")
+    none = F.array().cast("array<variant>")
+    at = lambda v, k: F.try_variant_get(v, f"$.{k}", "variant")
+    items = lambda v: F.when(F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False)), F.coalesce(F.try_variant_get(v, "$", "array<variant>"), none)).otherwise(none)
+    text = lambda v: F.nullif(F.when(F.schema_of_variant(v) == "STRING", v.cast("string")), F.lit(""))
+    shown = lambda v: F.coalesce(text(v), F.lit("—"))
+    texts = lambda v: F.transform(F.filter(items(v), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: x.cast("string"))
+    rows = lambda k, *names: F.transform(items(at(d, k)), lambda x: F.struct(*[shown(at(x, n)).alias(n) for n in names], texts(at(x, "evidenceChunkIds")).alias("evidenceChunkIds"))).alias(k)
+    design = F.struct(
+        *[text(at(d, k)).alias(k) for k in ("benchmarkType", "taskType", "targetConcept")],
+        rows("prerequisiteConcepts", "concept", "role"), rows("prerequisiteRelations", "fromConcept", "toConcept", "relationType", "explanation"),
+        *[texts(at(d, k)).alias(k) for k in ("requiredReasoningSteps", "failureSignals")],
+    )
+    return F.when(F.schema_of_variant(d).rlike("^OBJECT<.+>$"), design)
 
 
 def soft_deleted(states: DataFrame, changes: DataFrame, key: str) -> DataFrame:

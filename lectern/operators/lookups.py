@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.operators.relational import numbered
+
 
 def pinned_revisions(links: DataFrame, revisions: DataFrame) -> DataFrame:
     """Links with the content of exactly the revision they were made with."""
@@ -88,5 +90,4 @@ def is_subset(a: Column, b: Column) -> Column:
 
 def collated(df: DataFrame, by: str, locale: str = "ko") -> DataFrame:
     """Rows numbered in the collation order of a locale, ties by code points."""
-    w = Window.orderBy(F.collate(F.col(by), locale), F.col(by))
-    return df.withColumn("position", F.row_number().over(w))
+    return numbered(df, [F.asc(F.collate(F.col(by), locale)), F.asc(by)])

@@ -38,6 +38,19 @@ def next_number(df: DataFrame, keys: list[str], number: str) -> DataFrame:
     return df.groupBy(*keys).agg((F.coalesce(F.max(number), F.lit(0)) + 1).alias("next_number"))
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
+    """Rows numbered from 1 over the whole table, without a window over all of it.
+
+    Rows are dealt to ranges of the order; each range is numbered by itself and starts behind
+    the row counts of the ranges before it, of which there is one row for each.
+    """
+    dealt = settled(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    counts = dealt.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    begun = counts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return dealt.withColumn("__r", inside).join(begun, "__p").withColumn(name, F.col("__s") + F.col("__r")).drop("__p", "__r", "__s")
+
+
 # -- densifying and totals ------------------------------------------------------------------
 
 

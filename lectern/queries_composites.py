@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from lectern.catalog import register
 from lectern.functions.text_udfs import bigram_coverage, bigram_embedding
-from lectern.operators import analytics, datasets, details, retrieval, scoring
+from lectern.operators import analytics, datasets, details, integrity, retrieval, scoring
 from lectern.plans import pipelines
 from lectern.queries_analytics import HITS, _responses, _vectors, doubles
-from lectern.queries_events import EVENTS, events
+from lectern.queries_events import EVENTS, _stream, events
 from lectern.session import ship
 from lectern.sources import sinks, tables
 from lectern.sources.tables import read_table as t
+from lectern.streaming import feed
 
 RUN = """items AS (SELECT o_orderkey AS id, o_custkey % 5 AS m, o_orderkey % 100 AS q, o_orderstatus AS mode FROM orders),
 last AS (SELECT l_orderkey, l_linenumber, l_discount FROM lineitem WHERE l_returnflag <> 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber % 3 DESC, l_shipdate DESC, l_linenumber DESC) = 1)"""
@@ -280,3 +281,22 @@ SELECT doc_id, mime IS NOT NULL AND bytes <= 4000 AND b <= 64000000 AND n <= 100
 def lab_files(spark, sf_dir):
     d = t(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("bytes"), F.when(F.col("doc_id") % 3 == 0, "application/pdf").alias("mime"))
     return tables.lab_files(d, 4000, 64_000_000, 1_000_000).select("doc_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+
+
+@register("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '{"prerequisiteConcepts":[],"prerequisiteRelations":[],"requiredReasoningSteps":[],"failureSignals":[]}'
+WHEN 2 THEN '{"taskType":"t","targetConcept":"' || event_type || '","prerequisiteConcepts":[{"concept":"c","role":"—","evidenceChunkIds":["x"]},{"concept":"—","role":"—","evidenceChunkIds":[]}],"prerequisiteRelations":[],"requiredReasoningSteps":["a"],"failureSignals":[]}' END AS design FROM events""")
+def shown_designs(spark, sf_dir):
+    k = F.col("event_id")
+    raw = (
+        F.when(k % 4 == 0, "{}").when(k % 4 == 1, '{"benchmarkDesign":{"targetConcept":"","failureSignals":"x"}}')
+        .when(k % 4 == 2, F.concat(F.lit('{"benchmarkDesign":{"benchmarkType":7,"taskType":"t","targetConcept":"'), F.col("event_type"), F.lit('","prerequisiteConcepts":[{"concept":"c","role":null,"evidenceChunkIds":["x",1]},5],"requiredReasoningSteps":["a",2]}}')))
+        .otherwise('{"benchmarkDesign":[1]}')
+    )
+    return t(spark, sf_dir, "events").select("event_id", F.to_json(integrity.design_normalised(raw)).alias("design"))
+
+
+@register("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
+SELECT user_id, min(ts) AS begun, count(*) AS n FROM s GROUP BY user_id, session""")
+def streamed_sessions(spark, sf_dir):
+    w = feed.drain(feed.session_counts(_stream(spark, sf_dir), "user_id", late="3650 days"), "streamed_sessions", "complete")
+    return w.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("begun"), "n")

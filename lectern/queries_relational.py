@@ -439,13 +439,11 @@ def backoff(spark, sf_dir):
 
 @register("SELECT p_partkey, row_number() OVER (ORDER BY regexp_extract(p_brand, '^\\D*'), CAST(regexp_extract(p_brand, '(\\d+)\\D*$', 1) AS BIGINT), p_partkey) AS position FROM part".replace("\\\\", "\\"))
 def natural_order(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.orderBy(scalars.natural_key(F.col("p_brand")), "p_partkey")
-    return t(spark, sf_dir, "part").select("p_partkey", F.row_number().over(w).cast("long").alias("position"))
+    p = t(spark, sf_dir, "part").select("p_partkey", "p_brand")
+    return rel.numbered(p, [scalars.natural_key(F.col("p_brand")), F.col("p_partkey")]).select("p_partkey", "position")
 
 
-@register()
+@register("""SELECT event_id, sha256('{"k": ' || (props->>'k') || '}') AS jsonb_sha256, '{"k":' || (props->>'k') || '}' AS sorted FROM events""")
 def canonical_json(spark, sf_dir):
     from lectern.functions.text_udfs import jsonb_sha256, sorted_canonical
 
@@ -530,6 +528,6 @@ def json_merged(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", lookups.json_merged(base, F.lit('{"a":2}'), ["gone"]).alias("merged"), covered.alias("covered"))
 
 
-@register()
+@register("SELECT n_name, row_number() OVER (ORDER BY n_name) AS position FROM nation")
 def collated_names(spark, sf_dir):
     return lookups.collated(t(spark, sf_dir, "nation").select("n_name"), "n_name")

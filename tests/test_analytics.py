@@ -55,6 +55,10 @@ def test_mcnemar_and_bootstrap(spark):
     p = spark.createDataFrame([("g", a, b) for a, b in zip([1, 1, 0, 1], [0, 1, 1, 0])], "g string, a int, b int")
     r = statistics.mcnemar_counts(p, ["g"]).first()
     assert (r.a_only, r.b_only, r.n, r.p_value) == (2, 1, 3, 1.0)
+    for k, n in ((0, 0), (0, 5), (2, 9), (7, 14), (30, 100), (480, 1000)):
+        want = min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
+        got = spark.range(1).select(statistics.mcnemar_p(F.lit(k), F.lit(n))).first()[0]
+        assert abs(got - want) <= 1e-9 * max(want, 1e-300), (k, n)
     q = spark.createDataFrame([("g", a, b) for a, b in zip([1, 1, 0, 1], [0, 1, 0, 0])], "g string, a int, b int")
     s = statistics.paired_bootstrap(q, "g", samples=500).first()
     assert s.difference == 0.5 and s.low <= 0.5 <= s.high and s.n == 4

@@ -1,5 +1,7 @@
 """Relational helpers, integrity checks, events, sinks and streams on literal inputs."""
 
+import csv
+import io
 import json
 
 import pytest
@@ -151,7 +153,25 @@ def test_files_blobs_and_csv(spark, tmp_path):
     sinks.write_csv(d.withColumn("j", F.struct("id")), str(tmp_path / "csv"))
     sinks.write_json(d, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 3
-    assert spark.createDataFrame([('say "hi"', 1)], "a string, b int").transform(sinks.csv_lines).first().line == '"say ""hi""","1"'
+    cells = spark.createDataFrame([('say "hi"', 1, "a,b"), (None, 2, "x\r\ny"), ("plain", 3, "")], "a string, b int, c string")
+    assert [r.line for r in cells.transform(sinks.csv_lines).collect()] == ['"say ""hi""",1,"a,b"', ',2,"x\r\ny"', "plain,3,"]
+
+
+def test_export_parts_make_one_file(spark, tmp_path):
+    d = spark.range(1000).select(F.col("id").cast("string").alias("run_item_id"), F.struct("id").alias("scores"), F.lit(1).alias("unknown"))
+    sinks.csv_parts(sinks.export_columns(d), ["run_item_id"], str(tmp_path / "x"), rows_per_part=300)
+    parts = sorted((tmp_path / "x" / "rows").glob("part-*"))
+    raw = b"".join(f.read_bytes() for f in [*(tmp_path / "x" / "header").glob("part-*"), *parts])
+    assert len(parts) == 4 and raw.startswith(b"\xef\xbb\xbfrun_item_id,") and raw.endswith(b"\r\n") and b"\n" not in raw.replace(b"\r\n", b"")
+    got = list(csv.DictReader(io.StringIO(raw.decode("utf-8-sig"), newline="")))
+    assert list(got[0]) == sinks.EXPORT_COLUMNS and len(got[0]) == 52
+    assert [r["run_item_id"] for r in got] == sorted(map(str, range(1000))) and json.loads(got[7]["scores"]) == {"id": int(got[7]["run_item_id"])}
+
+
+def test_numbering_of_a_whole_table(spark, rows):
+    d = spark.range(500).select((F.col("id") * 7 % 500).alias("k"))
+    got = rel.numbered(d, [F.desc("k")]).collect()
+    assert sorted((r.position, r.k) for r in got) == [(n + 1, 499 - n) for n in range(500)]
 
 
 def test_stream_resumes_from_checkpoint(spark, tmp_path):
