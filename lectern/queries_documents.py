@@ -66,3 +66,18 @@ def sniffed_files(spark, sf_dir):
 
     head = F.when(F.col("doc_id") % 3 == 0, F.lit("%PDF-1.7").cast("binary")).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("89504E470D0A1A0A0000"))).otherwise(F.col("text").cast("binary"))
     return t(spark, sf_dir, "documents").select("doc_id", mime_of(head).alias("mime"))
+
+
+@register("""WITH c AS (SELECT user_id AS book, event_id AS ordinal, CASE event_id % 5 WHEN 0 THEN '1. Heat' WHEN 1 THEN 'HEAT' WHEN 2 THEN 'Light' END AS chapter, CASE event_id % 5 WHEN 0 THEN 'heat' WHEN 1 THEN 'heat' WHEN 2 THEN 'light' END AS k,
+  CASE WHEN event_id % 3 = 0 THEN 'u' || CAST(event_id % 7 AS VARCHAR) END AS unit FROM events),
+a AS (SELECT *, last_value(chapter IGNORE NULLS) OVER w AS carried, CASE WHEN k <> coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY book ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') THEN 1 ELSE 0 END AS new
+  FROM c WINDOW w AS (PARTITION BY book ORDER BY ordinal ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY book ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS run FROM a)
+SELECT book, ordinal, carried AS chapter, last_value(unit IGNORE NULLS) OVER (PARTITION BY book, run ORDER BY ordinal ROWS UNBOUNDED PRECEDING) AS unit FROM r""")
+def carried_toc_headings(spark, sf_dir):
+    ship(spark)
+    k = F.col("event_id")
+    chapter = F.when(k % 5 == 0, " 1. Heat ").when(k % 5 == 1, "HEAT").when(k % 5 == 2, "Light").when(k % 5 == 3, "  ")
+    unit = F.when(k % 3 == 0, F.concat(F.lit(" u"), (k % 7).cast("string")))
+    e = t(spark, sf_dir, "events").select(F.col("user_id").alias("book"), k.alias("ordinal"), chapter.alias("chapter"), unit.alias("unit"))
+    return alignment.carried_headings(e, "book")
