@@ -150,7 +150,10 @@ def heatmap(base: DataFrame, metric: str, page: int = 1, size: int = 25, most: i
 
 
 def ranked_series(summary: DataFrame, modes: list[str] | None = None, models: list[str] | None = None) -> DataFrame:
-    """Chosen series by falling composite (NULL last), with the composite in percent for charts."""
+    """Chosen series by falling composite (NULL last), with the composite in percent for charts.
+
+    A summary has a row per model and mode, a few dozen at most, so one window ranks them all.
+    """
     for name, wanted in (("mode", modes), ("blind_id", models)):
         if wanted:
             summary = summary.where(F.col(name).isin(wanted))

@@ -108,8 +108,10 @@ def answer_prompt(mode: Column, question: Column, options: Column, evidence: Col
 
 
 def vector_audit(vector: Column) -> Column:
-    """Dimensions, norm and hash of a query vector."""
-    return F.struct(F.size(vector).alias("dims"), F.round(l2_norm(vector), 6).alias("norm"), F.sha2(F.to_json(F.struct(vector.alias("v"))), 256).alias("sha256"))
+    """Dimensions, norm and hash of a query vector: sha256 of its JSON, whole numbers written without a point."""
+    number = lambda x: F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(x.cast("double").cast("string"))
+    text = F.concat(F.lit("["), F.array_join(F.transform(vector, number), ","), F.lit("]"))
+    return F.struct(F.size(vector).alias("dims"), F.round(l2_norm(vector), 6).alias("norm"), F.sha2(text, 256).alias("sha256"))
 
 
 def space_mismatches(chunks: DataFrame, key: str, space: str, wanted: str) -> DataFrame:

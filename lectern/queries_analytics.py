@@ -96,16 +96,17 @@ def series_maps(spark, sf_dir):
     return m.select("scope", "metric_key", F.array_join(text, ";").alias("by_series"))
 
 
-@register("""WITH r AS (SELECT c_mktsegment AS blind_id, o_orderstatus AS mode, o_orderpriority AS purpose, count(*) AS responses,
-  CAST(floor(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 1e6 + 0.5) / 1e6 AS DOUBLE) AS avg_latency_ms
-  FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey % 7 <> 3 OR o_orderstatus <> 'P' GROUP BY ALL)
+@register("""WITH o AS (SELECT *, CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority WHEN o_custkey % 2 = 0 THEN '1-URGENT' ELSE '5-LOW' END AS purpose FROM orders),
+r AS (SELECT c_mktsegment AS blind_id, o_orderstatus AS mode, purpose, count(*) AS responses,
+  CAST(floor(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) * 1e6 + 0.5) / 1e6 AS DOUBLE) AS avg_latency_ms FROM o JOIN customer ON o_custkey = c_custkey GROUP BY ALL)
 SELECT p.purpose, b.blind_id, m.mode, coalesce(r.responses, 0) AS responses, avg_latency_ms
 FROM (SELECT DISTINCT purpose FROM r) p CROSS JOIN (SELECT DISTINCT blind_id FROM r) b CROSS JOIN (SELECT DISTINCT mode FROM r) m
 LEFT JOIN r ON r.purpose = p.purpose AND r.blind_id = b.blind_id AND r.mode = m.mode""")
 def dense_model_stats(spark, sf_dir):
+    """Orders in progress have two purposes only, which leaves holes."""
     o = t(spark, sf_dir, "orders").join(t(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    o = o.where((F.col("o_custkey") % 7 != 3) | (F.col("o_orderstatus") != "P"))
-    r = o.groupBy(F.col("c_mktsegment").alias("blind_id"), F.col("o_orderstatus").alias("mode"), F.col("o_orderpriority").alias("purpose")).agg(
+    purpose = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).when(F.col("o_custkey") % 2 == 0, "1-URGENT").otherwise("5-LOW")
+    r = o.groupBy(F.col("c_mktsegment").alias("blind_id"), F.col("o_orderstatus").alias("mode"), purpose.alias("purpose")).agg(
         F.count(F.lit(1)).alias("responses"), half_up6(exact_mean(F.col("o_totalprice").cast("decimal(18,2)"))).cast("double").alias("avg_latency_ms")
     )
     return analytics.dense_model_stats(r)
@@ -384,10 +385,12 @@ def space_mismatches(spark, sf_dir):
     return retrieval.space_mismatches(e, "label", "space", "new")
 
 
-@register("""SELECT vec_id, CAST(len(embedding) AS INT) AS dims, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm FROM embeddings""")
+@register("""SELECT vec_id, CAST(len(embedding) AS INT) AS dims, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 5) AS norm,
+sha256('[' || (['0', '0.25', '0.5', '0.75', '1', '1.25', '1.5'])[vec_id % 7 + 1] || ',-2,' || CAST(vec_id AS VARCHAR) || ']') AS sha256 FROM embeddings""")
 def vector_audit(spark, sf_dir):
     a = retrieval.vector_audit(F.col("embedding"))
-    return t(spark, sf_dir, "embeddings").select("vec_id", a.dims.alias("dims"), F.round(a.norm, 5).alias("norm"))
+    plain = retrieval.vector_audit(F.array(F.col("vec_id") % 7 / 4, F.lit(-2.0), F.col("vec_id").cast("double")))
+    return t(spark, sf_dir, "embeddings").select("vec_id", a.dims.alias("dims"), F.round(a.norm, 5).alias("norm"), plain.sha256.alias("sha256"))
 
 
 @register("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'NONE,PIKE' WHEN 1 THEN 'VECTOR' WHEN 2 THEN NULL ELSE 'NONE,VECTOR,PIKE' END AS modes,
