@@ -1,8 +1,9 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A text is encoded in chunks of ``chunk_chars`` characters, each by one call of the library,
-that overlap by ``overlap_chars``; a text of one chunk is a text without a splice. Two
-neighbouring encodings are spliced at a character p of the overlap that is proven stable:
+A text is taken in chunks of ``chunk_chars`` characters that overlap by ``overlap_chars``; a
+text of one chunk is a text without a splice. The overlap is encoded with offsets twice, as
+the end of the left chunk and as the beginning of the right one, and the chunks are spliced
+at a character p of the overlap that is proven stable:
 
 * p is a natural cut of this kind of tokenizer: see ``Counter.cut``,
 * both encodings begin a token at p, and
@@ -13,7 +14,8 @@ The first point is the proof: no pattern, merge or normalisation of the tokenize
 over such a cut, so the left part has the same tokens whatever follows, and the right part
 whatever precedes. The others guard it, as a chunk may begin or end inside a word. Where an
 overlap holds no such character it is widened to twice its length, in the end to the whole
-chunk, and then the chunk is made longer.
+chunk, and then the chunk is made longer. What lies between two splices is counted by itself,
+by white-space pieces in a bounded cache where the tokenizer drops white space.
 
 Edge cases: null text counts as empty (0 tokens); special strings inside a text count as
 their special token; texts of any length are counted whole, chunk by chunk; repeated rows,
@@ -36,6 +38,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 from lectern.llm.common import map_batches, without
 
 CHUNK_CHARS, OVERLAP_CHARS, AGREE = 2048, 128, 4
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
 _BLANKS = " \n"
 
 
@@ -51,6 +54,7 @@ class Counter:
         self.lib.no_padding()
         #: "after": cuts come behind a blank that is dropped; "before": in front of a single blank
         self.kind = kind_of(spec)
+        self.cache = _Counts(self)
 
     def cut(self, text: str, p: int) -> bool:
         """Whether nothing in the tokenizer reaches over the place before character p.
@@ -66,38 +70,42 @@ class Counter:
     def encode(self, text: str):
         return self.lib.encode(text, add_special_tokens=False)
 
+    def tokens(self, text: str) -> int:
+        """Tokens of a text between two stable places."""
+        if self.kind == "after":
+            return sum(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
+        return len(self.encode(text))
+
     def count(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, agree: int = AGREE) -> int:
-        """Count by chunks [at, to); tokens before ``since`` of the left chunk are counted already."""
+        """Count by chunks [at, to); ``at`` is 0 or the last splice, and all before it is counted."""
         total, at, to = 0, 0, min(len(text), chunk)
-        left, since = self.encode(text[:to]), 0
         while to < len(text):
             wide = min(overlap, to - at)
             while True:
                 begin = to - wide
                 end = min(len(text), begin + max(chunk, 2 * wide))
-                right = self.encode(text[begin:end])
-                found = self._splice(text, left, at, right, begin, to, since, agree)
+                found = self._splice(text, max(at, begin - wide), begin, to, min(end, to + wide), agree)
                 if found is not None or begin <= at:
                     break
                 wide = min(2 * wide, to - at)
             if found is None:
                 # no stable place in the whole chunk: make it longer
                 to = min(len(text), at + 2 * (to - at))
-                left = self.encode(text[at:to])
-                continue  # the tokens before ``since`` end at a stable place and are the same
-            total += found[0] - since
-            left, since, at, to = right, found[1], begin, end
-        return total + len(left) - since
-
-    def _splice(self, text: str, left, at: int, right, begin: int, to: int, since: int, agree: int) -> tuple[int, int] | None:
-        """Numbers of the tokens that begin at the stable place nearest to the middle of [begin, to)."""
+                continue
+            total += self.tokens(text[at:found])
+            at, to = found, end
+        return total + self.tokens(text[at:])
+
+    def _splice(self, text: str, at: int, begin: int, to: int, end: int, agree: int) -> int | None:
+        """The stable place nearest to the middle of [begin, to), by the encodings of [at, to) and [begin, end)."""
+        left, right = self.encode(text[at:to]), self.encode(text[begin:end])
         middle, left_ids, right_ids = (begin + to) // 2, left.ids, right.ids
         for far in range(max(middle - begin, to - middle) + 1):
             for p in (middle + far, middle - far):
                 if not begin < p < to or not self.cut(text, p):
                     continue
                 i, j = left.char_to_token(p - at), right.char_to_token(p - begin)
-                if i is None or j is None or i < since or not self._begins(left, i, p - at) or not self._begins(right, j, p - begin):
+                if i is None or j is None or not self._begins(left, i, p - at) or not self._begins(right, j, p - begin):
                     continue
                 same = whole = 0
                 for k in range(agree):
@@ -110,7 +118,7 @@ class Counter:
                     if j + k < len(right) and (a + at, b + at) == tuple(x + begin for x in right.token_to_chars(j + k)) and left_ids[i + k] == right_ids[j + k]:
                         same += 1
                 if whole and same == whole:
-                    return i, j
+                    return p
         return None
 
     @staticmethod
@@ -135,6 +143,23 @@ def kind_of(spec: dict) -> str:
     raise ValueError("no cut is known for this tokenizer")
 
 
+class _Counts(dict):
+    """piece -> its tokens, emptied when full."""
+
+    def __init__(self, owner: Counter) -> None:
+        super().__init__({"": 0})
+        self.owner = owner
+
+    def __missing__(self, piece: str) -> int:
+        n = len(self.owner.encode(piece))
+        if len(piece) <= CACHE_CHARS:
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+                self[""] = 0
+            self[piece] = n
+        return n
+
+
 _LOADED: dict[str, Counter] = {}
 
 
