@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, chat_format, decontaminate, fertility, language_id, line_dedup, ngram_join, sharding, token_count, token_output
+from lectern.llm import bpe, chat_format, decontaminate, fertility, language_id, line_dedup, ngram_join, sharding, token_count, token_output, yinyang
 from lectern.llm.common import table
 
 
@@ -50,10 +50,15 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontamination, op2_sharding, op3_chat_format, op4_line_dedup, op5_token_counts,
         op6_quality_rules, op7_bpe, op8_token_output, op9_language_id, op10_ngram_join,
+        op11_yinyang,
     )
     return {f.__name__: f for f in own}
 
@@ -93,6 +98,32 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low,
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(seen) AS low FROM r GROUP BY 1) m ON m.doc_id = d.doc_id"""
 
 
+
+def _op11_sql(k: int = yinyang.K, rounds: int = yinyang.ROUNDS, dims: int = yinyang.DIMS, scale: int = yinyang.SCALE) -> str:
+    """One table of distances, one of nearest centroids and one of means for each round."""
+    parts = [
+        f"e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS cluster, q AS c FROM e QUALIFY cluster < {k})",
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"a{i} AS (SELECT vec_id, q, cluster, d FROM (SELECT vec_id, q, cluster, list_sum(list_transform(list_zip(q, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM e CROSS JOIN c{i})"
+            " QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster) = 1)"
+        )
+        if i < rounds:
+            parts += [
+                f"m{i} AS (SELECT cluster, i, CAST(floor(sum(q[i]) / count(*)) AS BIGINT) AS x FROM a{i}, range(1, {dims + 1}) t(i) GROUP BY 1, 2)",
+                f"c{i + 1} AS (SELECT cluster, coalesce(n, c) AS c FROM c{i} LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS n FROM m{i} GROUP BY 1) USING (cluster))",
+            ]
+    return f"""WITH {", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in parts)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} USING (cluster)"""
+
+
+OP11_SQL = _op11_sql()
+
+
 def oracle_sql() -> dict[str, str]:
     """Tokenisers, hash functions and fitted models are beyond SQL; tests hold those queries against plain versions."""
-    return {"op1_decontamination": OP1_SQL, "op3_chat_format": OP3_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_chat_format": OP3_SQL, "op10_ngram_join": OP10_SQL, "op11_yinyang": OP11_SQL}
