@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, chat_format, decontaminate, fertility, language_id, line_dedup, ngram_join, sharding, token_count, token_output, yinyang
+from lectern.llm import bpe, chat_format, collocations, decontaminate, fertility, language_id, line_dedup, ngram_join, sharding, token_count, token_output, yinyang
 from lectern.llm.common import table
 
 
@@ -54,11 +54,15 @@ def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
     return yinyang.cluster_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontamination, op2_sharding, op3_chat_format, op4_line_dedup, op5_token_counts,
         op6_quality_rules, op7_bpe, op8_token_output, op9_language_id, op10_ngram_join,
-        op11_yinyang,
+        op11_yinyang, op12_collocations,
     )
     return {f.__name__: f for f in own}
 
@@ -123,7 +127,25 @@ FROM a{rounds} JOIN c{rounds} USING (cluster)"""
 
 OP11_SQL = _op11_sql()
 
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS MATERIALIZED (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w CROSS JOIN range(1, 5) t(k) WHERE len(w) >= k) GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k >= 2 AND f >= 30),
+s AS (SELECT c.lang, phrase, size, a, w, j, l.f AS l, r.f AS r, CAST(CAST(2000000 AS HUGEINT) * a // (CAST(l.f AS HUGEINT) + r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, size)) AS j FROM c) c
+  JOIN (SELECT lang, phrase AS lp, f FROM g) l ON l.lang = c.lang AND lp = array_to_string(w[1:j], ' ')
+  JOIN (SELECT lang, phrase AS rp, f FROM g) r ON r.lang = c.lang AND rp = array_to_string(w[j + 1:], ' ')),
+best AS (SELECT lang, phrase, a, l, r, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM c CROSS JOIN range(2, 4) u(m) WHERE m < size) GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM best LEFT JOIN inside USING (lang, phrase) JOIN t USING (lang)
+WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT) QUALIFY rank <= 2000"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Tokenisers, hash functions and fitted models are beyond SQL; tests hold those queries against plain versions."""
-    return {"op1_decontamination": OP1_SQL, "op3_chat_format": OP3_SQL, "op10_ngram_join": OP10_SQL, "op11_yinyang": OP11_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_chat_format": OP3_SQL, "op10_ngram_join": OP10_SQL, "op11_yinyang": OP11_SQL, "op12_collocations": OP12_SQL}
