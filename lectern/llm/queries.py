@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import bpe, chat_format, collocations, decontaminate, fertility, language_id, line_dedup, ngram_join, sharding, token_count, token_output, yinyang
+from lectern.llm import bpe, chat_format, collocations, decontaminate, fertility, language_id, line_dedup, minmax, ngram_join, sharding, token_count, token_output, yinyang
 from lectern.llm.common import table
 
 
@@ -58,11 +58,15 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_minmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minmax.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (
         op1_decontamination, op2_sharding, op3_chat_format, op4_line_dedup, op5_token_counts,
         op6_quality_rules, op7_bpe, op8_token_output, op9_language_id, op10_ngram_join,
-        op11_yinyang, op12_collocations,
+        op11_yinyang, op12_collocations, op13_minmax,
     )
     return {f.__name__: f for f in own}
 
@@ -91,17 +95,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(16 + length(replace({_GUARD.format("role")}, chr(10), '<|line|>')) + length({_GUARD.format("text")})) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id"""
 
-OP10_SQL = rf"""
+def _linked_sql(words: int, percent: int, more: str = "") -> str:
+    """Components of documents by all pairs that share a shingle."""
+    return rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0))),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, array_to_string(w[i:i + {words - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - {words - 1}, 1) + 1)) AS i FROM d WHERE len(w) > 0))),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
 r AS (SELECT a AS doc_id, b AS seen FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.seen)
-SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id{more}
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN (SELECT doc_id, min(seen) AS low FROM r GROUP BY 1) m ON m.doc_id = d.doc_id"""
 
 
+OP10_SQL = _linked_sql(4, 85)
+OP13_SQL = _linked_sql(3, 85, ", d.doc_id = component_id AS kept")
+
+
 
 def _op11_sql(k: int = yinyang.K, rounds: int = yinyang.ROUNDS, dims: int = yinyang.DIMS, scale: int = yinyang.SCALE) -> str:
     """One table of distances, one of nearest centroids and one of means for each round."""
@@ -148,4 +158,7 @@ WHERE most IS NULL OR 100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT) QUAL
 
 def oracle_sql() -> dict[str, str]:
     """Tokenisers, hash functions and fitted models are beyond SQL; tests hold those queries against plain versions."""
-    return {"op1_decontamination": OP1_SQL, "op3_chat_format": OP3_SQL, "op10_ngram_join": OP10_SQL, "op11_yinyang": OP11_SQL, "op12_collocations": OP12_SQL}
+    return {
+        "op1_decontamination": OP1_SQL, "op3_chat_format": OP3_SQL, "op10_ngram_join": OP10_SQL,
+        "op11_yinyang": OP11_SQL, "op12_collocations": OP12_SQL, "op13_minmax": OP13_SQL,
+    }
