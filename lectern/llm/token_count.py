@@ -1,9 +1,9 @@
 """Token counts with overlap resynchronisation for huge documents.
 
-A text is taken in chunks of ``chunk_chars`` characters that overlap by ``overlap_chars``; a
-text of one chunk is a text without a splice. The overlap is encoded with offsets twice, as
-the end of the left chunk and as the beginning of the right one, and the chunks are spliced
-at a character p of the overlap that is proven stable:
+A text is encoded in chunks of ``chunk_chars`` characters that overlap by ``overlap_chars``,
+each with the offsets of its tokens; a text of one chunk is a text without a splice. The
+overlap is thus encoded twice, as the end of the left chunk and as the beginning of the right
+one, and the chunks are spliced at a character p of the overlap that is proven stable:
 
 * p is a natural cut of this kind of tokenizer: see ``Counter.cut``,
 * both encodings begin a token at p, and
@@ -14,8 +14,12 @@ The first point is the proof: no pattern, merge or normalisation of the tokenize
 over such a cut, so the left part has the same tokens whatever follows, and the right part
 whatever precedes. The others guard it, as a chunk may begin or end inside a word. Where an
 overlap holds no such character it is widened to twice its length, in the end to the whole
-chunk, and then the chunk is made longer. What lies between two splices is counted by itself,
-by white-space pieces in a bounded cache where the tokenizer drops white space.
+chunk, and then the chunk is made longer. The count is the sum of the tokens of each chunk's
+encoding between its two splices.
+
+Where the tokenizer drops white space, a chunk's encoding is put together from those of its
+white-space pieces, ids and offsets, which a bounded cache holds; else the library encodes
+the whole chunk.
 
 Edge cases: null text counts as empty (0 tokens); special strings inside a text count as
 their special token; texts of any length are counted whole, chunk by chunk; repeated rows,
@@ -28,7 +32,9 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,11 +43,19 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from lectern.llm.common import map_batches, without
 
-CHUNK_CHARS, OVERLAP_CHARS, AGREE = 2048, 128, 4
+CHUNK_CHARS, OVERLAP_CHARS, AGREE = 4096, 128, 4
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
 _BLANKS = " \n"
 
 
+class Encoding(NamedTuple):
+    """Ids of a chunk's tokens and where they begin and end, in characters of the chunk."""
+
+    ids: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+
+
 class Counter:
     """Token counts of one vocabulary file of the tokenizers library."""
 
@@ -54,7 +68,7 @@ class Counter:
         self.lib.no_padding()
         #: "after": cuts come behind a blank that is dropped; "before": in front of a single blank
         self.kind = kind_of(spec)
-        self.cache = _Counts(self)
+        self.pieces = _Pieces(self.lib)
 
     def cut(self, text: str, p: int) -> bool:
         """Whether nothing in the tokenizer reaches over the place before character p.
@@ -67,63 +81,79 @@ class Counter:
             return text[p - 1] in _BLANKS and text[p] not in _BLANKS
         return text[p] == " " and p + 1 < len(text) and not text[p - 1].isspace() and not text[p + 1].isspace()
 
-    def encode(self, text: str):
-        return self.lib.encode(text, add_special_tokens=False)
-
-    def tokens(self, text: str) -> int:
-        """Tokens of a text between two stable places."""
-        if self.kind == "after":
-            return sum(map(self.cache.__getitem__, text.replace("\n", " ").split(" ")))
-        return len(self.encode(text))
+    def encode(self, text: str) -> Encoding:
+        if self.kind == "before":
+            return Encoding(*np.array(_tokens(self.lib, text), np.int32).reshape(3, -1))
+        pieces = text.replace("\n", " ").split(" ")
+        got = list(map(self.pieces.__getitem__, pieces))
+        ids, begin, end = (np.frombuffer(b"".join(x), np.int32) for x in zip(*got))
+        if not len(ids):
+            return Encoding(ids, begin, end)
+        size = np.fromiter(map(len, pieces), np.int32, len(pieces))
+        first = np.cumsum(size + 1, dtype=np.int32) - size - 1
+        first = np.repeat(first, np.fromiter((len(x[0]) >> 2 for x in got), np.int32, len(got)))
+        return Encoding(ids, begin + first, end + first)
 
     def count(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, agree: int = AGREE) -> int:
-        """Count by chunks [at, to); ``at`` is 0 or the last splice, and all before it is counted."""
-        total, at, to = 0, 0, min(len(text), chunk)
+        """The left chunk is [at, to); its tokens before number ``begin`` are counted already."""
+        total, at, to, begin = 0, 0, min(len(text), chunk), 0
+        left = self.encode(text[:to])
         while to < len(text):
-            wide = min(overlap, to - at)
+            stable = at + int(left.begin[begin]) if begin < len(left.ids) else at  # where the count has come to
+            wide = min(overlap, to - stable)
             while True:
-                begin = to - wide
-                end = min(len(text), begin + max(chunk, 2 * wide))
-                found = self._splice(text, max(at, begin - wide), begin, to, min(end, to + wide), agree)
-                if found is not None or begin <= at:
+                start = to - wide
+                end = min(len(text), start + max(chunk, 2 * wide))
+                right = self.encode(text[start:end])
+                found = self._splice(text, left, at, right, start, to, agree)
+                if found is not None or start <= stable:
                     break
-                wide = min(2 * wide, to - at)
+                wide = min(2 * wide, to - stable)
             if found is None:
                 # no stable place in the whole chunk: make it longer
-                to = min(len(text), at + 2 * (to - at))
+                at, to, begin = stable, min(len(text), stable + 2 * (to - stable)), 0
+                left = self.encode(text[at:to])
                 continue
-            total += self.tokens(text[at:found])
-            at, to = found, end
-        return total + self.tokens(text[at:])
-
-    def _splice(self, text: str, at: int, begin: int, to: int, end: int, agree: int) -> int | None:
-        """The stable place nearest to the middle of [begin, to), by the encodings of [at, to) and [begin, end)."""
-        left, right = self.encode(text[at:to]), self.encode(text[begin:end])
-        middle, left_ids, right_ids = (begin + to) // 2, left.ids, right.ids
-        for far in range(max(middle - begin, to - middle) + 1):
-            for p in (middle + far, middle - far):
-                if not begin < p < to or not self.cut(text, p):
-                    continue
-                i, j = left.char_to_token(p - at), right.char_to_token(p - begin)
-                if i is None or j is None or not self._begins(left, i, p - at) or not self._begins(right, j, p - begin):
-                    continue
-                same = whole = 0
-                for k in range(agree):
-                    if i + k >= len(left):
-                        break
-                    a, b = left.token_to_chars(i + k)
-                    if b + at >= to or not any(c in text[b + at : to] for c in _BLANKS):
-                        break  # its word may go on behind the left chunk
-                    whole += 1
-                    if j + k < len(right) and (a + at, b + at) == tuple(x + begin for x in right.token_to_chars(j + k)) and left_ids[i + k] == right_ids[j + k]:
-                        same += 1
-                if whole and same == whole:
-                    return p
+            i, j = found
+            total += i - begin
+            left, at, to, begin = right, start, end, j
+        return total + len(left.ids) - begin
+
+    def _splice(self, text: str, left: Encoding, at: int, right: Encoding, start: int, to: int, agree: int) -> tuple[int, int] | None:
+        """The tokens of left [at, to) and of right [start, ...) that begin at the stable place nearest to the middle of [start, to)."""
+        low, high = np.searchsorted(left.begin, start + 1 - at), np.searchsorted(right.begin, to - start)
+        both, i, j = np.intersect1d(left.begin[low:] + at, right.begin[:high] + start, return_indices=True)
+        i += low
+        for k in np.argsort(np.abs(both - (start + to) // 2), kind="stable"):
+            p, a, b = int(both[k]), int(i[k]), int(j[k])
+            if start < p < to and self.cut(text, p) and self._begins(left, a) and self._begins(right, b) and self._agree(text, left, at, a, right, start, b, to, agree):
+                return a, b
         return None
 
     @staticmethod
-    def _begins(encoding, token: int, char: int) -> bool:
-        return encoding.token_to_chars(token)[0] == char and (token == 0 or encoding.token_to_chars(token - 1)[1] <= char)
+    def _begins(encoding: Encoding, token: int) -> bool:
+        """Whether the token shares no character with the one before."""
+        return token == 0 or encoding.end[token - 1] <= encoding.begin[token]
+
+    @staticmethod
+    def _agree(text: str, left: Encoding, at: int, a: int, right: Encoding, start: int, b: int, to: int, agree: int) -> bool:
+        whole = 0
+        for k in range(agree):
+            if a + k >= len(left.ids):
+                break
+            end = int(left.end[a + k]) + at
+            if all(text.find(c, end, to) < 0 for c in _BLANKS):
+                break  # its word may go on behind the left chunk
+            whole += 1
+            if b + k >= len(right.ids) or left.ids[a + k] != right.ids[b + k] or left.begin[a + k] + at != right.begin[b + k] + start or end != right.end[b + k] + start:
+                return False
+        return whole > 0
+
+
+def _tokens(lib, text: str) -> tuple[list[int], list[int], list[int]]:
+    got = lib.encode(text, add_special_tokens=False)
+    begin, end = zip(*got.offsets) if got.ids else ((), ())
+    return got.ids, list(begin), list(end)
 
 
 def kind_of(spec: dict) -> str:
@@ -143,21 +173,20 @@ def kind_of(spec: dict) -> str:
     raise ValueError("no cut is known for this tokenizer")
 
 
-class _Counts(dict):
-    """piece -> its tokens, emptied when full."""
+class _Pieces(dict):
+    """piece -> the bytes of its tokens' ids, begins and ends; emptied when full."""
 
-    def __init__(self, owner: Counter) -> None:
-        super().__init__({"": 0})
-        self.owner = owner
+    def __init__(self, lib) -> None:
+        super().__init__()
+        self.lib = lib
 
-    def __missing__(self, piece: str) -> int:
-        n = len(self.owner.encode(piece))
+    def __missing__(self, piece: str) -> tuple[bytes, bytes, bytes]:
+        got = tuple(np.array(x, np.int32).tobytes() for x in _tokens(self.lib, piece))
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
-                self[""] = 0
-            self[piece] = n
-        return n
+            self[piece] = got
+        return got
 
 
 _LOADED: dict[str, Counter] = {}

@@ -51,7 +51,34 @@ def test_ordinary_texts_are_spliced(monkeypatch):
     whole = _COUNTER.encode
     monkeypatch.setattr(_COUNTER, "encode", lambda t: seen.append(len(t)) or whole(t))
     assert _COUNTER.count(text) == len(_WORD.encode(text, add_special_tokens=False).ids)
-    assert len(seen) >= len(text) // 2048 and max(seen) <= 2048
+    assert len(seen) >= len(text) // 4096 and max(seen) <= 4096
+
+
+@pytest.mark.parametrize("counter,lib", [(_COUNTER, _WORD), (_BYTE_COUNTER, _BYTE)])
+@pytest.mark.parametrize("chunk", [0, 1, 2, 5])
+def test_counts_are_those_of_the_chunk_encodings(monkeypatch, counter, lib, chunk):
+    """One token less in any chunk, between its splices, is one token less in the count."""
+    text = " ".join(f"Word{k % 97}'s {k}" for k in range(3000))
+    whole, calls = counter.encode, []
+
+    def changed(t):
+        got = whole(t)
+        calls.append(t)
+        if len(calls) - 1 == chunk:
+            keep = np.arange(len(got.ids)) != len(got.ids) // 2
+            got = token_count.Encoding(*(x[keep] for x in got))
+        return got
+
+    monkeypatch.setattr(counter, "encode", changed)
+    assert counter.count(text) == len(lib.encode(text, add_special_tokens=False).ids) - 1
+    assert len(calls) >= len(text) // 4096
+
+
+def test_piece_encodings_are_those_of_the_library():
+    text = "The  Cat's é漢 hat\n\n😀 12 <|endoftext|>x \t İ "
+    want = _WORD.encode(text, add_special_tokens=False)
+    got = _COUNTER.encode(text)
+    assert (got.ids.tolist(), list(zip(got.begin.tolist(), got.end.tolist()))) == (want.ids, want.offsets)
 
 
 def test_unknown_tokenizers_are_refused(tmp_path):
