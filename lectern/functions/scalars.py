@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.json_schema import SPACE
+from lectern.functions.text_udfs import nfc
+
 
 def half_up6(x: Column) -> Column:
     """A double rounded half up to 6 places, as DECIMAL(12,6)."""
@@ -59,10 +62,15 @@ def lines_normalised(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"^\s+", ""), r"\s+$", "")
 
 
+def answer_flat(text: Column) -> Column:
+    """Single blanks for white space of any kind, and no closing marks."""
+    flat = F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(flat, r"[.!?。]+\z", ""))
+
+
 def answer_normalised(text: Column) -> Column:
-    """Lower-cased answer with single spaces and without closing marks."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(text, "\r\n?", "\n"), r"\s+", " "))
-    return F.lower(F.trim(F.regexp_replace(flat, r"[.!?。]+$", "")))
+    """Lower-cased answer in NFC with single blanks and without closing marks."""
+    return F.lower(answer_flat(nfc(text)))
 
 
 def is_sha256(c: Column) -> Column:

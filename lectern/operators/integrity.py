@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import json_schema, schemas
 from lectern.functions.scalars import is_sha256
 
 #: Fixed values: (state, command, next state) of runs, documents and questions.
@@ -126,50 +127,50 @@ def ordinal_gaps(df: DataFrame, key: str, ordinal: str) -> DataFrame:
     return g.where("low <> 1 or high <> n or k <> n")
 
 
-_EVIDENCE = "evidenceChunkIds:array<string>"
-_QUESTION = (
-    f"struct<questionText:string,answerText:string,acceptedAnswers:array<string>,answerOptions:array<string>,designSummary:string,evidenceSummary:string,{_EVIDENCE},"
-    "benchmarkDesign:struct<benchmarkType:string,taskType:string,targetConcept:string,"
-    f"prerequisiteConcepts:array<struct<concept:string,role:string,{_EVIDENCE}>>,"
-    f"prerequisiteRelations:array<struct<fromConcept:string,toConcept:string,relationType:string,explanation:string,{_EVIDENCE}>>,"
-    "requiredReasoningSteps:array<string>,failureSignals:array<string>>>"
-)
-#: Kinds of relations and tasks, the only type of benchmark, the type with options and their number.
-RELATIONS = ["REQUIRES", "BUILDS_ON", "APPLIES", "DISTINGUISHES"]
-TASKS = ["dependency_application", "missing_prerequisite_diagnosis", "cross_unit_transfer", "relation_direction_discrimination", "prerequisite_chain_completion"]
-BENCHMARK_TYPE, WITH_OPTIONS, OPTIONS = "PREREQUISITE_RELATIONSHIP", "객관식", 5
-_UUID = "(?i)^([0-9a-f]{8}-[0-9a-f]{4}-[1-8][0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}|0{8}-0{4}-0{4}-0{4}-0{12}|f{8}-f{4}-f{4}-f{4}-f{12})$"
+#: Rules of a generated question that are told apart; a path below one of them counts for it.
+QUESTION_RULES = [
+    "questionText", "answerText", "acceptedAnswers", "designSummary", "evidenceSummary", "evidenceChunkIds", "benchmarkDesign.benchmarkType", "benchmarkDesign.taskType",
+    "benchmarkDesign.targetConcept", "benchmarkDesign.prerequisiteConcepts", "benchmarkDesign.prerequisiteRelations", "benchmarkDesign.requiredReasoningSteps",
+    "benchmarkDesign.failureSignals", "answerOptions",
+]
+
+
+def question_issues(raw: Column) -> Column:
+    """Paths of a generated question's JSON that break its schema, down to list elements; [""] if it is no JSON."""
+    return json_schema.problems(raw, schemas.QUESTION)
+
+
+def options_fit(raw: Column, question_type: Column) -> Column:
+    """Whether the number of options is that of the type; a missing list counts as empty."""
+    own = json_schema.elements(json_schema.part(json_schema.parsed(raw), "answerOptions"))
+    n = F.coalesce(F.size(own), F.lit(0))
+    return F.when(question_type == schemas.WITH_OPTIONS, n == schemas.OPTIONS).otherwise(n <= 0)
 
 
 def question_problems(raw: Column, question_type: Column | None = None) -> Column:
-    """Paths of the fields of a generated question's JSON that break a rule; empty if it is valid.
+    """The rules (QUESTION_RULES) that a generated question's JSON breaks, types included; empty if it is valid.
 
-    With ``question_type`` the number of options is checked too (answerOptions).
+    What is no object breaks every required rule. With ``question_type`` the number of options
+    is checked too (answerOptions).
     """
-    q = F.from_json(F.trim(raw), _QUESTION, {"mode": "PERMISSIVE"})
-    d = q["benchmarkDesign"]
-    ids = lambda c: (F.size(c) >= 1) & F.forall(c, lambda x: F.coalesce(x.rlike(_UUID), F.lit(False)))
-    long = lambda c, n: F.length(c) >= n
-    several = lambda c, n, fits: (F.size(c) >= n) & F.forall(c, lambda x: F.coalesce(fits(x), F.lit(False)))
-    rules = {
-        "questionText": long(q["questionText"], 5),
-        "answerText": long(q["answerText"], 1),
-        "evidenceChunkIds": ids(q["evidenceChunkIds"]),
-        "benchmarkDesign.benchmarkType": d["benchmarkType"] == BENCHMARK_TYPE,
-        "benchmarkDesign.taskType": d["taskType"].isin(*TASKS),
-        "benchmarkDesign.targetConcept": long(d["targetConcept"], 1),
-        "benchmarkDesign.prerequisiteConcepts": several(d["prerequisiteConcepts"], 1, lambda x: long(x.concept, 1) & long(x.role, 5) & ids(x.evidenceChunkIds)),
-        "benchmarkDesign.prerequisiteRelations": several(
-            d["prerequisiteRelations"], 1,
-            lambda x: long(x.fromConcept, 1) & long(x.toConcept, 1) & x.relationType.isin(*RELATIONS) & long(x.explanation, 5) & ids(x.evidenceChunkIds),
-        ) & F.exists(d["prerequisiteRelations"], lambda x: x.toConcept == d["targetConcept"]),
-        "benchmarkDesign.requiredReasoningSteps": several(d["requiredReasoningSteps"], 2, lambda x: long(x, 3)),
-        "benchmarkDesign.failureSignals": several(d["failureSignals"], 1, lambda x: long(x, 3)),
-    }
-    if question_type is not None:
-        n = F.coalesce(F.size(q["answerOptions"]), F.lit(0))
-        rules["answerOptions"] = F.when(question_type == WITH_OPTIONS, n == OPTIONS).otherwise(n <= 0)
-    return F.filter(F.array(*[F.when(~F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in rules.items()]), lambda x: x.isNotNull())
+    needed = [r for r in QUESTION_RULES if r not in ("acceptedAnswers", "designSummary", "evidenceSummary", "answerOptions")]
+    #: rule -> the paths whose break is a break of the rule, besides those below it
+    above = F.create_map(*[x for r in QUESTION_RULES for x in (F.lit(r), F.array(*[F.lit(p) for p in ("", "benchmarkDesign") if r in needed and (not p or r.startswith(p + "."))]).cast("array<string>"))])
+    rules = F.array(*map(F.lit, QUESTION_RULES))
+    hit = lambda issues, rule: F.exists(issues, lambda p: (p == rule) | p.startswith(F.concat(rule, F.lit("."))) | p.startswith(F.concat(rule, F.lit("["))) | F.array_contains(F.element_at(above, rule), p))
+    broken = json_schema.let(question_issues(raw), lambda issues: F.filter(rules, lambda rule: hit(issues, rule)))
+    if question_type is None:
+        return broken
+    return F.when(options_fit(raw, question_type), broken).otherwise(F.array_distinct(F.concat(broken, F.array(F.lit("answerOptions")))))
+
+
+def config_issues(raw: Column, expected: Column | None = None) -> Column:
+    """Paths of a research configuration's JSON that break the schema of its kind, or ``kind`` if another was expected."""
+    issues = json_schema.problems(raw, schemas.CONFIG)
+    if expected is None:
+        return issues
+    told = json_schema.as_text(json_schema.part(json_schema.parsed(raw), "kind"))
+    return F.when((F.size(issues) == 0) & (told != expected), F.array(F.lit("kind"))).otherwise(issues)
 
 
 def design_normalised(scores: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.scalars import converted, token_cost
+from lectern.functions.scalars import answer_flat, converted, token_cost
 from lectern.operators.relational import price_by_pattern
 
 #: Metric keys of the prerequisite type, and the metric no longer in use.
@@ -28,7 +28,8 @@ def required_metrics(profile: Column, question_type: Column) -> Column:
 
 
 def response_present(text: Column) -> Column:
-    return (F.length(F.trim(F.coalesce(text, F.lit("")))) > 0).cast("int")
+    """1 if something is left of the normalised answer (NFC, as it makes nothing empty, is left out)."""
+    return (F.length(answer_flat(F.coalesce(text, F.lit("")))) > 0).cast("int")
 
 
 #: What stands for a label and a rationale that are missing.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lectern.catalog import register
 from lectern.functions import scalars
-from lectern.operators import datasets, integrity, lookups
+from lectern.operators import datasets, integrity, lookups, scoring
 from lectern.operators import relational as rel
 from lectern.session import ship
 from lectern.sources.tables import read_table as t
@@ -322,6 +322,69 @@ def question_checks(spark, sf_dir):
     return t(spark, sf_dir, "benchmark").select("item_id", F.array_join(integrity.question_problems(whole, F.when(k % 8 == 1, "객관식").otherwise("서술형")), ",").alias("problems"))
 
 
+#: A valid configuration of document parsing, and what is put in its place to break it: (part of the text, its stand-in).
+_CONFIG = (
+    '{"schemaVersion":1,"kind":"document_parse","version":"parse-v1","title":"Parsing","description":"keeps tables and figures whole","applyScope":"documents that are added from now on",'
+    '"reprocessingImpact":"older documents stay as they are","settings":{"provider":"upstage","model":"document-parse","mode":"auto","ocr":"force","outputFormat":"html",'
+    '"base64Encoding":["table","figure","chart","equation"],"rasterization":{"format":"png","lossless":true,"dpi":300},"pagesPerBatch":10,"pageConcurrency":4,"requestTimeoutMs":120000}}'
+)
+_CONFIG_CHANGES = [
+    ("", ""), ('"schemaVersion":1', '"schemaVersion":"1"'), ('"schemaVersion":1', '"schemaVersion":1.0'), ("parse-v1", "Parse V1"), ("keeps tables and figures whole", "          too short           "),
+    ('"mode":"auto"', '"mode":null'), ('"table"', '"chart"'), ('"equation"]', '"equation","table"]'), ('"dpi":300', '"dpi":149'), ('"dpi":300', '"dpi":300.5'), ('"dpi":300', '"dpi":300,"jpegQuality":90'),
+    ('"format":"png","lossless":true', '"format":"jpeg","lossless":false'), ('"format":"png","lossless":true', '"format":"jpeg","lossless":false,"jpegQuality":60'), ('"pagesPerBatch":10', '"pagesPerBatch":"10"'),
+    ('"pagesPerBatch":10,', ""), ('"pageConcurrency":4', '"pageConcurrency":4,"apiKey":"x"'), ('{"schema', '[{"schema'), ('"lossless":true', '"lossless":"true"'), ('"document-parse"', '"document parse"'), ('"document-parse"', "7"),
+]
+_CHANGES_SQL = "[" + ", ".join("{'a': '%s', 'b': '%s'}" % x for x in _CONFIG_CHANGES) + "]"
+_TRIMMED_SQL = "length(trim((j->>'$.{0}'))) BETWEEN {1} AND {2} AND json_type(j, '$.{0}') = 'VARCHAR'"
+_WHOLE_SQL = "json_type(j, '$.{0}') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST((j->>'$.{0}') AS DOUBLE) BETWEEN {1} AND {2} AND CAST((j->>'$.{0}') AS DOUBLE) = floor(CAST((j->>'$.{0}') AS DOUBLE))"
+_CONFIG_SQL = " AND ".join([
+    "json_type(j) = 'OBJECT' AND list_sort(json_keys(j)) = ['applyScope', 'description', 'kind', 'reprocessingImpact', 'schemaVersion', 'settings', 'title', 'version'] AND (j->>'$.kind') = 'document_parse'",
+    _WHOLE_SQL.format("schemaVersion", 1, 1), _TRIMMED_SQL.format("version", 3, 100), "regexp_matches((j->>'$.version'), '^[a-z0-9][a-z0-9._-]*$')", _TRIMMED_SQL.format("title", 2, 120),
+    *[_TRIMMED_SQL.format(k, 20, 1000) for k in ("description", "applyScope", "reprocessingImpact")],
+    "list_sort(json_keys(j, '$.settings')) = ['base64Encoding', 'mode', 'model', 'ocr', 'outputFormat', 'pageConcurrency', 'pagesPerBatch', 'provider', 'rasterization', 'requestTimeoutMs']",
+    "(j->>'$.settings.provider') = 'upstage' AND (j->>'$.settings.mode') IN ('standard', 'enhanced', 'auto') AND (j->>'$.settings.ocr') IN ('auto', 'force') AND (j->>'$.settings.outputFormat') IN ('html', 'markdown', 'both')",
+    _TRIMMED_SQL.format("settings.model", 1, 200), "regexp_matches((j->>'$.settings.model'), '^[^ ]+$')", "list_sort(CAST((j->'$.settings.base64Encoding') AS VARCHAR[])) = ['chart', 'equation', 'figure', 'table']",
+    _WHOLE_SQL.format("settings.rasterization.dpi", 150, 600), _WHOLE_SQL.format("settings.pagesPerBatch", 1, 100), _WHOLE_SQL.format("settings.pageConcurrency", 1, 20), _WHOLE_SQL.format("settings.requestTimeoutMs", 1000, 600000),
+    "CASE (j->>'$.settings.rasterization.format') WHEN 'png' THEN list_sort(json_keys(j, '$.settings.rasterization')) = ['dpi', 'format', 'lossless'] AND (j->'$.settings.rasterization.lossless') = CAST('true' AS JSON)"
+    " WHEN 'jpeg' THEN list_sort(json_keys(j, '$.settings.rasterization')) = ['dpi', 'format', 'jpegQuality', 'lossless'] AND (j->'$.settings.rasterization.lossless') = CAST('false' AS JSON) AND "
+    + _WHOLE_SQL.format("settings.rasterization.jpegQuality", 60, 100) + " ELSE false END",
+])
+
+
+@register(f"""WITH c AS (SELECT p_partkey, replace('{_CONFIG}', x.a, x.b) AS raw FROM (SELECT p_partkey, ({_CHANGES_SQL})[p_partkey % {len(_CONFIG_CHANGES)} + 1] AS x FROM part)),
+k AS (SELECT p_partkey, CASE WHEN json_valid(raw) THEN CAST(raw AS JSON) END AS j FROM c)
+SELECT p_partkey, coalesce({_CONFIG_SQL}, false) AS valid FROM k""")
+def config_checks(spark, sf_dir):
+    change = F.get(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _CONFIG_CHANGES]), (F.col("p_partkey") % len(_CONFIG_CHANGES)).cast("int"))
+    raw = F.replace(F.lit(_CONFIG), change["a"], change["b"])
+    raw = F.when(change["a"] == "", F.lit(_CONFIG)).otherwise(raw)
+    return t(spark, sf_dir, "part").select("p_partkey", (F.size(integrity.config_issues(raw, F.lit("document_parse"))) == 0).alias("valid"))
+
+
+#: Wrong types and sizes inside a question, and the paths that they break.
+_TYPED = [
+    ('"questionText":"What moves?"', '"questionText":12345', "questionText"), ('"answerText":"all"', '"answerText":true', "answerText"), ('"acceptedAnswers":["all"]', '"acceptedAnswers":[1,"x",null]', "acceptedAnswers[0],acceptedAnswers[2]"),
+    ('"acceptedAnswers":["all"]', '"acceptedAnswers":null', "acceptedAnswers"), ('"acceptedAnswers":["all"],', "", ""), ('"designSummary":"s"', '"designSummary":[]', "designSummary"),
+    ('"role":"cause of it"', '"role":"why"', "benchmarkDesign.prerequisiteConcepts[0].role"), ('"relationType":"APPLIES"', '"relationType":"applies"', "benchmarkDesign.prerequisiteRelations[0].relationType"),
+    ('"toConcept":"motion"', '"toConcept":"rest"', "benchmarkDesign.prerequisiteRelations"), ('["guessing"]', '["ab",{}]', "benchmarkDesign.failureSignals[0],benchmarkDesign.failureSignals[1]"),
+    ('["one step","another"]', '["one step"]', "benchmarkDesign.requiredReasoningSteps"), ('"questionText":"What moves?"', '"questionText":"😀😀."', ""), ('{"questionText"', '{{"questionText"', ""), ("", "", ""),
+]
+_ID = "11111111-1111-4111-8111-111111111111"
+_TYPED_QUESTION = (
+    '{"questionText":"What moves?","answerText":"all","acceptedAnswers":["all"],"designSummary":"s","evidenceChunkIds":["%s"],"benchmarkDesign":{"benchmarkType":"PREREQUISITE_RELATIONSHIP","taskType":"cross_unit_transfer",'
+    '"targetConcept":"motion","prerequisiteConcepts":[{"concept":"force","role":"cause of it","evidenceChunkIds":["%s"]}],"prerequisiteRelations":[{"fromConcept":"force","toConcept":"motion","relationType":"APPLIES","explanation":"because",'
+    '"evidenceChunkIds":["%s"]}],"requiredReasoningSteps":["one step","another"],"failureSignals":["guessing"]}}' % (_ID, _ID, _ID)
+)
+
+
+@register(f"""SELECT event_id, ([{", ".join(f"'{x}'" for _, _, x in _TYPED)}])[event_id % {len(_TYPED)} + 1] AS issues, event_id % {len(_TYPED)} = 12 AS unreadable FROM events""")
+def question_issues(spark, sf_dir):
+    change = F.get(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b, _ in _TYPED]), (F.col("event_id") % len(_TYPED)).cast("int"))
+    raw = F.when(change["a"] == "", F.lit(_TYPED_QUESTION)).otherwise(F.replace(F.lit(_TYPED_QUESTION), change["a"], change["b"]))
+    found = t(spark, sf_dir, "events").select("event_id", integrity.question_issues(raw).alias("found"))
+    return found.select("event_id", F.array_join("found", ",").alias("issues"), F.array_contains("found", "").alias("unreadable"))
+
+
 @register("""SELECT p_partkey, p_size % 7 NOT IN (2, 3, 4, 5, 6) AS definition_ok, p_size % 7 NOT IN (2, 3, 4, 5, 6) AND p_size % 2 = 0 AS run_ok FROM part""")
 def usable_profiles(spark, sf_dir):
     s = F.col("p_size")
@@ -427,9 +490,18 @@ def text_fingerprints(spark, sf_dir):
     )
 
 
-@register(r"""SELECT conv_id, turn, lower(trim(regexp_replace(trim(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '\s+', ' ', 'g')), '[.!?。]+$', ''))) AS answer FROM conversations""")
+_SPACE_SQL = r"[\s\x{B}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+"
+#: What is put around texts, by turn: white space of several kinds, closing marks, and letters that are composed.
+_AROUND = ["", "\u3000", "\u00a0. .", "!?\n\t", "e\u0301\u2003", "\u1100\u1161。"]
+
+
+@register(rf"""WITH c AS (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN '' ELSE text END || ([{", ".join(f"'{x}'" for x in _AROUND)}])[turn % 6 + 1] AS text FROM conversations)
+SELECT conv_id, turn, lower(trim(regexp_replace(trim(regexp_replace(nfc_normalize(text), '{_SPACE_SQL}', ' ', 'g')), '[.!?。]+$', ''))) AS answer,
+  CAST(length(trim(regexp_replace(trim(regexp_replace(text, '{_SPACE_SQL}', ' ', 'g')), '[.!?。]+$', ''))) > 0 AS INTEGER) AS present FROM c""")
 def normalised_answers(spark, sf_dir):
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.answer_normalised(F.col("text")).alias("answer"))
+    ship(spark)
+    own = F.concat(F.when(F.col("conv_id") % 9 == 0, "").otherwise(F.col("text")), F.get(F.array(*map(F.lit, _AROUND)), F.col("turn") % 6))
+    return t(spark, sf_dir, "conversations").select("conv_id", "turn", scalars.answer_normalised(own).alias("answer"), scoring.response_present(own).alias("present"))
 
 
 @register("SELECT event_id, least(30000, 2000 * CAST(2 ** (event_id % 6) AS BIGINT)) AS wait_ms FROM events")
