@@ -10,6 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from lectern.llm import collocations as co
 from lectern.llm.common import Scratch
 
@@ -68,7 +70,8 @@ def test_equals_plain_counting(spark, seed, least, top):
 
 def test_without_the_set_of_frequent_words(spark, monkeypatch):
     monkeypatch.setattr(co, "FREQUENT_BYTES", 0)
-    monkeypatch.setattr(co, "HELD", 50)
+    monkeypatch.setattr(co, "HELD", 5)
+    monkeypatch.setattr(co, "POSITIONS", 100)
     rows = corpus(4, 40)
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     assert rows_of(co.collocations(df, least=4)) == plain_collocations(rows, 4)
@@ -76,10 +79,14 @@ def test_without_the_set_of_frequent_words(spark, monkeypatch):
 
 def test_hot_first_words_are_split(spark):
     rows = [("en", "the " + " the ".join(f"w{i % 7} v{i % 11}" for i in range(400))) for _ in range(5)]
+    rows += [("en", "of the " + " of the ".join(f"x{i % 5} y{i % 3}" for i in range(300))) for _ in range(30)]
     df = spark.createDataFrame(rows, "lang string, text string").repartition(5)
     phrases, _ = co.phrase_counts(df, least=10)
     words = Counter({k[1][0]: n for k, n in plain_counts(rows)[0].items() if len(k[1]) == 1})
     assert max(words.values()) > sum(words.values()) // 8  # one of them is over half a partition's share
+    found = {tuple(r.word.split("\n")[1:]) for r in co.word_counts(df, 4).collect()}
+    assert ("of", "the") in found  # and this pair is dealt by all that follows it
+    assert {r.split for r in co.prefix_counts(co.suffixes(df, None, {b"en\nof": 3, b"en\nof\nthe": 4}).sortWithinPartitions(F.desc("suffix")), 4, 10).collect()} == {True, False}
     want = {(lang, " ".join(w), n) for (lang, w), n in plain_counts(rows)[0].items() if n >= 10}
     assert {(r.lang, r.phrase, r.f) for r in phrases.collect()} == want
 
