@@ -273,11 +273,29 @@ def mcnemar(spark, sf_dir):
     return statistics.mcnemar_counts(p, ["grp"]).withColumn("p_value", F.round("p_value", 9))
 
 
-@register()
+def _mixed_sql(x: str) -> str:
+    """The finaliser of the resamples' hash, on 64-bit numbers without sign."""
+    all_ = "CAST(18446744073709551616 AS UHUGEINT)"
+    times = lambda v, c: f"CAST((CAST({v} AS UHUGEINT) * CAST({c} AS UHUGEINT)) % {all_} AS UBIGINT)"
+    return f"(SELECT xor(z, z >> 31) FROM (SELECT {times('xor(y, y >> 27)', 0x94D049BB133111EB)} AS z FROM (SELECT {times('xor(x, x >> 30)', 0xBF58476D1CE4E5B9)} AS y FROM (SELECT CAST(({x}) % {all_} AS UBIGINT) AS x))))"
+
+
+_GOLDEN = f"CAST({0x9E3779B97F4A7C15} AS UHUGEINT)"
+_WEIGHT_SQL = "CASE " + " ".join(f"WHEN u < {sum(statistics.poisson_cases()[: k + 1])} THEN {k}" for k in range(len(statistics.poisson_cases()))) + " END"
+
+
+@register(f"""WITH p AS (SELECT lang, doc_id, CAST(quality AS DOUBLE) - toxic AS d FROM labels JOIN documents USING (doc_id) WHERE quality IS NOT NULL AND toxic IS NOT NULL),
+o AS (SELECT lang, d, {_mixed_sql(f"CAST(doc_id AS UHUGEINT) * {_GOLDEN} + CAST(42 AS UHUGEINT)")} AS own FROM p),
+h AS (SELECT lang, d, turn, {_mixed_sql(f"CAST(own AS UHUGEINT) + CAST(turn AS UHUGEINT) * {_GOLDEN}")} AS drawn FROM o CROSS JOIN range(0, 2500) t(turn)),
+w AS (SELECT lang, d, 4 * turn + k AS sample, CAST((drawn >> (16 * k)) & 65535 AS INTEGER) AS u FROM h CROSS JOIN range(0, 4) s(k)),
+m AS (SELECT lang, sample, sum(d * {_WEIGHT_SQL}) / sum({_WEIGHT_SQL}) AS mean FROM w GROUP BY ALL HAVING sum({_WEIGHT_SQL}) > 0),
+r AS (SELECT lang, list(mean ORDER BY mean) AS means FROM m GROUP BY 1)
+SELECT lang, avg(d) AS difference, any_value(means[1 + CAST(floor(len(means) * (1 - 0.95) / 2) AS INTEGER)]) AS low, any_value(means[1 + CAST(floor(len(means) * (1 - (1 - 0.95) / 2)) AS INTEGER)]) AS high, count(*) AS n
+FROM p JOIN r USING (lang) GROUP BY 1""")
 def paired_bootstrap(spark, sf_dir):
     ship(spark)
     p = t(spark, sf_dir, "labels").join(t(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    return statistics.paired_bootstrap(p.select("lang", F.col("quality").alias("a"), F.col("toxic").alias("b")), "lang")
+    return statistics.paired_bootstrap(p.select("lang", "doc_id", F.col("quality").alias("a"), F.col("toxic").alias("b")), "lang", row_id="doc_id")
 
 
 @register("""SELECT o_custkey % 50 AS grp, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS "n_F", count(*) FILTER (o_orderstatus = 'O') AS "n_O", count(*) FILTER (o_orderstatus = 'P') AS "n_P",

@@ -2,11 +2,14 @@
 
 import math
 
+import numpy as np
+
 from pyspark.sql import functions as F
 
 from lectern.functions import scalars
 from lectern.functions.text_udfs import bigram_vector, jsonb_text, nfc
 from lectern.operators import analytics, datasets, details, retrieval, scoring, statistics
+from lectern.session import ship
 
 SCORES = "blind_id string, mode string, purpose string, question_id string, metric_key string, value decimal(10,6)"
 
@@ -64,6 +67,43 @@ def test_mcnemar_and_bootstrap(spark):
     assert s.difference == 0.5 and s.low <= 0.5 <= s.high and s.n == 4
 
 
+def test_resample_weights():
+    cases = statistics.poisson_cases()
+    assert sum(cases) == 1 << 16 == sum(k * n for k, n in enumerate(cases))
+    ids = np.arange(2000)
+    w = statistics.resample_weights(ids, 0, 800, 7)
+    assert abs(w.mean() - 1) < 0.01 and abs(w.var() - 1) < 0.02 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.1
+    assert (statistics.resample_weights(ids[5:9], 400, 80, 7) == w[5:9, 400:480]).all()
+    assert (statistics.resample_weights(ids, 0, 800, 8) != w).mean() > 0.5
+
+
+def test_bootstrap_of_continuous_differences(spark, monkeypatch):
+    """Groups are dealt to several tasks, and the interval is that of resampling with replacement."""
+    ship(spark)
+    monkeypatch.setattr(statistics, "ROWS", 700)
+    rng = np.random.default_rng(3)
+    d = rng.gamma(2.0, 1.0, 6000) - 1.5
+    rows = [("big", i, float(x), 0.0) for i, x in enumerate(d[:5000])] + [(None, 10_000 + i, 0.0, float(x)) for i, x in enumerate(d[5000:])] + [("one", -5, 3.0, 1.0), ("big", 99, None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, id long, a double, b double")
+    got = {r.g: r for r in statistics.paired_bootstrap(df.repartition(7), "g", samples=2000, row_id="id").collect()}
+    again = {r.g: r for r in statistics.paired_bootstrap(df.repartition(2), "g", samples=2000, row_id="id").collect()}
+    for g, x in (("big", d[:5000]), (None, -d[5000:])):
+        means = np.sort([rng.choice(x, len(x)).mean() for _ in range(2000)])
+        r, width = got[g], x.std() / len(x) ** 0.5
+        assert r.n == len(x) and abs(r.difference - x.mean()) < 1e-9
+        assert abs(r.low - means[50]) < 0.25 * width and abs(r.high - means[1950]) < 0.25 * width
+        assert abs(r.low - again[g].low) < 1e-9 and abs(r.high - again[g].high) < 1e-9
+    assert got["one"].low == got["one"].high == 2.0 and got["one"].n == 1
+    assert statistics.paired_bootstrap(df.limit(0), "g", samples=8, row_id="id").count() == 0
+
+
+def test_tail_of_large_counts():
+    k, n = np.array([0, 3, 500_000, 499_000, 40]), np.array([60, 3, 1_000_000, 1_000_000, 200])
+    got = statistics.half_beta(np.maximum(n - k, 1).astype(float), k + 1.0)
+    assert abs(got[0] - 2.0**-60) < 1e-9 * 2.0**-60 and abs(got[2] - 0.5 - 0.5 * math.exp(math.lgamma(1e6 + 1) - 2 * math.lgamma(5e5 + 1) - 1e6 * math.log(2))) < 1e-6
+    assert abs(got[3] - 0.5 * math.erfc(999.5 / 500 / math.sqrt(2))) < 1e-4 and abs(got[4] / (sum(math.comb(200, i) for i in range(41)) / 2**200) - 1) < 1e-9
+
+
 def test_answer_imbalance(spark):
     a = spark.createDataFrame([("d", "A")] * 80 + [("d", "B")] * 20, "d string, answer string")
     assert statistics.answer_imbalance(a, "d", "answer", list("ABCD")).first().imbalanced

@@ -213,7 +213,7 @@ def test_registered_bootstrap_uses_the_default_samples(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(statistics, "paired_bootstrap", lambda *a, **k: seen.append(k))
     catalog.queries()["paired_bootstrap"](spark, "/root/testdata/sf0.001")
-    assert seen == [{}]
+    assert seen == [{"row_id": "doc_id"}]
 
 
 def test_whole_table_queries_are_registered_with_sql():
