@@ -168,17 +168,20 @@ def follow_pointers(rows: DataFrame, key: str, pointer: str, payload: list[str]
         F.when(F.col("p").isNull(), 0).otherwise(1).cast("long").alias("hops"),
         F.when(F.col("p").isNull(), F.when(F.col("whole"), "ROOT").otherwise("INCOMPLETE")).when(F.col("there").isNull(), "DANGLING").alias("state"),
     )
+    # rows that have come to an end leave the rounds; only rows on their way are joined, each with the row it points to
+    done = [at.where("state is not null")]
+    open_ = at.where("state is null").drop("state")
+    ends = done[0]
     for _ in range(rows.count().bit_length() + 1):
-        if at.where("state is null").isEmpty():
+        if open_.isEmpty():
             break
-        nxt = at.select(F.col("k").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("state").alias("state2"))
-        at = at.join(nxt, "to", "left").select(
-            "k",
-            F.when(F.col("state").isNull(), F.col("to2")).otherwise(F.col("to")).alias("to"),
-            F.when(F.col("state").isNull(), F.col("hops") + F.col("hops2")).otherwise(F.col("hops")).alias("hops"),
-            F.coalesce("state", F.when(F.col("state2") == "ROOT", "RESOLVED").otherwise(F.col("state2"))).alias("state"),
-        )
-        at = settled(at)
+        to = lambda df, state: df.select(F.col("k").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), state.alias("state"))
+        nxt = to(ends, F.when(F.col("state") == "ROOT", "RESOLVED").otherwise(F.col("state"))).unionByName(to(open_, F.lit(None).cast("string")))
+        at = settled(open_.join(nxt, "to").select("k", F.col("to2").alias("to"), (F.col("hops") + F.col("hops2")).alias("hops"), "state"))
+        done.append(at.where("state is not null"))
+        ends = ends.unionByName(done[-1])
+        open_ = at.where("state is null").drop("state")
+    at = reduce(DataFrame.unionByName, [*done, open_.withColumn("state", F.lit("CYCLE"))])
     return at.select(
         F.col("k").alias(key),
         F.when(F.col("state").isin("ROOT", "RESOLVED"), F.col("to")).alias("root"),
@@ -246,6 +249,17 @@ def later_deadline_wins(log: DataFrame, key: str, deadline: str, fields: list[st
     return out.select(key, f"__s.{deadline}", *[f"__s.{f}" for f in fields], "hit_count")
 
 
+def merged_deadlines(state: DataFrame | None, log: DataFrame, key: str, deadline: str, fields: list[str]) -> DataFrame:
+    """The state (key, deadline, fields, hit_count) after a further log: the later deadline wins, hits are added."""
+    new = later_deadline_wins(log, key, deadline, fields)
+    if state is None:
+        return new
+    both = state.unionByName(new)
+    best = F.max_by(F.struct(deadline, *fields), F.struct(deadline, *fields))
+    out = both.groupBy(key).agg(best.alias("__s"), F.sum("hit_count").alias("hit_count"))
+    return out.select(key, f"__s.{deadline}", *[f"__s.{f}" for f in fields], "hit_count")
+
+
 def renumbered(df: DataFrame, group: list[str], order: list[Column], number: str = "ordinal") -> DataFrame:
     return df.withColumn(number, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
 

@@ -392,11 +392,6 @@ def vector_neighbours(spark, sf_dir):
     return out.select("query_id", "chunk_id", "file", "ordinal", "is_neighbour", F.col("selection_order").cast("double").alias("selection_order"))
 
 
-# the names of these queries while they took the first eight vectors
-register(TOP_K, name="vector_top_k_100")(vector_top_k)
-register(NEIGHBOURS, name="vector_neighbours_100")(vector_neighbours)
-
-
 @register("SELECT label, count(*) FILTER (CASE WHEN vec_id % 9 = 0 THEN NULL WHEN vec_id % 4 = 0 THEN 'old' ELSE 'new' END IS DISTINCT FROM 'new') AS mismatches, count(*) AS chunks FROM embeddings GROUP BY 1")
 def space_mismatches(spark, sf_dir):
     e = t(spark, sf_dir, "embeddings").withColumn("space", F.when(F.col("vec_id") % 9 == 0, None).when(F.col("vec_id") % 4 == 0, "old").otherwise("new"))

@@ -8,8 +8,10 @@ from lectern.catalog import register
 from lectern.functions import scalars
 from lectern.operators import datasets, integrity, lookups, scoring
 from lectern.operators import relational as rel
-from lectern.session import ship
+from lectern.session import new_shared_path, ship
+from lectern.sources import sinks
 from lectern.sources.tables import read_table as t
+from lectern.sources.versions import VersionedTable, pinned
 
 
 @register("""SELECT (SELECT count(*) FROM customer) AS total, c_custkey, c_name FROM (SELECT 1) one LEFT JOIN
@@ -115,15 +117,21 @@ def resolved_receipts(spark, sf_dir):
     return rel.resolve_receipts(c, "c_custkey", "root", ["name"]).select("c_custkey", "name")
 
 
-@register()
+_CHAIN_SQL = """WITH RECURSIVE c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 50 = 1 THEN NULL WHEN c_custkey % 50 = 0 THEN 10000000 ELSE c_custkey - 1 END AS p, {whole} AS whole FROM customer),
+w AS (SELECT k, k AS node, p, whole, 0 AS hops FROM c UNION ALL SELECT w.k, c.k, c.p, c.whole, w.hops + 1 FROM w JOIN c ON c.k = w.p WHERE w.hops <= (SELECT count(*) FROM c)),
+e AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY hops DESC) = 1)
+SELECT k AS c_custkey, CASE WHEN p IS NULL AND whole THEN node END AS root, CAST(hops + (p IS NOT NULL)::INT AS BIGINT) AS hops,
+  CASE WHEN hops > (SELECT count(*) FROM c) THEN 'CYCLE' WHEN p IS NOT NULL THEN 'DANGLING' WHEN NOT whole THEN 'INCOMPLETE' WHEN hops = 0 THEN 'ROOT' ELSE 'RESOLVED' END AS state FROM e"""
+
+
+@register(_CHAIN_SQL.format(whole="c_custkey % 200 <> 1"))
 def pointer_chains(spark, sf_dir):
-    """Too slow in SQL over whole tables; a test holds it against brute force."""
     k = F.col("c_custkey")
     rows = t(spark, sf_dir, "customer").select("c_custkey", F.when(k % 50 == 1, None).when(k % 50 == 0, F.lit(10_000_000)).otherwise(k - 1).alias("p"), F.when(k % 200 != 1, F.col("c_custkey")).alias("payload"))
     return rel.follow_pointers(rows, "c_custkey", "p", payload=["payload"])
 
 
-@register()
+@register(_CHAIN_SQL.format(whole="true"))
 def pointer_chains_all(spark, sf_dir):
     """The same, whatever the roots hold."""
     k = F.col("c_custkey")
@@ -180,6 +188,43 @@ def cooldown_upsert(spark, sf_dir):
     return rel.later_deadline_wins(e, "provider", "blocked_until", ["user_id"])
 
 
+@register("""SELECT 1 AS version, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS users, count(DISTINCT event_type) AS kinds FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT 2, count(*), CAST(sum(user_id) AS BIGINT), count(DISTINCT event_type) FROM events""")
+def pinned_versions(spark, sf_dir):
+    """Two queries on a pinned version agree while a writer appends; a batch that is sent again changes nothing."""
+    e = t(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    table = VersionedTable(spark, new_shared_path(spark, "events"))
+    table.append(e.where("event_id % 2 = 0"), batch="even")
+    before = pinned({"events": table})["events"]
+    table.append(e.where("event_id % 2 = 1"), batch="odd")
+    table.append(e.where("event_id % 2 = 1"), batch="odd")
+    counts = lambda df: df.agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("users")).crossJoin(df.agg(F.count_distinct("event_type").alias("kinds")))  # noqa: E731  two queries, one row each
+    return counts(before).withColumn("version", F.lit(1)).unionByName(counts(table.read()).withColumn("version", F.lit(table.latest())))
+
+
+@register("""SELECT event_type AS provider, max(ts) AS blocked_until, arg_max(user_id, (ts, user_id)) AS user_id, count(*) AS hit_count FROM events GROUP BY 1""")
+def upserted_cooldowns(spark, sf_dir):
+    """The state after the log came in four batches, two of them twice."""
+    e = t(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), F.col("ts").alias("blocked_until"), "user_id", (F.col("event_id") % 4).alias("batch"))
+    table = VersionedTable(spark, new_shared_path(spark, "cooldowns"))
+    for b in (0, 1, 1, 2, 3, 0):
+        log = e.where(F.col("batch") == b).drop("batch")
+        table.update(lambda state, log=log: rel.merged_deadlines(state, log, "provider", "blocked_until", ["user_id"]), batch=f"log-{b}")
+    return table.read()
+
+
+@register("SELECT substr(sha256(text), 1, 2) AS prefix, count(DISTINCT text) AS blobs, CAST(sum(strlen(text)) AS BIGINT) AS bytes, 0 AS again FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL) GROUP BY 1")
+def stored_blobs(spark, sf_dir):
+    """Texts sent in two overlapping batches, and all of them once more, which writes none."""
+    d = t(spark, sf_dir, "documents")
+    path = new_shared_path(spark, "blobs")
+    sinks.write_blobs(d.where("doc_id % 3 <> 0"), "text", path)
+    sinks.write_blobs(d.where("doc_id % 3 <> 1"), "text", path)
+    again = sinks.write_blobs(d, "text", path)
+    held = sinks.blob_store(spark, path).read()
+    return held.groupBy("prefix").agg(F.count(F.lit(1)).alias("blobs"), F.sum("bytes").alias("bytes")).withColumn("again", F.lit(again))
+
+
 @register("SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INT) AS ordinal FROM orders WHERE o_orderkey % 3 <> 0")
 def renumbered(spark, sf_dir):
     o = t(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -25,6 +27,30 @@ def build_session(app: str = "lectern", master: str | None = None, shuffle_parti
     return b.getOrCreate()
 
 
+def new_shared_path(spark: SparkSession, kind: str) -> str:
+    """A fresh folder name below spark.checkpoint.dir, which every executor sees; it is removed when the driver ends.
+
+    Only a local session may go without that setting; it then gets a folder of its own.
+    """
+    sc = spark.sparkContext
+    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not base:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="lectern-")
+        sc.setCheckpointDir(base)
+    path = f"{base if ':/' in base else 'file://' + base}/lectern-{kind}-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    return path
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return  # the cluster's own cleaning of the folder applies
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _SHIPPED: set[str] = set()
 
 

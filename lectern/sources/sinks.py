@@ -4,18 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, StructType
 
 from lectern.operators.relational import keyset_page
+from lectern.sources.versions import VersionedTable
 
 
-def write_blobs(df: DataFrame, content: str, path: str) -> None:
-    """Each distinct content once, in folders by the first two digits of its sha256."""
-    b = df.select(F.sha2(F.col(content).cast("binary"), 256).alias("sha256"), F.col(content).alias("content")).where("content is not null")
-    b = b.dropDuplicates(["sha256"]).withColumn("prefix", F.substring("sha256", 1, 2))
-    b.repartition("prefix", F.substring("sha256", 3, 1)).write.partitionBy("prefix").mode("append").parquet(path)
+def blob_store(spark: SparkSession, path: str) -> VersionedTable:
+    """Contents by their sha256, in folders by its first two digits."""
+    return VersionedTable(spark, path, partition_by=("prefix",))
+
+
+def write_blobs(df: DataFrame, content: str, path: str) -> int:
+    """Store each content that the store lacks, once; the number of contents written.
+
+    What is stored is found by hash within its prefix; length and a second hash tell two
+    contents of one sha256 apart without reading them (ValueError).
+    """
+    store = blob_store(df.sparkSession, path)
+    raw = F.col(content).cast("binary")
+    digest = F.sha2(raw, 256)
+    own = df.where(F.col(content).isNotNull()).select(digest.alias("sha256"), F.octet_length(raw).cast("long").alias("bytes"), F.xxhash64(raw).alias("other"), F.col(content).alias("content"), F.substring(digest, 1, 2).alias("prefix"))
+    told = own.select("prefix", "sha256", "bytes", "other").distinct()
+    before = store.latest()
+    held = store.read(before).select("prefix", "sha256", "bytes", "other") if before else told.limit(0)
+    several = told.unionByName(held).distinct().groupBy("prefix", "sha256").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    if not several.isEmpty():
+        raise ValueError("two contents share a sha256")
+    after = store.insert_new(own, ["prefix", "sha256"])
+    if after == before:
+        return 0
+    return store.read(after).count() - (store.read(before).count() if before else 0)
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -198,5 +198,5 @@ def test_more_queries_than_a_block_are_ranked_in_blocks(spark, monkeypatch):
 def test_registered_vector_queries_take_every_hundredth_id():
     from lectern import catalog
 
-    for name in ("vector_top_k_100", "vector_neighbours_100"):
+    for name in ("vector_top_k", "vector_neighbours"):
         assert "q.vec_id % 100 = 0" in catalog.oracle_sql()[name]

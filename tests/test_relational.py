@@ -148,8 +148,8 @@ def test_files_blobs_and_csv(spark, tmp_path):
     got = {r.path[-5:]: (r.mime, r.accepted) for r in tables.uploaded_files(spark, str(tmp_path)).collect()}
     assert got == {"a.pdf": ("application/pdf", True), "b.txt": (None, None)}
     d = spark.createDataFrame([(1, "x"), (2, "x"), (3, None)], "id int, body string")
-    sinks.write_blobs(d, "body", str(tmp_path / "blobs"))
-    assert spark.read.parquet(str(tmp_path / "blobs")).count() == 1
+    assert sinks.write_blobs(d, "body", str(tmp_path / "blobs")) == 1
+    assert sinks.blob_store(spark, str(tmp_path / "blobs")).read().count() == 1
     sinks.write_csv(d.withColumn("j", F.struct("id")), str(tmp_path / "csv"))
     sinks.write_json(d, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).count() == 3
