@@ -44,8 +44,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from lectern.llm.common import map_batches, without
 
 CHUNK_CHARS, OVERLAP_CHARS, AGREE = 4096, 128, 4
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 64
+#: The cache of pieces is emptied beyond so many, or so many characters in all.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 4_000_000
 _BLANKS = " \n"
+_MARKS = ".,;:!?"
 
 
 class Encoding(NamedTuple):
@@ -84,14 +86,19 @@ class Counter:
     def encode(self, text: str) -> Encoding:
         if self.kind == "before":
             return Encoding(*np.array(_tokens(self.lib, text), np.int32).reshape(3, -1))
-        pieces = text.replace("\n", " ").split(" ")
+        flat = text.replace("\n", " ")
+        if flat.isascii() and "<|" not in flat:
+            flat = flat.lower()  # as the tokenizer does; only special tokens are matched before
+        pieces = flat.split(" ")
+        self.pieces.learn(pieces)
         got = list(map(self.pieces.__getitem__, pieces))
-        ids, begin, end = (np.frombuffer(b"".join(x), np.int32) for x in zip(*got))
+        *joined, n = zip(*got)
+        ids, begin, end = (np.frombuffer(b"".join(x), np.int32) for x in joined)
         if not len(ids):
             return Encoding(ids, begin, end)
         size = np.fromiter(map(len, pieces), np.int32, len(pieces))
         first = np.cumsum(size + 1, dtype=np.int32) - size - 1
-        first = np.repeat(first, np.fromiter((len(x[0]) >> 2 for x in got), np.int32, len(got)))
+        first = np.repeat(first, np.fromiter(n, np.int32, len(n)))
         return Encoding(ids, begin + first, end + first)
 
     def count(self, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS, agree: int = AGREE) -> int:
@@ -174,19 +181,47 @@ def kind_of(spec: dict) -> str:
 
 
 class _Pieces(dict):
-    """piece -> the bytes of its tokens' ids, begins and ends; emptied when full."""
+    """piece -> the bytes of its tokens' ids, begins and ends, and their number; emptied when full."""
 
     def __init__(self, lib) -> None:
         super().__init__()
-        self.lib = lib
-
-    def __missing__(self, piece: str) -> tuple[bytes, bytes, bytes]:
-        got = tuple(np.array(x, np.int32).tobytes() for x in _tokens(self.lib, piece))
-        if len(piece) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = got
-        return got
+        self.lib, self.chars = lib, 0
+
+    def learn(self, pieces: list[str]) -> None:
+        """Make sure of all pieces: those unknown are encoded together.
+
+        Marks behind a letter are a piece of their own: the pattern splits letters from marks,
+        each match is merged by itself, and no mark composes with what precedes.
+        """
+        if len(self) > CACHE_ENTRIES or self.chars > CACHE_CHARS:
+            self.clear()
+            self.chars = 0
+        new = {p for p in set(pieces) if p not in self}
+        if not new:
+            return
+        parts = {}
+        for p in new:
+            core = p.rstrip(_MARKS)
+            if core and len(core) < len(p) and core[-1].isalpha():
+                parts[p] = core, p[len(core) :]
+        alone = [p for p in {*new.difference(parts), *(x for both in parts.values() for x in both)} if p not in self]
+        ids, begin, end = (np.array(x, np.int32) for x in _tokens(self.lib, " ".join(alone)))
+        first = np.cumsum([0, *(len(p) + 1 for p in alone)])
+        cuts = np.searchsorted(begin, first)
+        base = np.repeat(first[:-1], np.diff(cuts)).astype(np.int32)
+        data = ids.tobytes(), (begin - base).tobytes(), (end - base).tobytes()
+        cuts = cuts.tolist()
+        for p, low, high in zip(alone, cuts, cuts[1:]):
+            own = slice(4 * low, 4 * high)
+            self[p] = data[0][own], data[1][own], data[2][own], high - low
+            self.chars += len(p)
+        moved: dict[tuple[str, int], tuple[bytes, bytes]] = {}
+        for p, (core, marks) in parts.items():
+            a, b, at = self[core], self[marks], (marks, len(core))
+            if at not in moved:
+                moved[at] = tuple((np.frombuffer(x, np.int32) + len(core)).astype(np.int32).tobytes() for x in b[1:3])
+            self[p] = a[0] + b[0], a[1] + moved[at][0], a[2] + moved[at][1], a[3] + b[3]
+            self.chars += len(p)
 
 
 _LOADED: dict[str, Counter] = {}

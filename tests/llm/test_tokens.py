@@ -75,10 +75,10 @@ def test_counts_are_those_of_the_chunk_encodings(monkeypatch, counter, lib, chun
 
 
 def test_piece_encodings_are_those_of_the_library():
-    text = "The  Cat's é漢 hat\n\n😀 12 <|endoftext|>x \t İ "
-    want = _WORD.encode(text, add_special_tokens=False)
-    got = _COUNTER.encode(text)
-    assert (got.ids.tolist(), list(zip(got.begin.tolist(), got.end.tolist()))) == (want.ids, want.offsets)
+    for text in ("The  Cat's é漢 hat\n\n😀 12 <|endoftext|>x \t İ ", "ASCII Words, and. more!? 'd.. x1. A's: ... .a", "<|ENDOFTEXT|> Up.", "é. é́. Σ. ß!", "12. 3,4 a.b.c. "):
+        want = _WORD.encode(text, add_special_tokens=False)
+        got = _COUNTER.encode(text)
+        assert (got.ids.tolist(), list(zip(got.begin.tolist(), got.end.tolist()))) == (want.ids, want.offsets)
 
 
 def test_unknown_tokenizers_are_refused(tmp_path):
