@@ -77,10 +77,16 @@ def is_sha256(c: Column) -> Column:
     return c.rlike("^[0-9a-f]{64}$")
 
 
-def natural_key(c: Column) -> Column:
-    """Sort key under which Q-2 comes before Q-10: the last run of digits by its length, then by itself."""
-    digits = F.regexp_replace(F.regexp_extract(c, r"(\d+)\D*$", 1), "^0+(?=.)", "")
-    return F.struct(F.regexp_replace(c, r"\d+\D*$", ""), F.length(digits), digits)
+#: Digits to which a number inside a name is filled up; longer numbers sort behind it.
+NUMBER_DIGITS = 40
+
+
+def natural_key(c: Column, locale: str = "ko") -> Column:
+    """Sort key in the collation of a locale, in which every number inside a name counts by its value: 2장 10절 before 10장 2절."""
+    digits = lambda x: F.regexp_replace(x, "^0+(?=.)", "")
+    filled = lambda x: F.when(F.length(digits(x)) <= NUMBER_DIGITS, F.lpad(digits(x), NUMBER_DIGITS, "0")).otherwise(digits(x))
+    parts = F.transform(F.regexp_extract_all(c, F.lit("(\\d+|\\D+)"), F.lit(1)), lambda x: F.when(x.rlike("^\\d"), filled(x)).otherwise(x))
+    return F.collate(F.array_join(parts, ""), locale)
 
 
 def mime_of(content: Column) -> Column:

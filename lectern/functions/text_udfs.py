@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 import re
 import unicodedata
 
@@ -22,21 +21,6 @@ def _each(fn, kind: str = "string"):
     return apply
 
 
-def jsonb_text(value) -> str:
-    """JSON text in jsonb order: keys by UTF-8 length, then bytes; ``", "`` and ``": "`` between."""
-    if isinstance(value, dict):
-        keys = sorted(value, key=lambda k: (len(k.encode()), k.encode()))
-        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {jsonb_text(value[k])}" for k in keys) + "}"
-    if isinstance(value, list):
-        return "[" + ", ".join(map(jsonb_text, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
-
-
-def sorted_text(value) -> str:
-    """Compact JSON text with keys in code point order."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-
-
 def bigrams(text: str) -> list[str]:
     flat = re.sub(r"\s+", "", text.lower())
     return [flat[i : i + 2] for i in range(len(flat) - 1)]
@@ -59,9 +43,6 @@ def bigram_share(query: str | None, text: str | None) -> float:
 
 nfc = _each(lambda x: unicodedata.normalize("NFC", x))
 nfkc = _each(lambda x: unicodedata.normalize("NFKC", x))
-jsonb_canonical = _each(lambda x: jsonb_text(json.loads(x)))
-jsonb_sha256 = _each(lambda x: hashlib.sha256(jsonb_text(json.loads(x)).encode()).hexdigest())
-sorted_canonical = _each(lambda x: sorted_text(json.loads(x)))
 
 
 def bigram_embedding(dims: int = 64):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import json_schema, schemas
+from lectern.functions.canonical import jsonb_sha256
 from lectern.functions.scalars import is_sha256
 
 #: Fixed values: (state, command, next state) of runs, documents and questions.
@@ -173,6 +174,22 @@ def config_issues(raw: Column, expected: Column | None = None) -> Column:
     return F.when((F.size(issues) == 0) & (told != expected), F.array(F.lit("kind"))).otherwise(issues)
 
 
+def pin_problem(expected: Column, provenance: Column, profile_id: Column, content_hash: Column, definition: Column) -> Column:
+    """Why a pinned configuration may not be used, NULL if it may: the first of unverified, profile_id,
+    content_hash, definition_schema, definition_kind and definition_hash that fails.
+    """
+    told = json_schema.as_text(json_schema.part(json_schema.parsed(definition), "kind"))
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(~sure(provenance == VERIFIED), "unverified")
+        .when(~sure(profile_id.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\\z")), "profile_id")
+        .when(~sure(is_sha256(content_hash)), "content_hash")
+        .when(F.size(F.coalesce(config_issues(definition), F.array(F.lit("")))) > 0, "definition_schema")
+        .when(~sure(told == expected), "definition_kind")
+        .when(~sure(jsonb_sha256(definition) == content_hash), "definition_hash")
+    )
+
+
 def design_normalised(scores: Column) -> Column:
     """The benchmark design inside a question's quality scores (JSON), made fit to show; NULL if there is none.
 

@@ -2,45 +2,131 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from lectern.functions.scalars import cosine_similarity, l2_norm
+from lectern.functions.scalars import l2_norm
 from lectern.operators.relational import preceding_neighbours
+from lectern.session import new_shared_path, ship
 
 #: Retrieval modes in canonical order.
 MODES = ["NONE", "VECTOR", "PIKE"]
-#: About so many query vectors are broadcast at once; more are ranked in blocks.
-MAX_QUERIES = 10_000
+#: Query vectors that are ranked in one pass over the chunks: so many, and of so many bytes in double precision, at most.
+MAX_QUERIES, QUERY_BYTES = 50_000, 64 << 20
+#: Distances that a task has in memory at once, and candidates it holds for a query, in multiples of k.
+CELLS, SLACK = 1 << 21, 4
 
 
 def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = 12, digits: int = 9) -> DataFrame:
     """The k nearest chunks of every query by cosine, exactly.
 
     queries: query_id, vector; chunks: chunk_id, file, ordinal, embedding. Distances rank
-    ascending with NULL (zero vectors) last, then by file and ordinal. The queries are
-    counted and broadcast, above MAX_QUERIES in blocks of a hash of query_id; chunks stream
-    past each block. Each task keeps its own k best before the shuffle, so what is shuffled
-    is queries x k x partitions.
+    ascending, then by file and ordinal; last come those that are NULL: of zero vectors, NULL
+    vectors or elements, and other numbers of dimensions.
+
+    The queries are measured and go to the tasks in blocks; each block is one pass over the
+    chunks, in which a task multiplies matrices and holds its own k best of each query, so what
+    is shuffled is queries x k x tasks. With several blocks the passes run one by one and leave
+    their hits in the shared folder.
     """
-    blocks = -(-queries.count() // MAX_QUERIES)
-    if blocks <= 1:
+    spark = queries.sparkSession
+    ship(spark)
+    n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-n // MAX_QUERIES), -(-n * 8 * max(width or 0, 1) // QUERY_BYTES))
+    if blocks == 1:
         return _top_k_of_block(queries, chunks, k, digits)
-    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [_top_k_of_block(queries.where(block == b), chunks, k, digits) for b in range(blocks)])
+    block, path = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), new_shared_path(spark, "hits")
+    parts = [_top_k_of_block(queries.where(block == b), chunks, k, digits) for b in range(blocks)]
+    for b, hits in enumerate(parts):
+        hits.write.parquet(f"{path}/block={b}")
+    return spark.read.schema(parts[0].schema).parquet(path).select(*parts[0].columns)
 
 
 def _top_k_of_block(queries: DataFrame, chunks: DataFrame, k: int, digits: int) -> DataFrame:
-    scored = chunks.crossJoin(F.broadcast(queries.select("query_id", "vector"))).select(
-        "query_id", "chunk_id", "file", "ordinal", F.round(1 - cosine_similarity(F.col("embedding"), F.col("vector")), digits).alias("distance")
-    )
+    own = queries.select("query_id", "vector").toArrow()  # of at most QUERY_BYTES
+    vectors, by_dims = own.column("vector").combine_chunks(), {}
+    dims = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy()
+    for d in np.unique(dims).tolist():
+        rows = np.flatnonzero(dims == d)
+        by_dims[d] = rows, _units(vectors.take(pa.array(rows)), d)
+    shared = chunks.sparkSession.sparkContext.broadcast((own.num_rows, by_dims))
+    kinds = {c: chunks.schema[c].dataType for c in ("chunk_id", "file", "ordinal")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, by_dims = shared.value
+        best = _Best(n, k)
+        for batch in batches:
+            for part, first in _rounded_distances(batch.column("embedding"), n, by_dims, digits):
+                best.take(part, batch.slice(first, len(part)))
+        if best.held is not None and best.held.num_rows:
+            yield best.rows()
+
+    fields = [StructField("query", IntegerType()), StructField("distance", DoubleType()), *[StructField(c, t) for c, t in kinds.items()]]
+    found = chunks.select("embedding", *kinds).mapInArrow(run, StructType(fields))
+    ids = chunks.sparkSession.createDataFrame(pa.table({"query": pa.array(range(own.num_rows), pa.int32()), "query_id": own.column("query_id")}))
     order = [F.asc_nulls_last("distance"), F.asc("file"), F.asc("ordinal")]
-    # Spark keeps the k best of each task before the shuffle, as the rank is limited
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
-    out = scored.withColumn("semantic_rank", rank).where(F.col("semantic_rank") <= k)
-    return out.withColumn("similarity", 1 - F.col("distance"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(*order))
+    top = found.withColumn("semantic_rank", rank).where(F.col("semantic_rank") <= k).join(F.broadcast(ids), "query")
+    return top.select("query_id", "chunk_id", "file", "ordinal", "distance", "semantic_rank", (1 - F.col("distance")).alias("similarity"))
+
+
+def _units(vectors: pa.Array, dims: int) -> np.ndarray:
+    """Vectors of one number of dimensions by their length; NaN for those that have none."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), dims) if dims else np.zeros((len(vectors), 0))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return flat / np.sqrt((flat * flat).sum(1, keepdims=True))
+
+
+def _rounded_distances(embeddings: pa.Array, n: int, by_dims: dict, digits: int) -> Iterator[tuple[np.ndarray, int]]:
+    """(distances of some chunks to all queries, inf for NULL; their first row), CELLS at a time."""
+    dims = pc.fill_null(pc.list_value_length(embeddings), 0).to_numpy()
+    step = max(1, CELLS // max(n, 1))
+    for first in range(0, len(embeddings), step):
+        size = min(step, len(embeddings) - first)
+        out = np.full((size, n), np.inf)
+        for d, (rows, units) in by_dims.items():
+            own = np.flatnonzero(dims[first : first + size] == d)
+            if d and len(own):
+                near = 1 - _units(embeddings.take(pa.array(own + first)), d) @ units.T
+                out[np.ix_(own, rows)] = np.where(np.isnan(near), np.inf, np.round(near, digits))
+        yield out, first
+
+
+class _Best:
+    """The k best candidates of each query so far, by distance, file and ordinal."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.n, self.k, self.held = n, k, None
+        self.worst = np.full(n, np.inf)  # the k-th distance of each query that has k candidates
+
+    def take(self, distances: np.ndarray, rows: pa.RecordBatch) -> None:
+        chunk, query = np.nonzero(distances <= self.worst[None])
+        new = pa.table({"query": pa.array(query, pa.int32()), "distance": distances[chunk, query], **{c: rows.column(c).take(pa.array(chunk)) for c in ("chunk_id", "file", "ordinal")}})
+        self.held = new if self.held is None else pa.concat_tables([self.held, new])
+        if self.held.num_rows > SLACK * self.k * self.n:
+            self._prune()
+
+    def _prune(self) -> None:
+        order = pc.sort_indices(self.held, sort_keys=[(c, "ascending") for c in ("query", "distance", "file", "ordinal")], null_placement="at_start")
+        table = self.held.take(order)
+        query = table.column("query").to_numpy()
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        full = np.flatnonzero(place == self.k - 1)
+        self.worst[query[full]] = table.column("distance").to_numpy()[full]
+        self.held = table.filter(pa.array(place < self.k)).combine_chunks()
+
+    def rows(self) -> pa.RecordBatch:
+        self._prune()
+        out = self.held.combine_chunks()
+        distance = out.column("distance").to_numpy()
+        out = out.set_column(1, "distance", pa.array(distance, pa.float64(), mask=np.isinf(distance)))
+        return out.to_batches()[0]
 
 
 def with_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.scalars import lines_normalised
-from lectern.functions.text_udfs import bigram_embedding, jsonb_sha256, nfc
+from lectern.functions.canonical import jsonb_sha256
+from lectern.functions.text_udfs import bigram_embedding, nfc
 from lectern.operators import alignment, analytics, datasets, details, documents, integrity, lookups, relational, retrieval, scoring
 from lectern.streaming.feed import described
 

@@ -226,7 +226,6 @@ def compatible_sources(spark, sf_dir):
 
 @register("""SELECT n_nationkey AS id, sha256('{"a": 1, "bb": ' || CAST(n_nationkey AS VARCHAR) || '}') AS content_hash, n_nationkey = max(n_nationkey) OVER (PARTITION BY n_regionkey) AS active FROM nation""")
 def activated_profiles(spark, sf_dir):
-    ship(spark)
     n = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("kind"), F.concat(F.lit('{"bb":'), F.col("n_nationkey").cast("string"), F.lit(',"a":1}')).alias("config"))
     return pipelines.activated_profiles(n, n.select("kind", F.col("id").alias("profile_id"), F.col("id").alias("activated_at"))).select("id", "content_hash", "active")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.catalog import register
-from lectern.functions import scalars
+from lectern.functions import canonical, scalars
 from lectern.operators import datasets, integrity, lookups, scoring
 from lectern.operators import relational as rel
 from lectern.session import new_shared_path, ship
@@ -562,10 +562,7 @@ def natural_order(spark, sf_dir):
 
 @register("""SELECT event_id, sha256('{"k": ' || (props->>'k') || '}') AS jsonb_sha256, '{"k":' || (props->>'k') || '}' AS sorted FROM events""")
 def canonical_json(spark, sf_dir):
-    from lectern.functions.text_udfs import jsonb_sha256, sorted_canonical
-
-    ship(spark)
-    return t(spark, sf_dir, "events").select("event_id", jsonb_sha256(F.col("props")).alias("jsonb_sha256"), sorted_canonical(F.col("props")).alias("sorted"))
+    return t(spark, sf_dir, "events").select("event_id", canonical.jsonb_sha256(F.col("props")).alias("jsonb_sha256"), canonical.sorted_canonical(F.col("props")).alias("sorted"))
 
 
 # -- lookups --------------------------------------------------------------------------------
@@ -645,6 +642,21 @@ def json_merged(spark, sf_dir):
     return t(spark, sf_dir, "events").select("event_id", lookups.json_merged(base, F.lit('{"a":2}'), ["gone"]).alias("merged"), covered.alias("covered"))
 
 
+@register(r"""SELECT event_id, sha256('{"b": "' || event_type || '", "aa": [1, {"x": null, "yy": ' || CAST(user_id AS VARCHAR) || '}], "zz": {"é": true, "key": "a\"\n"}}') AS nested FROM events""")
+def canonical_nested(spark, sf_dir):
+    """Keys by length and bytes at every level, escapes kept."""
+    raw = F.concat(F.lit(r'{"zz":{"key":"a\"\n","é":true},"aa":[1.0,{"yy":'), F.col("user_id").cast("string"), F.lit(',"x":null}], "b":"'), F.col("event_type"), F.lit('"}'))
+    return t(spark, sf_dir, "events").select("event_id", canonical.jsonb_sha256(raw).alias("nested"))
+
+
+@register("""SELECT p_partkey, row_number() OVER (ORDER BY p_partkey % 12, p_partkey % 30, p_partkey) AS position FROM part""")
+def numbered_names(spark, sf_dir):
+    """Chapters and sections by their numbers: 2장 10절 before 10장 2절."""
+    k = F.col("p_partkey")
+    p = t(spark, sf_dir, "part").select("p_partkey", F.concat((k % 12 + 1).cast("string"), F.lit("장 "), (k % 30 + 1).cast("string"), F.lit("절")).alias("name"))
+    return rel.numbered(p, [scalars.natural_key(F.col("name")), F.col("p_partkey")]).select("p_partkey", "position")
+
+
 @register("SELECT n_name, row_number() OVER (ORDER BY n_name) AS position FROM nation")
 def collated_names(spark, sf_dir):
     return lookups.collated(t(spark, sf_dir, "nation").select("n_name"), "n_name")

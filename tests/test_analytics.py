@@ -1,14 +1,16 @@
 """Analytics, details, statistics and scoring on literal inputs."""
 
+import hashlib
+import json
 import math
 
 import numpy as np
 
 from pyspark.sql import functions as F
 
-from lectern.functions import scalars
-from lectern.functions.text_udfs import bigram_vector, jsonb_text, nfc
-from lectern.operators import analytics, datasets, details, retrieval, scoring, statistics
+from lectern.functions import canonical, scalars
+from lectern.functions.text_udfs import bigram_vector, nfc
+from lectern.operators import analytics, datasets, details, integrity, retrieval, scoring, statistics
 from lectern.session import ship
 
 SCORES = "blind_id string, mode string, purpose string, question_id string, metric_key string, value decimal(10,6)"
@@ -173,8 +175,50 @@ def test_zero_vectors_rank_last_and_neighbours_precede(spark):
     assert [(r.chunk_id, r.is_neighbour) for r in near.orderBy("selection_order").collect()] == [(5, False), (3, True), (4, False)]
 
 
-def test_canonical_json_and_embedding():
-    assert jsonb_text({"bb": 1, "a": [True, None], "ab": {"z": "가"}}) == '{"a": [true, null], "ab": {"z": "가"}, "bb": 1}'
+def jsonb_text(value):
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {jsonb_text(value[k])}" for k in sorted(value, key=lambda k: (len(k.encode()), k.encode()))) + "}"
+    return "[" + ", ".join(map(jsonb_text, value)) + "]" if isinstance(value, list) else json.dumps(value, ensure_ascii=False)
+
+
+def test_canonical_json(spark):
+    values = [
+        {"bb": 1, "a": [True, None], "ab": {"z": "가"}}, {}, [], "x", 0.5, None, {"é": 1, "zz": 2, "b": 3, "": 4}, {"a": {"b": {"c": [{"d": [[]]}]}}}, {"s": 'q"\\\n\t\b\f\r\x01\x1f/\u007f😀'}, [12345678901234567890, -7, 1.25e-3], {"k\"1": "\\u001f"},
+    ]
+    texts = [json.dumps(v, ensure_ascii=bool(k % 2)) for k, v in enumerate(values)]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([*texts, "{", "1 2", None, "[1e3, 2.0, 1E+2]"])], "k int, x string").orderBy("k")
+    got = df.select(canonical.jsonb_canonical(F.col("x")), canonical.sorted_canonical(F.col("x")), canonical.jsonb_sha256(F.col("x"))).collect()
+    assert [r[0] for r in got[:-4]] == [jsonb_text(v) for v in values]
+    assert [r[1] for r in got[:-4]] == [json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")) for v in values]
+    assert [r[0] for r in got[-4:]] == [None, None, None, "[1000, 2, 100]"]
+    assert got[0][2] == hashlib.sha256(jsonb_text(values[0]).encode()).hexdigest()
+
+
+def test_pins(spark):
+    from tests.test_schemas import GENERATION, RAG
+
+    good, ids = jsonb_text(RAG), "30000000-0000-0000-0000-000000000001"
+    sha = hashlib.sha256(good.encode()).hexdigest()
+    rows = [
+        ("embedding_rag", "AT_CREATION_VERIFIED", ids, sha, json.dumps(RAG), None), ("embedding_rag", "LEGACY_BACKFILL_UNVERIFIED", ids, sha, good, "unverified"), ("embedding_rag", None, ids, sha, good, "unverified"),
+        ("embedding_rag", "AT_CREATION_VERIFIED", "7", sha, good, "profile_id"), ("embedding_rag", "AT_CREATION_VERIFIED", ids, sha[1:], good, "content_hash"), ("embedding_rag", "AT_CREATION_VERIFIED", ids, sha, good + "x", "definition_schema"),
+        ("embedding_rag", "AT_CREATION_VERIFIED", ids, sha, None, "definition_schema"), ("embedding_rag", "AT_CREATION_VERIFIED", ids, sha, jsonb_text(GENERATION), "definition_kind"),
+        ("embedding_rag", "AT_CREATION_VERIFIED", ids, sha, good.replace("3072", "3071"), "definition_hash"),
+    ]
+    df = spark.createDataFrame(rows, "expected string, provenance string, id string, hash string, definition string, want string")
+    got = df.withColumn("got", integrity.pin_problem(*[F.col(c) for c in df.columns[:5]])).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_numbers_inside_names(spark):
+    names = ["10장 2절", "2장 10절", "2장 9절", "Q-2", "Q-10", "가2", "가10", "a007b2", "a7b10", None, ""]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [r.n for r in df.orderBy(scalars.natural_key(F.col("n")), "n").collect()]
+    at = {n: k for k, n in enumerate(got)}
+    assert at["2장 9절"] < at["2장 10절"] < at["10장 2절"] and at["Q-2"] < at["Q-10"] and at["가2"] < at["가10"] and at["a007b2"] < at["a7b10"]
+
+
+def test_embedding():
     assert abs(sum(x * x for x in bigram_vector("some text", 32)) - 1) < 1e-9
     assert bigram_vector("", 4) == [0.0] * 4
 
@@ -195,6 +239,38 @@ def test_more_queries_than_a_block_are_ranked_in_blocks(spark, monkeypatch):
     assert len(want) == 160
 
 
+def plain_top_k(queries, chunks, k):
+    def distance(a, b):
+        if a is None or b is None or len(a) != len(b) or any(x is None for x in [*a, *b]):
+            return None
+        norms = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return round(1 - sum(x * y for x, y in zip(a, b)) / norms, 9) if norms else None
+
+    out = []
+    for q, v in queries:
+        ranked = sorted(((d is None, d or 0.0, f is not None, f or "", o, c) for c, f, o, e in chunks for d in [distance(v, e)]))[:k]
+        out += [(q, c, n + 1, None if none else d) for n, (none, d, _, _, _, c) in enumerate(ranked)]
+    return sorted(out)
+
+
+def test_vector_ranking_of_copies_nulls_and_other_sizes(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CELLS", 40)
+    monkeypatch.setattr(retrieval, "SLACK", 1)
+    rng = np.random.default_rng(2)
+    some = [[float(x) for x in rng.integers(-3, 4, 4)] for _ in range(30)]
+    chunks = [(i, ["b", "a", None, "é"][i % 4], i * 7 % 211, some[i % 30] if i % 3 else some[0]) for i in range(200)]
+    chunks += [(500, "a", 1, None), (501, "a", 2, []), (502, "a", 3, [1.0, 2.0]), (503, "a", 4, [1.0, None, 2.0, 0.0]), (504, "a", 5, [0.0] * 4)]
+    queries = [(1, some[0]), (2, some[5]), (3, [0.0] * 4), (4, None), (5, [2.0, 1.0]), (6, [5.0])]
+    c = spark.createDataFrame(chunks, "chunk_id long, file string, ordinal int, embedding array<double>").repartition(3)
+    q = spark.createDataFrame(queries, "query_id long, vector array<double>")
+    got = retrieval.vector_top_k(q, c, 9)
+    key = lambda x: [(a, n, d if d is None else abs(d)) for a, _, n, d in x]  # noqa: E731  equal rows of file and ordinal may swap
+    have = sorted((r.query_id, r.chunk_id, r.semantic_rank, r.distance) for r in got.collect())
+    want = plain_top_k(queries, chunks, 9)
+    assert sorted(key(have), key=str) == sorted(key(want), key=str) and {x[:2] for x in have} == {x[:2] for x in want}
+    assert retrieval.vector_top_k(q, c.limit(0), 9).count() == 0 == retrieval.vector_top_k(q.limit(0), c, 9).count()
+
+
 def test_registered_vector_queries_take_every_hundredth_id():
     from lectern import catalog
 
