@@ -299,3 +299,85 @@ SELECT user_id, min(ts) AS begun, count(*) AS n FROM s GROUP BY user_id, session
 def streamed_sessions(spark, sf_dir):
     w = feed.drain(feed.session_counts(_stream(spark, sf_dir), "user_id", late="3650 days"), "streamed_sessions", "complete")
     return w.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("begun"), "n")
+
+
+@register("""WITH b AS (SELECT c_custkey AS batch_id, c_custkey % 7 + 1 AS requested FROM customer),
+i AS (SELECT o_custkey AS batch_id, o_orderkey % 9 + 1 AS ordinal, min(o_orderkey) AS k FROM orders GROUP BY ALL),
+s AS (SELECT batch_id, ordinal, k, (['COMPLETED', 'RUNNING', 'FAILED', 'FAILED', 'PENDING'])[k % 5 + 1] AS state, k % 5 = 2 AND k % 2 = 0 AS retryable,
+  CASE WHEN k % 5 IN (2, 3) THEN CASE WHEN k % 3 = 0 THEN 'PARSE' ELSE 'OTHER' END END AS code, CASE WHEN k % 4 < 2 THEN 'finishReason=MAX_TOKENS.' ELSE 'finishReason=MAX TOKENS' END AS message FROM i),
+w AS (SELECT batch_id, unnest(range(1, requested + 1)) AS ordinal FROM b),
+h AS (SELECT batch_id, ordinal, coalesce(state, 'MISSING') AS before, CASE WHEN state = 'RUNNING' AND NOT (k % 3 = 1 AND batch_id % 11 = 0) THEN 'FAILED' ELSE coalesce(state, 'PENDING') END AS now,
+  coalesce(state = 'RUNNING' AND NOT (k % 3 = 1 AND batch_id % 11 = 0), false) AS orphan, coalesce(retryable, false) OR coalesce(state = 'FAILED' AND NOT retryable AND code = 'PARSE' AND contains(message, 'finishReason=MAX_TOKENS'), false) AS retry, code
+  FROM w FULL JOIN s USING (batch_id, ordinal)),
+c AS (SELECT batch_id, count(*) AS total, count(*) FILTER (now = 'COMPLETED') AS done, count(*) FILTER (now = 'PENDING' OR now = 'FAILED' AND (retry OR orphan)) AS open FROM h GROUP BY 1),
+o AS (SELECT batch_id, CASE WHEN batch_id % 11 = 0 AND EXISTS (SELECT 1 FROM i WHERE i.batch_id = c.batch_id AND i.k % 3 = 1) THEN 'active' WHEN done = total THEN 'complete' WHEN open = 0 THEN 'no-retryable' ELSE 'resumed' END AS outcome FROM c)
+SELECT batch_id, CAST(ordinal AS BIGINT) AS ordinal, outcome, before, CASE WHEN outcome <> 'resumed' THEN before WHEN now = 'FAILED' AND (retry OR orphan) THEN 'PENDING' ELSE now END AS after,
+  (['dependency_application', 'missing_prerequisite_diagnosis', 'cross_unit_transfer', 'relation_direction_discrimination', 'prerequisite_chain_completion'])[(ordinal - 1) % 5 + 1] AS task FROM h JOIN o USING (batch_id)""")
+def resume_plans(spark, sf_dir):
+    """Batches with ordinals missing at both ends, items whose jobs lost their leases, and failures of both kinds."""
+    batches = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("batch_id"), (F.col("c_custkey") % 7 + 1).alias("requested"))
+    i = t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("batch_id"), (F.col("o_orderkey") % 9 + 1).alias("ordinal")).agg(F.min("o_orderkey").alias("k"))
+    k = F.col("k")
+    state = F.get(F.array(*map(F.lit, ["COMPLETED", "RUNNING", "FAILED", "FAILED", "PENDING"])), (k % 5).cast("int"))
+    items = i.select(
+        "batch_id", "ordinal", state.alias("state"), ((k % 5 == 2) & (k % 2 == 0)).alias("retryable"), F.when((k % 5).isin(2, 3), F.when(k % 3 == 0, "PARSE").otherwise("OTHER")).alias("error_code"),
+        F.when(k % 4 < 2, "finishReason=MAX_TOKENS.").otherwise("finishReason=MAX TOKENS").alias("error_message"), k.alias("job_id"), F.lit(1).alias("job_attempt"),
+    )
+    jobs = i.where("k % 3 = 1").select(k.alias("job_id"), "batch_id", F.lit("LEASED").alias("state"), F.lit(1).alias("attempts"), F.when(F.col("batch_id") % 11 == 0, F.lit("2024-01-02")).otherwise("2024-01-01").cast("timestamp").alias("lease_expires_at"))
+    out = pipelines.resume_plan(batches, items, jobs, "2024-01-01 12:00:00")
+    return out["items"].join(out["batches"].select("batch_id", "outcome"), "batch_id").select("batch_id", F.col("ordinal").cast("long").alias("ordinal"), "outcome", "before", "after", "task")
+
+
+@register("""WITH n AS (SELECT p_partkey AS response_id, unnest(['response_present', 'accuracy', 'faithfulness']) AS metric_key, p_partkey % 3 AS k, p_partkey % 4 AS g FROM part),
+x AS (SELECT response_id, metric_key = 'response_present' OR (metric_key = 'accuracy' AND k < 2) OR (metric_key = 'faithfulness' AND k = 0) AS have, metric_key IN ('accuracy', 'faithfulness') AND g = 1 AS lost FROM n)
+SELECT response_id, count(*) AS required, count(*) FILTER (have) AS scored, count(*) FILTER (NOT have AND lost) AS terminal, count(*) FILTER (have OR lost) = count(*) AS done FROM x GROUP BY 1""")
+def scoring_states(spark, sf_dir):
+    """Responses whose judge answered, gave up after three charged failures, or may still answer."""
+    r = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("response_id"), F.array(F.lit("accuracy"), F.lit("faithfulness")).alias("profile_metrics"), F.lit("SHORT_ANSWER").alias("question_type"), F.col("p_name").alias("text"),
+        F.lit("m-1").alias("model_id"), F.lit(1.0).alias("input_tokens"), F.lit(1.0).alias("output_tokens"))
+    k = F.col("response_id")
+    one = lambda m: f'{{"metricKey":"{m}","value":0.5}}'
+    raw = F.when(k % 3 == 0, f'{{"scores":[{one("accuracy")},{one("faithfulness")}]}}').when(k % 3 == 1, f'{{"scores":[{one("accuracy")}]}}').otherwise("none")
+    # one charged failure too few, enough of them, one of them free of charge, and a last call that went well
+    attempt = F.explode(F.sequence(F.lit(1), F.when(k % 4 == 0, 2).otherwise(3)))
+    calls = r.select("response_id", attempt.alias("attempt")).select(
+        "response_id", F.lit("judge").alias("logical_key"), F.when((k % 4 == 3) & (F.col("attempt") == 3), "PERSISTED").otherwise("FAILED").alias("state"),
+        F.when((k % 4 == 2) & (F.col("attempt") == 2), "RATE_LIMIT").alias("error_code"), F.array(F.lit("accuracy"), F.lit("faithfulness")).alias("metrics"), "attempt", F.lit("2024-01-01").alias("created_at"), F.col("attempt").alias("id"),
+    )
+    prices = spark.createDataFrame([(1, "%", "2024-01-01", 2.0, 2.0, None)], "price_id int, model_pattern string, valid_from string, price_in double, price_out double, rate double")
+    return pipelines.score_run(r, r.select("response_id", raw.alias("raw")), prices, calls)["state"]
+
+
+@register("""WITH s AS (SELECT CAST(o_custkey % 5 AS VARCHAR) AS run_id, o_orderstatus AS blind_id, o_orderpriority AS metric_key, CAST(o_orderkey % 11 AS DOUBLE) AS value FROM orders),
+b AS (SELECT run_id, blind_id, metric_key, avg(value) AS mean, count(*) AS scored FROM s GROUP BY ALL), e AS (SELECT run_id, blind_id, count(*) AS eligible FROM s GROUP BY ALL),
+j AS (SELECT user_id AS a, event_id AS id, ts AS seen, CASE WHEN event_id % 3 = 0 THEN 0 ELSE 1 END AS p FROM events), a AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY a ORDER BY p, seen DESC, id) = 1)
+SELECT 'active' AS part, CAST(id AS VARCHAR) AS id, CASE p WHEN 0 THEN 'PARSING' ELSE 'BENCHMARK' END AS name, CAST(0 AS DOUBLE) AS value, 0 AS n FROM (SELECT * FROM a ORDER BY seen DESC, id LIMIT 50)
+UNION ALL SELECT 'failure', CAST(event_id AS VARCHAR), CASE WHEN event_id % 4 = 0 THEN 'UNKNOWN' ELSE event_type END, 0, 0 FROM (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 20)
+UNION ALL SELECT 'score', run_id || blind_id, metric_key, round(mean, 9), eligible FROM (SELECT * FROM b JOIN e USING (run_id, blind_id) ORDER BY run_id, blind_id, metric_key LIMIT 200)""")
+def control_room_lists(spark, sf_dir):
+    """The control room's lists: active operations, latest failures, scoreboard."""
+    e, o = t(spark, sf_dir, "events"), t(spark, sf_dir, "orders")
+    operation = e.select(F.col("user_id").alias("aggregate_id"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.when(F.col("event_id") % 3 == 0, "PARSING").otherwise("BENCHMARK").alias("stage"))
+    work = operation.where("stage = 'PARSING'"), operation.where("stage = 'BENCHMARK'")
+    failures = e.select(F.lit("PARSING").alias("stage"), F.col("event_id").alias("id"), F.when(F.col("event_id") % 4 == 0, " ").otherwise(F.col("event_type")).alias("code"), F.lit("m").alias("message"), F.col("ts").alias("at"))
+    s = o.select((F.col("o_custkey") % 5).cast("string").alias("run_id"), F.col("o_orderstatus").alias("blind_id"), F.col("o_orderpriority").alias("metric_key"), (F.col("o_orderkey") % 11).cast("double").alias("value"))
+    jobs = o.select(F.lit("PENDING").alias("state"), F.col("o_orderdate").alias("lease_expires_at"))
+    ready = spark.createDataFrame([("REVIEW", 1)], "stage string, n long")
+    out = pipelines.control_room_snapshot(jobs, jobs.limit(0), events(spark, sf_dir).select("event_id", "event_type"), operation.select("stage", F.lit("RUNNING").alias("state")), failures, ready, "1995-06-01 00:00:00", work=work, scores=(s, s))
+    row = lambda part, df, key, name, value, n: df.select(F.lit(part).alias("part"), key.cast("string").alias("id"), F.col(name).alias("name"), value.alias("value"), n.cast("long").alias("n"))
+    zero = F.lit(0.0)
+    rows = row("active", out["active"], F.col("id"), "stage", zero, F.lit(0)).unionByName(row("failure", out["failures"], F.col("id"), "code", zero, F.lit(0)))
+    return rows.unionByName(row("score", out["scoreboard"], F.concat("run_id", "blind_id"), "metric_key", F.round("mean", 9), F.col("eligible")))
+
+
+@register("""SELECT o_custkey % 5 AS model, o_orderstatus AS mode, string_agg(metric || '=' || CAST(n AS VARCHAR) || ':' || CAST(CAST(round(mean * 1000) AS BIGINT) AS VARCHAR), ',' ORDER BY metric) AS metrics
+FROM (SELECT o_custkey % 5 AS o_custkey, o_orderstatus, o_orderpriority AS metric, count(*) AS n, avg(o_orderkey % 7) AS mean FROM orders GROUP BY ALL) GROUP BY 1, 2""")
+def result_metrics(spark, sf_dir):
+    """Result details with the means by metric beside them."""
+    o = t(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 5).alias("model"), F.col("o_orderstatus").alias("mode"), F.lit("C").alias("code"), F.lit("m").alias("message"), F.col("o_orderdate").alias("at"), F.lit("SUCCEEDED").alias("state"),
+        F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"), F.lit(1.0).alias("latency_ms"), F.lit(1.0).alias("cost"), F.col("o_orderpriority").alias("metric_key"), (F.col("o_orderkey") % 7).cast("double").alias("value"),
+    )
+    told = lambda m: F.concat(m.metric_key, F.lit("="), m.n.cast("string"), F.lit(":"), F.round(m["mean"] * 1000).cast("long").cast("string"))
+    out = pipelines.result_details(o, o, ["model", "mode"], o.select("model", "mode", "metric_key", "value"))
+    return out.select("model", "mode", F.array_join(F.transform("metrics", told), ",").alias("metrics"))

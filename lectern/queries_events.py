@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from lectern.catalog import register
 from lectern.operators import events as ev
+from lectern.session import new_shared_path, ship
 from lectern.sources.tables import read_table as t
-from lectern.streaming import feed
+from lectern.streaming import cursor, feed
 
 #: Event types of the table, mapped to names of the domain.
 NAMES = {"click": "RUN_ITEM_COMPLETED", "view": "JOB_HEARTBEAT", "purchase": "DOCUMENT_PARSE_FAILED", "signup": "QUESTION_CREATED"}
@@ -196,3 +197,22 @@ def streamed_latest_state(spark, sf_dir):
 def streamed_windows(spark, sf_dir):
     w = feed.windowed_counts(_stream(spark, sf_dir))
     return feed.drain(w, "streamed_windows", "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+@register("""SELECT event_id, 'user ' || CAST(user_id AS VARCHAR) AS label, event_type FROM (SELECT * FROM events WHERE event_id > 500 AND (user_id % 40 = 7)) ORDER BY event_id""")
+def cursor_feed(spark, sf_dir):
+    """A client's feed from cursor 500 on: the events of an aggregate and its jobs, read through the cursor source and named by a stream-static join."""
+    ship(spark)
+    spark.dataSource.register(cursor.EventCursor)
+    log = t(spark, sf_dir, "events")
+    jobs = log.where("user_id % 40 = 7").select(F.lit(7).cast("long").alias("aggregate_id"), F.col("user_id").cast("long").alias("job_id")).distinct()
+    own = cursor.members(7, jobs)
+    stream = spark.readStream.format("event_cursor").schema(log.select("event_id", "user_id", "event_type").schema)
+    stream = stream.options(path=f"{sf_dir}/events.parquet", after="20", last_event_id="500", aggregate="user_id", aggregates=own).load()
+    names = log.select("user_id").distinct().select(F.col("user_id").alias("aggregate_id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("label"))
+    named = feed.resolved(stream.withColumnRenamed("user_id", "aggregate_id"), names).select("event_id", "label", "event_type")
+    path = new_shared_path(spark, "feed")
+    q = named.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/at").start()
+    q.processAllAvailable()
+    q.stop()
+    return spark.read.schema(named.schema).parquet(f"{path}/rows")
