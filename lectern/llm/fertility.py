@@ -9,7 +9,9 @@ entropy of the token distribution. Each must lie in a band. There are two kinds
   writing in that script looks like: random letters, encoded data, runs of one letter.
 * Bands of the corpus by language, or by script for rows of no or a rare language. ``fit_bands``
   takes them from all rows that pass the base rules: centre and spread are median and median
-  absolute deviation of the group, and the band reaches ``WIDTH`` spreads either way. Short
+  absolute deviation of the group, and the band reaches ``WIDTH`` spreads either way. They
+  are fitted again without the rows outside them, until those stay the same. Medians of groups
+  of over 10,000 rows are sketches, whose last digits may depend on the order of merging. Short
   texts vary more, so their band is wider by the root of the median size over their own.
   The entropy of a text grows with its length; its centre is a line over the logarithm of
   the number of tokens. A group of fewer than ``LEAST_ROWS`` rows has no band of its own.
@@ -40,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from lectern.llm.common import Scratch, free_names, map_batches, small, without
+from lectern.llm.common import Scratch, free_names, map_batches, small, without, written
 
 CACHE_ENTRIES, CACHE_BYTES = 250_000, 64
 SYMBOLS = "#*$%&|<>"
@@ -65,7 +67,9 @@ LIMITS = {
     "*": Band((0.2, 8.0), (0.0, 1.0), (3.0, 15.0)),
 }
 #: Spreads to either side of the centre; rows that a group needs; the least spread of each measure.
-WIDTH, LEAST_ROWS = 5.0, 30
+WIDTH, LEAST_ROWS = 5.5, 30
+#: How often bands are fitted again without what lies outside them.
+REFITS = 5
 LEAST_SPREAD = (0.02, 0.02, 0.05)
 #: Base rules: words at least, and repeated words in a hundred at most.
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -247,6 +251,25 @@ def fit_bands(measured: DataFrame, lang: str | None = "lang", least_rows: int =
     return centres.join(spreads, ["kind", "name"])
 
 
+def fit_stable_bands(measured: DataFrame, lang: str | None = "lang", least_rows: int = LEAST_ROWS, refits: int = REFITS) -> DataFrame:
+    """Bands fitted again without the rows that lie outside them, until these no longer change (``refits`` times at most).
+
+    Junk among the rows widens the spreads at first; what it hides inside them comes out in later rounds.
+    """
+    scratch, last = Scratch(measured.sparkSession), None
+    bands = written(fit_bands(measured, lang, least_rows), "bands")
+    for _ in range(refits):
+        inside = with_verdict(measured, bands, lang).where("in_band").drop("in_band")
+        n = inside.where(~base_failed()).count()
+        if n == last:
+            break
+        last = n
+        bands = scratch.written(fit_bands(inside, lang, least_rows), "bands")
+    out = written(bands, "bands")
+    scratch.clear()
+    return out
+
+
 def _deviations(log: Column, c: dict[str, Column]) -> list[Column]:
     """Distances from a group's centre, those of short texts shrunk by the root of their share of the usual size."""
     shrink = F.least(F.lit(1.0), F.sqrt(F.col("n_tokens") / c["size"]))
@@ -280,7 +303,7 @@ def quality_digest(docs: DataFrame) -> DataFrame:
     """Base counts and verdict of every document."""
     cols = [c for c in ("doc_id", "text", "lang") if c in docs.columns]
     measured = Scratch(docs.sparkSession).written(measure_quality(docs.select(*cols)).drop("text"), "measures")
-    out = with_verdict(measured, fit_bands(measured))
+    out = with_verdict(measured, fit_stable_bands(measured))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed().alias("base_failed"), (~base_failed() & F.col("in_band")).alias("kept"),

@@ -332,6 +332,45 @@ def test_labelled_junk_is_rejected_by_bands(spark):
     assert kept[0] < 0.3 and kept[1] > 0.99
 
 
+def test_refitted_bands_shed_what_widens_them(spark):
+    """A tenth of junk just inside the first bands is outside those fitted without the rest of it."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(1000):
+        far = [0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.35, 0.6, 0.9][k % 10] * (k % 2)
+        rows.append((k, "en", "Latin", 800, float(2.2 + rng.normal() * 0.05 + far), 0.0, 8.0, 200, 0))
+    d = spark.createDataFrame(rows, "doc_id long, lang string, script string, n_tokens long, chars_per_token double, byte_share double, entropy_bits double, n_words long, n_repeat_words long")
+    kept = lambda bands: {r.doc_id for r in fertility.with_verdict(d, bands).where("in_band").collect()}
+    first, last = kept(fertility.fit_bands(d)), kept(fertility.fit_stable_bands(d))
+    clean = {k for k in range(1000) if not (k % 2 and k % 10 in (7, 9))}
+    assert last <= first and len(clean - last) <= 5 and len(last - clean) <= len(first - clean)
+    assert kept(fertility.fit_stable_bands(d, refits=0)) == first
+    assert fertility.fit_stable_bands(d.limit(0)).count() == 0
+
+
+def test_whole_query_equals_plain_measures(spark):
+    """Every column of the registered query's base rules and measures, over a whole table, by plain Python and the library."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {r.doc_id: r for r in fertility.quality_digest(docs).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert len(got) == len(rows) > 0
+    for doc_id, text in rows:
+        text, r = text or "", got[doc_id]
+        words = re.findall("[^\x20\x09-\x0d]+", text)
+        seen = Counter(zip(words, words[1:], words[2:]))
+        again = {k + j for k, w in enumerate(zip(words, words[1:], words[2:])) if seen[w] > 1 for j in range(3)}
+        lines = [x for x in text.split("\n") if re.search("[^\x20\x09-\x0d]", x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(again))
+        assert r.base_failed == (len(words) < 50 or 100 * len(again) > 50 * len(words)) and not (r.base_failed and r.kept)
+        ids = [i for w in words for i in model.encode(w)]
+        assert r.n_tokens == len(ids)
+        if ids:
+            share = np.array(list(Counter(ids).values())) / len(ids)
+            assert abs(r.chars_per_token - r.word_chars / len(ids)) < 1e-9 and abs(r.entropy_bits + (share * np.log2(share)).sum()) < 1e-9 and abs(r.byte_share - sum(map(model.is_byte, ids)) / len(ids)) < 1e-12
+
+
 def test_verdict_equals_plain(spark):
     """in_band against the same statistics by numpy."""
     rng, rows = np.random.default_rng(3), []
