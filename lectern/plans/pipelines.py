@@ -12,14 +12,21 @@ from lectern.operators import alignment, analytics, datasets, details, documents
 from lectern.streaming.feed import described
 
 
-def process_documents(pages: DataFrame, doc: str, page: str, max_tokens: int = 400, dims: int = 64) -> dict[str, DataFrame]:
-    """Pages to documents, chunks with vectors, contents, and the alignment of both."""
+def process_documents(pages: DataFrame, doc: str, page: str, max_tokens: int = 400, dims: int = 64, layout: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Pages to documents, chunks with vectors, contents, and the alignment of both.
+
+    ``layout`` holds the parsed elements (doc, document_page, category, text, center_x); the
+    printed pages in its footers place entries of the contents, headings the others.
+    """
     whole = documents.assemble_pages(pages, doc, page)
     chunks = relational.settled(documents.chunk_documents(whole, doc, "html", max_tokens))
     embedded = chunks.withColumn("embedding", bigram_embedding(dims)(F.col("content")))
     toc = relational.settled(documents.extract_toc(whole, doc))
-    none = toc.select(doc, F.col("printed_page"), F.lit(0).alias("document_page")).limit(0)
-    mappings = alignment.align_revisions(toc, chunks, none, doc)
+    if layout is None:
+        places = toc.select(doc, F.col("printed_page"), F.lit(0).alias("document_page")).limit(0)
+    else:
+        places = relational.settled(documents.printed_pages(layout, doc).select(doc, "printed_page", "document_page"))
+    mappings = alignment.align_revisions(toc, chunks, places, doc)
     return {"documents": whole, "chunks": embedded, "toc": alignment.mapping_summary(toc, mappings, doc), "mappings": mappings}
 
 

@@ -247,6 +247,17 @@ def processed_documents(spark, sf_dir):
     return chunks.join(out["toc"].groupBy("book").agg(F.count(F.lit(1)).alias("entries"), F.count_if(F.col("mapping_status") == "MAPPED").alias("mapped")), "book", "left")
 
 
+@register()
+def placed_contents(spark, sf_dir):
+    """Contents placed by the printed pages of the footers, ten more than the documents' own: book, entry, chunk, relation, confidence."""
+    ship(spark)
+    n = (F.col("page_id") % 8 + 1).cast("int")
+    numbered = F.concat(F.lit(" "), (n + 10).cast("string"), F.lit("</li>\n"))
+    p = t(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 8).cast("long").alias("book"), n.alias("page"), F.replace(F.regexp_replace("html", "<ul>", '<ul class="toc">'), F.lit("</li>"), numbered).alias("html"))
+    layout = p.select("book", F.col("page").alias("document_page"), F.lit("Footer").alias("category"), F.concat(F.lit("Book "), (F.col("page") + 10).cast("string")).alias("text"), F.lit(0.9).alias("center_x"))
+    return pipelines.process_documents(p, "book", "page", 60, layout=layout)["mappings"]
+
+
 @register()
 def text_coverage(spark, sf_dir):
     """Share of a text's own bigrams in itself and the length of its stand-in vector."""

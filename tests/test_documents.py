@@ -128,3 +128,21 @@ def test_chunks_and_alignment_as_dataframes(spark, rows):
     summary = al.mapping_summary(more, m, "book")
     assert rows(summary.select("ordinal", "mapping_status", "chunks", "chunk_ordinals"), "ordinal") == [(1, "MAPPED", 1, [1]), (2, "MAPPED", 1, [2]), (3, "UNMAPPED", 0, None)]
     assert rows(al.mapping_counts(summary, "book")) == [("b1", 2, 1)]
+
+
+def test_printed_pages_place_contents(spark):
+    """Entries whose printed page a footer shows are mapped to the chunks of that page, directly and with the highest confidence."""
+    from lectern.plans import pipelines
+    from lectern.session import ship
+
+    ship(spark)
+    toc = "<ul class='toc'>" + "".join(f"<li>Chapter {k} of this {10 + 2 * k}</li>\n" for k in range(1, 5)) + "</ul>"
+    pages = [("b", 1, toc)] + [("b", k, f"<p>Text of page {k}, which says a few words about nothing.</p>") for k in range(2, 10)]
+    p = spark.createDataFrame(pages, "book string, page int, html string")
+    layout = spark.createDataFrame([("b", k, "footer", f"The book {k + 9}", 0.9) for k in range(1, 10)], "book string, document_page int, category string, text string, center_x double")
+    out = pipelines.process_documents(p, "book", "page", 60, layout=layout)
+    at = {r.ordinal: r.page_start for r in out["chunks"].collect()}
+    printed = {r.ordinal: r.printed_page for r in out["toc"].select("ordinal", "printed_page").collect()}
+    got = [(printed[r.toc_ordinal], at[r.chunk_ordinal], r.confidence) for r in out["mappings"].where("relation = 'DIRECT'").collect()]
+    assert {x[0] for x in got} == {12, 14, 16, 18} and {x[2] for x in got} == {0.98}
+    assert all(start - 9 <= page < start - 7 or start == 18 for start, page, _ in got)
