@@ -127,11 +127,5 @@ def percent_done(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(done * 100.0 / total + 0.5).cast("int")).otherwise(F.lit(0))
 
 
-def cosine_similarity(a: Column, b: Column) -> Column:
-    """Cosine of two float arrays in double precision; NULL for a zero vector."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    return F.try_divide(dot, l2_norm(a) * l2_norm(b))
-
-
 def l2_norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
