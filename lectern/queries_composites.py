@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.catalog import register
@@ -205,8 +206,11 @@ def run_details(spark, sf_dir):
 SELECT o_orderkey AS item_id, l.attempt, l.state AS last_state, c.failed FROM orders JOIN (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY attempt DESC) = 1) l ON l.item_id = o_orderkey
 JOIN (SELECT item_id, count(*) FILTER (state = 'FAILED') AS failed FROM a GROUP BY 1) c ON c.item_id = o_orderkey WHERE o_orderstatus <> 'F'""")
 def generation_activity(spark, sf_dir):
+    """Of attempts with the same number the one that stands first in the table counts."""
     flag = F.col("l_returnflag")
-    attempts = t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("attempt"), F.col("l_linenumber").alias("id"), F.when(flag == "A", "FAILED").when(flag == "N", "PERSISTED").otherwise("REQUESTED").alias("state"))
+    lines = t(spark, sf_dir, "lineitem").select("*", "_metadata.file_path", "_metadata.row_index")
+    lines = lines.withColumn("place", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("file_path", "row_index")))
+    attempts = lines.select(F.col("l_orderkey").alias("item_id"), F.col("l_linenumber").alias("attempt"), (-F.col("place")).alias("id"), F.when(flag == "A", "FAILED").when(flag == "N", "PERSISTED").otherwise("REQUESTED").alias("state"))
     items = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("item_id"), F.lit(1).alias("batch"), F.col("o_orderkey").alias("ordinal"), F.lit(None).cast("string").alias("error"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("RUNNING").alias("state"))
     out = pipelines.generation_activity(items, attempts, "batch")
     return out["resumable"].where("attempt is not null").join(out["calls"].select("item_id", "failed"), "item_id").select("item_id", "attempt", "last_state", "failed")
