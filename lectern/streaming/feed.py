@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from lectern.operators.events import event_label, event_stage, event_state, event_summary
+from lectern.session import new_shared_path
 
 
 def event_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 8) -> DataFrame:
@@ -58,7 +59,18 @@ def follow(df: DataFrame, checkpoint: str, sink, mode: str = "append", every: st
 
 
 def drain(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its result (memory sink; tests and small feeds)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """Run a stream over what is there now and return its result.
+
+    Executors write the rows of each micro-batch to the shared folder, so none pass through the
+    driver; in complete mode the last micro-batch is the result.
+    """
+    path, parts = new_shared_path(df.sparkSession, name), []
+
+    def keep(batch: DataFrame, n: int) -> None:
+        part = f"{path}/rows" if mode == "complete" else f"{path}/rows-{n}"
+        batch.write.mode("overwrite").parquet(part)
+        parts[:] = dict.fromkeys([*parts, part])
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/at").trigger(availableNow=True).foreachBatch(keep).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(*parts) if parts else df.sparkSession.createDataFrame([], df.schema)
