@@ -261,7 +261,7 @@ def markdown_as_html(markdown: Column) -> Column:
         .otherwise(F.concat(F.lit("<p>"), x, F.lit("</p>")))
     )
     safe = F.replace(F.replace(F.replace(markdown, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    return F.array_join(F.transform(F.filter(F.transform(F.split(safe, r"\n+"), F.trim), lambda x: x != ""), line), "")
+    return F.array_join(F.transform(F.filter(F.transform(F.split(safe, r"\n+"), lambda x: F.trim(x)), lambda x: x != ""), line), "")
 
 
 def assemble_pages(pages: DataFrame, doc: str, page: str, html: str = "html", markdown: str | None = None) -> DataFrame:
