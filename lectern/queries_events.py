@@ -208,7 +208,7 @@ def cursor_feed(spark, sf_dir):
     jobs = log.where("user_id % 40 = 7").select(F.lit(7).cast("long").alias("aggregate_id"), F.col("user_id").cast("long").alias("job_id")).distinct()
     own = cursor.members(7, jobs)
     stream = spark.readStream.format("event_cursor").schema(log.select("event_id", "user_id", "event_type").schema)
-    stream = stream.options(path=f"{sf_dir}/events.parquet", after="20", last_event_id="500", aggregate="user_id", aggregates=own).load()
+    stream = stream.options(path=f"{sf_dir}/events.parquet", after="20", last_event_id="500", aggregate="user_id", aggregates=own, catch_up="true").load()
     names = log.select("user_id").distinct().select(F.col("user_id").alias("aggregate_id"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("label"))
     named = feed.resolved(stream.withColumnRenamed("user_id", "aggregate_id"), names).select("event_id", "label", "event_type")
     path = new_shared_path(spark, "feed")
