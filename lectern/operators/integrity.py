@@ -167,11 +167,16 @@ def question_problems(raw: Column, question_type: Column | None = None) -> Colum
 
 def config_issues(raw: Column, expected: Column | None = None) -> Column:
     """Paths of a research configuration's JSON that break the schema of its kind, or ``kind`` if another was expected."""
-    issues = json_schema.problems(raw, schemas.CONFIG)
     if expected is None:
-        return issues
-    told = json_schema.as_text(json_schema.part(json_schema.parsed(raw), "kind"))
-    return F.when((F.size(issues) == 0) & (told != expected), F.array(F.lit("kind"))).otherwise(issues)
+        return json_schema.problems(raw, schemas.CONFIG)
+
+    def other(value: Column) -> Column:
+        return json_schema.must(F.coalesce(json_schema.as_text(json_schema.part(value, "kind")) == expected, F.lit(True)), F.lit("kind"))
+
+    def check(value: Column) -> Column:
+        return json_schema.let(schemas.CONFIG(value, None), lambda issues: F.when(F.size(issues) == 0, other(value)).otherwise(issues))
+
+    return json_schema.let(json_schema.parsed(raw), lambda v: F.when(v.isNull(), F.array(F.lit(""))).otherwise(check(v)))
 
 
 def pin_problem(expected: Column, provenance: Column, profile_id: Column, content_hash: Column, definition: Column) -> Column:

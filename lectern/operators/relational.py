@@ -13,6 +13,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() or df.sparkSession.sparkContext.getConf().get("spark.checkpoint.dir") else df.persist()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly to all cores: a small file is one task, however long its rows take."""
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 # -- latest rows and first rows -------------------------------------------------------------
 
 

@@ -403,7 +403,7 @@ def config_checks(spark, sf_dir):
     change = F.get(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in _CONFIG_CHANGES]), (F.col("p_partkey") % len(_CONFIG_CHANGES)).cast("int"))
     raw = F.replace(F.lit(_CONFIG), change["a"], change["b"])
     raw = F.when(change["a"] == "", F.lit(_CONFIG)).otherwise(raw)
-    return t(spark, sf_dir, "part").select("p_partkey", (F.size(integrity.config_issues(raw, F.lit("document_parse"))) == 0).alias("valid"))
+    return rel.spread(t(spark, sf_dir, "part").select("p_partkey")).select("p_partkey", (F.size(integrity.config_issues(raw, F.lit("document_parse"))) == 0).alias("valid"))
 
 
 #: Wrong types and sizes inside a question, and the paths that they break.
@@ -426,7 +426,7 @@ _TYPED_QUESTION = (
 def question_issues(spark, sf_dir):
     change = F.get(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b, _ in _TYPED]), (F.col("event_id") % len(_TYPED)).cast("int"))
     raw = F.when(change["a"] == "", F.lit(_TYPED_QUESTION)).otherwise(F.replace(F.lit(_TYPED_QUESTION), change["a"], change["b"]))
-    found = t(spark, sf_dir, "events").select("event_id", integrity.question_issues(raw).alias("found"))
+    found = rel.spread(t(spark, sf_dir, "events").select("event_id")).select("event_id", integrity.question_issues(raw).alias("found"))
     return found.select("event_id", F.array_join("found", ",").alias("issues"), F.array_contains("found", "").alias("unreadable"))
 
 
