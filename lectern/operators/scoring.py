@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions.json_schema import let
 from lectern.functions.scalars import answer_flat, converted, token_cost
 from lectern.operators.relational import price_by_pattern
 
@@ -55,23 +56,24 @@ def parse_judge(answers: DataFrame, raw: str = "raw") -> DataFrame:
         ),
         lambda e: e.claim.isNotNull() | e.quote.isNotNull() | e.chunkId.isNotNull(),
     )
-    out = answers.withColumn("__v", v).withColumn("__s", array_of(F.col("__v"), "$.scores"))
-    scores = F.transform(
-        "__s",
-        lambda s: F.struct(
-            text_at(s, "$.metricKey").alias("metric_key"), _number(F.try_variant_get(s, "$.value", "variant")).alias("value"),
-            F.coalesce(told(s, "$.label"), F.lit(NO_LABEL)).alias("label"), F.coalesce(told(s, "$.rationale"), F.lit(NO_RATIONALE)).alias("rationale"), evidence(s).alias("evidence"),
-        ),
-    )
-    out = out.withColumn("scores", scores)
-    keys = F.transform("scores", lambda s: s.metric_key)
-    reject = (
-        F.when(F.col("__v").isNull() | F.col("__s").isNull(), "NOT_JSON")
-        .when(F.exists("scores", lambda s: s.metric_key.isNull()), "NO_METRIC")
-        .when(F.exists("scores", lambda s: s.value.isNull() | (s.value < 0) | (s.value > 1)), "VALUE_OUT_OF_RANGE")
-        .when(F.size(F.array_distinct(keys)) < F.size(keys), "DUPLICATE_METRIC")
-    )
-    return out.withColumn("reject", reject).drop("__v", "__s")
+    score = lambda s: F.struct(
+        text_at(s, "$.metricKey").alias("metric_key"), _number(F.try_variant_get(s, "$.value", "variant")).alias("value"),
+        F.coalesce(told(s, "$.label"), F.lit(NO_LABEL)).alias("label"), F.coalesce(told(s, "$.rationale"), F.lit(NO_RATIONALE)).alias("rationale"), evidence(s).alias("evidence"),
+    )
+
+    def judged(scores: Column) -> Column:
+        keys = F.transform(scores, lambda s: s.metric_key)
+        reject = (
+            F.when(scores.isNull(), "NOT_JSON")
+            .when(F.exists(scores, lambda s: s.metric_key.isNull()), "NO_METRIC")
+            .when(F.exists(scores, lambda s: s.value.isNull() | (s.value < 0) | (s.value > 1)), "VALUE_OUT_OF_RANGE")
+            .when(F.size(F.array_distinct(keys)) < F.size(keys), "DUPLICATE_METRIC")
+        )
+        return F.struct(scores.alias("scores"), reject.alias("reject"))
+
+    # each step once, whatever becomes of the columns: filters on them repeat this expression
+    told_all = let(let(v, lambda x: array_of(x, "$.scores")), lambda own: let(F.transform(own, score), judged))
+    return answers.withColumn("__j", told_all).withColumns({"scores": F.col("__j.scores"), "reject": F.col("__j.reject")}).drop("__j")
 
 
 def _number(value: Column) -> Column:

@@ -70,7 +70,7 @@ def score_run(responses: DataFrame, judged: DataFrame, prices: DataFrame, calls:
     metrics it needs, has, and will not get any more, and whether it is done.
     """
     need = responses.withColumn("required", scoring.required_metrics(F.col("profile_metrics"), F.col("question_type")))
-    parsed = scoring.parse_judge(judged).where("reject is null").select("response_id", F.explode("scores").alias("s")).select("response_id", "s.metric_key", "s.value")
+    parsed = scoring.parse_judge(relational.spread(judged)).where("reject is null").select("response_id", F.explode("scores").alias("s")).select("response_id", "s.metric_key", "s.value")
     present = responses.select("response_id", F.lit("response_present").alias("metric_key"), scoring.response_present(F.col("text")).cast("double").alias("value"))
     scores = parsed.select("response_id", "metric_key", "value").unionByName(present)
     out = {
