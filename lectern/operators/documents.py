@@ -156,18 +156,30 @@ def index_blocks(html: str, max_pages: int) -> Iterator[dict]:
             at += 1
 
 
+#: Characters of documents whose rows a task has in memory at once (and one document at least).
+PARSED_CHARS = 1 << 20
+
+
+def row_batches(batches: Iterator[pa.RecordBatch], rows_of, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches (key, html) to batches of the rows that ``rows_of(html)`` gives, with key and place, PARSED_CHARS of documents at a time."""
+    key, rows, size = schema.names[0], [], 0
+    for batch in batches:
+        for k, h in zip(batch.column(0), batch.column(1)):
+            text = h.as_py() or ""
+            rows += [{key: k.as_py(), "seq": n, **r} for n, r in enumerate(rows_of(text))]
+            size += len(text)
+            if size >= PARSED_CHARS:
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                rows, size = [], 0
+    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
 def _parsed(df: DataFrame, key: str, html: str, rows_of, schema: str) -> DataFrame:
-    """The rows that ``rows_of(html)`` gives, with the document's key and their place, an Arrow batch at a time."""
+    """The rows that ``rows_of(html)`` gives, with the document's key and their place."""
     out = StructType.fromDDL(schema)
     fields = [df.schema[key], StructField("seq", IntegerType()), *out.fields]
     arrow = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [{key: k, "seq": n, **r} for k, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for n, r in enumerate(rows_of(h or ""))]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-
-    return df.select(key, html).mapInArrow(run, StructType(fields))
+    return df.select(key, html).mapInArrow(lambda batches: row_batches(batches, rows_of, arrow), StructType(fields))
 
 
 #: Fixed value: where a sentence ends (also after Korean "da.").
