@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import unicodedata
+from collections import Counter
+from functools import lru_cache
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -22,15 +24,20 @@ def _each(fn, kind: str = "string"):
 
 
 def bigrams(text: str) -> list[str]:
-    flat = re.sub(r"\s+", "", text.lower())
-    return [flat[i : i + 2] for i in range(len(flat) - 1)]
+    flat = "".join(text.lower().split())
+    return list(map(add, flat, flat[1:]))
+
+
+@lru_cache(1 << 17)
+def _hashed(bigram: str) -> int:
+    return int.from_bytes(hashlib.sha256(bigram.encode()).digest()[:4], "big")
 
 
 def bigram_vector(text: str, dims: int) -> list[float]:
     """Unit vector of hashed character bigrams: a local stand-in for an embedding service."""
     v = np.zeros(dims)
-    for g in bigrams(text):
-        v[int.from_bytes(hashlib.sha256(g.encode()).digest()[:4], "big") % dims] += 1.0
+    for g, n in Counter(bigrams(text)).items():
+        v[_hashed(g) % dims] += n
     norm = np.linalg.norm(v)
     return (v / norm if norm else v).tolist()
 
