@@ -12,15 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from lectern.functions.scalars import l2_norm
-from lectern.operators.relational import preceding_neighbours
+from lectern.operators.relational import preceding_neighbours, settled
 from lectern.session import new_shared_path, ship
 
 #: Retrieval modes in canonical order.
 MODES = ["NONE", "VECTOR", "PIKE"]
 #: Query vectors that are ranked in one pass over the chunks: so many, and of so many bytes in double precision, at most.
-MAX_QUERIES, QUERY_BYTES = 50_000, 64 << 20
-#: Distances that a task has in memory at once, and candidates it holds for a query, in multiples of k.
-CELLS, SLACK = 1 << 21, 4
+MAX_QUERIES, QUERY_BYTES = 50_000, 16 << 20
+#: Distances that a task has in memory at once, candidates it holds for a query, in multiples of k, and for all queries of a pass.
+CELLS, SLACK, CANDIDATES = 1 << 19, 4, 1 << 19
 
 
 def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = 12, digits: int = 9) -> DataFrame:
@@ -38,7 +38,7 @@ def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int = 12, digits: int
     spark = queries.sparkSession
     ship(spark)
     n, width = queries.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
-    blocks = max(1, -(-n // MAX_QUERIES), -(-n * 8 * max(width or 0, 1) // QUERY_BYTES))
+    blocks = max(1, -(-n // MAX_QUERIES), -(-n * 8 * max(width or 0, 1) // QUERY_BYTES), -(-n * k * SLACK // CANDIDATES))
     if blocks == 1:
         return _top_k_of_block(queries, chunks, k, digits)
     block, path = F.pmod(F.xxhash64("query_id"), F.lit(blocks)), new_shared_path(spark, "hits")
@@ -135,6 +135,7 @@ def with_neighbours(hits: DataFrame, chunks: DataFrame, window: int = 1) -> Data
     A neighbour has its anchor's similarity and sorts just before it; a chunk that is both a
     hit and a neighbour counts as a hit, once. The result may exceed k.
     """
+    hits = settled(hits)  # they are read twice
     own = hits.select("query_id", "file", "ordinal", "chunk_id", "similarity", "semantic_rank", (F.col("semantic_rank") * 1000.0).alias("selection_order"), F.lit(False).alias("is_neighbour"))
     near = preceding_neighbours(
         hits.select("query_id", "file", "ordinal", "similarity", "semantic_rank"), chunks.select("file", "ordinal", "chunk_id"), "file", "ordinal", window
